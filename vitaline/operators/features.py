@@ -82,14 +82,17 @@ def first_seen_codes(events: DataFrame, columns: Sequence[str], order: Sequence[
 
 
 def _combos(events: DataFrame, columns: Sequence[str], order: Sequence[str]) -> DataFrame:
-    return cut(events.groupBy(*columns).agg(F.min(F.struct(*order)).alias("_seen")))
+    """Distinct combinations of the columns and the place each appears first; missing order values are last."""
+    place = [part for c in order for part in (F.col(c).isNull().alias(f"no_{c}"), F.col(c).alias(c))]
+    return cut(events.groupBy(*columns).agg(F.min(F.struct(*place)).alias("_seen")))
 
 
 def _codes_of_combos(combos: DataFrame, columns: Sequence[str], order: Sequence[str]) -> DataFrame:
     tall = combos.unpivot(["_seen"], list(columns), "column", "value")
     firsts = tall.groupBy("column", "value").agg(F.min("_seen").alias("_seen"))
-    places = firsts.select("column", "value", *[F.col(f"_seen.{c}").alias(f"_at_{c}") for c in order])
-    ranked = running_total(places, [*[f"_at_{c}" for c in order], "value"], by=["column"])
+    parts = [part for c in order for part in (f"no_{c}", c)]
+    places = firsts.select("column", "value", *[F.col(f"_seen.{c}").alias(f"_at_{c}") for c in parts])
+    ranked = running_total(places, [*[f"_at_{c}" for c in parts], "value"], by=["column"])
     return ranked.select("column", "value", (F.col("running") - 1).cast("int").alias("code"))
 
 
