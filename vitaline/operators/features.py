@@ -29,6 +29,7 @@ from vitaline.operators.balance import split_patients
 from vitaline.operators.skew import (
     collapse_copies,
     expand_copies,
+    fits_broadcast,
     join_on_key,
     lookup,
     number_rows,
@@ -118,7 +119,7 @@ def encode_first_seen(
         *[F.max(F.when(F.col("_column") == c, F.col("code"))).alias(f"_code_{c}") for c in columns]
     )
     book = wide.select(*[F.col(f"_row.{c}").alias(c) for c in columns], *[f"_code_{c}" for c in columns])
-    coded = lookup(events, cut(book), columns)
+    coded = lookup(events, book, columns, small=fits_broadcast(combos))
     return coded.withColumns({c: F.col(f"_code_{c}") for c in columns}).drop(*[f"_code_{c}" for c in columns])
 
 
@@ -193,8 +194,7 @@ def elapsed_rows(tables: Tables) -> DataFrame:
     return number_rows(
         collapse_copies(filled),
         KEY,
-        coarse=[day_number(F.col("data"))],
-        fine=[F.col("src"), F.col("codiceamd")],
+        groups=[day_number(F.col("data")), F.col("src"), F.col("codiceamd")],
         ties=ties,
         weight="n_copies",
         gap="days_since_previous",
@@ -203,7 +203,7 @@ def elapsed_rows(tables: Tables) -> DataFrame:
 
 def elapsed_features(tables: Tables) -> DataFrame:
     """One row per event with `delta_events`, the decay weight of the days since the patient's event before."""
-    rows = expand_copies(elapsed_rows(tables))
+    rows = expand_copies(cut(elapsed_rows(tables)))
     days = F.when(F.col("copy") == 1, F.col("days_since_previous")).otherwise(0)
     return (
         rows.withColumn("days_since_previous", days)

@@ -18,8 +18,8 @@ from vitaline.config import (
 from vitaline.functions.dates import day_number
 from vitaline.functions.encode import label_code
 from vitaline.functions.text import first_words, name_value_pairs, word_count
-from vitaline.operators.skew import collapse_copies, expand_copies, lookup, number_rows
 from vitaline.operators.cohort import keep_patients
+from vitaline.operators.skew import collapse_copies, lookup, number_rows, split_parts
 from vitaline.operators.timeline import union_all
 from vitaline.sources.tables import Tables
 
@@ -89,8 +89,7 @@ def ordered_lines(lines: DataFrame) -> DataFrame:
     return number_rows(
         counted,
         KEY,
-        coarse=[F.col("table_no"), F.col("is_event"), undated_last, newest_first],
-        fine=[F.col("code")],
+        groups=[F.col("table_no"), F.col("is_event"), undated_last, newest_first, F.col("code")],
         ties=["line"],
         weight="all_words",
     )
@@ -111,17 +110,19 @@ def history_text(
     """
     lines = ordered_lines(history_lines(tables, amd, atc)).drop("all_words", "total")
     if max_words is not None:
-        limit = F.lit(max_words).cast("long")
-        fitting = F.ceil((limit - F.col("start")) / F.col("words")).cast("long")
-        lines = lines.withColumn("n_copies", F.least(F.col("n_copies"), fitting)).filter("n_copies > 0")
-    each = expand_copies(lines).withColumn("_at", F.col("start") + (F.col("copy") - 1) * F.col("words"))
+        begun = F.ceil((F.lit(max_words) - F.col("start")) / F.col("words")).cast("long")
+        lines = lines.withColumn("n_copies", F.least(F.col("n_copies"), begun)).filter("n_copies > 0")
+    dealt = split_parts(lines, part_words, F.col("words"))
+    at = F.col("start") + F.col("from_copy") * F.col("words")
+    entry = F.struct(at.alias("at"), F.col("copies").cast("int").alias("n"), "line")
+    copies = F.flatten(F.transform("_entries", lambda e: F.array_repeat(e["line"], e["n"])))
+    text = F.array_join(copies, " ")
     if max_words is not None:
-        room = limit - F.col("_at")
-        shortened = F.when(room < F.col("words"), first_words(F.col("line"), room)).otherwise(F.col("line"))
-        each = each.withColumn("line", shortened)
-    gathered = F.array_sort(F.collect_list(F.struct("_at", "line")))
-    texts = each.groupBy(*KEY, F.floor(F.col("_at") / part_words).cast("int").alias("part")).agg(
-        F.array_join(gathered.getField("line"), " ").alias("text")
+        text = first_words(text, F.lit(max_words) - F.col("_entries")[0]["at"])
+    texts = (
+        dealt.groupBy(*KEY, F.col("part").cast("int").alias("part"))
+        .agg(F.array_sort(F.collect_list(entry)).alias("_entries"))
+        .select(*KEY, "part", text.alias("text"))
     )
     labels = tables.registry.select(*KEY, label_code(F.col("label")).alias("label"))
     return texts.join(labels, KEY).select(*KEY, "part", "text", "label")

@@ -10,12 +10,13 @@ from pyspark.sql import functions as F
 from vitaline.config import CARDIO_CODES, KEY, NEGATIVE_TRUNCATION_DAYS, POSITIVE_STRIP_DAYS
 from vitaline.operators.skew import join_on_key
 from vitaline.operators.timeline import last_event
+from vitaline.session import cut
 from vitaline.sources.tables import Tables
 
 
 def last_event_by_label(registry: DataFrame, timeline: DataFrame) -> DataFrame:
-    """Label and last event of each labelled patient."""
-    return registry.select(*KEY, "label").join(last_event(timeline), KEY, "left")
+    """Label and last event of each labelled patient, written once for the seven joins to it."""
+    return cut(registry.select(*KEY, "label").join(last_event(timeline), KEY, "left"))
 
 
 def truncate_negative(
@@ -32,9 +33,8 @@ def truncate_negative(
 
 
 def truncate_negative_history(
-    tables: Tables, timeline: DataFrame, days: int = NEGATIVE_TRUNCATION_DAYS, with_rx: bool = True
+    tables: Tables, lasts: DataFrame, days: int = NEGATIVE_TRUNCATION_DAYS, with_rx: bool = True
 ) -> Tables:
-    lasts = last_event_by_label(tables.registry, timeline)
     names = tables.events(with_rx).keys()
     return tables.map_events(lambda df: truncate_negative(df, lasts, days), names)
 
@@ -58,5 +58,5 @@ def strip_positive_recent_codes(
 def remove_leakage(tables: Tables, timeline: DataFrame, with_rx: bool = True) -> Tables:
     """Both rules; the last events are those of the timeline before anything is removed."""
     lasts = last_event_by_label(tables.registry, timeline)
-    cut = truncate_negative_history(tables, timeline, with_rx=with_rx)
-    return cut.replace(diagnosi=strip_positive_recent_codes(cut.diagnosi, lasts))
+    truncated = truncate_negative_history(tables, lasts, with_rx=with_rx)
+    return truncated.replace(diagnosi=strip_positive_recent_codes(truncated.diagnosi, lasts))

@@ -11,7 +11,8 @@ from vitaline.config import ELAPSED_STEPS, KEY, PAD_DECAY, PAD_ELAPSED, PAD_FLAT
 from vitaline.functions.arrays import left_pad, repeat_label
 from vitaline.functions.dates import day_number
 from vitaline.functions.encode import decay
-from vitaline.operators.skew import collapse_copies, expand_copies, number_rows, running_total
+from vitaline.operators.skew import collapse_copies, expand_copies, number_rows, running_total, split_parts
+from vitaline.session import cut
 
 PART_STEPS = 4096
 
@@ -44,8 +45,7 @@ def ordered_history(events: DataFrame, fine: Sequence[str], date: str = "data")
     return number_rows(
         collapse_copies(events),
         KEY,
-        coarse=[_order_value(events, date)],
-        fine=[F.col(c) for c in fine],
+        groups=[_order_value(events, date), *[F.col(c) for c in fine]],
         ties=ties or [date],
         weight="n_copies",
     )
@@ -58,53 +58,73 @@ def _order_value(events: DataFrame, date: str) -> Column:
     return F.coalesce(F.col(date).cast("double"), F.lit(float("inf")))
 
 
-def steps_of(history: DataFrame, cap: Column | int | None = None, mode: str = "keep_last") -> DataFrame:
-    """One row per event with its `step` from 1, cut to `cap` events per patient.
+def capped(history: DataFrame, cap: Column | int | None = None, mode: str = "keep_last") -> DataFrame:
+    """Ordered rows cut to `cap` events per patient: `start` counts from the first event kept, `cut_copies`
+    of a row's copies are gone.
 
     `keep_last` keeps the newest `cap` events; `drop_first_k` drops the oldest `cap` events of longer
-    histories. Copies that fall outside are never written out.
+    histories.
     """
     if mode not in ("keep_last", "drop_first_k"):
         raise ValueError(f"unknown mode {mode!r}")
+    none = F.lit(0).cast("long")
     if cap is None:
-        skip = F.lit(0).cast("long")
-    else:
-        limit = (F.lit(cap) if isinstance(cap, int) else cap).cast("long")
-        over = F.col("total") - limit if mode == "keep_last" else limit
-        skip = F.when(F.col("total") > limit, over).otherwise(F.lit(0).cast("long"))
-    cut = F.greatest(skip - F.col("start"), F.lit(0).cast("long"))
-    kept = history.withColumn("_skip", skip).withColumn("_cut", cut).filter(F.col("_cut") < F.col("n_copies"))
-    trimmed = kept.withColumn("n_copies", F.col("n_copies") - F.col("_cut"))
+        return history.withColumn("cut_copies", none)
+    limit = (F.lit(cap) if isinstance(cap, int) else cap).cast("long")
+    over = F.col("total") - limit if mode == "keep_last" else limit
+    kept = history.withColumn("_skip", F.when(F.col("total") > limit, over).otherwise(none))
     return (
-        expand_copies(trimmed)
-        .withColumn("copy", F.col("copy") + F.col("_cut"))
-        .withColumn("step", F.col("start") + F.col("copy") - F.col("_skip"))
-        .drop("start", "_skip", "_cut")
+        kept.withColumn("cut_copies", F.greatest(F.col("_skip") - F.col("start"), none))
+        .filter(F.col("cut_copies") < F.col("n_copies"))
+        .withColumn("n_copies", F.col("n_copies") - F.col("cut_copies"))
+        .withColumn("start", F.greatest(F.col("start") - F.col("_skip"), none))
+        .drop("_skip")
     )
 
 
+def steps_of(history: DataFrame, cap: Column | int | None = None, mode: str = "keep_last") -> DataFrame:
+    """One row per event kept, with its `step` from 1."""
+    rows = expand_copies(cut(capped(history, cap, mode)))
+    return rows.withColumn("step", F.col("start") + F.col("copy")).drop("start", "copy", "cut_copies")
+
+
 def as_arrays(
-    steps: DataFrame,
+    rows: DataFrame,
     vectors: dict[str, Column],
+    firsts: dict[str, Column] | None = None,
     carry: Sequence[str] = ("label",),
     part_steps: int = PART_STEPS,
 ) -> DataFrame:
-    """Steps gathered into arrays in step order, at most `part_steps` to a row.
+    """Capped rows gathered into arrays in order, at most `part_steps` to a row.
 
-    A history of up to `part_steps` steps is one row with part 0; the parts of a longer one follow each
-    other. `carry` columns are constant per patient.
+    A history of up to `part_steps` events is one row with part 0; the parts of a longer one follow each
+    other. `firsts` gives the value of the first copy of a row where it differs from that of the others.
+    Copies travel as a number and are written out inside the arrays. `carry` is constant per patient.
     """
-    part = F.floor((F.col("step") - 1) / part_steps).cast("int")
-    gathered = F.array_sort(F.collect_list(F.struct("step", *[v.alias(n) for n, v in vectors.items()])))
-    parts = steps.groupBy(*KEY, part.alias("part")).agg(
-        *[F.any_value(c).alias(c) for c in carry], gathered.alias("_steps")
+    firsts = firsts or {}
+    dealt = split_parts(rows, part_steps)
+    leads = (F.col("from_copy") + F.col("cut_copies") == 0).cast("int")
+    entry = F.struct(
+        (F.col("start") + F.col("from_copy")).alias("at"),
+        F.col("copies").cast("int").alias("n"),
+        leads.alias("lead"),
+        *[v.alias(n) for n, v in vectors.items()],
+        *[v.alias(f"first_{n}") for n, v in firsts.items()],
     )
-    return parts.select(
-        *KEY,
-        "part",
-        *carry,
-        *[F.col("_steps").getField(n).alias(n) for n in vectors],
+
+    def written(name: str) -> Column:
+        def copies(e: Column) -> Column:
+            if name not in firsts:
+                return F.array_repeat(e[name], e["n"])
+            head = F.array_repeat(e[f"first_{name}"], e["lead"])
+            return F.concat(head, F.array_repeat(e[name], e["n"] - e["lead"]))
+
+        return F.flatten(F.transform("_entries", copies)).alias(name)
+
+    parts = dealt.groupBy(*KEY, F.col("part").cast("int").alias("part")).agg(
+        *[F.any_value(c).alias(c) for c in carry], F.array_sort(F.collect_list(entry)).alias("_entries")
     )
+    return parts.select(*KEY, "part", *carry, *[written(n) for n in vectors])
 
 
 def vector_of(columns: Sequence[str]) -> Column:
@@ -122,7 +142,7 @@ def flat_sequences(
     history = ordered_history(features, ["extra", "codiceamd"], date)
     dropped = [*KEY, "label", *([] if keep_date else [date])]
     columns = [c for c in features.columns if c not in dropped]
-    return as_arrays(steps_of(history, cap, mode), {"steps": vector_of(columns)})
+    return as_arrays(capped(history, cap, mode), {"steps": vector_of(columns)})
 
 
 def pad_flat(sequences: DataFrame, length: int, width: int) -> DataFrame:
@@ -138,10 +158,12 @@ def elapsed_sequences(rows: DataFrame, length: int = ELAPSED_STEPS) -> DataFrame
     """
     reserved = [*KEY, "data", "src", "label", "n_copies", "start", "total", "days_since_previous"]
     columns = [c for c in rows.columns if c not in reserved]
-    steps = steps_of(rows, length)
-    days = F.when(F.col("copy") == 1, F.col("days_since_previous")).otherwise(0)
-    vectors = {"steps": vector_of(columns), "elapsed": decay(days).cast("float")}
-    arrays = as_arrays(steps, vectors, part_steps=length).drop("part")
+    arrays = as_arrays(
+        capped(rows, length),
+        {"steps": vector_of(columns), "elapsed": decay(F.lit(0)).cast("float")},
+        firsts={"elapsed": decay(F.col("days_since_previous")).cast("float")},
+        part_steps=length,
+    )
     row = F.array_repeat(F.lit(PAD_ELAPSED).cast("float"), len(columns))
     return arrays.select(
         *KEY,

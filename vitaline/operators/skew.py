@@ -44,9 +44,14 @@ def lookup(
     dim: DataFrame,
     on: Sequence[str],
     max_rows: int = BROADCAST_ROWS,
+    small: bool | None = None,
 ) -> DataFrame:
-    """Left join to a code table; null matches null. Broadcast when counted small, salted beyond that."""
-    small = fits_broadcast(dim, max_rows)
+    """Left join to a code table; null matches null. Broadcast when counted small, salted beyond that.
+
+    `small` passes on a count made before.
+    """
+    if small is None:
+        small = fits_broadcast(dim, max_rows)
     names = [c for c in dim.columns if c not in on]
     keyed = dim.select(*[F.col(c).alias(f"_k_{c}") for c in on], *names)
     if small:
@@ -72,7 +77,7 @@ def expand_copies(
     """Undo `collapse_copies`: each row `count` times, numbered from 1 in `index`.
 
     A row with many copies is first cut into chunks that are shuffled apart, so no task writes more
-    than `chunk` rows for one of them.
+    than `chunk` rows for one of them. `df` is read twice: `cut` it first where it is dear to compute.
     """
     some = df.filter(F.col(count) <= chunk).withColumn(
         index, F.explode(F.sequence(F.lit(1).cast("long"), F.col(count)))
@@ -92,57 +97,67 @@ def expand_copies(
 def number_rows(
     rows: DataFrame,
     keys: Sequence[str],
-    coarse: Sequence[Column],
-    fine: Sequence[Column],
+    groups: Sequence[Column],
     ties: Sequence[str],
     weight: str,
     gap: str | None = None,
 ) -> DataFrame:
     """Adds `start`, the running weight before each row of a key, and `total`, the weight of the key.
 
-    `rows` holds distinct rows. The order inside a key is `coarse` (at most a lifetime of days per
-    table), then `fine` (at most the code list), then `ties`; coarse and fine are never null. Sums are
-    built level by level: only the coarse groups of a key ever meet in one window, never all its rows.
-    With `gap`, the first row of each coarse group gets the distance of its first coarse column to the
-    group before, and 0 goes to the first group and to all other rows.
+    `rows` holds distinct rows. The order inside a key is `groups`, then `ties`. `groups` are never null
+    and have few values per key, such as the days of a life and the code list: only the sums of these
+    groups meet in one window per key, the rows themselves in one window per group.
+    With `gap`, the first row of a group gets the distance of its first group column to the group before
+    (0 when that is the same value, or none), all other rows 0.
     """
-    coarse_names = [f"_c{i}" for i in range(len(coarse))]
-    fine_names = [f"_f{i}" for i in range(len(fine))]
-    exprs = dict(zip([*coarse_names, *fine_names], [*coarse, *fine], strict=True))
-    tagged = rows.withColumns(exprs)
-    level1 = [*keys, *coarse_names]
-    level2 = [*level1, *fine_names]
+    names = [f"_g{i}" for i in range(len(groups))]
+    tagged = rows.withColumns(dict(zip(names, groups, strict=True)))
+    group = [*keys, *names]
     upto = (W.unboundedPreceding, W.currentRow)
 
-    inside = W.partitionBy(*level2).orderBy(*ties).rowsBetween(*upto)
+    inside = W.partitionBy(*group).orderBy(*ties).rowsBetween(*upto)
     within = tagged.withColumn("_before", F.sum(weight).over(inside) - F.col(weight))
 
-    by_fine = W.partitionBy(*level1).orderBy(*fine_names).rowsBetween(*upto)
-    fine_starts = (
-        tagged.groupBy(*level2)
-        .agg(F.sum(weight).alias("_w"))
-        .withColumn("_fine_before", F.sum("_w").over(by_fine) - F.col("_w"))
-        .drop("_w")
-    )
-
-    by_coarse = W.partitionBy(*keys).orderBy(*coarse_names)
-    coarse_starts = (
-        tagged.groupBy(*level1)
+    in_key = W.partitionBy(*keys).orderBy(*names)
+    starts = (
+        tagged.groupBy(*group)
         .agg(F.sum(weight).alias("_w"))
         .select(
-            *level1,
-            (F.sum("_w").over(by_coarse.rowsBetween(*upto)) - F.col("_w")).alias("_coarse_before"),
-            F.sum("_w").over(W.partitionBy(*keys)).alias("total"),
-            (F.col("_c0") - F.lag("_c0").over(by_coarse)).alias("_gap"),
+            *group,
+            (F.sum("_w").over(in_key.rowsBetween(*upto)) - F.col("_w")).alias("_group_before"),
+            F.sum("_w").over(in_key.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)).alias("total"),
+            (F.col(names[0]) - F.lag(names[0]).over(in_key)).alias("_gap"),
         )
     )
-    numbered = within.join(fine_starts.join(coarse_starts, level1), level2)
+    numbered = within.join(starts, group).withColumn("start", F.col("_group_before") + F.col("_before"))
     if gap is not None:
-        first = (F.col("_fine_before") == 0) & (F.col("_before") == 0)
-        numbered = numbered.withColumn(gap, F.coalesce(F.when(first, F.col("_gap")), F.lit(0)))
-    return numbered.withColumn(
-        "start", F.col("_coarse_before") + F.col("_fine_before") + F.col("_before")
-    ).drop("_coarse_before", "_fine_before", "_before", "_gap", *coarse_names, *fine_names)
+        first = F.when(F.col("_before") == 0, F.col("_gap"))
+        numbered = numbered.withColumn(gap, F.coalesce(first, F.lit(0)))
+    return numbered.drop("_group_before", "_before", "_gap", *names)
+
+
+def split_parts(rows: DataFrame, size: int, unit: Column | None = None) -> DataFrame:
+    """Numbered rows dealt to parts of `size`: adds `part`, `from_copy` (from 0) and `copies`.
+
+    The copies of a row stand `unit` (default 1) apart from `start` on; each row is repeated once per
+    part its copies reach into, so a part never holds more than its share of them.
+    """
+    unit = F.lit(1) if unit is None else unit
+    start, count = F.col("start"), F.col("n_copies")
+
+    def copies_before(place: Column) -> Column:
+        return F.ceil((place - start) / unit).cast("long")
+
+    first = F.floor(start / size).cast("long")
+    last = F.floor((start + (count - 1) * unit) / size).cast("long")
+    low = F.greatest(copies_before(F.col("part") * size), F.lit(0).cast("long"))
+    high = F.least(copies_before((F.col("part") + 1) * size), count)
+    return (
+        rows.withColumn("part", F.explode(F.sequence(first, last)))
+        .withColumn("from_copy", low)
+        .withColumn("copies", high - F.col("from_copy"))
+        .filter(F.col("copies") > 0)
+    )
 
 
 def running_total(
@@ -154,21 +169,24 @@ def running_total(
 ) -> DataFrame:
     """Running sum of `value` (default 1: the row number) in `order`, over all rows or inside each `by` group.
 
-    Rows are range-partitioned on (`by`, `order`) and kept as a checkpointed block number, so that the
-    sum is one window per block plus the total of the blocks before it. `df` holds one row per distinct
-    (`by`, `order`); equal rows belong pre-aggregated into `value`.
+    `df` holds one row per distinct (`by`, `order`); equal rows belong pre-aggregated into `value`.
+    A table counted small is summed in one window. A larger one is range-partitioned on (`by`, `order`)
+    and written with its block number; the sum is then one window per block plus the total of the
+    blocks before it.
     """
     value = F.lit(1).cast("long") if value is None else value
-    order_by = [*by, *order]
-    # Past a shuffle the block is a stored column: a later re-plan cannot move a row to another block.
+    upto = (W.unboundedPreceding, W.currentRow)
+    rows = cut(df.withColumn("_value", value))
+    if fits_broadcast(rows):
+        over = W.partitionBy(*by).orderBy(*order).rowsBetween(*upto)
+        return rows.withColumn(out, F.sum("_value").over(over)).drop("_value")
+    # Once written the block is a column: a later re-plan cannot move a row to another block.
     blocks = cut(
-        df.withColumn("_value", value)
-        .repartitionByRange(_blocks(df), *order_by)
-        .withColumn("_block", F.spark_partition_id())
+        rows.repartitionByRange(_blocks(df), *by, *order).withColumn("_block", F.spark_partition_id())
     )
-    inside = W.partitionBy(*by, "_block").orderBy(*order).rowsBetween(W.unboundedPreceding, W.currentRow)
+    inside = W.partitionBy(*by, "_block").orderBy(*order).rowsBetween(*upto)
     sums = blocks.groupBy(*by, "_block").agg(F.sum("_value").alias("_sum"))
-    before = W.partitionBy(*by).orderBy("_block").rowsBetween(W.unboundedPreceding, W.currentRow)
+    before = W.partitionBy(*by).orderBy("_block").rowsBetween(*upto)
     offsets = sums.withColumn("_offset", F.sum("_sum").over(before) - F.col("_sum")).drop("_sum")
     return (
         blocks.withColumn("_inside", F.sum("_value").over(inside))

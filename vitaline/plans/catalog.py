@@ -308,7 +308,8 @@ def null_code_in_set(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def truncate_negative(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = stages.clean(spark, sf_dir)
-    return _dates_by_table(leakage.truncate_negative_history(t, timeline.event_timeline(t)))
+    lasts = leakage.last_event_by_label(t.registry, timeline.event_timeline(t))
+    return _dates_by_table(leakage.truncate_negative_history(t, lasts))
 
 
 @query
@@ -546,7 +547,8 @@ def sequence_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def keep_last_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = _readings(stages.clean(spark, sf_dir))
-    steps = sequences.steps_of(sequences.ordered_history(events, ["src", "code"]), _cap(events))
+    ordered = sequences.ordered_history(events, ["src", "code"])
+    steps = sequences.steps_of(ordered, _cap(events))
     return steps.select(*KEY, "data", "src", "code", "value", "step").withColumns(_long("src"))
 
 

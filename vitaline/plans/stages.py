@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from vitaline.operators.cohort import cohort_by_codes
 from vitaline.plans.clean import clean_and_label
 from vitaline.plans.prepare import balanced_tables
-from vitaline.session import cut, tune
+from vitaline.session import cut_all, tune
 from vitaline.sources.derived import clinical_tables
 from vitaline.sources.tables import Tables
 
@@ -20,8 +20,7 @@ _kept: dict[tuple[str, str, str], Tables] = {}
 def _once(spark: SparkSession, sf_dir: str, stage: str, build: Callable[[], Tables]) -> Tables:
     place = (spark.sparkContext.applicationId, sf_dir, stage)
     if place not in _kept:
-        built = build()
-        _kept[place] = Tables(**{name: cut(df) for name, df in built.items()})
+        _kept[place] = Tables(**cut_all(dict(build().items())))
     return _kept[place]
 
 

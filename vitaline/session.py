@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
+from collections.abc import Mapping
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -36,6 +39,17 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Write `df` to the checkpoint folder: later reads see the same rows whichever executors are lost."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write `df` as a table in the checkpoint folder and read it back.
+
+    Later reads see the same rows whichever executors are lost, and know the table's size, so a join
+    to it is broadcast only where the written files are small enough.
+    """
+    path = f"{checkpoint_dir(df.sparkSession)}/tables/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def cut_all(frames: Mapping[str, DataFrame]) -> dict[str, DataFrame]:
+    """`cut` of several tables at once, so that the last tasks of one overlap the first of another."""
+    with ThreadPoolExecutor(max_workers=max(len(frames), 1)) as pool:
+        return dict(zip(frames, pool.map(cut, frames.values()), strict=True))
