@@ -19,7 +19,7 @@ from vitaline.functions.dates import day_number
 from vitaline.functions.encode import label_code
 from vitaline.functions.text import first_words, name_value_pairs, word_count
 from vitaline.operators.cohort import keep_patients
-from vitaline.operators.skew import collapse_copies, lookup, number_rows, split_parts
+from vitaline.operators.skew import collapse_copies, fits_broadcast, lookup, number_rows, split_parts
 from vitaline.operators.timeline import union_all
 from vitaline.sources.tables import Tables
 
@@ -41,12 +41,14 @@ def registry_line(registry: DataFrame) -> DataFrame:
     return registry.select(*KEY, words.alias("line"))
 
 
-def event_line(df: DataFrame, name: str, amd: DataFrame, atc: DataFrame) -> DataFrame:
+def event_line(
+    df: DataFrame, name: str, amd: DataFrame, atc: DataFrame, small: bool | None = None
+) -> DataFrame:
     """`date ... amdcode ... meaning ... value ...` of one event, without the ids."""
     if name == "rx_drug":
-        named, names, code = lookup(df, atc, ["codiceatc"]), ENGLISH_DRUG, "codiceatc"
+        named, names, code = lookup(df, atc, ["codiceatc"], small=small), ENGLISH_DRUG, "codiceatc"
     else:
-        named, code = lookup(df, amd, ["codiceamd"]), "codiceamd"
+        named, code = lookup(df, amd, ["codiceamd"], small=small), "codiceamd"
         names = ENGLISH_CALCULATED if name == "labs_calc" else ENGLISH_EVENT
     line = _pairs(names, tuple(KEY))
     return named.select(*KEY, "data", F.coalesce(code, F.lit("")).alias("code"), line.alias("line"))
@@ -68,8 +70,9 @@ def history_lines(tables: Tables, amd: DataFrame, atc: DataFrame) -> DataFrame:
         *KEY, "h.table_no", F.lit(0).alias("is_event"), none.alias("data"), F.lit("").alias("code"), "h.line"
     )
     parts = [registry, heads]
+    small = fits_broadcast(amd) and fits_broadcast(atc)
     for no, name in enumerate(TEXT_HEADINGS, 1):
-        lines = event_line(getattr(tables, name), name, amd, atc)
+        lines = event_line(getattr(tables, name), name, amd, atc, small)
         lines = keep_patients(lines, tables.registry)
         parts.append(
             lines.select(*KEY, F.lit(no).alias("table_no"), F.lit(1).alias("is_event"), "data", "code", "line")

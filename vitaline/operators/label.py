@@ -38,20 +38,24 @@ def label_recent_event(
     return _labelled(registry, histories.filter(enough).join(problems, KEY), window_days)
 
 
-def label_from_rollup(
-    registry: DataFrame,
-    rollup: DataFrame,
-    window_days: int = LABEL_WINDOW_DAYS,
-    min_events: int = MIN_EVENTS,
-    min_span_days: int | None = MIN_TRAJECTORY_DAYS,
-) -> DataFrame:
-    """As `label_recent_event`, from the daily rollup in one aggregation."""
-    histories = rollup.groupBy(*KEY).agg(
+def histories_of(days: DataFrame) -> DataFrame:
+    """Number of events, last event, last target event and span of each patient, from a daily rollup."""
+    return days.groupBy(*KEY).agg(
         F.sum("n_events").alias("n_events"),
         F.max("data").alias("last_event"),
         F.datediff(F.max("data"), F.min("data")).alias("span_days"),
         F.max(F.when(F.col("n_target") > 0, F.col("data"))).alias("last_problem"),
     )
+
+
+def label_from_histories(
+    registry: DataFrame,
+    histories: DataFrame,
+    window_days: int = LABEL_WINDOW_DAYS,
+    min_events: int = MIN_EVENTS,
+    min_span_days: int | None = MIN_TRAJECTORY_DAYS,
+) -> DataFrame:
+    """As `label_recent_event`, from the histories of a daily rollup."""
     enough = (F.col("n_events") >= min_events) & F.col("last_problem").isNotNull()
     if min_span_days is not None:
         enough = enough & (F.col("span_days") > min_span_days)

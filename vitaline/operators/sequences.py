@@ -11,8 +11,11 @@ from vitaline.config import ELAPSED_STEPS, KEY, PAD_DECAY, PAD_ELAPSED, PAD_FLAT
 from vitaline.functions.arrays import left_pad, repeat_label
 from vitaline.functions.dates import day_number
 from vitaline.functions.encode import decay
+from vitaline.operators.cohort import keep_patients
 from vitaline.operators.skew import collapse_copies, expand_copies, number_rows, running_total, split_parts
+from vitaline.operators.timeline import union_all
 from vitaline.session import cut
+from vitaline.sources.tables import Tables
 
 PART_STEPS = 4096
 
@@ -22,6 +25,12 @@ def history_lengths(events: DataFrame) -> DataFrame:
     return events.groupBy(*KEY).agg(F.count(F.lit(1)).alias("history_len"))
 
 
+def table_lengths(tables: Tables) -> DataFrame:
+    """Events per registered patient over all event tables; reads the keys only."""
+    keys = union_all([df.select(*KEY) for df in tables.events().values()])
+    return history_lengths(keep_patients(keys, tables.registry))
+
+
 def power_cap(longest: Column) -> Column:
     """Largest power of two strictly below `longest`, at least 2."""
     bits = F.length(F.bin(longest - 1))

@@ -111,7 +111,8 @@ def number_rows(
     (0 when that is the same value, or none), all other rows 0.
     """
     names = [f"_g{i}" for i in range(len(groups))]
-    tagged = rows.withColumns(dict(zip(names, groups, strict=True)))
+    # Read twice below, by the group columns alone and in full: written, so that it is computed once.
+    tagged = cut(rows).withColumns(dict(zip(names, groups, strict=True)))
     group = [*keys, *names]
     upto = (W.unboundedPreceding, W.currentRow)
 

@@ -527,8 +527,8 @@ def _readings(tables: Tables) -> DataFrame:
     return events.select(*KEY, "data", "src", code.alias("code"), value.alias("value"))
 
 
-def _cap(events: DataFrame) -> Column:
-    return sequences.sequence_cap(sequences.history_lengths(events)).select("cap").scalar()
+def _cap(tables: Tables) -> Column:
+    return sequences.sequence_cap(sequences.table_lengths(tables)).select("cap").scalar()
 
 
 @query
@@ -538,7 +538,7 @@ def sequence_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def sequence_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lengths = sequences.history_lengths(_readings(stages.clean(spark, sf_dir)))
+    lengths = sequences.table_lengths(stages.clean(spark, sf_dir))
     capped = sequences.sequence_cap(lengths)
     over = sequences.over_cap(lengths, capped.select("cap").scalar())
     return capped.withColumn("n_over", over.scalar())
@@ -546,17 +546,17 @@ def sequence_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def keep_last_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    events = _readings(stages.clean(spark, sf_dir))
-    ordered = sequences.ordered_history(events, ["src", "code"])
-    steps = sequences.steps_of(ordered, _cap(events))
+    t = stages.clean(spark, sf_dir)
+    ordered = sequences.ordered_history(_readings(t), ["src", "code"])
+    steps = sequences.steps_of(ordered, _cap(t))
     return steps.select(*KEY, "data", "src", "code", "value", "step").withColumns(_long("src"))
 
 
 @query
 def drop_first_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    events = _readings(stages.clean(spark, sf_dir))
-    ordered = sequences.ordered_history(events, ["src", "code"])
-    steps = sequences.steps_of(ordered, _cap(events), "drop_first_k")
+    t = stages.clean(spark, sf_dir)
+    ordered = sequences.ordered_history(_readings(t), ["src", "code"])
+    steps = sequences.steps_of(ordered, _cap(t), "drop_first_k")
     return steps.select(*KEY, "data", "src", "code", "value", "step").withColumns(_long("src"))
 
 
@@ -574,8 +574,8 @@ def _described(arrays: DataFrame) -> DataFrame:
 
 @query
 def flat_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = features.flat_features(stages.clean(spark, sf_dir))
-    arrays = sequences.flat_sequences(rows, _cap(rows)).withColumns(_long("part", "label"))
+    t = stages.clean(spark, sf_dir)
+    arrays = sequences.flat_sequences(features.flat_features(t), _cap(t)).withColumns(_long("part", "label"))
     return _described(arrays)
 
 

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vitaline.config import AS_OF, KEY, LAB_RANGES, MIN_SPAN_DAYS, SEED, STITCH_RANGES
-from vitaline.operators.label import label_from_rollup
+from vitaline.operators.label import histories_of, label_from_histories
 from vitaline.operators.quality import (
     clip_by_code,
     drop_null_by_code,
@@ -23,21 +23,19 @@ from vitaline.operators.quality import (
     override_values,
 )
 from vitaline.operators.repair import life_years, plausible_events, repair_from_firsts
-from vitaline.operators.reports import table_rows
-from vitaline.operators.timeline import daily_rollup, history_longer_than, union_all
+from vitaline.operators.timeline import daily_rollup, union_all
 from vitaline.session import cut
 from vitaline.sources.tables import Tables
 
 
 @dataclasses.dataclass(frozen=True)
 class Patients:
-    """The registry after each step, and the days left of each history."""
+    """The registry after each step."""
 
     cohort: DataFrame
     repaired: DataFrame
     spanned: DataFrame
     labelled: DataFrame
-    days: DataFrame
 
 
 def choose_patients(tables: Tables, as_of: dt.date = AS_OF, with_rx: bool = True) -> Patients:
@@ -58,9 +56,10 @@ def choose_patients(tables: Tables, as_of: dt.date = AS_OF, with_rx: bool = True
         .filter((year >= F.col("birth_year")) & (year <= F.col("end_year")))
         .drop("birth_year", "end_year")
     )
-    spanned = repaired.join(history_longer_than(days, MIN_SPAN_DAYS), KEY, "left_semi")
-    labelled = cut(label_from_rollup(spanned, days))
-    return Patients(cohort, repaired, spanned, labelled, days)
+    histories = cut(histories_of(days))
+    spanned = repaired.join(histories.filter(F.col("span_days") > MIN_SPAN_DAYS), KEY, "left_semi")
+    labelled = cut(label_from_histories(spanned, histories))
+    return Patients(cohort, repaired, spanned, labelled)
 
 
 def clean_values(tables: Tables, seed: int = SEED) -> Tables:
@@ -101,7 +100,3 @@ def patient_funnel(patients: Patients) -> DataFrame:
             for step, df in steps.items()
         ]
     )
-
-
-def rows_after(tables: Tables, step: str) -> DataFrame:
-    return table_rows(tables, step)

@@ -9,7 +9,7 @@ from vitaline.operators.balance import check_label, oversample, undersample
 from vitaline.operators.features import age_fraction, elapsed_rows, flat_features
 from vitaline.operators.history import history_text
 from vitaline.operators.leakage import remove_leakage
-from vitaline.operators.sequences import elapsed_sequences, flat_sequences, history_lengths, sequence_cap
+from vitaline.operators.sequences import elapsed_sequences, flat_sequences, sequence_cap, table_lengths
 from vitaline.operators.timeline import event_timeline
 from vitaline.sources.tables import Tables
 
@@ -30,14 +30,14 @@ def balanced_tables(
 def sequence_inputs(tables: Tables) -> DataFrame:
     """Arrays of step vectors, cut to the power-of-two cap made from the longest history."""
     features = flat_features(tables)
-    cap = sequence_cap(history_lengths(features)).select("cap").scalar()
+    cap = sequence_cap(table_lengths(tables)).select("cap").scalar()
     return flat_sequences(features, cap)
 
 
 def age_fraction_inputs(tables: Tables) -> DataFrame:
     """The same with dates as shares of the longest life; the date is one of the step's entries."""
     features = flat_features(age_fraction(tables), date="delta_data")
-    cap = sequence_cap(history_lengths(features)).select("cap").scalar()
+    cap = sequence_cap(table_lengths(tables)).select("cap").scalar()
     return flat_sequences(features, cap, date="delta_data", keep_date=True)
 
 

@@ -147,9 +147,14 @@ def clinical_tables(spark: SparkSession, sf_dir: str) -> Tables:
     )
 
 
+def _code_table(spark: SparkSession, codes: dict[str, str], code: str, name: str) -> DataFrame:
+    rows = ", ".join(f"('{c}', '{n}')" for c, n in codes.items())
+    return spark.sql(f"SELECT * FROM VALUES {rows} AS t({code}, {name})")
+
+
 def amd_codes(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(list(AMD_MEANINGS.items()), "codiceamd string, meaning string")
+    return _code_table(spark, AMD_MEANINGS, "codiceamd", "meaning")
 
 
 def atc_codes(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(list(ATC_NAMES.items()), "codiceatc string, atc_nome string")
+    return _code_table(spark, ATC_NAMES, "codiceatc", "atc_nome")
