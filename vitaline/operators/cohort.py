@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from vitaline.config import CARDIO_CODES, KEY
 from vitaline.operators.skew import join_on_key
+from vitaline.session import cut
 from vitaline.sources.tables import Tables
 
 
@@ -31,7 +32,8 @@ def keep_patients(df: DataFrame, keys: DataFrame, key: Sequence[str] = KEY) -> D
 
 
 def keep_tables(tables: Tables, keys: DataFrame) -> Tables:
-    """All eight tables cut down to the patients in `keys`."""
+    """All eight tables cut down to the patients in `keys`, which are written once for the eight joins."""
+    keys = cut(keys)
     kept = tables.map_events(lambda df: keep_patients(df, keys))
     return kept.replace(registry=tables.registry.join(keys, KEY, "left_semi"))
 

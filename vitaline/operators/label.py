@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from vitaline.config import CARDIO_CODES, KEY, LABEL_WINDOW_DAYS, MIN_EVENTS, MIN_TRAJECTORY_DAYS
 from vitaline.functions.dates import within_days
 from vitaline.operators.cohort import with_codes
+from vitaline.session import cut
 
 
 def label_column(window_days: int = LABEL_WINDOW_DAYS) -> Column:
@@ -25,7 +26,10 @@ def label_recent_event(
     min_events: int = MIN_EVENTS,
     min_span_days: int | None = MIN_TRAJECTORY_DAYS,
 ) -> DataFrame:
-    """The registry with `label`, for patients with enough events, a target event and a long enough history."""
+    """The registry with `label`, for patients with enough events, a target event and a long enough history.
+
+    Written once for the joins of the event tables to it.
+    """
     histories = timeline.groupBy(*KEY).agg(
         F.count(F.lit(1)).alias("n_events"),
         F.max("data").alias("last_event"),
@@ -35,7 +39,7 @@ def label_recent_event(
     enough = F.col("n_events") >= min_events
     if min_span_days is not None:
         enough = enough & (F.col("span_days") > min_span_days)
-    return _labelled(registry, histories.filter(enough).join(problems, KEY), window_days)
+    return cut(_labelled(registry, histories.filter(enough).join(problems, KEY), window_days))
 
 
 def histories_of(days: DataFrame) -> DataFrame:

@@ -12,6 +12,7 @@ from vitaline.functions.dates import open_end, year_start
 from vitaline.operators.skew import join_on_key
 from vitaline.operators.timeline import first_event
 from vitaline.schemas import YEAR_COLUMNS
+from vitaline.session import cut
 
 
 def type_registry_years(registry: DataFrame) -> DataFrame:
@@ -52,8 +53,8 @@ def repair_from_firsts(registry: DataFrame, firsts: DataFrame, as_of: dt.date =
 
 
 def repair_registry_dates(registry: DataFrame, timeline: DataFrame, as_of: dt.date = AS_OF) -> DataFrame:
-    """Typed, filled and consistent registry dates."""
-    return repair_from_firsts(registry, first_event(timeline), as_of)
+    """Typed, filled and consistent registry dates, written once for the joins of the event tables to them."""
+    return cut(repair_from_firsts(registry, first_event(timeline), as_of))
 
 
 def registry_probes(registry: DataFrame, as_of: dt.date = AS_OF) -> DataFrame:

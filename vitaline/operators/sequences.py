@@ -44,7 +44,7 @@ def sequence_cap(lengths: DataFrame) -> DataFrame:
 
 def over_cap(lengths: DataFrame, cap: Column) -> DataFrame:
     """One row: number of histories longer than the cap."""
-    return lengths.agg(F.count_if(F.col("history_len") > cap).alias("n_over"))
+    return lengths.filter(F.col("history_len") > cap).agg(F.count(F.lit(1)).alias("n_over"))
 
 
 def ordered_history(events: DataFrame, fine: Sequence[str], date: str = "data") -> DataFrame:

@@ -79,7 +79,7 @@ def read_tables(
     spark: SparkSession, root: str, stage: str, with_rx: bool = True, fmt: str = "parquet"
 ) -> Tables:
     """The eight tables of a stage; nothing is read until a result is asked for."""
-    kinds = schemas.RAW if stage == "raw" else schemas.CLEAN
+    kinds = _kinds(stage)
     frames = {}
     for name in STEMS:
         path = table_path(root, stage, name, with_rx)
@@ -91,8 +91,15 @@ def read_tables(
 
 
 def write_tables(tables: Tables, root: str, stage: str, with_rx: bool = True, fmt: str = "parquet") -> None:
+    """All eight tables in the column types of the stage."""
+    kinds = _kinds(stage)
     for name, frame in tables.items():
-        write_frame(frame, f"{table_path(root, stage, name, with_rx)}.{fmt}", fmt)
+        typed = frame.select(*[F.col(f.name).cast(f.dataType) for f in kinds[name].fields])
+        write_frame(typed, f"{table_path(root, stage, name, with_rx)}.{fmt}", fmt)
+
+
+def _kinds(stage: str) -> dict[str, T.StructType]:
+    return schemas.RAW if stage == "raw" else schemas.CLEAN
 
 
 def write_frame(frame: DataFrame, path: str, fmt: str = "parquet") -> None:
