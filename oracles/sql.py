@@ -241,7 +241,8 @@ def _dated(prefix: str) -> str:
 
 ORACLES: dict[str, str] = {}
 
-_HIST = "SELECT idana, idcentro, max(data) AS last_event, count(*) AS n FROM cohort_timeline GROUP BY 1, 2"
+_HIST = """SELECT idana, idcentro, max(data) AS last_event, max(data) - min(data) AS span, count(*) AS n
+    FROM cohort_timeline GROUP BY 1, 2"""
 LABEL_COHORT = _with(
     REPAIR,
     f"""SELECT h.idana, h.idcentro, last_event - last_problem <= 186 AS label
@@ -250,6 +251,7 @@ LABEL_COHORT = _with(
     WHERE n >= 2""",
 )
 ORACLES["label_cohort"] = LABEL_COHORT
+ORACLES["label_of_cohort_tables"] = LABEL_COHORT.replace("WHERE n >= 2", "WHERE n >= 2 AND span > 186")
 ORACLES["label_after_repair"] = _with(LABEL, "SELECT idana, idcentro, label FROM labelled")
 ORACLES["label_counts"] = f"SELECT label, count(*) AS n_rows FROM ({LABEL_COHORT}) GROUP BY label"
 ORACLES["patient_funnel"] = _with(
@@ -290,6 +292,16 @@ ORACLES["daily_rollup"] = _with(
       {_union("idana, idcentro, data, false", names=EVENTS[1:])}) WHERE data IS NOT NULL GROUP BY 1, 2, 3""",
 )
 _SPAN = f"SELECT idana, idcentro FROM ({TIMELINE}) GROUP BY 1, 2 HAVING max(data) - min(data) > 31"
+_GAPS = """SELECT {k}, {d}, count(*) AS n_events,
+    CAST(coalesce({d} - lag({d}) OVER (PARTITION BY {k} ORDER BY {d}), 0) AS BIGINT) AS days_since_previous
+    FROM ({t}) GROUP BY {k}, {d}"""
+ORACLES["event_day_gaps"] = _with(RAW, _GAPS.format(k="idana, idcentro", d="data", t=TIMELINE))
+ORACLES["stream_day_gaps"] = _GAPS.format(
+    k="user_id", d="day", t="SELECT user_id, CAST(ts AS DATE) AS day FROM events"
+)
+ORACLES["first_patients"] = _with(
+    raw("registry"), "SELECT idana, idcentro FROM registry ORDER BY idana, idcentro LIMIT 500"
+)
 ORACLES["history_span_filter"] = _with(RAW, _SPAN)
 ORACLES["history_span_rows"] = _with(
     {**RAW, "spanned": _SPAN},
@@ -337,6 +349,9 @@ ORACLES["out_of_range"] = _with(
     WHERE codicestitch IN ('STITCH002', 'STITCH003') GROUP BY 1""",
 )
 ORACLES["clip_values"] = _with(raw("labs"), f"SELECT * REPLACE ({CLIP_LABS} AS valore) FROM labs")
+ORACLES["clip_stream_values"] = """SELECT event_id, event_type,
+    CASE event_type WHEN 'view' THEN least(greatest(value, 2.0::DOUBLE), 40.0::DOUBLE)
+      WHEN 'click' THEN least(greatest(value, 5.0::DOUBLE), 60.0::DOUBLE) ELSE value END AS value FROM events"""
 ORACLES["clip_calculated_values"] = _with(
     raw("labs_calc"), f"SELECT * REPLACE ({CLIP_CALC} AS valore) FROM labs_calc"
 )
@@ -441,6 +456,11 @@ ORACLES["oversample_events_exact"] = _with(
         "place <= (SELECT round_even(count(*) * 0.5, 0) FROM copied)",
     ),
 )
+ORACLES["numbered_duplicates"] = _with(
+    raw("labs_calc"),
+    """SELECT *, number > 1 AS duplicated FROM (SELECT idana, idcentro, codicestitch,
+      row_number() OVER (PARTITION BY idana, idcentro, codicestitch) AS number FROM labs_calc)""",
+)
 ORACLES["balanced_rows_per_table"] = _with(
     {**SAFE, "b_registry": REGISTRY_COPIES}
     | {f"b_{n}": f"SELECT * FROM s_{n} UNION ALL {_synthetic(f's_{n}', n)}" for n in EVENTS},
@@ -528,6 +548,8 @@ def _histogram(table: str, code: str) -> str:
         GROUP BY 1, 2, 3"""
 
 
+ORACLES["stream_histogram"] = _histogram("events", "event_type").replace("v.valore", "v.value")
+ORACLES["stream_type_counts"] = "SELECT event_type, count(*) AS n_rows FROM events GROUP BY 1"
 ORACLES["histogram_per_code"] = _with(raw("labs"), _histogram("labs", "codiceamd"))
 ORACLES["histogram_per_stitch"] = _with(raw("labs_calc"), _histogram("labs_calc", "codicestitch"))
 

@@ -14,7 +14,8 @@ def make_session():
     spark = (
         SparkSession.builder.master("local[8]")
         .appName("vitaline-tests")
-        .config("spark.sql.shuffle.partitions", "8")
+        .config("spark.sql.shuffle.partitions", "4")
+        .config("spark.default.parallelism", "4")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.session.timeZone", "UTC")
@@ -32,3 +33,11 @@ def spark():
     session = make_session()
     yield session
     session.stop()
+
+
+@pytest.fixture(autouse=True)
+def interpret_small_plans(request, spark):
+    """Hand-made rows are too few to be worth compiling plans for; registered queries run compiled."""
+    compiled = "test_registered" in request.node.nodeid
+    spark.conf.set("spark.sql.codegen.wholeStage", str(compiled).lower())
+    yield

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime as dt
 import math
 import re
 
@@ -132,12 +133,12 @@ def test_batches_are_equal_runs(spark):
 
 def test_age_fractions(bundle):
     aged = features.age_fraction(bundle)
-    longest = (config.AS_OF - __import__("datetime").date(1950, 1, 1)).days * 1.05
+    longest = (config.AS_OF - dt.date(1950, 1, 1)).days * 1.05
     rows = {r.idana: r for r in aged.registry.collect()}
     assert rows[1].delta_decesso is None
     assert rows[2].delta_decesso == pytest.approx(20089 / longest)
     assert "annodecesso" not in aged.registry.columns
-    born = (day(33) - __import__("datetime").date(1950, 1, 1)).days
+    born = (day(33) - dt.date(1950, 1, 1)).days
     assert aged.rx_other.head().delta_data == pytest.approx(born / longest)
 
 
@@ -183,9 +184,13 @@ def test_history_text_reads_like_the_record(bundle, codes):
     assert rows[2].text.endswith("prescription not diabete date 2000-01-10 amdcode AMD121 meaning [UNK] value C1")
 
 
-@pytest.mark.parametrize("part_words", [1, 7, 30])
-def test_parts_join_to_the_whole_text(bundle, codes, part_words):
-    whole = {r.idana: r.text for r in history.history_text(bundle, *codes).collect()}
+@pytest.fixture(scope="module")
+def whole(bundle, codes):
+    return {r.idana: r.text for r in history.history_text(bundle, *codes).collect()}
+
+
+@pytest.mark.parametrize("part_words", [1, 7])
+def test_parts_join_to_the_whole_text(bundle, codes, whole, part_words):
     parts = history.history_text(bundle, *codes, part_words=part_words).orderBy("idana", "part").collect()
     joined = {}
     for r in parts:
@@ -193,9 +198,8 @@ def test_parts_join_to_the_whole_text(bundle, codes, part_words):
     assert {k: " ".join(v) for k, v in joined.items()} == whole
 
 
-@pytest.mark.parametrize("max_words", [1, 25, 40, 57, 10000])
-def test_max_words_keeps_the_head(bundle, codes, max_words):
-    whole = {r.idana: r.text for r in history.history_text(bundle, *codes).collect()}
+@pytest.mark.parametrize("max_words", [1, 40, 57])
+def test_max_words_keeps_the_head(bundle, codes, whole, max_words):
     heads = {r.idana: r.text for r in history.history_text(bundle, *codes, max_words=max_words).collect()}
     assert heads == {k: " ".join(v.split(" ")[:max_words]) for k, v in whole.items()}
 

@@ -73,7 +73,7 @@ def test_weighted_fill_covers_every_position(spark):
     known = [event(p, 0, "AMD152", f"v{p % 700}") for p in range(2100)]
     missing = [event(p, 1, "AMD152", None) for p in range(500)]
     t = tables(spark, rx_other=known + missing)
-    filled = quality.fill_weighted(t.rx_other, buckets=64).filter("data = '2000-01-02'")
+    filled = quality.fill_weighted(t.rx_other, min_buckets=64).filter("data = '2000-01-02'")
     assert filled.count() == 500
     assert filled.filter("valore IS NULL").count() == 0
 

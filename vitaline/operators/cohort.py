@@ -42,6 +42,11 @@ def cohort_by_codes(tables: Tables, codes: Sequence[str] = CARDIO_CODES) -> Tabl
     return keep_tables(tables, cohort_keys(tables.diagnosi, codes))
 
 
+def first_patients(registry: DataFrame, n: int, key: Sequence[str] = KEY) -> DataFrame:
+    """The first `n` patients in key order."""
+    return registry.orderBy(*key).limit(n)
+
+
 def key_overlap(left: DataFrame, right: DataFrame, key: Sequence[str] = KEY) -> DataFrame:
     """Number of keys found in both tables."""
     both = left.select(*key).intersect(right.select(*key))

@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 from vitaline.config import CARDIO_CODES, KEY, LABEL_WINDOW_DAYS, MIN_EVENTS, MIN_TRAJECTORY_DAYS
 from vitaline.functions.dates import within_days
 from vitaline.operators.cohort import with_codes
+from vitaline.operators.timeline import marked_events
 from vitaline.session import cut
+from vitaline.sources.tables import Tables
 
 
 def label_column(window_days: int = LABEL_WINDOW_DAYS) -> Column:
@@ -42,6 +44,19 @@ def label_recent_event(
     return cut(_labelled(registry, histories.filter(enough).join(problems, KEY), window_days))
 
 
+def histories_of_events(
+    tables: Tables, codes: Sequence[str] = CARDIO_CODES, with_rx: bool = True
+) -> DataFrame:
+    """The same straight from the events: one pass over dates and diagnosis codes, one shuffle of sums."""
+    events = marked_events(tables, codes, with_rx).filter(F.col("data").isNotNull())
+    return events.groupBy(*KEY).agg(
+        F.count(F.lit(1)).alias("n_events"),
+        F.max("data").alias("last_event"),
+        F.datediff(F.max("data"), F.min("data")).alias("span_days"),
+        F.max(F.when(F.col("target"), F.col("data"))).alias("last_problem"),
+    )
+
+
 def histories_of(days: DataFrame) -> DataFrame:
     """Number of events, last event, last target event and span of each patient, from a daily rollup."""
     return days.groupBy(*KEY).agg(
@@ -59,7 +74,8 @@ def label_from_histories(
     min_events: int = MIN_EVENTS,
     min_span_days: int | None = MIN_TRAJECTORY_DAYS,
 ) -> DataFrame:
-    """As `label_recent_event`, from the histories of a daily rollup."""
+    """As `label_recent_event`, from histories. A patient with a dated target event is in the cohort of the
+    target codes, so the cohort needs no join of its own."""
     enough = (F.col("n_events") >= min_events) & F.col("last_problem").isNotNull()
     if min_span_days is not None:
         enough = enough & (F.col("span_days") > min_span_days)

@@ -96,16 +96,16 @@ def fill_group_mean(
     The mean is over the values of the same code, or over all values of that sex with
     `same_code_only=False`. The two means are one row of an aggregate, read as scalars.
     """
-    with_sex = join_on_key(labs, registry.select(*KEY, "sesso"), KEY)
-    counted = with_sex.filter(F.col("codiceamd") == name) if same_code_only else with_sex
-    means = counted.agg(
+    sexes = registry.select(*KEY, "sesso")
+    counted = labs.filter(F.col("codiceamd") == name) if same_code_only else labs
+    means = join_on_key(counted.filter(F.col("valore").isNotNull()), sexes, KEY).agg(
         F.struct(*[F.avg(F.when(F.col("sesso") == g, F.col("valore"))).alias(g) for g in groups])
     ).scalar()
     missing = (F.col("codiceamd") == name) & F.col("valore").isNull()
     filled = F.col("valore")
     for g in groups:
         filled = F.when(missing & (F.col("sesso") == g), means.getField(g)).otherwise(filled)
-    return with_sex.withColumn("valore", filled).drop("sesso")
+    return join_on_key(labs, sexes, KEY).withColumn("valore", filled).drop("sesso")
 
 
 def value_distribution(
@@ -115,7 +115,7 @@ def value_distribution(
     present = df.filter((F.col(code) == name) & F.col(value).isNotNull())
     counts = present.groupBy(value).agg(F.count(F.lit(1)).alias("n"))
     upto = running_total(counts, [value], F.col("n"), out="count_to")
-    total = counts.agg(F.sum("n")).scalar()
+    total = upto.agg(F.max("count_to")).scalar()
     return upto.select(
         value,
         "n",
@@ -131,17 +131,19 @@ def fill_weighted(
     seed: int = SEED,
     code: str = "codiceamd",
     value: str = "valore",
-    buckets: int = 1024,
+    min_buckets: int = 8192,
 ) -> DataFrame:
     """Missing values of one code are drawn from the values the code has elsewhere, by their frequency.
 
     Each missing row draws a position among the known values; the value at that position is found by an
-    equi-join on a bucket of positions plus a range check.
+    equi-join on a bucket of positions plus a range check. There are at least twice as many buckets as
+    values, so a draw meets one or two of them, and draws spread evenly over the buckets.
     """
     missing = F.coalesce((F.col(code) == name) & F.col(value).isNull(), F.lit(False))
     known = value_distribution(df, name, code, value)
-    total = df.filter((F.col(code) == name) & F.col(value).isNotNull()).agg(F.count(F.lit(1))).scalar()
-    width = F.ceil(total / F.lit(buckets)).cast("long")
+    total = known.agg(F.max("count_to")).scalar()
+    n_values = known.agg(F.count(F.lit(1))).scalar()
+    width = F.ceil(total / F.greatest(F.lit(min_buckets), n_values * 2)).cast("long")
     intervals = known.select(
         F.col(value).alias("_drawn"),
         "count_from",

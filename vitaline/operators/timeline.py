@@ -6,6 +6,7 @@ from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from vitaline.config import CARDIO_CODES, KEY, MIN_EVENTS, MIN_SPAN_DAYS
@@ -23,6 +24,22 @@ def event_timeline(tables: Tables, with_rx: bool = True) -> DataFrame:
     return union_all(dated).filter(F.col("data").isNotNull())
 
 
+def marked_events(
+    tables: Tables, codes: Sequence[str] = CARDIO_CODES, with_rx: bool = True
+) -> DataFrame:
+    """(patient, date, target) of every event, `target` telling a diagnosis in `codes`."""
+    return union_all(
+        [
+            df.select(
+                *KEY,
+                "data",
+                (F.col("codiceamd").isin(list(codes)) if name == "diagnosi" else F.lit(False)).alias("target"),
+            )
+            for name, df in tables.events(with_rx).items()
+        ]
+    )
+
+
 def daily_rollup(
     tables: Tables,
     codes: Sequence[str] = CARDIO_CODES,
@@ -34,15 +51,7 @@ def daily_rollup(
     Rows are counted before the shuffle, so a patient with very many events moves few rows, and every
     later question about first, last or number of events reads this table instead of the events.
     """
-    marked = [
-        df.select(
-            *KEY,
-            "data",
-            (F.col("codiceamd").isin(list(codes)) if name == "diagnosi" else F.lit(False)).alias("target"),
-        )
-        for name, df in tables.events(with_rx).items()
-    ]
-    rows = union_all(marked)
+    rows = marked_events(tables, codes, with_rx)
     return (
         (rows if keep_undated else rows.filter(F.col("data").isNotNull()))
         .groupBy(*KEY, "data")
@@ -50,6 +59,17 @@ def daily_rollup(
     )
 
 
+def day_gaps(events: DataFrame, key: Sequence[str] = KEY, date: str = "data") -> DataFrame:
+    """Per key and day with events: their number, and the days since the day before that had any (0 first).
+
+    Events are counted per day before days are compared, so a window holds one row per day.
+    """
+    days = events.filter(F.col(date).isNotNull()).groupBy(*key, date).agg(F.count(F.lit(1)).alias("n_events"))
+    before = F.lag(date).over(W.partitionBy(*key).orderBy(date))
+    gap = F.coalesce(F.datediff(F.col(date), before), F.lit(0))
+    return days.withColumn("days_since_previous", gap)
+
+
 def first_last(timeline: DataFrame) -> DataFrame:
     """First and last event, number of events and days between per patient."""
     return timeline.groupBy(*KEY).agg(

@@ -23,6 +23,7 @@ from vitaline.operators import (
     repair,
     reports,
     sequences,
+    skew,
     timeline,
 )
 from vitaline.plans import clean, stages
@@ -59,11 +60,15 @@ def _dates_by_table(tables: Tables) -> DataFrame:
 
 @query
 def label_cohort(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = stages.raw(spark, sf_dir)
+    histories = label.histories_of_events(t)
+    return label.label_from_histories(t.registry, histories, min_span_days=None).select(*KEY, "label")
+
+
+@query
+def label_of_cohort_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = stages.cohort(spark, sf_dir)
-    labelled = label.label_recent_event(
-        t.registry, timeline.event_timeline(t), t.diagnosi, min_span_days=None
-    )
-    return labelled.select(*KEY, "label")
+    return label.label_recent_event(t.registry, timeline.event_timeline(t), t.diagnosi).select(*KEY, "label")
 
 
 @query
@@ -115,6 +120,24 @@ def daily_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return timeline.daily_rollup(stages.raw(spark, sf_dir))
 
 
+@query
+def event_day_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    gaps = timeline.day_gaps(timeline.event_timeline(stages.raw(spark, sf_dir)))
+    return gaps.withColumns(_long("days_since_previous"))
+
+
+@query
+def stream_day_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tune(spark)
+    events = source(spark, sf_dir, "events").withColumn("day", F.to_date("ts"))
+    return timeline.day_gaps(events, ["user_id"], "day").withColumns(_long("days_since_previous"))
+
+
+@query
+def first_patients(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cohort.first_patients(stages.raw(spark, sf_dir).registry, 500).select(*KEY)
+
+
 @query
 def history_span_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = stages.raw(spark, sf_dir)
@@ -186,6 +209,14 @@ def clip_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.clip_by_code(stages.raw(spark, sf_dir).labs)
 
 
+@query
+def clip_stream_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tune(spark)
+    ranges = {"view": (2.0, 40.0), "click": (5.0, 60.0)}
+    events = source(spark, sf_dir, "events").select("event_id", "event_type", "value")
+    return quality.clip_by_code(events, ranges, "event_type", "value")
+
+
 @query
 def clip_calculated_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = stages.raw(spark, sf_dir)
@@ -359,6 +390,13 @@ def oversample_events_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
     return balance.synthetic_events(t.rx_other, t.registry, "rx_other", exact=True)
 
 
+@query
+def numbered_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = stages.raw(spark, sf_dir).labs_calc.select(*KEY, "codicestitch")
+    numbered = skew.expand_copies(skew.collapse_copies(rows), index="number")
+    return numbered.withColumn("duplicated", F.col("number") > 1)
+
+
 @query
 def balanced_rows_per_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.table_rows(stages.balanced(spark, sf_dir), "balanced")
@@ -380,6 +418,19 @@ def split_rest(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- profiles ------------------------------------------------------------------------------------
 
 
+@query
+def stream_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tune(spark)
+    events = source(spark, sf_dir, "events")
+    return profile.histogram_per_code(events, "event_type", "value").withColumns(_long("bin_no"))
+
+
+@query
+def stream_type_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tune(spark)
+    return profile.value_counts(source(spark, sf_dir, "events"), "event_type")
+
+
 @query
 def age_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return profile.age_groups(stages.raw(spark, sf_dir).registry).withColumns(_long("bin_no"))
