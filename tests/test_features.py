@@ -75,12 +75,12 @@ def test_elapsed_counts_from_the_event_before(bundle):
 
 
 def test_elapsed_sequences_are_padded(bundle):
-    row = sequences.elapsed_sequences(features.elapsed_rows(bundle), length=5).filter("idana = 2").head()
+    row = sequences.elapsed_sequences(features.elapsed_rows(features.elapsed_events(bundle)), length=5).filter("idana = 2").head()
     assert [len(row.steps), len(row.elapsed), len(row.labels)] == [5, 5, 5]
     assert row.steps[0] == [-100.0] * len(row.steps[1])
     assert row.elapsed[0] == 0.0
     assert row.elapsed[1:] == pytest.approx([1 / math.log(math.e + d) for d in (0, 1, 4, 0)])
-    full = sequences.elapsed_sequences(features.elapsed_rows(bundle), length=3).filter("idana = 1").head()
+    full = sequences.elapsed_sequences(features.elapsed_rows(features.elapsed_events(bundle)), length=3).filter("idana = 1").head()
     assert full.elapsed == pytest.approx([1 / math.log(math.e + d) for d in (10, 0, 13)])
 
 
@@ -92,7 +92,7 @@ def history_of(spark, n=20):
 @pytest.mark.parametrize(("mode", "left"), [("keep_last", (8, 8)), ("drop_first_k", (12, 1))])
 def test_capped_histories(spark, mode, left):
     events, rows = history_of(spark)
-    steps = sequences.steps_of(sequences.ordered_history(events, ["src", "code"]), 8, mode)
+    steps = sequences.steps_of(sequences.distinct_events(events), ["src", "code"], 8, mode)
     ours = [tuple(r) for r in steps.filter("idana = 1").orderBy("step").select("data", "src", "code").collect()]
     plain = sorted(r[2:5] for r in rows if r[0] == 1)
     assert ours == (plain[-8:] if mode == "keep_last" else plain[8:])
@@ -103,13 +103,13 @@ def test_capped_histories(spark, mode, left):
 def test_unknown_mode_raises(spark):
     events, _ = history_of(spark)
     with pytest.raises(ValueError, match="mode"):
-        sequences.capped(sequences.ordered_history(events, ["src", "code"]), 3, "middle")
+        sequences.capped(sequences.ordered_history(sequences.distinct_events(events), ["src", "code"]), 3, "middle")
 
 
 @pytest.mark.parametrize("part_steps", [4, 4096])
 def test_arrays_hold_every_step_in_order(spark, part_steps):
     events, rows = history_of(spark)
-    ordered = sequences.capped(sequences.ordered_history(events, ["src", "code"]))
+    ordered = sequences.capped(sequences.ordered_history(sequences.distinct_events(events), ["src", "code"]))
     arrays = sequences.as_arrays(ordered, {"src": F.col("src")}, carry=(), part_steps=part_steps)
     whole = {}
     for r in arrays.orderBy("idana", "part").collect():

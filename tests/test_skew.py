@@ -60,6 +60,9 @@ def test_copies_come_back(spark, chunk):
     expanded = skew.expand_copies(collapsed, chunk=chunk)
     assert expanded.drop("copy").exceptAll(df).count() == 0
     assert expanded.count() == df.count()
+    through_counts = skew.expand_copies(collapsed, chunk=chunk, counts=cut(collapsed))
+    assert through_counts.exceptAll(expanded).count() == 0
+    assert through_counts.count() == expanded.count()
     numbers = expanded.groupBy(*df.columns).agg(F.min("copy"), F.max("copy"), F.count_distinct("copy"), F.count("*"))
     assert numbers.filter("`min(copy)` <> 1 OR `max(copy)` <> `count(1)` OR `count(DISTINCT copy)` <> `count(1)`").count() == 0
 

@@ -88,12 +88,14 @@ def _combos(events: DataFrame, columns: Sequence[str], order: Sequence[str]) ->
     return cut(events.groupBy(*columns).agg(F.min(F.struct(*place)).alias("_seen")))
 
 
-def _codes_of_combos(combos: DataFrame, columns: Sequence[str], order: Sequence[str]) -> DataFrame:
+def _codes_of_combos(
+    combos: DataFrame, columns: Sequence[str], order: Sequence[str], small: bool | None = None
+) -> DataFrame:
     tall = combos.unpivot(["_seen"], list(columns), "column", "value")
     firsts = tall.groupBy("column", "value").agg(F.min("_seen").alias("_seen"))
     parts = [part for c in order for part in (f"no_{c}", c)]
     places = firsts.select("column", "value", *[F.col(f"_seen.{c}").alias(f"_at_{c}") for c in parts])
-    ranked = running_total(places, [*[f"_at_{c}" for c in parts], "value"], by=["column"])
+    ranked = running_total(places, [*[f"_at_{c}" for c in parts], "value"], by=["column"], small=small)
     return ranked.select("column", "value", (F.col("running") - 1).cast("int").alias("code"))
 
 
@@ -103,7 +105,8 @@ def encode_first_seen(
     """The columns replaced by their first-seen codes; a null has its own code or, without `null_code`,
     stays null while its number remains used up. One lookup on the combination of all columns."""
     combos = _combos(events, columns, order)
-    codes = _codes_of_combos(combos, columns, order)
+    small = fits_broadcast(combos)
+    codes = _codes_of_combos(combos, columns, order, small or None)
     if not null_code:
         codes = codes.filter(F.col("value").isNotNull())
     tall = (
@@ -119,7 +122,7 @@ def encode_first_seen(
         *[F.max(F.when(F.col("_column") == c, F.col("code"))).alias(f"_code_{c}") for c in columns]
     )
     book = wide.select(*[F.col(f"_row.{c}").alias(c) for c in columns], *[f"_code_{c}" for c in columns])
-    coded = lookup(events, book, columns, small=fits_broadcast(combos))
+    coded = lookup(events, book, columns, small=small)
     return coded.withColumns({c: F.col(f"_code_{c}") for c in columns}).drop(*[f"_code_{c}" for c in columns])
 
 
@@ -177,8 +180,8 @@ def flat_features(tables: Tables, date: str = "data", drop_years: bool = True) -
     )
 
 
-def elapsed_rows(tables: Tables) -> DataFrame:
-    """Distinct encoded events of each patient with copies, position, history length and day gap."""
+def elapsed_events(tables: Tables) -> DataFrame:
+    """Distinct encoded events of each patient with their number of copies, written."""
     events = event_rows(tables, FEATURE_ORDER, ELAPSED_KIND)
     joined = join_on_key(events, tables.registry.drop(*YEAR_COLUMNS), KEY)
     coded = encode_first_seen(joined, ELAPSED_CODE_COLUMNS, ["data", "src", *KEY], null_code=False)
@@ -189,10 +192,14 @@ def elapsed_rows(tables: Tables) -> DataFrame:
             "label": label_code(F.col("label")),
         }
     ).drop("valore_num", "valore_txt")
-    filled = numbers.fillna(FILL_ELAPSED)
-    ties = [c for c in filled.columns if c not in [*KEY, "data", "src", "codiceamd"]]
+    return cut(collapse_copies(numbers.fillna(FILL_ELAPSED)))
+
+
+def elapsed_rows(events: DataFrame) -> DataFrame:
+    """`elapsed_events` with position, history length and the days since the event before."""
+    ties = [c for c in events.columns if c not in [*KEY, "data", "src", "codiceamd", "n_copies"]]
     return number_rows(
-        collapse_copies(filled),
+        events,
         KEY,
         groups=[day_number(F.col("data")), F.col("src"), F.col("codiceamd")],
         ties=ties,
@@ -203,7 +210,8 @@ def elapsed_rows(tables: Tables) -> DataFrame:
 
 def elapsed_features(tables: Tables) -> DataFrame:
     """One row per event with `delta_events`, the decay weight of the days since the patient's event before."""
-    rows = expand_copies(cut(elapsed_rows(tables)))
+    events = elapsed_events(tables)
+    rows = expand_copies(elapsed_rows(events), counts=events)
     days = F.when(F.col("copy") == 1, F.col("days_since_previous")).otherwise(0)
     return (
         rows.withColumn("days_since_previous", days)

@@ -21,6 +21,7 @@ from vitaline.functions.text import first_words, name_value_pairs, word_count
 from vitaline.operators.cohort import keep_patients
 from vitaline.operators.skew import collapse_copies, fits_broadcast, lookup, number_rows, split_parts
 from vitaline.operators.timeline import union_all
+from vitaline.session import cut
 from vitaline.sources.tables import Tables
 
 PART_WORDS = 65536
@@ -85,7 +86,7 @@ def ordered_lines(lines: DataFrame) -> DataFrame:
 
     Order: registry, then table by table the heading and the events, newest first, ties by code and text.
     """
-    counted = collapse_copies(lines).withColumn("words", word_count(F.col("line")))
+    counted = cut(collapse_copies(lines)).withColumn("words", word_count(F.col("line")))
     counted = counted.withColumn("all_words", F.col("words") * F.col("n_copies"))
     newest_first = F.when(F.col("is_event") == 1, -day_number(F.col("data"))).otherwise(-(2**31 - 1) - 1)
     undated_last = F.when((F.col("is_event") == 1) & F.col("data").isNull(), 1).otherwise(0)

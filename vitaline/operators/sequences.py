@@ -47,12 +47,17 @@ def over_cap(lengths: DataFrame, cap: Column) -> DataFrame:
     return lengths.filter(F.col("history_len") > cap).agg(F.count(F.lit(1)).alias("n_over"))
 
 
+def distinct_events(events: DataFrame) -> DataFrame:
+    """Distinct rows with their number of copies, written."""
+    return cut(collapse_copies(events))
+
+
 def ordered_history(events: DataFrame, fine: Sequence[str], date: str = "data") -> DataFrame:
-    """Distinct rows of each patient with `n_copies`, `start` and `total`, in order of date, then `fine`,
-    then all other columns. `fine` columns are codes and not null."""
-    ties = [c for c in events.columns if c not in [*KEY, date, *fine]]
+    """`distinct_events` with `start` and `total`, in order of date, then `fine`, then all other columns.
+    `fine` columns are codes and not null."""
+    ties = [c for c in events.columns if c not in [*KEY, date, *fine, "n_copies"]]
     return number_rows(
-        collapse_copies(events),
+        events,
         KEY,
         groups=[_order_value(events, date), *[F.col(c) for c in fine]],
         ties=ties or [date],
@@ -91,9 +96,15 @@ def capped(history: DataFrame, cap: Column | int | None = None, mode: str = "kee
     )
 
 
-def steps_of(history: DataFrame, cap: Column | int | None = None, mode: str = "keep_last") -> DataFrame:
-    """One row per event kept, with its `step` from 1."""
-    rows = expand_copies(cut(capped(history, cap, mode)))
+def steps_of(
+    events: DataFrame,
+    fine: Sequence[str],
+    cap: Column | int | None = None,
+    mode: str = "keep_last",
+    date: str = "data",
+) -> DataFrame:
+    """One row per event kept of `distinct_events`, with its `step` from 1."""
+    rows = expand_copies(capped(ordered_history(events, fine, date), cap, mode), counts=events)
     return rows.withColumn("step", F.col("start") + F.col("copy")).drop("start", "copy", "cut_copies")
 
 
@@ -148,7 +159,7 @@ def flat_sequences(
     keep_date: bool = False,
 ) -> DataFrame:
     """Arrays of step vectors from the flat features; by default the date only orders."""
-    history = ordered_history(features, ["extra", "codiceamd"], date)
+    history = ordered_history(distinct_events(features), ["extra", "codiceamd"], date)
     dropped = [*KEY, "label", *([] if keep_date else [date])]
     columns = [c for c in features.columns if c not in dropped]
     return as_arrays(capped(history, cap, mode), {"steps": vector_of(columns)})

@@ -72,16 +72,27 @@ def collapse_copies(df: DataFrame, count: str = "n_copies") -> DataFrame:
 
 
 def expand_copies(
-    df: DataFrame, count: str = "n_copies", index: str = "copy", chunk: int = COPY_CHUNK
+    df: DataFrame,
+    count: str = "n_copies",
+    index: str = "copy",
+    chunk: int = COPY_CHUNK,
+    counts: DataFrame | None = None,
 ) -> DataFrame:
     """Undo `collapse_copies`: each row `count` times, numbered from 1 in `index`.
 
     A row with many copies is first cut into chunks that are shuffled apart, so no task writes more
-    than `chunk` rows for one of them. `df` is read twice: `cut` it first where it is dear to compute.
+    than `chunk` rows for one of them. `counts` is a written table with the same or larger counts, given
+    where `df` is dear to compute: without a large count in it `df` is read once, otherwise written.
     """
-    some = df.filter(F.col(count) <= chunk).withColumn(
-        index, F.explode(F.sequence(F.lit(1).cast("long"), F.col(count)))
-    )
+
+    def each(rows: DataFrame) -> DataFrame:
+        return rows.withColumn(index, F.explode(F.sequence(F.lit(1).cast("long"), F.col(count))))
+
+    if counts is not None:
+        if counts.filter(F.col(count) > chunk).isEmpty():
+            return each(df).drop(count)
+        df = cut(df)
+    some = each(df.filter(F.col(count) <= chunk))
     starts = F.sequence(F.lit(1).cast("long"), F.col(count), F.lit(chunk).cast("long"))
     last = F.least(F.col("_start") + F.lit(chunk - 1), F.col(count))
     many = (
@@ -104,15 +115,14 @@ def number_rows(
 ) -> DataFrame:
     """Adds `start`, the running weight before each row of a key, and `total`, the weight of the key.
 
-    `rows` holds distinct rows. The order inside a key is `groups`, then `ties`. `groups` are never null
+    `rows` holds distinct rows and is read twice, by its group columns alone and in full: a written table. The order inside a key is `groups`, then `ties`. `groups` are never null
     and have few values per key, such as the days of a life and the code list: only the sums of these
     groups meet in one window per key, the rows themselves in one window per group.
     With `gap`, the first row of a group gets the distance of its first group column to the group before
     (0 when that is the same value, or none), all other rows 0.
     """
     names = [f"_g{i}" for i in range(len(groups))]
-    # Read twice below, by the group columns alone and in full: written, so that it is computed once.
-    tagged = cut(rows).withColumns(dict(zip(names, groups, strict=True)))
+    tagged = rows.withColumns(dict(zip(names, groups, strict=True)))
     group = [*keys, *names]
     upto = (W.unboundedPreceding, W.currentRow)
 
@@ -167,18 +177,21 @@ def running_total(
     value: Column | None = None,
     by: Sequence[str] = (),
     out: str = "running",
+    small: bool | None = None,
 ) -> DataFrame:
     """Running sum of `value` (default 1: the row number) in `order`, over all rows or inside each `by` group.
 
     `df` holds one row per distinct (`by`, `order`); equal rows belong pre-aggregated into `value`.
     A table counted small is summed in one window. A larger one is range-partitioned on (`by`, `order`)
     and written with its block number; the sum is then one window per block plus the total of the
-    blocks before it.
+    blocks before it. `small` passes on a count made before.
     """
     value = F.lit(1).cast("long") if value is None else value
     upto = (W.unboundedPreceding, W.currentRow)
-    rows = cut(df.withColumn("_value", value))
-    if fits_broadcast(rows):
+    rows = df.withColumn("_value", value)
+    if not small:
+        rows = cut(rows)
+    if small or fits_broadcast(rows):
         over = W.partitionBy(*by).orderBy(*order).rowsBetween(*upto)
         return rows.withColumn(out, F.sum("_value").over(over)).drop("_value")
     # Once written the block is a column: a later re-plan cannot move a row to another block.

@@ -598,16 +598,15 @@ def sequence_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def keep_last_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = stages.clean(spark, sf_dir)
-    ordered = sequences.ordered_history(_readings(t), ["src", "code"])
-    steps = sequences.steps_of(ordered, _cap(t))
+    steps = sequences.steps_of(sequences.distinct_events(_readings(t)), ["src", "code"], _cap(t))
     return steps.select(*KEY, "data", "src", "code", "value", "step").withColumns(_long("src"))
 
 
 @query
 def drop_first_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = stages.clean(spark, sf_dir)
-    ordered = sequences.ordered_history(_readings(t), ["src", "code"])
-    steps = sequences.steps_of(ordered, _cap(t), "drop_first_k")
+    events = sequences.distinct_events(_readings(t))
+    steps = sequences.steps_of(events, ["src", "code"], _cap(t), "drop_first_k")
     return steps.select(*KEY, "data", "src", "code", "value", "step").withColumns(_long("src"))
 
 
@@ -640,7 +639,8 @@ def left_pad(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def elapsed_last_512(spark: SparkSession, sf_dir: str) -> DataFrame:
-    arrays = sequences.elapsed_sequences(features.elapsed_rows(stages.clean(spark, sf_dir)))
+    events = features.elapsed_events(stages.clean(spark, sf_dir))
+    arrays = sequences.elapsed_sequences(features.elapsed_rows(events))
     summed = F.aggregate("elapsed", F.lit(0.0), lambda a, x: a + x)
     return _described(
         arrays.withColumns(

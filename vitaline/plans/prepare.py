@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 
 from vitaline.config import SEED
 from vitaline.operators.balance import check_label, oversample, undersample
-from vitaline.operators.features import age_fraction, elapsed_rows, flat_features
+from vitaline.operators.features import age_fraction, elapsed_events, elapsed_rows, flat_features
 from vitaline.operators.history import history_text
 from vitaline.operators.leakage import remove_leakage
 from vitaline.operators.sequences import elapsed_sequences, flat_sequences, sequence_cap, table_lengths
@@ -42,7 +42,7 @@ def age_fraction_inputs(tables: Tables) -> DataFrame:
 
 
 def elapsed_inputs(tables: Tables) -> DataFrame:
-    return elapsed_sequences(elapsed_rows(tables))
+    return elapsed_sequences(elapsed_rows(elapsed_events(tables)))
 
 
 def text_inputs(tables: Tables, amd: DataFrame, atc: DataFrame, max_words: int | None = None) -> DataFrame:
