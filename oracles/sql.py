@@ -17,11 +17,11 @@ def _with(steps: dict[str, str], final: str) -> str:
     return f"WITH {body}\n{final}" if steps else final
 
 
-def u(purpose: str, *parts: str) -> str:
+def u(purpose: str, *parts: str, start: int = 1) -> str:
     """Hash uniform of seed, purpose and parts."""
     texts = ", ".join(f"coalesce(CAST({p} AS VARCHAR), '~')" for p in parts)
     digest = f"md5(concat_ws('|', '{SEED}', '{purpose}', {texts}))"
-    return f"(CAST(('0x' || substr({digest}, 1, 12)) AS BIGINT) / CAST(281474976710656 AS DOUBLE))"
+    return f"(CAST(('0x' || substr({digest}, {start}, 12)) AS BIGINT) / CAST(281474976710656 AS DOUBLE))"
 
 
 # --- steps shared by several queries -------------------------------------------------------------
@@ -198,7 +198,7 @@ def _copied(table: str, columns: list[str]) -> str:
 
 def _jittered(rows: str, name: str, columns: list[str], where: str) -> str:
     identity = [*columns, "copy_id", "nth"]
-    u1, u2 = u(f"jitter1-{name}", *identity), u(f"jitter2-{name}", *identity)
+    u1, u2 = u(f"jitter-{name}", *identity), u(f"jitter-{name}", *identity, start=13)
     days = f"CAST(trunc(5.0 * sqrt(-2.0 * ln(1.0 - {u1})) * cos(2.0 * pi() * {u2})) AS INTEGER)"
     rest = ", ".join(columns[3:])
     return f"""SELECT -(idana + 100000 * copy_id) AS idana, idcentro, CAST(data + {days} AS DATE) AS data, {rest}

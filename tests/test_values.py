@@ -156,7 +156,9 @@ def test_hash_uniform_is_even_and_fixed(spark):
     assert abs(row[0] - 0.5) < 0.01
     assert 0 <= row[1]
     assert row[2] < 1
-    noise = hashing.gaussian_days(u, hashing.hash_uniform(42, "t2", F.col("id")), 5.0)
+    v = hashing.hash_uniform(42, "t", F.col("id"), second=True)
+    assert abs(spark.range(20000).select(F.corr(u, v)).head()[0]) < 0.03
+    noise = hashing.gaussian_days(u, v, 5.0)
     mean, sd = spark.range(20000).select(F.avg(noise), F.stddev(noise)).head()
     assert abs(mean) < 0.15
     assert 4.5 < sd < 5.2

@@ -10,11 +10,14 @@ from pyspark.sql import functions as F
 _SPAN = float(2**48)
 
 
-def hash_uniform(seed: int, purpose: str, *parts: Column) -> Column:
-    """A uniform in [0, 1) from seed, purpose and parts; the same on any partitioning."""
+def hash_uniform(seed: int, purpose: str, *parts: Column, second: bool = False) -> Column:
+    """A uniform in [0, 1) from seed, purpose and parts; the same on any partitioning.
+
+    `second` is another one from the same digest, which is computed once for both.
+    """
     texts = [F.coalesce(p.cast("string"), F.lit("~")) for p in parts]
     digest = F.md5(F.concat_ws("|", F.lit(str(seed)), F.lit(purpose), *texts))
-    return F.conv(F.substring(digest, 1, 12), 16, 10).cast("bigint") / F.lit(_SPAN)
+    return F.conv(F.substring(digest, 13 if second else 1, 12), 16, 10).cast("bigint") / F.lit(_SPAN)
 
 
 def gaussian_days(u1: Column, u2: Column, sigma: float) -> Column:

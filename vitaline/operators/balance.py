@@ -115,8 +115,8 @@ def synthetic_events(
     else:
         kept = copied.filter(hash_uniform(seed, f"keep-{name}", *identity) < keep)
     jitter = gaussian_days(
-        hash_uniform(seed, f"jitter1-{name}", *identity),
-        hash_uniform(seed, f"jitter2-{name}", *identity),
+        hash_uniform(seed, f"jitter-{name}", *identity),
+        hash_uniform(seed, f"jitter-{name}", *identity, second=True),
         sigma,
     )
     return (
