@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vitaline.llm import bpe, langid, quality
+from vitaline.llm import bpe, langid, line_templates, quality
 from vitaline.llm.common import documents, fold
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -37,3 +37,12 @@ def op4_kneser_ney_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = fold(F.col("doc_id")) == 0
     found = langid.identify(docs, langid.fit(docs.where(~held_out)))
     return found.withColumn("held_out", held_out)
+
+
+@query
+def op8_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cleaned = line_templates.drop_recurring_lines(documents(spark, sf_dir).select("doc_id", "text"))
+    return cleaned.select("doc_id", "n_lines", "n_dropped", F.md5("text").alias("text_md5"))
+
+
+ORACLES["op8_line_templates"] = line_templates.SQL
