@@ -43,6 +43,14 @@ def map_rows(
     return df.select(*names).mapInArrow(run, schema)
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that `df` does not have."""
+    taken = {c.lower() for c in df.columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
 def fold(doc_id: Column, parts: int = 5) -> Column:
     """The remainder that deals documents into learning and held-out ones: crc32 of the id as text."""
     return F.crc32(doc_id.cast("string").cast("binary")) % parts

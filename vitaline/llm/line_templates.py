@@ -12,7 +12,8 @@ A template found in at least `min_docs` documents is dropped from all of them. L
 other documents rather than a text with boilerplate, and is left whole for document-level dedup.
 
 Null texts stay null; empty texts and blank lines stay. Rows that share an id count as one document and are
-cleaned alike. Extra columns are passed on unchanged; an empty table gives an empty result.
+cleaned alike. Extra columns are passed on unchanged, but for n_lines and n_dropped,
+which are set anew; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -20,6 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from vitaline.llm.common import fresh
 from vitaline.session import cut
 
 DEPTH = 3
@@ -99,18 +101,20 @@ def drop_recurring_lines(
 ) -> DataFrame:
     """The rows with recurring lines taken out of `text`, and n_lines, n_dropped."""
     found = recurring(docs.select("doc_id", "text"), min_docs, min_words, similarity)
-    found = found.withColumnRenamed("doc_id", "dropped_id")
-    names = docs.columns
-    rows = docs.join(found, docs["doc_id"].eqNullSafe(found["dropped_id"]), "left").drop("dropped_id")
+    own = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
+    key, gone, left = (fresh(docs, name) for name in ("key", "gone", "left"))
+    found = found.toDF(key, gone)
+    rows = docs.select(*own).join(found, docs["doc_id"].eqNullSafe(found[key]), "left")
     lines = F.split("text", "\n")
-    left = F.filter(lines, lambda x: ~F.array_contains("dropped", F.md5(masked(x))))
-    rows = rows.withColumn("left_", F.when(F.col("dropped").isNotNull(), left))
-    whole = F.col("dropped").isNull() | (F.length(F.array_join("left_", "\n")) * 2 < F.length("text"))
-    n_lines = F.coalesce(F.size(lines), F.lit(0))
+    stay = F.filter(lines, lambda x: ~F.array_contains(gone, F.md5(masked(x))))
+    rows = rows.withColumn(left, F.when(F.col(gone).isNotNull(), stay))
+    text = F.array_join(left, "\n")
+    whole = F.col(gone).isNull() | (F.length(text) * 2 < F.length("text"))
+    n_lines = F.when(F.col("text").isNull(), 0).otherwise(F.size(lines))
     return rows.select(
-        *[F.when(whole, F.col("text")).otherwise(F.array_join("left_", "\n")).alias("text") if c == "text" else c for c in names],
-        F.when(F.col("text").isNull(), 0).otherwise(n_lines).cast("long").alias("n_lines"),
-        F.when(whole, 0).otherwise(n_lines - F.size("left_")).cast("long").alias("n_dropped"),
+        *[F.when(whole, F.col("text")).otherwise(text).alias("text") if c == "text" else F.col(f"`{c}`") for c in own],
+        n_lines.cast("long").alias("n_lines"),
+        F.when(whole, 0).otherwise(n_lines - F.size(left)).cast("long").alias("n_dropped"),
     )
 
 

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vitaline.llm import bpe, langid, line_templates, quality
+from vitaline.llm import bpe, langid, line_templates, quality, units
 from vitaline.llm.common import documents, fold
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -46,3 +46,14 @@ def op8_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLES["op8_line_templates"] = line_templates.SQL
+
+
+@query
+def op9_line_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = units.drop_repeated_units(documents(spark, sf_dir))
+    size = F.aggregate("spans", F.lit(0).cast("long"), lambda total, s: total + s["end"] - s["start"])
+    starts = F.array_join(F.col("starts").cast("array<string>"), ",")
+    return kept.select("doc_id", "n_units_removed", starts.alias("starts"), F.md5("text").alias("text_md5"), size.alias("n_removed"))
+
+
+ORACLES["op9_line_hashes"] = units.SQL
