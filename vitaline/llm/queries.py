@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vitaline.llm import bpe, html_text, jaccard, langid, line_templates, quality, units
+from vitaline.llm import bpe, decontaminate, html_text, jaccard, langid, line_templates, quality, units
 from vitaline.llm.common import documents, fold
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -67,3 +67,9 @@ def op1_html_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op3_shingle_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.near_duplicates(documents(spark, sf_dir))
+
+
+@query
+def op5_latent_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    return decontaminate.contaminated(documents(spark, sf_dir), benchmark)
