@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vitaline.llm import bpe, decontaminate, html_text, jaccard, langid, line_templates, quality, units
+from vitaline.llm import bpe, decontaminate, html_text, jaccard, langid, line_templates, mixing, quality, units
 from vitaline.llm.common import documents, fold
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -73,3 +73,9 @@ def op3_shingle_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_latent_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     return decontaminate.contaminated(documents(spark, sf_dir), benchmark)
+
+
+@query
+def op2_context_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = fold(F.col("doc_id")) == 1
+    return mixing.learn_and_score(documents(spark, sf_dir), held_out).withColumn("held_out", held_out)
