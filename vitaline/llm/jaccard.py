@@ -27,22 +27,19 @@ an empty result.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
-from pyspark.sql.pandas.types import to_arrow_schema
 
-from vitaline.llm.common import BATCH_ROWS
+from vitaline.llm.common import batches_out, bitmap_of, chosen, slot_of
 from vitaline.llm.graph import components
 from vitaline.session import cut
 
 GROUP = 16  # sets of a group
-BITS = 1 << 23  # of the bitmap by which texts are chosen: one megabyte, whatever the data
 BLOCK = 4_000_000  # shingles counted together to find frequent ones
 LOCAL = 8  # documents of a block that must have a shingle for it to be counted on
 FREQUENT = 50  # documents from which on a shingle counts as frequent
@@ -77,40 +74,6 @@ def shingles(text: bytes | None, size: int = 5) -> np.ndarray:
     return np.unique(out)
 
 
-def _batches(docs: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[dict]], schema: str) -> DataFrame:
-    conf, name = docs.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(conf.get(name)) <= BATCH_ROWS:
-        conf.set(name, str(BATCH_ROWS))
-    target = to_arrow_schema(StructType.fromDDL(schema))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for out in fn(batches):
-            yield pa.RecordBatch.from_arrays([pa.array(out[f.name], f.type) for f in target], schema=target)
-
-    return docs.mapInArrow(run, schema)
-
-
-def _slot(doc_id: str) -> Column:
-    return F.pmod(F.xxhash64(doc_id), F.lit(BITS))
-
-
-def _bitmap(ids: DataFrame, doc_id: str) -> np.ndarray:
-    """Bits of the slots of ids. Others may share a slot: callers join on ids afterwards."""
-    slot = _slot(doc_id) + 1
-    parts = ids.groupBy(F.bitmap_bucket_number(slot).alias("bucket")).agg(
-        F.bitmap_construct_agg(F.bitmap_bit_position(slot)).alias("bits")
-    )
-    out = np.zeros(BITS // 8, np.uint8)
-    for row in parts.collect():  # BITS / 8 bytes at most
-        out[(row.bucket - 1) * 4096 : row.bucket * 4096] = np.frombuffer(row.bits, np.uint8)
-    return out
-
-
-def _chosen(batch: pa.RecordBatch, bitmap: np.ndarray) -> pa.RecordBatch:
-    slots = batch.column("slot").to_numpy(zero_copy_only=False)
-    return batch.filter(pa.array((bitmap[slots >> 3] >> (slots & 7).astype(np.uint8)) & 1 == 1))
-
-
 def _overview(docs: DataFrame, size: int) -> DataFrame:
     """Rows (doc_id, n, digest) of the documents, and rows (shingle, docs) of shingles frequent in a block."""
     kind = dict(docs.dtypes)["doc_id"]
@@ -141,7 +104,7 @@ def _overview(docs: DataFrame, size: int) -> DataFrame:
                 total = 0
         yield frequent()
 
-    out = _batches(docs, run, f"doc_id {kind}, n long, digest binary, shingle long, docs long")
+    out = batches_out(docs, run, f"doc_id {kind}, n long, digest binary, shingle long, docs long")
     return cut(out)
 
 
@@ -157,7 +120,7 @@ def _prefixes(docs: DataFrame, size: int, percent: int, often: np.ndarray, bitma
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         for b in batches:
-            b = _chosen(b, bitmap)
+            b = chosen(b, bitmap)
             sets = [shingles(t, size) for t in b.column("text").to_pylist()]
             cuts = []
             for s in sets:
@@ -181,21 +144,21 @@ def _prefixes(docs: DataFrame, size: int, percent: int, often: np.ndarray, bitma
                 part = slice(start, start + 100_000)
                 yield {"doc_id": ids.take(at[part]), "n": sizes[part], "shingle": flat[part]}
 
-    return _batches(docs, run, f"doc_id {kind}, n long, shingle long")
+    return batches_out(docs, run, f"doc_id {kind}, n long, shingle long")
 
 
 def _contents(docs: DataFrame, size: int, ids: DataFrame) -> DataFrame:
     """doc_id, content: the packed sets of the documents in `ids` (column doc_id)."""
     kind = dict(docs.dtypes)["doc_id"]
-    bitmap = _bitmap(ids, "doc_id")
+    bitmap = bitmap_of(ids, "doc_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         for b in batches:
-            b = _chosen(b, bitmap)
+            b = chosen(b, bitmap)
             texts = b.column("text").to_pylist()
             yield {"doc_id": b.column("doc_id"), "content": [shingles(t, size).tobytes() for t in texts]}
 
-    return _batches(docs, run, f"doc_id {kind}, content binary").join(ids, "doc_id", "left_semi")
+    return batches_out(docs, run, f"doc_id {kind}, content binary").join(ids, "doc_id", "left_semi")
 
 
 def _linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
@@ -223,7 +186,7 @@ def _verified(pairs: DataFrame, contents: DataFrame, percent: int) -> DataFrame:
             b = b.filter(good)
             yield {"a": b.column("a"), "b": b.column("b")}
 
-    return _batches(rows, run, f"a {kind}, b {kind}")
+    return batches_out(rows, run, f"a {kind}, b {kind}")
 
 
 def _opened(pairs: DataFrame, contents: DataFrame, members: DataFrame, percent: int) -> DataFrame:
@@ -252,7 +215,7 @@ def _opened(pairs: DataFrame, contents: DataFrame, members: DataFrame, percent:
                 out["b"] += near
             yield out
 
-    return _batches(rows, run, f"a {kind}, b {kind}")
+    return batches_out(rows, run, f"a {kind}, b {kind}")
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
@@ -266,8 +229,8 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     )
     # a shingle is here if LOCAL documents of a block of BLOCK shingles have it: at most BLOCK / LOCAL a block
     often = often.orderBy("docs", "shingle").select("shingle").toPandas()["shingle"].to_numpy(np.int64).view(np.uint64)
-    slotted = docs.withColumn("slot", _slot("doc_id"))
-    prefixes = cut(_prefixes(slotted, size, percent, often, _bitmap(classes, "doc_id")))
+    slotted = docs.withColumn("slot", slot_of("doc_id"))
+    prefixes = cut(_prefixes(slotted, size, percent, often, bitmap_of(classes, "doc_id")))
     shared = prefixes.groupBy("shingle").agg(F.min("doc_id").alias("leader"), F.max("doc_id").alias("last"))
     shared = shared.where("leader <> last").select("shingle", "leader")
     reps = classes.select("doc_id").distinct()

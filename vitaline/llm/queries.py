@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vitaline.llm import bpe, decontaminate, html_text, jaccard, langid, line_templates, mixing, quality, units
+from vitaline.llm import bpe, decontaminate, html_text, jaccard, langid, line_templates, mixing, quality, suffixes, units
 from vitaline.llm.common import documents, fold
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -79,3 +79,16 @@ def op5_latent_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_context_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = fold(F.col("doc_id")) == 1
     return mixing.learn_and_score(documents(spark, sf_dir), held_out).withColumn("held_out", held_out)
+
+
+@query
+def op6_difference_cover(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = suffixes.drop_repeated_bytes(documents(spark, sf_dir))
+    removed = F.col("n_bytes") - F.length("kept")
+    return kept.select(
+        "doc_id",
+        "n_bytes",
+        removed.cast("long").alias("n_removed"),
+        F.size("spans").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
