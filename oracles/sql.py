@@ -184,6 +184,8 @@ SAFE = {
     **{f"s_{n}": _truncated(n) for n in EVENTS if n != "diagnosi"},
 }
 
+# the smallest power of ten above every id, at least 100000
+OFFSET = "(SELECT greatest(100000, CAST(pow(10, length(CAST(max(abs(idana)) AS VARCHAR))) AS BIGINT)) FROM c_registry)"
 RATIO = "(SELECT floor(count(*) FILTER (NOT label) / count(*) FILTER (label)) FROM c_registry)"
 
 
@@ -201,7 +203,7 @@ def _jittered(rows: str, name: str, columns: list[str], where: str) -> str:
     u1, u2 = u(f"jitter-{name}", *identity), u(f"jitter-{name}", *identity, start=13)
     days = f"CAST(trunc(5.0 * sqrt(-2.0 * ln(1.0 - {u1})) * cos(2.0 * pi() * {u2})) AS INTEGER)"
     rest = ", ".join(columns[3:])
-    return f"""SELECT -(idana + 100000 * copy_id) AS idana, idcentro, CAST(data + {days} AS DATE) AS data, {rest}
+    return f"""SELECT -(idana + {OFFSET} * copy_id) AS idana, idcentro, CAST(data + {days} AS DATE) AS data, {rest}
         FROM ({rows}) WHERE {where}"""
 
 
@@ -223,7 +225,7 @@ def _synthetic(table: str, name: str, keep: float = 0.5) -> str:
 
 
 REGISTRY_COPIES = f"""SELECT r.* FROM c_registry r UNION ALL
-    SELECT r.* REPLACE (-(idana + 100000 * copy_id) AS idana) FROM c_registry r,
+    SELECT r.* REPLACE (-(idana + {OFFSET} * copy_id) AS idana) FROM c_registry r,
       (SELECT unnest(range(1, CAST({RATIO} AS BIGINT))) AS copy_id) WHERE label"""
 
 
@@ -442,19 +444,47 @@ ORACLES["undersample_events"] = _with(
     {**CLEAN, "chosen": _UNDER}, f"SELECT * FROM ({_dated('c_')}) SEMI JOIN chosen USING (idana, idcentro)"
 )
 ORACLES["oversample_registry"] = _with(CLEAN, REGISTRY_COPIES)
+
+
+def _all_columns(sql: str, name: str, kind: str = "table") -> str:
+    """Rows of one event table in the columns that hold all tables' rows, values as text or number."""
+    own = COLUMNS[name]
+    texts = [f"CAST({c} AS VARCHAR) AS {c}" if c in own else f"CAST(NULL AS VARCHAR) AS {c}"
+             for c in ("codiceamd", "codicestitch", "codiceatc", "descrizionefarmaco")]
+    numbers = [f"CAST({c} AS DOUBLE) AS {c}" if c in own else f"CAST(NULL AS DOUBLE) AS {c}" for c in ("quantita", "idpasto")]
+    value = f"CAST({_value_text(name)} AS VARCHAR)" if "valore" in own else "CAST(NULL AS VARCHAR)"
+    return f"SELECT '{name}' AS \"{kind}\", idana, idcentro, data, {', '.join(texts + numbers)}, {value} AS valore FROM ({sql})"
+
+
+def _value_text(name: str) -> str:
+    return "CAST(round(valore * 1000) AS BIGINT)" if name in ("labs", "labs_calc") else "valore"
+
+
 ORACLES["oversample_events"] = _with(
-    CLEAN, _synthetic("c_diagnosi", "diagnosi") + " UNION ALL " + _synthetic("c_instrumental", "instrumental")
+    CLEAN, " UNION ALL ".join(_all_columns(_synthetic(f"c_{n}", n), n) for n in EVENTS)
 )
-_EXACT = COLUMNS["rx_other"]
-_EXACT_U = u("keep-rx_other", *_EXACT, "copy_id", "nth")
+
+
+def _exact(name: str) -> str:
+    chance = u(f"keep-{name}", *COLUMNS[name], "copy_id", "nth")
+    return _jittered(
+        f"SELECT *, row_number() OVER (ORDER BY {chance}) AS place FROM e_{name}",
+        name,
+        COLUMNS[name],
+        f"place <= (SELECT round_even(count(*) * 0.5, 0) FROM e_{name})",
+    )
+
+
 ORACLES["oversample_events_exact"] = _with(
-    {**CLEAN, "copied": _copied("c_rx_other", _EXACT)},
-    _jittered(
-        f"""SELECT *, row_number() OVER (ORDER BY {_EXACT_U}) AS place FROM copied""",
-        "rx_other",
-        _EXACT,
-        "place <= (SELECT round_even(count(*) * 0.5, 0) FROM copied)",
-    ),
+    {**CLEAN, **{f"e_{n}": _copied(f"c_{n}", COLUMNS[n]) for n in EVENTS}},
+    " UNION ALL ".join(_all_columns(_exact(n), n) for n in EVENTS),
+)
+BALANCED = {**SAFE, "b_registry": REGISTRY_COPIES} | {
+    f"b_{n}": f"SELECT * FROM s_{n} UNION ALL {_synthetic(f's_{n}', n)}" for n in EVENTS
+}
+ORACLES["balanced_registry"] = _with(BALANCED, "SELECT * FROM b_registry")
+ORACLES["balanced_events"] = _with(
+    BALANCED, " UNION ALL ".join(_all_columns(f"SELECT * FROM b_{n}", n) for n in EVENTS)
 )
 ORACLES["numbered_duplicates"] = _with(
     raw("labs_calc"),
@@ -462,8 +492,7 @@ ORACLES["numbered_duplicates"] = _with(
       row_number() OVER (PARTITION BY idana, idcentro, codicestitch) AS number FROM labs_calc)""",
 )
 ORACLES["balanced_rows_per_table"] = _with(
-    {**SAFE, "b_registry": REGISTRY_COPIES}
-    | {f"b_{n}": f"SELECT * FROM s_{n} UNION ALL {_synthetic(f's_{n}', n)}" for n in EVENTS},
+    BALANCED,
     _counts("balanced", "b_", ["registry", *EVENTS]),
 )
 _U_SPLIT = u("split", "idana", "idcentro")
@@ -758,38 +787,82 @@ ORACLES["drop_first_steps"] = _with(
 )
 _FLAT_ORDER = """data, extra, codiceamd, tipo, codicestitch, codiceatc, quantita, idpasto, descrizionefarmaco,
     sesso, scolarita, statocivile, professione, label, valore"""
-_FLAT_STEP = """codiceamd + tipo + extra + codicestitch + codiceatc + quantita + idpasto + descrizionefarmaco
-    + sesso + scolarita + statocivile + professione + valore"""
 
 
-def _flat_arrays(cap: str, padded: bool) -> str:
-    pad = f"({cap} - least(n, {cap}))" if padded else "0"
-    return _with(
-        {
-            **FLAT,
-            "ordered": f"""SELECT *, row_number() OVER (PARTITION BY idana, idcentro ORDER BY {_FLAT_ORDER}) AS rn,
-                count(*) OVER (PARTITION BY idana, idcentro) AS n FROM flat""",
-            "caps": READINGS["caps"].replace("lengths", "(SELECT max(n) AS history_len FROM ordered)"),
-        },
-        f"""SELECT idana, idcentro, CAST(0 AS BIGINT) AS part, CAST(any_value(label) AS BIGINT) AS label,
-        count(*) + {pad.replace("n,", "any_value(n),")} AS n_steps,
-        13 * (count(*) + {pad.replace("n,", "any_value(n),")}) AS n_entries,
-        round(sum({_FLAT_STEP}) - 200.0 * 13 * {pad.replace("n,", "any_value(n),")}, 2) AS total
-        FROM ordered WHERE rn > n - {cap} GROUP BY idana, idcentro""",
+_FLAT_VECTOR = """codiceamd tipo extra codicestitch codiceatc quantita idpasto descrizionefarmaco
+    sesso scolarita statocivile professione valore""".split()
+
+
+def _arrays(columns: list[str], length: str, pad_value: int, part_steps: int = 4096) -> str:
+    """What _described tells of `kept` (a row per event kept: place from 0, n events kept, label), padded to
+    `length` in front and cut into parts of `part_steps` places."""
+    tenths = [f"{j} * CAST(round(CAST(CAST({c} AS FLOAT) AS DOUBLE) * 10) AS BIGINT)" for j, c in enumerate(columns, 1)]
+    width, weights = len(columns), sum(range(1, len(columns) + 1))
+    return f"""patients AS (
+          SELECT idana, idcentro, CAST(any_value(label) AS BIGINT) AS label, CAST({length} - any_value(n) AS BIGINT) AS pad,
+            CAST({length} AS BIGINT) AS length FROM kept GROUP BY idana, idcentro),
+        parts AS (
+          SELECT *, greatest(least(pad - part * {part_steps}, {part_steps}), 0) AS pads FROM (
+            SELECT *, unnest(range(0, CAST(ceil(length / {part_steps}) AS BIGINT))) AS part FROM patients)),
+        steps AS (
+          SELECT kept.*, place + pad AS spot, {" + ".join(columns)} AS total, {" + ".join(tenths)} AS dot
+          FROM kept JOIN patients USING (idana, idcentro)),
+        summed AS (
+          SELECT idana, idcentro, spot // {part_steps} AS part, count(*) AS n, sum(total) AS total,
+            sum((spot % {part_steps} + 1) * dot) AS dot FROM steps GROUP BY ALL),
+        described AS (
+          SELECT idana, idcentro, part, label, pads + coalesce(n, 0) AS n_steps, {width} * (pads + coalesce(n, 0)) AS n_entries,
+            round(coalesce(total, 0) + {pad_value}.0 * {width} * pads, 2) AS total,
+            CAST(coalesce(dot, 0) + pads * (pads + 1) // 2 * {10 * pad_value * weights} AS BIGINT) AS in_order
+          FROM parts LEFT JOIN summed USING (idana, idcentro, part))"""
+
+
+def _flat_ordered(flat: dict[str, str]) -> dict[str, str]:
+    return {
+        **flat,
+        "ordered": f"""SELECT *, row_number() OVER (PARTITION BY idana, idcentro ORDER BY {_FLAT_ORDER}) AS rn,
+            count(*) OVER (PARTITION BY idana, idcentro) AS total_n FROM flat""",
+        "caps": READINGS["caps"].replace("lengths", "(SELECT max(total_n) AS history_len FROM ordered)"),
+    }
+
+
+def _flat_arrays(flat: dict[str, str], cap: str, length: str, part_steps: int = 4096) -> str:
+    kept = f"""SELECT *, rn - 1 - greatest(total_n - {cap}, 0) AS place, least(total_n, {cap}) AS n FROM ordered
+        WHERE rn > total_n - {cap}"""
+    arrays = _arrays(_FLAT_VECTOR, length, -200, part_steps)
+    return _with({**_flat_ordered(flat), "kept": kept}, "SELECT * FROM described").replace(
+        "SELECT * FROM described", f"SELECT * FROM (WITH {arrays} SELECT * FROM described)"
     )
 
 
-ORACLES["flat_sequences"] = _flat_arrays("(SELECT cap FROM caps)", False)
-ORACLES["left_pad"] = _flat_arrays("16", True)
-ORACLES["elapsed_last_512"] = _with(
-    ELAPSED,
-    """SELECT idana, idcentro, round(sum(CAST(1 / ln(exp(1) + days_since_previous) AS FLOAT)), 3) AS elapsed_sum,
-    CAST(512 AS BIGINT) AS n_elapsed, CAST(512 AS BIGINT) AS n_labels, CAST(512 AS BIGINT) AS n_steps,
-    CAST(512 * 12 AS BIGINT) AS n_entries,
-    round(sum(codiceamd + tipo + codicestitch + codiceatc + quantita + idpasto + descrizionefarmaco + sesso
-      + scolarita + statocivile + professione + valore) - 100.0 * 12 * (512 - count(*)), 2) AS total
-    FROM elapsed WHERE step > total - 512 GROUP BY idana, idcentro""",
+_LONGEST_KEPT = "(SELECT max(total_n) FROM ordered)"
+ORACLES["flat_sequences"] = _flat_arrays(FLAT, "(SELECT cap FROM caps)", "any_value(n)")
+ORACLES["left_pad"] = _flat_arrays(FLAT, _LONGEST_KEPT, _LONGEST_KEPT)
+ORACLES["left_pad_parts"] = _flat_arrays(FLAT, _LONGEST_KEPT, _LONGEST_KEPT, 7)
+_BALANCED_FLAT = {**BALANCED} | {
+    k: v.replace("c_registry", "b_registry").replace(" c_", " b_") for k, v in FLAT.items() if k not in CLEAN
+}
+ORACLES["balanced_sequences"] = _flat_arrays(
+    _BALANCED_FLAT, "(SELECT cap FROM caps)", f"least((SELECT cap FROM caps), {_LONGEST_KEPT})"
 )
+
+
+def _elapsed_arrays(length: int) -> str:
+    vector = [c for c in _FLAT_VECTOR if c != "extra"]
+    kept = f"""SELECT *, step - 1 - greatest(total - {length}, 0) AS place, least(total, {length}) AS n
+        FROM elapsed WHERE step > total - {length}"""
+    arrays = _arrays(vector, str(length), -100, length).replace("SELECT kept.*,", "SELECT kept.* EXCLUDE (total),")
+    sums = """SELECT idana, idcentro, round(sum(CAST(1 / ln(exp(1) + days_since_previous) AS FLOAT)), 3) AS elapsed_sum
+        FROM kept GROUP BY idana, idcentro"""
+    return _with(
+        {**ELAPSED, "kept": kept, "sums": sums},
+        f"""SELECT * EXCLUDE (part, label), CAST({length} AS BIGINT) AS n_elapsed, CAST({length} AS BIGINT) AS n_labels
+        FROM (WITH {arrays} SELECT * FROM described) JOIN sums USING (idana, idcentro)""",
+    )
+
+
+ORACLES["elapsed_last_512"] = _elapsed_arrays(512)
+ORACLES["elapsed_last_16"] = _elapsed_arrays(16)
 ORACLES["batch_ids"] = _with(
     raw("registry"),
     """SELECT idana, idcentro, CAST(floor((row_number() OVER (ORDER BY idana, idcentro) - 1)
@@ -868,7 +941,7 @@ TEXT = {
 }
 ORACLES["history_text"] = _with(TEXT, "SELECT idana, idcentro, part, text, label FROM texts")
 ORACLES["history_text_head"] = _with(
-    TEXT, "SELECT label, array_to_string(string_split(text, ' ')[1:512], ' ') AS text FROM texts"
+    TEXT, "SELECT idana, idcentro, part, label, array_to_string(string_split(text, ' ')[1:512], ' ') AS text FROM texts"
 )
 ORACLES["longest_texts"] = """SELECT doc_id, CAST(len(string_split(text, ' ')) AS BIGINT) AS n_words FROM documents
     ORDER BY n_words DESC, doc_id LIMIT 100"""

@@ -72,10 +72,22 @@ def test_undersample_levels_the_classes(bundle):
     assert left == {r[0] for r in cut.registry.select("idana").collect()}
 
 
-def test_offset_must_exceed_ids(spark):
+def test_large_ids_keep_all_copies_apart(spark):
+    people = [person(p, label=p in (50_000, 150_000)) for p in range(49_998, 50_002)]
+    people += [person(p, label=p == 150_000) for p in range(149_997, 150_002)]
+    t = tables(spark, people, diagnosi=[event(50_000, 0), event(150_000, 1)])
+    grown = balance.oversample_registry(t.registry)
+    assert grown.count() == grown.select(*config.KEY).distinct().count() == 9 + 2 * 2
+    assert grown.filter("idana = -1050000 OR idana = -1150000").count() == 2
+    made = balance.synthetic_events(t.diagnosi, t.registry, "diagnosi", keep=1.0)
+    assert made.join(grown, config.KEY, "left_semi").count() == made.count() == 4
+
+
+def test_a_given_offset_must_exceed_ids(spark):
     t = tables(spark, [person(100000)])
-    with pytest.raises(ValueError, match="offset"):
-        balance.check_offset(t.registry)
+    for made in (balance.oversample_registry, lambda r, offset: balance.synthetic_events(t.diagnosi, r, "diagnosi", offset=offset)):
+        with pytest.raises(ValueError, match="offset"):
+            made(t.registry, offset=100000)
 
 
 def test_label_check(spark):

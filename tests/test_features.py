@@ -219,9 +219,15 @@ def test_plans_give_one_row_per_patient(bundle, codes):
     assert prepare.text_inputs(bundle, *codes, max_words=5).count() == 2
 
 
-def test_no_padding_row_looks_like_data(bundle):
-    arrays = sequences.flat_sequences(features.flat_features(bundle))
-    width = len(arrays.head().steps[0])
-    padded = sequences.pad_flat(arrays, 9, width)
-    assert {len(r.steps) for r in padded.collect()} == {9}
-    assert not any(re.search("nan", str(r.steps)) for r in padded.collect())
+@pytest.mark.parametrize("part_steps", [1, 3, 4, 4096])
+def test_padding_goes_by_place_over_parts(bundle, part_steps):
+    rows = features.flat_features(bundle)
+    whole = {r.idana: r.steps for r in sequences.flat_sequences(rows).collect()}
+    joined = {}
+    for r in sequences.flat_sequences(rows, pad_to=9, part_steps=part_steps).orderBy("idana", "part").collect():
+        parts = joined.setdefault(r.idana, [])
+        assert r.part * part_steps == len(parts)
+        assert len(r.steps) == min(part_steps, 9 - len(parts))
+        parts += r.steps
+    width = len(whole[1][0])
+    assert joined == {i: [[-200.0] * width] * (9 - len(steps)) + steps for i, steps in whole.items()}

@@ -66,9 +66,36 @@ def test_features_and_texts_are_kept(spark, tmp_path):
     df = spark.createDataFrame([(1, None), (2, 3.0)], "id long, v double")
     source.write_features(df, str(tmp_path), "flat")
     assert values(source.read_features(spark, str(tmp_path), "flat"), "id", "v") == [(1, -100.0), (2, 3.0)]
-    texts = spark.createDataFrame([(1, "a b", 1)], "id long, text string, label int")
+    texts = spark.createDataFrame([(7, 1, 0, "a b", 1), (7, 1, 1, "c", 1)], "idana long, idcentro long, part int, text string, label int")
     source.write_texts(texts, str(tmp_path))
-    assert source.text_records(source.read_texts(spark, str(tmp_path))).columns == ["label", "text"]
+    records = source.text_records(source.read_texts(spark, str(tmp_path)))
+    assert values(records, "idana", "part", "label", "text") == [(7, 0, 1, "a b"), (7, 1, 1, "c")]
+
+
+ODD = ['say "hi", ok', " padded ", "two\nlines", "back\\slash", "a,b", "'", '"', "plain"]
+
+
+def test_any_text_comes_back_from_csv(spark, tmp_path):
+    kind = "codice string, meaning string"
+    df = spark.createDataFrame([(f"C{i}", t) for i, t in enumerate(ODD)], kind)
+    source.write_frame(df, str(tmp_path / "codes.csv"), "csv")
+    back = source.read_csv(spark, str(tmp_path / "codes.csv"), df.schema)
+    assert values(back, "codice", "meaning") == values(df, "codice", "meaning")
+
+
+def test_doubled_quotes_of_other_tools(spark, tmp_path):
+    (tmp_path / "amd.csv").write_text('codice,meaning\nA,"say ""hi"", ok"\nB,"x\ny"\n')
+    assert values(source.read_amd_codes(spark, str(tmp_path / "amd.csv")), "codiceamd", "meaning") == [
+        ("A", 'say "hi", ok'),
+        ("B", "x\ny"),
+    ]
+
+
+def test_reordered_columns_are_refused(spark, tmp_path):
+    path = tmp_path / "diagnosi.csv"
+    path.write_text(",idcentro,idana,data,codiceamd,valore\n0,1,7,2001-02-03,AMD047,S\n")
+    with pytest.raises(ValueError, match="idcentro"):
+        source.read_csv(spark, str(path), schemas.RAW["diagnosi"], row_index=True)
 
 
 def test_code_tables(spark, tmp_path):

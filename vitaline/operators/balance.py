@@ -67,23 +67,29 @@ def copy_plan(registry: DataFrame) -> DataFrame:
     return registry.filter("label").select(*KEY, F.explode(ids).alias("copy_id"))
 
 
-def synthetic_id(copy_id: Column, offset: int = COPY_ID_OFFSET) -> Column:
+def copy_offset(registry: DataFrame, offset: int | None = None) -> Column:
+    """How far apart the ids of a patient's copies are: the smallest power of ten above every id, at least
+    100000. An `offset` given by the caller is checked against the ids."""
+    largest = registry.agg(F.max(F.abs("idana").cast("long")))
+    if offset is None:
+        digits = largest.select(F.length(F.coalesce(F.col(largest.columns[0]), F.lit(0)).cast("string"))).scalar()
+        return F.greatest(F.lit(COPY_ID_OFFSET), F.pow(F.lit(10.0), digits)).cast("long")
+    found = largest.head()[0]
+    if found is not None and found >= offset:
+        raise ValueError(f"idana {found} needs a copy offset above {offset}")
+    return F.lit(offset).cast("long")
+
+
+def synthetic_id(copy_id: Column, offset: Column) -> Column:
     """The id of a copy: negative, so that it is told from the original."""
-    return -(F.col("idana") + F.lit(offset) * copy_id)
+    return -(F.col("idana") + offset * copy_id)
 
 
-def check_offset(registry: DataFrame, offset: int = COPY_ID_OFFSET) -> None:
-    """Raise when an id is too large for copies to keep distinct ids."""
-    largest = registry.agg(F.max(F.abs("idana"))).head()[0]
-    if largest is not None and largest >= offset:
-        raise ValueError(f"idana {largest} needs a copy offset above {offset}")
-
-
-def oversample_registry(registry: DataFrame, offset: int = COPY_ID_OFFSET) -> DataFrame:
+def oversample_registry(registry: DataFrame, offset: int | None = None) -> DataFrame:
     """The registry with the copies of its positive patients."""
     copies = (
         registry.join(copy_plan(registry), KEY)
-        .withColumn("idana", synthetic_id(F.col("copy_id"), offset))
+        .withColumn("idana", synthetic_id(F.col("copy_id"), copy_offset(registry, offset)))
         .select(*registry.columns)
     )
     return registry.unionByName(copies)
@@ -96,7 +102,7 @@ def synthetic_events(
     keep: float = KEEP_FRACTION,
     sigma: float = JITTER_SIGMA_DAYS,
     seed: int = SEED,
-    offset: int = COPY_ID_OFFSET,
+    offset: int | None = None,
     exact: bool = False,
 ) -> DataFrame:
     """Events of the synthetic copies: a share `keep` of the original's, their dates moved by some days.
@@ -121,7 +127,7 @@ def synthetic_events(
     )
     return (
         kept.withColumn("_data", F.date_add("data", jitter))
-        .withColumn("idana", synthetic_id(F.col("copy_id"), offset))
+        .withColumn("idana", synthetic_id(F.col("copy_id"), copy_offset(registry, offset)))
         .withColumn("data", F.col("_data"))
         .select(*events.columns)
     )
@@ -140,12 +146,11 @@ def oversample(
     keep: float = KEEP_FRACTION,
     sigma: float = JITTER_SIGMA_DAYS,
     seed: int = SEED,
-    offset: int = COPY_ID_OFFSET,
+    offset: int | None = None,
     exact: bool = False,
     with_rx: bool = True,
 ) -> Tables:
     """Synthetic copies of the positive patients, in the registry and in every event table."""
-    check_offset(tables.registry, offset)
     grown = {
         name: df.unionByName(
             synthetic_events(df, tables.registry, name, keep, sigma, seed, offset, exact)

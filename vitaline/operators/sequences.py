@@ -74,7 +74,7 @@ def _order_value(events: DataFrame, date: str) -> Column:
 
 def capped(history: DataFrame, cap: Column | int | None = None, mode: str = "keep_last") -> DataFrame:
     """Ordered rows cut to `cap` events per patient: `start` counts from the first event kept, `cut_copies`
-    of a row's copies are gone.
+    of a row's copies are gone, `kept` is the number of events kept of the patient.
 
     `keep_last` keeps the newest `cap` events; `drop_first_k` drops the oldest `cap` events of longer
     histories.
@@ -83,7 +83,7 @@ def capped(history: DataFrame, cap: Column | int | None = None, mode: str = "kee
         raise ValueError(f"unknown mode {mode!r}")
     none = F.lit(0).cast("long")
     if cap is None:
-        return history.withColumn("cut_copies", none)
+        return history.withColumns({"cut_copies": none, "kept": F.col("total")})
     limit = (F.lit(cap) if isinstance(cap, int) else cap).cast("long")
     over = F.col("total") - limit if mode == "keep_last" else limit
     kept = history.withColumn("_skip", F.when(F.col("total") > limit, over).otherwise(none))
@@ -92,6 +92,7 @@ def capped(history: DataFrame, cap: Column | int | None = None, mode: str = "kee
         .filter(F.col("cut_copies") < F.col("n_copies"))
         .withColumn("n_copies", F.col("n_copies") - F.col("cut_copies"))
         .withColumn("start", F.greatest(F.col("start") - F.col("_skip"), none))
+        .withColumn("kept", F.col("total") - F.col("_skip"))
         .drop("_skip")
     )
 
@@ -105,7 +106,7 @@ def steps_of(
 ) -> DataFrame:
     """One row per event kept of `distinct_events`, with its `step` from 1."""
     rows = expand_copies(capped(ordered_history(events, fine, date), cap, mode), counts=events)
-    return rows.withColumn("step", F.col("start") + F.col("copy")).drop("start", "copy", "cut_copies")
+    return rows.withColumn("step", F.col("start") + F.col("copy")).drop("start", "copy", "cut_copies", "kept")
 
 
 def as_arrays(
@@ -157,18 +158,37 @@ def flat_sequences(
     mode: str = "keep_last",
     date: str = "data",
     keep_date: bool = False,
+    pad_to: Column | int | None = None,
+    pad_value: float = PAD_FLAT,
+    part_steps: int = PART_STEPS,
 ) -> DataFrame:
-    """Arrays of step vectors from the flat features; by default the date only orders."""
+    """Arrays of step vectors from the flat features; by default the date only orders.
+
+    With `pad_to`, a history of fewer steps has rows of `pad_value` in front. Parts are cut by place in the
+    padded sequence: part p holds the places from p * part_steps on, and parts of padding alone are there too.
+    """
     history = ordered_history(distinct_events(features), ["extra", "codiceamd"], date)
     dropped = [*KEY, "label", *([] if keep_date else [date])]
     columns = [c for c in features.columns if c not in dropped]
-    return as_arrays(capped(history, cap, mode), {"steps": vector_of(columns)})
-
-
-def pad_flat(sequences: DataFrame, length: int, width: int) -> DataFrame:
-    """Step vectors padded in front with rows of -200."""
-    row = F.array_repeat(F.lit(PAD_FLAT).cast("float"), width)
-    return sequences.withColumn("steps", left_pad(F.col("steps"), length, row))
+    rows = capped(history, cap, mode)
+    vectors = {"steps": vector_of(columns)}
+    if pad_to is None:
+        return as_arrays(rows, vectors, part_steps=part_steps)
+    wanted = F.lit(pad_to) if isinstance(pad_to, int) else pad_to
+    pad = F.greatest(wanted.cast("long") - F.col("kept"), F.lit(0).cast("long"))
+    rows = rows.withColumn("pad", pad).withColumn("start", F.col("start") + F.col("pad"))
+    arrays = as_arrays(rows, vectors, carry=("label", "pad"), part_steps=part_steps)
+    row = F.array_repeat(F.lit(pad_value).cast("float"), len(columns))
+    here = F.greatest(F.col("pad") - F.col("part") * part_steps, F.lit(0)).cast("int")
+    filled = arrays.withColumn("steps", F.concat(F.array_repeat(row, F.least(here, F.lit(part_steps))), "steps"))
+    full = F.floor(F.col("pad") / part_steps).cast("int")
+    # whole parts of padding, made from each patient's first part that has events
+    fronts = (
+        arrays.filter(F.col("part") == full)
+        .withColumn("part", F.explode(F.when(full > 0, F.sequence(F.lit(0), full - 1))))
+        .withColumn("steps", F.array_repeat(row, part_steps))
+    )
+    return filled.unionByName(fronts).drop("pad")
 
 
 def elapsed_sequences(rows: DataFrame, length: int = ELAPSED_STEPS) -> DataFrame:

@@ -26,7 +26,8 @@ from vitaline.operators import (
     skew,
     timeline,
 )
-from vitaline.plans import clean, stages
+from vitaline.operators.timeline import union_all
+from vitaline.plans import clean, prepare, stages
 from vitaline.session import tune
 from vitaline.sources.derived import amd_codes, atc_codes, source
 from vitaline.sources.tables import Tables, text_records
@@ -376,18 +377,41 @@ def oversample_registry(spark: SparkSession, sf_dir: str) -> DataFrame:
     return balance.oversample_registry(stages.clean(spark, sf_dir).registry)
 
 
+def _all_columns(tables: dict[str, DataFrame]) -> DataFrame:
+    """All columns of several event tables in one; measured values as whole thousandths."""
+    texts, numbers = ("codiceamd", "codicestitch", "codiceatc", "descrizionefarmaco"), ("quantita", "idpasto")
+    parts = []
+    for name, df in tables.items():
+        columns = [F.lit(name).alias("table"), *[F.col(c) for c in (*KEY, "data")]]
+        for kind, wanted in (("string", texts), ("double", numbers)):
+            columns += [(F.col(c) if c in df.columns else F.lit(None)).cast(kind).alias(c) for c in wanted]
+        value = F.col("valore") if "valore" in df.columns else F.lit(None)
+        if dict(df.dtypes).get("valore") == "double":
+            value = F.round(value * 1000).cast("long")
+        parts.append(df.select(*columns, value.cast("string").alias("valore")))
+    return union_all(parts)
+
+
 @query
 def oversample_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = stages.clean(spark, sf_dir)
-    return balance.synthetic_events(t.diagnosi, t.registry, "diagnosi").unionByName(
-        balance.synthetic_events(t.instrumental, t.registry, "instrumental")
-    )
+    return _all_columns({n: balance.synthetic_events(df, t.registry, n) for n, df in t.events().items()})
 
 
 @query
 def oversample_events_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = stages.clean(spark, sf_dir)
-    return balance.synthetic_events(t.rx_other, t.registry, "rx_other", exact=True)
+    return _all_columns({n: balance.synthetic_events(df, t.registry, n, exact=True) for n, df in t.events().items()})
+
+
+@query
+def balanced_registry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stages.balanced(spark, sf_dir).registry
+
+
+@query
+def balanced_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _all_columns(stages.balanced(spark, sf_dir).events())
 
 
 @query
@@ -611,13 +635,21 @@ def drop_first_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _described(arrays: DataFrame) -> DataFrame:
-    """Arrays of step vectors told by their length, their padding and the sum of all entries."""
+    """Arrays of step vectors told by their length and by sums, one of them weighted by place and column."""
     flat = F.flatten("steps")
+    tenths = lambda x: F.round(x.cast("double") * 10).cast("long")
+    zero = F.lit(0).cast("long")
+
+    def row(step: Column, place: Column) -> Column:
+        columns = F.transform(step, lambda x, j: tenths(x) * (j + 1))
+        return F.aggregate(columns, zero, lambda a, x: a + x) * (place + 1)
+
     return arrays.withColumns(
         {
             "n_steps": F.size("steps").cast("long"),
             "n_entries": F.size(flat).cast("long"),
             "total": F.round(F.aggregate(flat, F.lit(0.0), lambda a, x: a + x), 2),
+            "in_order": F.aggregate(F.transform("steps", row), zero, lambda a, x: a + x),
         }
     ).drop("steps")
 
@@ -629,18 +661,30 @@ def flat_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _described(arrays)
 
 
+def _padded(tables: Tables, part_steps: int) -> DataFrame:
+    longest = sequences.sequence_cap(sequences.table_lengths(tables)).select("longest").scalar()
+    rows = features.flat_features(tables)
+    arrays = sequences.flat_sequences(rows, pad_to=longest, part_steps=part_steps)
+    return _described(arrays.withColumns(_long("part", "label")))
+
+
 @query
 def left_pad(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = features.flat_features(stages.clean(spark, sf_dir))
-    width = len(rows.columns) - 4
-    arrays = sequences.flat_sequences(rows, 16).withColumns(_long("part", "label"))
-    return _described(sequences.pad_flat(arrays, 16, width))
+    return _padded(stages.clean(spark, sf_dir), sequences.PART_STEPS)
 
 
 @query
-def elapsed_last_512(spark: SparkSession, sf_dir: str) -> DataFrame:
-    events = features.elapsed_events(stages.clean(spark, sf_dir))
-    arrays = sequences.elapsed_sequences(features.elapsed_rows(events))
+def left_pad_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _padded(stages.clean(spark, sf_dir), 7)
+
+
+@query
+def balanced_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _described(prepare.sequence_inputs(stages.balanced(spark, sf_dir)).withColumns(_long("part", "label")))
+
+
+def _elapsed(tables: Tables, length: int) -> DataFrame:
+    arrays = sequences.elapsed_sequences(features.elapsed_rows(features.elapsed_events(tables)), length)
     summed = F.aggregate("elapsed", F.lit(0.0), lambda a, x: a + x)
     return _described(
         arrays.withColumns(
@@ -653,6 +697,16 @@ def elapsed_last_512(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def elapsed_last_512(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _elapsed(stages.clean(spark, sf_dir), 512)
+
+
+@query
+def elapsed_last_16(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _elapsed(stages.clean(spark, sf_dir), 16)
+
+
 @query
 def batch_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     registry = stages.raw(spark, sf_dir).registry
@@ -673,7 +727,7 @@ def history_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 def history_text_head(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = stages.clean(spark, sf_dir)
     texts = history.history_text(t, amd_codes(spark), atc_codes(spark), max_words=512)
-    return text_records(texts.withColumns(_long("label")))
+    return text_records(texts.withColumns(_long("label", "part")))
 
 
 @query

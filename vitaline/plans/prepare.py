@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
-from vitaline.config import SEED
+from vitaline.config import PAD_FLAT, SEED
 from vitaline.operators.balance import check_label, oversample, undersample
 from vitaline.operators.features import age_fraction, elapsed_events, elapsed_rows, flat_features
 from vitaline.operators.history import history_text
@@ -27,18 +28,24 @@ def balanced_tables(
     raise ValueError(f"unknown balancing {balancing!r}")
 
 
-def sequence_inputs(tables: Tables) -> DataFrame:
-    """Arrays of step vectors, cut to the power-of-two cap made from the longest history."""
-    features = flat_features(tables)
-    cap = sequence_cap(table_lengths(tables)).select("cap").scalar()
-    return flat_sequences(features, cap)
+def _cap_and_length(tables: Tables) -> tuple[Column, Column]:
+    """The power-of-two cap made from the longest history, and the length of the longest one after the cut."""
+    lengths = sequence_cap(table_lengths(tables))
+    cap = lengths.select("cap").scalar()
+    return cap, F.least(cap, lengths.select("longest").scalar())
 
 
-def age_fraction_inputs(tables: Tables) -> DataFrame:
+def sequence_inputs(tables: Tables, pad_value: float = PAD_FLAT) -> DataFrame:
+    """Arrays of step vectors, cut to the cap and padded to the longest."""
+    cap, length = _cap_and_length(tables)
+    return flat_sequences(flat_features(tables), cap, pad_to=length, pad_value=pad_value)
+
+
+def age_fraction_inputs(tables: Tables, pad_value: float = PAD_FLAT) -> DataFrame:
     """The same with dates as shares of the longest life; the date is one of the step's entries."""
     features = flat_features(age_fraction(tables), date="delta_data")
-    cap = sequence_cap(table_lengths(tables)).select("cap").scalar()
-    return flat_sequences(features, cap, date="delta_data", keep_date=True)
+    cap, length = _cap_and_length(tables)
+    return flat_sequences(features, cap, date="delta_data", keep_date=True, pad_to=length, pad_value=pad_value)
 
 
 def elapsed_inputs(tables: Tables) -> DataFrame:

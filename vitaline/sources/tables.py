@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from vitaline import schemas
-from vitaline.config import EVENT_TABLES, PRESCRIPTIONS, STEMS
+from vitaline.config import EVENT_TABLES, KEY, PRESCRIPTIONS, STEMS
 
 # Texts a CSV may hold for a missing value.
 MISSING_TEXTS = [
@@ -55,14 +55,32 @@ def table_path(root: str, stage: str, name: str, with_rx: bool = True) -> str:
     return f"{root}/{folder}/{STEMS[name]}{suffix}{mark}"
 
 
-def read_csv(spark: SparkSession, path: str, schema: T.StructType, row_index: bool = False) -> DataFrame:
-    """A CSV with a header, each column parsed to its type or failing; `row_index`: drop the first column."""
+# Quotes inside a field are doubled; blanks around a field and empty texts are kept as they are.
+CSV = {
+    "header": True,
+    "quote": '"',
+    "escape": '"',
+    "ignoreLeadingWhiteSpace": False,
+    "ignoreTrailingWhiteSpace": False,
+    "emptyValue": "",
+}
+
+
+def read_csv(
+    spark: SparkSession, path: str, schema: T.StructType, row_index: bool = False, multi_line: bool = True
+) -> DataFrame:
+    """A CSV with a header, each column parsed to its type or failing; `row_index`: drop the first column.
+
+    The header must name the columns of `schema` in their order; the row index may have any name. With
+    `multi_line` fields may hold line breaks and a file is read by one task; without it files are split.
+    """
     names = [*(["_index"] if row_index else []), *schema.names]
+    header = spark.read.options(**CSV, multiLine=multi_line, inferSchema=False).csv(path).columns
+    found = [c.strip() for c in header[1:]] if row_index else [c.strip() for c in header]
+    if found != schema.names:
+        raise ValueError(f"{path} has the columns {found}, not {schema.names}")
     texts = T.StructType([T.StructField(n, T.StringType()) for n in names])
-    raw = spark.read.schema(texts).option("header", True).option("enforceSchema", False)
-    if row_index:  # the index column has an empty name, so names are not compared
-        raw = raw.option("enforceSchema", True)
-    frame = raw.csv(path)
+    frame = spark.read.schema(texts).options(**CSV, multiLine=multi_line, enforceSchema=True).csv(path)
     return frame.select(*[_typed(F.col(f.name), f.dataType).alias(f.name) for f in schema.fields])
 
 
@@ -105,7 +123,7 @@ def _kinds(stage: str) -> dict[str, T.StructType]:
 def write_frame(frame: DataFrame, path: str, fmt: str = "parquet") -> None:
     writer = frame.write.mode("overwrite")
     if fmt == "csv":
-        writer.option("header", True).csv(path)
+        writer.options(**CSV).csv(path)
     else:
         writer.parquet(path)
 
@@ -134,8 +152,8 @@ def read_texts(spark: SparkSession, root: str) -> DataFrame:
 
 
 def text_records(texts: DataFrame) -> DataFrame:
-    """Records of label and text, as a text model takes them."""
-    return texts.select("label", "text")
+    """Records of label and text, as a text model takes them, with the patient and part they belong to."""
+    return texts.select(*KEY, "part", "label", "text")
 
 
 def read_amd_codes(spark: SparkSession, path: str) -> DataFrame:
