@@ -26,40 +26,61 @@ from vitaline.session import cut
 
 DEPTH = 3
 FIELD = "<*>"
+SLOTS = 1 << 23  # bits of the bitmap of leaves: one megabyte, whatever the data
 _BLANK = r"[\x20\x09-\x0D]+"
+_ODD = r"[0-9@\x09-\x0D]|  "  # all other lines are as they should be, but for outer blanks
 _VARIABLE = r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9@]*+[0-9@][^\x20\x09-\x0D]*+"  # linear in the line
 
 
 def masked(line: Column) -> Column:
     """The line's words, one blank apart, with variable fields generalised."""
-    return F.trim(F.regexp_replace(F.regexp_replace(line, _VARIABLE, FIELD), _BLANK, " "))
+    whole = F.trim(F.regexp_replace(F.regexp_replace(line, _VARIABLE, FIELD), _BLANK, " "))
+    return F.when(line.rlike(_ODD), whole).otherwise(F.trim(line))
 
 
 def _lines(docs: DataFrame, min_words: int) -> DataFrame:
-    """doc_id, line, once for each document and distinct masked line of `min_words` words or more."""
-    lines = F.array_distinct(F.transform(F.split("text", "\n"), masked))
-    lines = docs.select("doc_id", F.explode(lines).alias("line"))
-    return lines.where(F.length("line") - F.length(F.replace("line", F.lit(" "))) >= min_words - 1).where("line <> ''")
-
-
-def templates(docs: DataFrame, min_words: int, similarity: float) -> DataFrame:
-    """doc_id, line (digest), template: what each line of each document parses to."""
-    lines = cut(_lines(docs, min_words).select("doc_id", "line", F.md5("line").alias("digest")))
-    kinds = lines.groupBy("line", "digest").agg(F.countDistinct("doc_id").alias("weight"))
-    words = F.split("line", " ")
-    kinds = kinds.select("digest", "weight", words.alias("words")).where(F.size("words") > DEPTH)
-    leaf = F.md5(F.concat_ws(" ", F.size("words").cast("string"), F.slice("words", 1, DEPTH)))
-    kinds = kinds.withColumn("leaf", leaf)
-    shared = kinds.groupBy("leaf").agg(F.count("*").alias("n"), F.sum("weight").alias("total")).where("n > 1")
-    # what the leaf's lines say place by place
-    places = (
-        kinds.join(shared, "leaf")
-        .select("leaf", "digest", "weight", "total", F.size("words").alias("length"), F.posexplode("words"))
-        .where(F.col("pos") >= DEPTH)
+    """doc_id, line, leaf for each masked line of `min_words` words or more."""
+    lines = docs.select("doc_id", F.explode(F.split("text", "\n")).alias("raw")).select("doc_id", masked(F.col("raw")).alias("line"))
+    lines = lines.withColumn("n", F.length("line") - F.length(F.replace("line", F.lit(" "))) + 1)
+    leaf = F.xxhash64("n", F.substring_index("line", " ", DEPTH))
+    return lines.where((F.col("n") >= min_words) & (F.col("line") != "")).select("doc_id", "line", "n", leaf.alias("leaf"))
+
+
+def _in_leaves(lines: DataFrame, leaves: DataFrame) -> DataFrame:
+    """The lines of some leaves. A bitmap of fixed size thins them out before they are joined exactly."""
+    slot = F.pmod("leaf", F.lit(SLOTS)) + 1
+    bits = leaves.groupBy(F.bitmap_bucket_number(slot).alias("bucket")).agg(
+        F.bitmap_construct_agg(F.bitmap_bit_position(slot)).alias("bits")
+    )  # SLOTS / 8 bytes at most
+    at = F.bitmap_bit_position(slot)
+    octet = F.conv(F.hex(F.substring("bits", (at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    found = lines.withColumn("bucket", F.bitmap_bucket_number(slot)).join(F.broadcast(bits), "bucket")
+    found = found.where(F.floor(octet / F.pow(F.lit(2), at % 8)) % 2 == 1).drop("bucket", "bits")
+    return found.join(leaves, "leaf")
+
+
+def templates(docs: DataFrame, min_docs: int, min_words: int, similarity: float) -> DataFrame:
+    """doc_id, digest, template: what the lines of each document parse to.
+
+    Templates inside a leaf are worked out where they can matter: in leaves with several kinds of line and
+    `min_docs` lines in all. Of the others only digests are moved.
+    """
+    lines = _lines(docs, min_words)
+    digest = F.unhex(F.md5("line"))
+    parsed = cut(lines.select("doc_id", digest.alias("digest"), "leaf").distinct())
+    shared = parsed.groupBy("leaf").agg(
+        F.count("*").alias("total"), F.min("digest").alias("low"), F.max("digest").alias("high")
     )
+    shared = cut(shared.where((F.col("total") >= min_docs) & (F.col("low") != F.col("high"))).select("leaf", "total"))
+    kinds = _in_leaves(lines.where(F.col("n") > DEPTH), shared).select("leaf", "total", "line", "n", "doc_id").distinct()
+    kinds = kinds.groupBy("leaf", "total", "line", "n").agg(F.count("*").alias("weight"))
+    # what the leaf's lines say place by place
+    places = kinds.select(
+        "leaf", "total", "weight", F.col("n").alias("length"), digest.alias("digest"), F.posexplode(F.split("line", " "))
+    ).where(F.col("pos") >= DEPTH)
     places = cut(places)
     votes = places.groupBy("leaf", "pos", "col", "total", "length").agg(F.sum("weight").alias("votes"))
-    constants = votes.where(F.col("votes") * 2 > F.col("total")).where(F.col("col") != FIELD)
+    constants = cut(votes.where(F.col("votes") * 2 > F.col("total")).where(F.col("col") != FIELD))
     enough = (
         constants.groupBy("leaf", "length")
         .agg(F.count("*").alias("constants"))
@@ -72,15 +93,15 @@ def templates(docs: DataFrame, min_words: int, similarity: float) -> DataFrame:
         .agg(F.count("*").alias("agree"))
         .join(enough, "leaf")
         .where(F.col("agree") == F.col("constants"))
-        .select("digest", F.col("leaf").alias("general"))
+        .select("digest", F.col("leaf").cast("string").cast("binary").alias("general"))
     )
-    found = lines.select("doc_id", "digest").join(agreeing, "digest", "left")
+    found = parsed.select("doc_id", "digest").join(agreeing, "digest", "left")
     return found.select("doc_id", "digest", F.coalesce("general", "digest").alias("template"))
 
 
 def recurring(docs: DataFrame, min_docs: int, min_words: int, similarity: float) -> DataFrame:
     """doc_id, dropped: digests of the document's lines whose template recurs."""
-    parsed = cut(templates(docs, min_words, similarity))
+    parsed = cut(templates(docs, min_docs, min_words, similarity))
     often = (
         parsed.select("doc_id", "template")
         .distinct()
@@ -106,7 +127,7 @@ def drop_recurring_lines(
     found = found.toDF(key, gone)
     rows = docs.select(*own).join(found, docs["doc_id"].eqNullSafe(found[key]), "left")
     lines = F.split("text", "\n")
-    stay = F.filter(lines, lambda x: ~F.array_contains(gone, F.md5(masked(x))))
+    stay = F.filter(lines, lambda x: ~F.array_contains(gone, F.unhex(F.md5(masked(x)))))
     rows = rows.withColumn(left, F.when(F.col(gone).isNotNull(), stay))
     text = F.array_join(left, "\n")
     whole = F.col(gone).isNull() | (F.length(text) * 2 < F.length("text"))
