@@ -15,7 +15,7 @@ from pyspark.sql import SparkSession  # noqa: E402
 
 from vitaline.plans import stages  # noqa: E402
 from vitaline.plans.catalog import QUERIES  # noqa: E402
-from vitaline.session import tune  # noqa: E402
+from vitaline.session import forget, tune  # noqa: E402
 
 HEADLINE = [
     "label_cohort",
@@ -100,6 +100,7 @@ def main(names: list[str]) -> None:
     if "history_text" in seconds:
         line["history_text_patients_per_sec"] = round(patients / seconds["history_text"], 1)
     print(json.dumps(line))
+    forget(spark)
 
 
 if __name__ == "__main__":

@@ -564,9 +564,12 @@ ORACLES["wanted_codes"] = _with(
     raw("diagnosi"), f"SELECT * FROM ({_patients('diagnosi', 'codiceamd')}) WHERE codiceamd IN {CARDIO}"
 )
 ORACLES["values_per_code"] = _with(
-    raw("diagnosi"),
-    f"""SELECT codiceamd, valore, count(*) AS n_rows FROM diagnosi
-    WHERE codiceamd IN {CARDIO} AND valore IS NOT NULL GROUP BY 1, 2""",
+    RAW,
+    " UNION ALL ".join(
+        f"""SELECT codiceamd, valore, count(*) AS n_rows, '{n}' AS "table" FROM {n}
+        WHERE codiceamd {codes} AND valore IS NOT NULL GROUP BY 1, 2"""
+        for n, codes in (("diagnosi", f"IN {CARDIO}"), ("instrumental", "IS NOT NULL"), ("rx_other", "IS NOT NULL"))
+    ),
 )
 
 

@@ -32,6 +32,9 @@ def make_session():
 def spark():
     session = make_session()
     yield session
+    from vitaline.session import forget
+
+    forget(session)
     session.stop()
 
 

@@ -303,4 +303,11 @@ def macro_micro_features(
         .drop("_amd", "_stitch", "valore_num", "valore_txt")
         .fillna(FILL_FLAT)
     )
-    return features.orderBy(*KEY, "data") if ordered else features
+    return in_patient_order(features) if ordered else features
+
+
+def in_patient_order(features: DataFrame) -> DataFrame:
+    """Rows by patient and date, ties by all other columns: reproducible, and a patient of very many rows is
+    spread over several range partitions."""
+    rest = [c for c in features.columns if c not in (*KEY, "data")]
+    return features.orderBy(*KEY, "data", *rest)

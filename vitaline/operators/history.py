@@ -18,8 +18,7 @@ from vitaline.config import (
 from vitaline.functions.dates import day_number
 from vitaline.functions.encode import label_code
 from vitaline.functions.text import first_words, name_value_pairs, word_count
-from vitaline.operators.cohort import keep_patients
-from vitaline.operators.skew import collapse_copies, fits_broadcast, lookup, number_rows, split_parts
+from vitaline.operators.skew import collapse_copies, fits_broadcast, join_on_key, lookup, number_rows, split_parts
 from vitaline.operators.timeline import union_all
 from vitaline.session import cut
 from vitaline.sources.tables import Tables
@@ -36,10 +35,14 @@ def _pairs(names: Mapping[str, str], drop: tuple[str, ...]) -> Column:
     return name_value_pairs([(n, F.col(c)) for c, n in names.items() if c not in drop])
 
 
+def _label() -> Column:
+    return label_code(F.col("label")).alias("label")
+
+
 def registry_line(registry: DataFrame) -> DataFrame:
     """`patientregistry idcenter 1 sex M ...`, without the patient id."""
     words = F.concat_ws(" ", F.lit("patientregistry"), _pairs(ENGLISH_REGISTRY, ("idana",)))
-    return registry.select(*KEY, words.alias("line"))
+    return registry.select(*KEY, words.alias("line"), _label())
 
 
 def event_line(
@@ -56,10 +59,11 @@ def event_line(
 
 
 def history_lines(tables: Tables, amd: DataFrame, atc: DataFrame) -> DataFrame:
-    """Lines of all histories: `table_no` 0 is the registry, then each table's heading and events."""
+    """Lines of all histories with the patient's label: `table_no` 0 is the registry, then each table's
+    heading and events."""
     none = F.lit(None).cast("date")
     registry = registry_line(tables.registry).select(
-        *KEY, F.lit(0).alias("table_no"), F.lit(0).alias("is_event"), none.alias("data"), F.lit("").alias("code"), "line"
+        *KEY, F.lit(0).alias("table_no"), F.lit(0).alias("is_event"), none.alias("data"), F.lit("").alias("code"), "line", "label"
     )
     headings = F.array(
         *[
@@ -67,16 +71,17 @@ def history_lines(tables: Tables, amd: DataFrame, atc: DataFrame) -> DataFrame:
             for no, text in enumerate(TEXT_HEADINGS.values(), 1)
         ]
     )
-    heads = tables.registry.select(*KEY, F.explode(headings).alias("h")).select(
-        *KEY, "h.table_no", F.lit(0).alias("is_event"), none.alias("data"), F.lit("").alias("code"), "h.line"
+    heads = tables.registry.select(*KEY, F.explode(headings).alias("h"), _label()).select(
+        *KEY, "h.table_no", F.lit(0).alias("is_event"), none.alias("data"), F.lit("").alias("code"), "h.line", "label"
     )
+    labels = tables.registry.select(*KEY, _label())
     parts = [registry, heads]
     small = fits_broadcast(amd) and fits_broadcast(atc)
     for no, name in enumerate(TEXT_HEADINGS, 1):
         lines = event_line(getattr(tables, name), name, amd, atc, small)
-        lines = keep_patients(lines, tables.registry)
+        lines = join_on_key(lines, labels)
         parts.append(
-            lines.select(*KEY, F.lit(no).alias("table_no"), F.lit(1).alias("is_event"), "data", "code", "line")
+            lines.select(*KEY, F.lit(no).alias("table_no"), F.lit(1).alias("is_event"), "data", "code", "line", "label")
         )
     return union_all(parts)
 
@@ -123,13 +128,11 @@ def history_text(
     text = F.array_join(copies, " ")
     if max_words is not None:
         text = first_words(text, F.lit(max_words) - F.col("_entries")[0]["at"])
-    texts = (
+    return (
         dealt.groupBy(*KEY, F.col("part").cast("int").alias("part"))
-        .agg(F.array_sort(F.collect_list(entry)).alias("_entries"))
-        .select(*KEY, "part", text.alias("text"))
+        .agg(F.array_sort(F.collect_list(entry)).alias("_entries"), F.any_value("label").alias("label"))
+        .select(*KEY, "part", text.alias("text"), "label")
     )
-    labels = tables.registry.select(*KEY, label_code(F.col("label")).alias("label"))
-    return texts.join(labels, KEY).select(*KEY, "part", "text", "label")
 
 
 def text_lengths(texts: DataFrame, text: str = "text") -> DataFrame:

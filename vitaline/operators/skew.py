@@ -16,22 +16,15 @@ BROADCAST_ROWS = 100_000
 COPY_CHUNK = 4096
 
 
-def join_on_key(
-    facts: DataFrame,
-    dim: DataFrame,
-    on: Sequence[str] = KEY,
-    how: str = "inner",
-    salts: int = SALTS,
-) -> DataFrame:
+def join_on_key(facts: DataFrame, dim: DataFrame, on: Sequence[str] = KEY, how: str = "inner") -> DataFrame:
     """Equi-join many fact rows per key to one dimension row per key.
 
-    The rows of one key are dealt over `salts` shuffle partitions by the input partition they came
-    from; the narrow side is repeated once per salt. Both join inputs are plain shuffles, so adaptive
-    execution may broadcast the narrow side once its size is known, or split a partition further.
+    A plain join: filters are pushed through it, the planner sees the true size of the narrow side and
+    broadcasts it only below the byte threshold, and where a key holds so many rows that its shuffle
+    partition is skewed, adaptive execution (see `session.SETTINGS`) splits that partition by its input
+    blocks, into as many tasks as the key needs, and repeats only its own dimension rows.
     """
-    dealt = facts.withColumn("_salt", F.pmod(F.spark_partition_id(), F.lit(salts)))
-    repeated = dim.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return dealt.join(repeated, [*on, "_salt"], how).drop("_salt")
+    return facts.join(dim, list(on), how)
 
 
 def fits_broadcast(dim: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:

@@ -517,7 +517,10 @@ def wanted_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def values_per_code(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return profile.values_per_code(cohort.with_codes(stages.raw(spark, sf_dir).diagnosi))
+    """Value frequencies: target codes of the diagnoses, all codes of the two other coded tables."""
+    t = stages.raw(spark, sf_dir)
+    tables = {"diagnosi": cohort.with_codes(t.diagnosi), "instrumental": t.instrumental, "rx_other": t.rx_other}
+    return union_all([profile.values_per_code(df).withColumn("table", F.lit(n)) for n, df in tables.items()])
 
 
 @query

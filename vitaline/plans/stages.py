@@ -14,11 +14,18 @@ from vitaline.session import cut_all, tune
 from vitaline.sources.derived import clinical_tables
 from vitaline.sources.tables import Tables
 
-_kept: dict[tuple[str, str, str], Tables] = {}
+_kept: dict[tuple, Tables] = {}
+
+
+def _version(spark: SparkSession, sf_dir: str) -> tuple[str, ...]:
+    """Names, sizes and times of the input tables, so that changed data is derived anew."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(sf_dir)
+    files = folder.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(folder)
+    return tuple(sorted(f"{f.getPath().getName()} {f.getLen()} {f.getModificationTime()}" for f in files))
 
 
 def _once(spark: SparkSession, sf_dir: str, stage: str, build: Callable[[], Tables]) -> Tables:
-    place = (spark.sparkContext.applicationId, sf_dir, stage)
+    place = (spark.sparkContext.applicationId, sf_dir, stage, _version(spark, sf_dir))
     if place not in _kept:
         _kept[place] = Tables(**cut_all(dict(build().items())))
     return _kept[place]

@@ -38,13 +38,24 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return named
 
 
+def tables_dir(spark: SparkSession) -> str:
+    """Where the tables of this application are kept."""
+    return f"{checkpoint_dir(spark)}/tables/{spark.sparkContext.applicationId}"
+
+
+def forget(spark: SparkSession) -> None:
+    """Delete all tables `cut` has written in this application, once its results are written."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(tables_dir(spark))
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write `df` as a table in the checkpoint folder and read it back.
 
     Later reads see the same rows whichever executors are lost, and know the table's size, so a join
     to it is broadcast only where the written files are small enough.
     """
-    path = f"{checkpoint_dir(df.sparkSession)}/tables/{uuid.uuid4().hex}"
+    path = f"{tables_dir(df.sparkSession)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
