@@ -376,6 +376,29 @@ ORACLES["value_distribution"] = _with(
     CAST(upto - n AS BIGINT) AS count_from, CAST(upto AS BIGINT) AS count_to FROM w_known""",
 )
 ORACLES["clean_rows_per_table"] = _with(CLEAN, _counts("6 clean", "c_", ["registry", *EVENTS]))
+
+
+def _step_rows(step: str, registry: str) -> str:
+    events = [
+        f"""SELECT '{step}' AS step, '{n}' AS "table", count(*) AS n_rows FROM {n} e JOIN {registry} r USING (idana, idcentro)
+        WHERE {_ALIVE} AND e.data IS NOT NULL"""
+        for n in EVENTS
+    ]
+    return " UNION ALL ".join([f"SELECT '{step}' AS step, 'registry' AS \"table\", count(*) AS n_rows FROM {registry}", *events])
+
+
+ORACLES["funnel_rows_per_table"] = _with(
+    {**CLEAN, "cohort": COHORT},
+    " UNION ALL ".join(
+        f"""SELECT '1 cohort' AS step, '{n}' AS "table", count(*) AS n_rows FROM {n} SEMI JOIN cohort USING (idana, idcentro)
+        {"WHERE data IS NOT NULL" if n == "diagnosi" else ""}"""
+        for n in ["registry", *EVENTS]
+    )
+    + " UNION ALL "
+    + " UNION ALL ".join(_step_rows(s, r) for s, r in (("2 dates", "repaired"), ("3 span", "spanned"), ("5 label", "labelled")))
+    + " UNION ALL "
+    + _counts("6 clean", "c_", ["registry", *EVENTS]),
+)
 ORACLES["clean_registry"] = _with(CLEAN, "SELECT * FROM c_registry")
 
 _REGISTRY_COLUMNS = [

@@ -266,6 +266,11 @@ def clean_rows_per_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.table_rows(stages.clean(spark, sf_dir), "6 clean")
 
 
+@query
+def funnel_rows_per_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reports.funnel_report(clean.chained_steps(stages.raw(spark, sf_dir)))
+
+
 @query
 def clean_registry(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stages.clean(spark, sf_dir).registry

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vitaline.config import AS_OF, KEY, LAB_RANGES, MIN_SPAN_DAYS, SEED, STITCH_RANGES
+from vitaline.operators.cohort import keep_tables
 from vitaline.operators.label import histories_of, label_from_histories
 from vitaline.operators.quality import (
     clip_by_code,
@@ -84,6 +85,25 @@ def clean_and_label(
     return clean_values(kept.replace(registry=patients.labelled), seed)
 
 
+def chained_steps(tables: Tables, as_of: dt.date = AS_OF, seed: int = SEED, with_rx: bool = True) -> dict[str, Tables]:
+    """The eight tables after each step, every step applied to what the one before has left."""
+    patients = choose_patients(tables, as_of, with_rx)
+    cohort = keep_tables(tables, patients.cohort.select(*KEY))
+    cohort = cohort.replace(diagnosi=cohort.diagnosi.filter(F.col("data").isNotNull()))
+
+    def left(registry: DataFrame) -> Tables:
+        return cohort.map_events(lambda df: plausible_events(df, registry, as_of)).replace(registry=registry)
+
+    labelled = left(patients.labelled)
+    return {
+        "1 cohort": cohort,
+        "2 dates": left(patients.repaired),
+        "3 span": left(patients.spanned),
+        "5 label": labelled,
+        "6 clean": clean_values(labelled, seed),
+    }
+
+
 def patient_funnel(patients: Patients) -> DataFrame:
     """(step, patients) after each step, and the classes of the last."""
     steps = {
