@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from vitaline.config import COPY_ID_OFFSET, JITTER_SIGMA_DAYS, KEEP_FRACTION, KEY, SEED, SPLIT_60_30_10
@@ -13,6 +14,8 @@ from vitaline.operators.cohort import keep_patients
 from vitaline.operators.skew import collapse_copies, expand_copies, join_on_key, running_total
 from vitaline.sources.tables import Tables
 
+SAMPLE_BUCKETS = 1 << 14
+
 
 def class_sizes(registry: DataFrame) -> DataFrame:
     """Patients per class and their whole-number ratio."""
@@ -31,16 +34,21 @@ def check_label(registry: DataFrame) -> None:
         raise ValueError(f"label has {values} values, at most 2 are allowed")
 
 
-def exact_sample(
-    df: DataFrame, size: Column, seed: int, purpose: str, by: list[str], order: list[str] | None = None
-) -> DataFrame:
-    """The `size` rows with the smallest hash uniform of `by`; `size` may differ by row.
+def exact_sample(df: DataFrame, size: Column, seed: int, purpose: str, by: list[str]) -> DataFrame:
+    """The `size` rows with the smallest hash uniform of `by`, which tells rows apart; ties in order of `by`.
 
-    Rows are ranked block by block, so no task sees all of them. `by` tells rows apart.
+    Rows are counted by bucket of the uniform. Buckets below the limit are kept whole; only the rows of the
+    bucket in which the limit lies are ranked.
     """
-    ordered = df.withColumn("_u", hash_uniform(seed, purpose, *[F.col(c) for c in by]))
-    ranked = running_total(ordered, ["_u", *(order or by)], out="_rank")
-    return ranked.filter(F.col("_rank") <= size).drop("_u", "_rank")
+    dealt = df.withColumn("_u", hash_uniform(seed, purpose, *[F.col(c) for c in by]))
+    dealt = dealt.withColumn("_bucket", F.floor(F.col("_u") * SAMPLE_BUCKETS))
+    upto = W.orderBy("_bucket").rowsBetween(W.unboundedPreceding, W.currentRow)
+    counts = dealt.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_n"))
+    counts = counts.withColumn("_before", F.sum("_n").over(upto) - F.col("_n")).withColumn("_left", size - F.col("_before"))
+    rows = dealt.join(F.broadcast(counts.filter("_left > 0")), "_bucket")  # SAMPLE_BUCKETS rows at most
+    edge = rows.filter("_n > _left").withColumn("_rank", F.row_number().over(W.partitionBy("_bucket").orderBy("_u", *by)))
+    kept = rows.filter("_n <= _left").select(*df.columns)
+    return kept.unionAll(edge.filter("_rank <= _left").select(*df.columns))
 
 
 def undersample_registry(registry: DataFrame, seed: int = SEED) -> DataFrame:
