@@ -39,11 +39,20 @@ def masked(line: Column) -> Column:
 
 
 def _lines(docs: DataFrame, min_words: int) -> DataFrame:
-    """doc_id, line, leaf for each masked line of `min_words` words or more."""
-    lines = docs.select("doc_id", F.explode(F.split("text", "\n")).alias("raw")).select("doc_id", masked(F.col("raw")).alias("line"))
-    lines = lines.withColumn("n", F.length("line") - F.length(F.replace("line", F.lit(" "))) + 1)
-    leaf = F.xxhash64("n", F.substring_index("line", " ", DEPTH))
-    return lines.where((F.col("n") >= min_words) & (F.col("line") != "")).select("doc_id", "line", "n", leaf.alias("leaf"))
+    """doc_id, line, n (words), leaf for each masked line of `min_words` words or more.
+
+    They are worked out inside the array that is exploded, so that each is computed once, however often it
+    is used after that.
+    """
+
+    def parsed(line: Column) -> Column:
+        n = F.length(line) - F.length(F.replace(line, F.lit(" "))) + 1
+        leaf = F.xxhash64(n, F.substring_index(line, " ", DEPTH))
+        return F.struct(line.alias("line"), n.alias("n"), leaf.alias("leaf"))
+
+    lines = F.transform(F.transform(F.split("text", "\n"), masked), parsed)
+    lines = docs.select("doc_id", F.explode(lines).alias("parsed")).select("doc_id", "parsed.*")
+    return lines.where((F.col("n") >= min_words) & (F.col("line") != ""))
 
 
 def _in_leaves(lines: DataFrame, leaves: DataFrame) -> DataFrame:
