@@ -12,16 +12,16 @@ they are linked. The parts found so far are cut into groups of at most GROUP set
 Token-group matrix. For shingles that several parts still share, the matrix has a row (shingle, group) for
 each group whose sets have it. A set (of the smaller part) meets the groups of other parts through its own
 prefix shingles; the shingles it shares with a group's union bound what it can share with any member. Groups
-that reach l are compared with the set's whole content: only if 100 |Q & union| >= 100 s |Q| the group is
-opened and its members are compared one by one. All comparisons that make links are exact, and no link
+that reach l are compared with the whole set, by 16 bits of each shingle, which can only raise the bound: if
+100 |Q & union| >= 100 s |Q| the group is opened and its members are compared one by one. All comparisons that make links are exact, and no link
 between different parts is lost, so the parts joined by these links are the components.
 
 Frequent shingles are found by counting blocks of documents (see `frequent`); which ones are found changes
 the order, never the result. No step has all pairs of a group: classes, parts and groups stand for copies.
 
-Null and empty texts have no shingles and are linked with nothing. Documents with an equal id are judged by
-their own text each; rows without an id have no component. Extra columns are ignored, an empty table gives
-an empty result.
+Null and empty texts have no shingles and are linked with nothing. Rows that share an id are one document in
+links, with the shingles of each; rows without an id have no component. Extra columns are ignored, an empty
+table gives an empty result.
 """
 
 from __future__ import annotations
@@ -39,7 +39,8 @@ from vitaline.llm.common import batches_out, bitmap_of, chosen, slot_of
 from vitaline.llm.graph import components
 from vitaline.session import cut
 
-GROUP = 16  # sets of a group
+GROUP = 16  # sets of a group, on average
+FOLLOWERS = 2000  # sets compared with one copy of their leader, on average
 BLOCK = 4_000_000  # shingles counted together to find frequent ones
 LOCAL = 8  # documents of a block that must have a shingle for it to be counted on
 FREQUENT = 50  # documents from which on a shingle counts as frequent
@@ -147,18 +148,23 @@ def _prefixes(docs: DataFrame, size: int, percent: int, often: np.ndarray, bitma
     return batches_out(docs, run, f"doc_id {kind}, n long, shingle long")
 
 
-def _contents(docs: DataFrame, size: int, ids: DataFrame) -> DataFrame:
-    """doc_id, content: the packed sets of the documents in `ids` (column doc_id)."""
+def _contents(docs: DataFrame, size: int, ids: DataFrame, short: bool = False) -> DataFrame:
+    """doc_id, content: the packed sets of the documents in `ids` (column doc_id), and a few others.
+
+    `short` contents have the lowest 16 bits of each shingle only: enough for a bound, since what two sets
+    share they also share in these.
+    """
     kind = dict(docs.dtypes)["doc_id"]
     bitmap = bitmap_of(ids, "doc_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         for b in batches:
             b = chosen(b, bitmap)
-            texts = b.column("text").to_pylist()
-            yield {"doc_id": b.column("doc_id"), "content": [shingles(t, size).tobytes() for t in texts]}
+            sets = [shingles(t, size) for t in b.column("text").to_pylist()]
+            packed = [(s.astype(np.uint16) if short else s).tobytes() for s in sets]
+            yield {"doc_id": b.column("doc_id"), "content": packed}
 
-    return batches_out(docs, run, f"doc_id {kind}, content binary").join(ids, "doc_id", "left_semi")
+    return cut(batches_out(docs, run, f"doc_id {kind}, content binary"))
 
 
 def _linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
@@ -174,43 +180,76 @@ def _set(packed: bytes) -> np.ndarray:
 
 
 def _verified(pairs: DataFrame, contents: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose sets are linked."""
+    """The pairs (a, b) whose sets are linked; every a has one b.
+
+    A leader b meets its followers in streams of about FOLLOWERS, each headed by the leader's own set, so a
+    leader of very many is dealt over many tasks.
+    """
     kind = dict(pairs.dtypes)["a"]
-    rows = pairs.join(contents.select(F.col("doc_id").alias("a"), F.col("content").alias("x")), "a")
-    rows = rows.join(contents.select(F.col("doc_id").alias("b"), F.col("content").alias("y")), "b").select("a", "b", "x", "y")
+    leaders = pairs.groupBy("b").agg(F.ceil(F.count("*") / FOLLOWERS).alias("streams"))
+    deal = F.pmod(F.xxhash64("a"), F.col("streams"))
+    roles = pairs.join(leaders, "b").select(F.col("a").alias("doc_id"), "b", deal.alias("stream"), F.lit(1).alias("place"))
+    heads = F.explode(F.sequence(F.lit(0).cast("long"), F.col("streams") - 1))
+    roles = roles.unionAll(leaders.select(F.col("b").alias("doc_id"), "b", heads.alias("stream"), F.lit(0).alias("place")))
+    rows = contents.join(roles, "doc_id").repartition("b", "stream").sortWithinPartitions("b", "stream", "place")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-        for b in batches:
-            xs, ys = b.column("x").to_pylist(), b.column("y").to_pylist()
-            good = pa.array([_linked(_set(x), _set(y), percent) for x, y in zip(xs, ys, strict=True)], pa.bool_())
-            b = b.filter(good)
-            yield {"a": b.column("a"), "b": b.column("b")}
-
-    return batches_out(rows, run, f"a {kind}, b {kind}")
+        head = np.zeros(0, np.uint64)
+        for batch in batches:
+            out: dict[str, list] = {"a": [], "b": []}
+            for row in batch.select(["doc_id", "b", "place", "content"]).to_pylist():
+                if not row["place"]:
+                    head = _set(row["content"])
+                elif _linked(_set(row["content"]), head, percent):
+                    out["a"].append(row["doc_id"])
+                    out["b"].append(row["b"])
+            yield out
 
+    return batches_out(rows.select("doc_id", "b", "place", "content"), run, f"a {kind}, b {kind}")
 
-def _opened(pairs: DataFrame, contents: DataFrame, members: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) between sets and members of groups, from candidate pairs (doc_id, part, number).
 
-    The group's union is compared first; members only where the bound is met.
-    """
-    kind = dict(pairs.dtypes)["doc_id"]
+def _with_groups(pairs: DataFrame, contents: DataFrame, members: DataFrame) -> DataFrame:
+    """Pairs (doc_id, part, number) with the document's content and the contents of the group's members."""
     groups = (
         members.join(contents, "doc_id")
         .groupBy("part", "number")
-        .agg(F.collect_list(F.struct("doc_id", "content")).alias("members"))  # GROUP sets at most
+        .agg(F.collect_list(F.struct("doc_id", "content")).alias("members"))  # about GROUP sets
     )
-    rows = pairs.join(contents, "doc_id").join(groups, ["part", "number"]).select("doc_id", "content", "members")
+    return pairs.join(contents, "doc_id").join(groups, ["part", "number"])
+
+
+def _qualified(pairs: DataFrame, short: DataFrame, members: DataFrame, percent: int) -> DataFrame:
+    """The pairs whose group has enough of the document's shingles in its union, by short contents."""
+    kinds = dict(pairs.dtypes)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+        union = np.zeros(1 << 16, bool)
+        for b in batches:
+            keep = []
+            for row in b.select(["content", "members"]).to_pylist():
+                union[:] = False
+                for m in row["members"]:
+                    union[np.frombuffer(m["content"], np.uint16)] = True
+                query = np.frombuffer(row["content"], np.uint16)
+                keep.append(100 * int(union[query].sum()) >= percent * len(query))
+            b = b.filter(pa.array(keep, pa.bool_()))
+            yield {name: b.column(name) for name in ("doc_id", "part", "number")}
+
+    rows = _with_groups(pairs, short, members).select("doc_id", "part", "number", "content", "members")
+    return cut(batches_out(rows, run, f"doc_id {kinds['doc_id']}, part {kinds['part']}, number long"))
+
+
+def _opened(pairs: DataFrame, contents: DataFrame, members: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) between documents and members of the groups they qualify for."""
+    kind = dict(pairs.dtypes)["doc_id"]
+    rows = _with_groups(pairs, contents, members).select("doc_id", "content", "members")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         for b in batches:
             out: dict[str, list] = {"a": [], "b": []}
             for row in b.to_pylist():
-                query, found = _set(row["content"]), [(m["doc_id"], _set(m["content"])) for m in row["members"]]
-                union = np.unique(np.concatenate([m for _, m in found]))
-                if 100 * len(np.intersect1d(query, union, assume_unique=True)) < percent * len(query):
-                    continue
-                near = [i for i, m in found if _linked(query, m, percent)]
+                query = _set(row["content"])
+                near = [m["doc_id"] for m in row["members"] if _linked(query, _set(m["content"]), percent)]
                 out["a"] += [row["doc_id"]] * len(near)
                 out["b"] += near
             yield out
@@ -247,7 +286,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     )
     pairs = cut(nearest.select(F.col("doc_id").alias("a"), F.col("best.leader").alias("b")))
     ids = cut(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
-    first = cut(_verified(pairs, cut(_contents(slotted, size, ids)), percent))
+    first = cut(_verified(pairs, _contents(slotted, size, ids), percent))
     parts = cut(components(first))
 
     # the matrix: shingles that several parts have, and groups within the parts
@@ -257,7 +296,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     placed = placed.withColumns(
         {"part": F.coalesce("part", "doc_id"), "members": F.coalesce("members", F.lit(1).cast("long"))}
     )
-    number = F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("members") / GROUP))
+    number = F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("members") / GROUP)).cast("long")
     placed = cut(placed.withColumn("number", number))
     several = placed.groupBy("shingle").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low <> high")
     matrix = cut(placed.join(several.select("shingle"), "shingle", "left_semi"))
@@ -275,8 +314,11 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     candidates = cut(candidates)
     wanted = candidates.select("part", "number").distinct()
     members = cut(placed.select("doc_id", "part", "number").distinct().join(wanted, ["part", "number"], "left_semi"))
-    ids = cut(candidates.select("doc_id").unionAll(members.select("doc_id")).distinct())
-    second = _opened(candidates, cut(_contents(slotted, size, ids)), members, percent)
+    ids = candidates.select("doc_id").unionAll(members.select("doc_id")).distinct()
+    qualified = _qualified(candidates, _contents(slotted, size, ids, short=True), members, percent)
+    members = cut(members.join(qualified.select("part", "number").distinct(), ["part", "number"], "left_semi"))
+    ids = qualified.select("doc_id").unionAll(members.select("doc_id")).distinct()
+    second = _opened(qualified, _contents(slotted, size, ids), members, percent)
 
     found = components(first.unionAll(second)).select(F.col("node").alias("doc_id"), "component")
     classes = classes.join(found, "doc_id", "left").select("digest", F.coalesce("component", "doc_id").alias("component_id"))
