@@ -9,8 +9,10 @@ all others are one unknown word that matches nothing.
    total) gives `rank` directions: the matrix is multiplied with random vectors and its transpose in the
    tasks, Spark sums the products by word, and small dense algebra of (words x rank) is left to the driver.
 3. Items and overlapping windows of the documents are projected. An item of n words is searched in windows
-   of the next power of two; a window with at least `min_words` weighted words is a candidate for every item
-   whose cosine in the latent space is `cosine` or more.
+   of the next power of two; a window is a candidate for every item whose cosine in the latent space is
+   `cosine` or more. Windows are laid only where an item can be a hit at all: a hit needs `rephrased` of the
+   item's words, so the surroundings must have as many of its weighted words as these are more than its
+   unweighted ones (and `min_words` in any case). Words are counted per item and stretch of text for that.
 4. A candidate and its surroundings are checked by the longest common subsequence of words: a hit has
    `copied` of the item's words, or `rephrased` of them and as large a share of the weighted words of its
    answer (the last ANSWER words).
@@ -55,6 +57,7 @@ class Items:
         split = [words_of(text) for _, text in rows]
         self.vocabulary = {w: i for i, w in enumerate(sorted(set().union(*split)))}
         self.words = [np.array([self.vocabulary[w] for w in s], np.int32) for s in split]
+        self.kind = np.dtype("<i2" if len(self.vocabulary) < 1 << 15 else "<i4")  # of packed word numbers
         self.weight = np.zeros(len(self.vocabulary))  # inverse document frequencies, once known
         self.basis = np.zeros((len(self.vocabulary), 0))  # words x rank, times the weights
 
@@ -79,7 +82,7 @@ def encode(docs: DataFrame, items: Items) -> DataFrame:
             for text in b["text"]:
                 words = words_of(text)
                 ids = np.fromiter((number(w, -1) for w in words), np.int32, len(words))
-                packed.append(ids.tobytes())
+                packed.append(ids.astype(items.kind).tobytes())
                 known = np.flatnonzero(ids >= 0)
                 where = np.unique((known // PASSAGE) * len(vocabulary) + ids[known]) % max(len(vocabulary), 1)
                 passages += np.bincount(where, minlength=len(vocabulary))
@@ -99,13 +102,13 @@ def _sums(encoded: DataFrame, items: Items, vectors: np.ndarray, small: bool) ->
 
     `vectors` has a row for each word. Tasks multiply, Spark sums.
     """
-    weight = items.weight.copy()
+    weight, kind = items.weight.copy(), items.kind
     weighted = (vectors * weight[:, None]).astype(np.float32)
 
     def run(batches: Iterator[dict]) -> Iterator[dict]:
         out = np.zeros((vectors.shape[1] if small else len(weight), vectors.shape[1]))
         for b in batches:
-            ids = [np.frombuffer(w, np.int32) for w in b["words"]]
+            ids = [np.frombuffer(w, kind).astype(np.int32) for w in b["words"]]
             at, passage = [], []
             first = 0
             for words in ids:
@@ -132,7 +135,7 @@ def _sums(encoded: DataFrame, items: Items, vectors: np.ndarray, small: bool) ->
     parts = map_rows(encoded, ["words"], run, "row int, vec array<double>").withColumn("vec", array_to_vector("vec"))
     sums = parts.groupBy("row").agg(Summarizer.sum(F.col("vec")).alias("vec")).select("row", vector_to_array("vec").alias("vec"))
     result = np.zeros((vectors.shape[1] if small else len(weight), vectors.shape[1]))
-    for row in sums.toLocalIterator():  # words x rank numbers
+    for row in sums.collect():  # words x rank numbers
         result[row.row] = row.vec
     return result if small else result * weight[:, None]
 
@@ -169,7 +172,46 @@ def common_words(item: np.ndarray, text: np.ndarray) -> int:
     return len(item) - row.bit_count()
 
 
-def _hits(ids: np.ndarray, items: Items, near: np.ndarray, by_width: dict, limits: dict) -> dict[int, tuple]:
+class Places:
+    """Which items a stretch of text can hold: the items of each weighted word, and what each item needs."""
+
+    def __init__(self, items: Items, limits: dict):
+        pairs = [np.unique(words) for words in items.words]
+        owner = np.repeat(np.arange(len(pairs)), [len(p) for p in pairs])
+        word = np.concatenate([np.zeros(0, np.int64), *pairs]).astype(np.int64)
+        order = np.argsort(word, kind="stable")
+        self.owners = owner[order]
+        self.starts = np.searchsorted(word[order], np.arange(len(items.vocabulary) + 1))
+        plain = np.array([int((items.weight[w] == 0).sum()) for w in items.words])
+        sizes = np.array([len(w) for w in items.words])
+        self.needs = np.maximum(np.ceil(limits["rephrased"] * sizes - 1e-9) - plain, limits["min_words"]).astype(int)
+        self.widths = np.array([1 << max(n - 1, 1).bit_length() for n in sizes.tolist()])
+
+    def stretches(self, ids: np.ndarray, weighted: np.ndarray) -> Iterator[tuple[int, int, int, np.ndarray]]:
+        """Width, start, end and items of the stretches that may hold items of this width."""
+        place = np.flatnonzero(weighted)
+        first = self.starts[ids[place]]
+        n = self.starts[ids[place] + 1] - first
+        item = self.owners[np.arange(n.sum()) + np.repeat(first - np.cumsum(n) + n, n)]
+        place = np.repeat(place, n)
+        for width in np.unique(self.widths[item]).tolist():
+            own = self.widths[item] == width
+            # a window and what is looked at around it lie in three blocks of this size
+            block = place[own] // (2 * width)
+            n_blocks = len(ids) // (2 * width) + 1
+            keys, times = np.unique(item[own] * (n_blocks + 2) + block + 1, return_counts=True)
+            near = times.copy()
+            for shift in (-1, 1):
+                at = np.minimum(np.searchsorted(keys, keys + shift), len(keys) - 1)
+                near += np.where(keys[at] == keys + shift, times[at], 0)
+            rich = keys[near >= self.needs[keys // (n_blocks + 2)]]
+            where = rich % (n_blocks + 2) - 1
+            for at in np.unique(where).tolist():
+                low, high = max((at - 1) * 2 * width, 0), min((at + 2) * 2 * width, len(ids))
+                yield width, low, high, rich[where == at] // (n_blocks + 2)
+
+
+def _hits(ids: np.ndarray, items: Items, near: np.ndarray, places: Places, limits: dict) -> dict[int, tuple]:
     """Best hit per item place for one document."""
     found: dict[int, tuple] = {}
     weighted = np.zeros(len(ids), bool)
@@ -177,37 +219,30 @@ def _hits(ids: np.ndarray, items: Items, near: np.ndarray, by_width: dict, limit
     weighted[known] = items.weight[ids[known]] > 0
     if weighted.sum() < limits["min_words"]:
         return found
-    counts = np.concatenate(([0], np.cumsum(weighted)))
-    place = np.flatnonzero(weighted)
-    vectors = items.basis[ids[place]]
-    for width, members in by_width.items():
-        starts = np.arange(0, max(len(ids) - width // 2, 1), max(width // 4, 1))
-        ends = np.minimum(starts + width, len(ids))
-        rich = counts[ends] - counts[starts] >= limits["min_words"]
-        starts, ends = starts[rich], ends[rich]
-        for chunk in range(0, len(starts), 4096):
-            some, until = starts[chunk : chunk + 4096], ends[chunk : chunk + 4096]
-            low, high = counts[some], counts[until]
-            base = int(low[0])
-            sums = np.vstack([np.zeros(vectors.shape[1]), np.cumsum(vectors[base : int(high[-1])], axis=0)])
-            windows = sums[high - base] - sums[low - base]
-            windows /= np.maximum(np.linalg.norm(windows, axis=1), 1e-12)[:, None]
-            cosines = windows @ near[members].T
-            for w, m in zip(*np.nonzero(cosines >= limits["cosine"]), strict=True):
-                item = members[m]
-                left = max(int(some[w]) - width // 2, 0)
-                right = min(int(until[w]) + width // 2, len(ids))
-                words = items.words[item]
-                common = common_words(words, ids[left:right])
-                if common < limits["rephrased"] * len(words):
-                    continue
-                tail = words[-ANSWER:]
-                tail = tail[items.weight[tail] > 0]
-                answer = common_words(tail, ids[left:right])
-                if common < limits["copied"] * len(words) and answer < limits["rephrased"] * max(len(tail), 1):
-                    continue
-                hit = (common, round(float(cosines[w, m]), 6), answer, left, right)
-                found[item] = max(found.get(item, hit), hit)
+    for width, low, high, members in places.stretches(ids, weighted):
+        part = ids[low:high]
+        own = np.flatnonzero(weighted[low:high])
+        sums = np.vstack([np.zeros(near.shape[1]), np.cumsum(items.basis[part[own]], axis=0)])
+        starts = np.arange(0, max(len(part) - width // 2, 1), max(width // 4, 1))
+        ends = np.minimum(starts + width, len(part))
+        windows = sums[np.searchsorted(own, ends)] - sums[np.searchsorted(own, starts)]
+        windows /= np.maximum(np.linalg.norm(windows, axis=1), 1e-12)[:, None]
+        cosines = windows @ near[members].T
+        for w, m in zip(*np.nonzero(cosines >= limits["cosine"]), strict=True):
+            item = int(members[m])
+            left = low + max(int(starts[w]) - width // 2, 0)
+            right = low + min(int(ends[w]) + width // 2, len(part))
+            words = items.words[item]
+            common = common_words(words, ids[left:right])
+            if common < limits["rephrased"] * len(words):
+                continue
+            tail = words[-ANSWER:]
+            tail = tail[items.weight[tail] > 0]
+            answer = common_words(tail, ids[left:right])
+            if common < limits["copied"] * len(words) and answer < limits["rephrased"] * max(len(tail), 1):
+                continue
+            hit = (common, round(float(cosines[w, m]), 6), answer, left, right)
+            found[item] = max(found.get(item, hit), hit)
     return found
 
 
@@ -216,18 +251,14 @@ def search(encoded: DataFrame, items: Items, item_type: str, limits: dict) -> Da
     near = items.projected()
     length = np.linalg.norm(near, axis=1)
     near /= np.maximum(length, 1e-12)[:, None]
-    by_width: dict[int, np.ndarray] = {}
-    for i, words in enumerate(items.words):
-        if (items.weight[words] > 0).sum() >= limits["min_words"] and length[i] > 0:
-            by_width.setdefault(1 << max(len(words) - 1, 1).bit_length(), []).append(i)
-    by_width = {w: np.array(m) for w, m in sorted(by_width.items())}
+    places = Places(items, limits)
 
     def run(batches: Iterator[dict]) -> Iterator[dict]:
         for b in batches:
             rows = [
                 (doc_id, items.ids[item], hit[1], hit[0] / len(items.words[item]), hit[2], hit[3], hit[4])
                 for doc_id, words in zip(b["doc_id"], b["words"], strict=True)
-                for item, hit in sorted(_hits(np.frombuffer(words, np.int32), items, near, by_width, limits).items())
+                for item, hit in sorted(_hits(np.frombuffer(words, items.kind).astype(np.int32), items, near, places, limits).items())
             ]
             names = ("doc_id", "item_id", "cosine", "common", "answer_common", "start_word", "end_word")
             yield {name: [r[i] for r in rows] for i, name in enumerate(names)}
@@ -240,7 +271,7 @@ def contaminated(
     docs: DataFrame,
     benchmark: DataFrame,
     rank: int = 256,
-    max_share: float = 0.02,
+    max_share: float = 0.005,
     min_words: int = 3,
     cosine: float = 0.5,
     copied: float = 0.8,
