@@ -64,7 +64,7 @@ def bitmap_of(rows: DataFrame, *columns: str, bits: int = BITS) -> np.ndarray:
         F.bitmap_construct_agg(F.bitmap_bit_position(slot)).alias("bits")
     )
     out = np.zeros(bits // 8, np.uint8)
-    for row in parts.toLocalIterator():  # bits / 8 bytes at most
+    for row in parts.collect():  # bits / 8 bytes at most
         out[(row.bucket - 1) * 4096 : row.bucket * 4096] = np.frombuffer(row.bits, np.uint8)
     return out
 

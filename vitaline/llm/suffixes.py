@@ -30,7 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vitaline.llm.common import batches_out, bitmap_of, chosen, in_bitmap, slot_of
@@ -148,87 +148,113 @@ def same_as_before(data: np.ndarray, order: np.ndarray) -> np.ndarray:
     return same
 
 
-def repeated(contexts: list[bytes], docs: np.ndarray) -> list[np.ndarray]:
-    """For each context, whether the string from each of its places on also starts in one of a smaller document."""
-    sizes = np.array([len(c) for c in contexts])
-    data = np.frombuffer(b"".join(contexts) + bytes(WINDOW + 2), np.uint8)
+def covered_strings(data: np.ndarray, sizes: np.ndarray, docs: np.ndarray) -> np.ndarray:
+    """For each string of each context, in sequence, whether it also starts in one of a smaller document.
+
+    `data` holds the contexts one after the other, `sizes` their bytes and `docs` their documents.
+    """
+    data = np.concatenate([data, np.zeros(WINDOW + 2, np.uint8)])
     begins = np.cumsum(sizes) - sizes
     counts = sizes - WINDOW + 1
     starts = np.arange(counts.sum()) + np.repeat(begins - np.cumsum(counts) + counts, counts)
+    order = suffix_order(data, starts)
     owner = np.zeros(len(data), np.int64)
     owner[starts] = np.repeat(docs, counts)
-    order = suffix_order(data, starts)
+    owner = owner[order]
     runs = np.flatnonzero(~same_as_before(data, order))
-    least = np.minimum.reduceat(owner[order], runs)
+    least = np.minimum.reduceat(owner, runs)
     covered = np.zeros(len(data), bool)
-    covered[order] = owner[order] > np.repeat(least, np.diff(np.append(runs, len(order))))
-    return [covered[b : b + n] for b, n in zip(begins.tolist(), counts.tolist(), strict=True)]
-
-
-def _spans(covered: np.ndarray, first: int) -> list[tuple[int, int]]:
-    """Byte ranges of runs of covered strings."""
-    edges = np.flatnonzero(np.diff(covered.astype(np.int8), prepend=0, append=0))
-    return [(a + first, b + first - 1 + WINDOW) for a, b in zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True)]
+    covered[order] = owner > np.repeat(least, np.diff(np.append(runs, len(order))))
+    return covered[starts]
+
+
+def covered_spans(
+    covered: np.ndarray, counts: np.ndarray, firsts: np.ndarray
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Context, start and end (in its document) of each run of covered strings; contexts have `counts` strings
+    from `firsts` on."""
+    ends = np.cumsum(counts)
+    begins = ends - counts
+    before = np.concatenate([[False], covered[:-1]])
+    before[begins] = False
+    after = np.concatenate([covered[1:], [False]])
+    after[ends - 1] = False
+    opens, closes = np.flatnonzero(covered & ~before), np.flatnonzero(covered & ~after)
+    context = np.searchsorted(ends, opens, side="right")
+    shift = (firsts - begins)[context]
+    return context, opens + shift, closes + shift + WINDOW
 
 
 def _grams(texts: DataFrame, bitmap: np.ndarray) -> DataFrame:
-    """gram, doc_id: of the documents of a portion of texts that have strings with this anchor, the first and last."""
+    """gram, doc_id, n: of the documents of a portion of texts that have strings with this anchor, the first and
+    the last, and how often the portion has it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-        grams, docs, size = [], [], 0
+        grams, docs, times, size = [], [], [], 0
 
         def rows() -> dict:
-            gram, doc = np.concatenate([np.zeros(0, np.uint64), *grams]), np.concatenate([np.zeros(0, np.int64), *docs])
+            gram = np.concatenate([np.zeros(0, np.uint64), *grams])
+            doc, n = (np.concatenate([np.zeros(0, np.int64), *x]) for x in (docs, times))
             order = np.lexsort((doc, gram))
-            gram, doc = gram[order], doc[order]
+            gram, doc, n = gram[order], doc[order], n[order]
             new = np.ones(len(gram), bool)
             new[1:] = gram[1:] != gram[:-1]
-            last = np.append(new[1:], True)[: len(gram)]
-            keep = new | (last & (doc != doc[np.maximum.accumulate(np.where(new, np.arange(len(gram)), 0))]))
-            grams.clear()
-            docs.clear()
-            return {"gram": gram[keep].view(np.int64), "doc_id": doc[keep]}
+            starts = np.flatnonzero(new)
+            ends = np.append(starts[1:], len(gram)) - 1 if len(starts) else starts
+            several = doc[starts] != doc[ends]
+            for x in (grams, docs, times):
+                x.clear()
+            total = np.add.reduceat(n, starts) if len(starts) else n
+            return {
+                "gram": np.concatenate([gram[starts], gram[ends][several]]).view(np.int64),
+                "doc_id": np.concatenate([doc[starts], doc[ends][several]]),
+                "n": np.concatenate([total, np.zeros(int(several.sum()), np.int64)]),
+            }
 
         for b in batches:
             b = chosen(b, bitmap)
             for doc_id, data in zip(b.column("doc_id").to_pylist(), b.column("data").to_pylist(), strict=True):
-                found = np.unique(anchors(data)[0])
+                found, n = np.unique(anchors(data)[0], return_counts=True)
                 grams.append(found)
                 docs.append(np.full(len(found), doc_id, np.int64))
+                times.append(n)
                 size += len(data)
                 if size > PORTION:
                     yield rows()
                     size = 0
         yield rows()
 
-    return batches_out(texts, run, "gram long, doc_id long")
+    return batches_out(texts, run, "gram long, doc_id long, n long")
 
 
 def _shared(grams: DataFrame) -> DataFrame:
-    """gram, of the grams of several documents. Tasks read whole grams, pre-aggregated; a gram needs two numbers."""
+    """gram, n: of the grams of several documents. Tasks read whole grams, pre-aggregated; a gram needs three
+    numbers at a time."""
     by_gram = grams.repartition(F.col("gram")).sortWithinPartitions("gram")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-        last_gram, low, high = None, 0, 0
+        last: tuple[int, int, int, int] | None = None  # gram, first and last document, times
         for b in batches:
-            gram, doc = (b.column(c).to_numpy(zero_copy_only=False) for c in ("gram", "doc_id"))
-            starts = np.flatnonzero(np.diff(gram, prepend=gram[0] - 1)) if len(gram) else []
-            if not len(starts):
+            if not b.num_rows:
                 continue
-            lows, highs, keys = np.minimum.reduceat(doc, starts), np.maximum.reduceat(doc, starts), gram[starts]
-            if last_gram == keys[0]:
-                lows[0], highs[0] = min(low, lows[0]), max(high, highs[0])
-            elif last_gram is not None and low != high:
-                yield {"gram": [last_gram]}
-            last_gram, low, high = int(keys[-1]), int(lows[-1]), int(highs[-1])
-            yield {"gram": keys[:-1][lows[:-1] != highs[:-1]]}
-        if last_gram is not None and low != high:
-            yield {"gram": [last_gram]}
-
-    return batches_out(by_gram, run, "gram long")
-
-
-def _slots(grams: np.ndarray, seeds: int = 1) -> np.ndarray:
+            gram, doc, n = (b.column(c).to_numpy(zero_copy_only=False) for c in ("gram", "doc_id", "n"))
+            starts = np.flatnonzero(np.append(True, gram[1:] != gram[:-1]))
+            keys, low, high = gram[starts], np.minimum.reduceat(doc, starts), np.maximum.reduceat(doc, starts)
+            total = np.add.reduceat(n, starts)
+            if last and last[0] == keys[0]:
+                low[0], high[0], total[0] = min(last[1], low[0]), max(last[2], high[0]), last[3] + total[0]
+            elif last and last[1] != last[2]:
+                yield {"gram": [last[0]], "n": [last[3]]}
+            last = (int(keys[-1]), int(low[-1]), int(high[-1]), int(total[-1]))
+            several = low[:-1] != high[:-1]
+            yield {"gram": keys[:-1][several], "n": total[:-1][several]}
+        if last and last[1] != last[2]:
+            yield {"gram": [last[0]], "n": [last[3]]}
+
+    return batches_out(by_gram, run, "gram long, n long")
+
+
+def _slots(grams: np.ndarray) -> np.ndarray:
     """Slots of grams, which are hashes already."""
     return ((grams >> np.uint64(7)) % np.uint64(GRAM_BITS)).astype(np.int64)
 
@@ -239,13 +265,16 @@ def _gram_bitmap(shared: DataFrame) -> np.ndarray:
         F.bitmap_construct_agg(F.bitmap_bit_position(slot)).alias("bits")
     )
     out = np.zeros(GRAM_BITS // 8, np.uint8)
-    for row in parts.toLocalIterator():  # GRAM_BITS / 8 bytes at most
+    for row in parts.collect():  # GRAM_BITS / 8 bytes at most
         out[(row.bucket - 1) * 4096 : row.bucket * 4096] = np.frombuffer(row.bits, np.uint8)
     return out
 
 
-def _contexts(texts: DataFrame, bitmap: np.ndarray, grams: np.ndarray) -> DataFrame:
-    """gram, doc_id, text_key, first, context: the bytes of all strings that a shared gram anchors in a text."""
+def _contexts(texts: DataFrame, bitmap: np.ndarray, grams: np.ndarray, hot: np.ndarray | None, want_hot: bool) -> DataFrame:
+    """gram, doc_id, text_key, first, context: the bytes of all strings that a shared gram anchors in a text.
+
+    The grams in the bitmap `hot` only, or all others; a few unshared ones come along.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         names = ("gram", "doc_id", "text_key", "first", "context")
@@ -255,6 +284,8 @@ def _contexts(texts: DataFrame, bitmap: np.ndarray, grams: np.ndarray) -> DataFr
             for row in b.select(["doc_id", "text_key", "data"]).to_pylist():
                 gram, first, last = anchors(row["data"])
                 some = in_bitmap(grams, _slots(gram))
+                if hot is not None:
+                    some &= in_bitmap(hot, _slots(gram)) == want_hot
                 first, last = first[some].tolist(), last[some].tolist()
                 out["gram"] += gram[some].view(np.int64).tolist()
                 out["doc_id"] += [row["doc_id"]] * len(first)
@@ -263,38 +294,48 @@ def _contexts(texts: DataFrame, bitmap: np.ndarray, grams: np.ndarray) -> DataFr
                 out["context"] += [row["data"][i : j + WINDOW] for i, j in zip(first, last, strict=True)]
             yield out
 
-    return batches_out(texts, run, "gram long, doc_id long, text_key binary, first long, context binary")
+    return batches_out(texts, run, "gram long, doc_id long, text_key long, first long, context binary")
 
 
 def _sorted_spans(contexts: DataFrame) -> DataFrame:
-    """text_key, doc_id, start, end of repeated strings; contexts of a gram are in one partition, in sequence."""
+    """text_key, doc_id, start, end of repeated strings; contexts of a gram are in one partition, in sequence.
+
+    About SORTED bytes are sorted together, always whole grams.
+    """
+
+    def spans(table: pa.Table) -> dict:
+        table = table.combine_chunks()
+        column = table.column("context").combine_chunks()
+        if isinstance(column, pa.ChunkedArray):
+            column = column.chunk(0)
+        offsets = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
+        data = np.frombuffer(column.buffers()[2], np.uint8)[offsets[0] : offsets[-1]]
+        sizes = np.diff(offsets).astype(np.int64)
+        docs, firsts = (table.column(c).to_numpy().astype(np.int64) for c in ("doc_id", "first"))
+        covered = covered_strings(data, sizes, docs)
+        context, start, end = covered_spans(covered, sizes - WINDOW + 1, firsts)
+        keys = table.column("text_key").to_numpy()
+        return {"text_key": keys[context], "doc_id": docs[context], "start": start, "end": end}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-        held: list[dict] = []
+        held: list[pa.RecordBatch] = []
         size = 0
-
-        def spans(rows: list[dict]) -> dict:
-            out: dict[str, list] = {n: [] for n in ("text_key", "doc_id", "start", "end")}
-            if rows:
-                found = repeated([r["context"] for r in rows], np.array([r["doc_id"] for r in rows], np.int64))
-                for r, covered in zip(rows, found, strict=True):
-                    for start, end in _spans(covered, r["first"]):
-                        out["text_key"].append(r["text_key"])
-                        out["doc_id"].append(r["doc_id"])
-                        out["start"].append(start)
-                        out["end"].append(end)
-            return out
-
         for b in batches:
-            for row in b.to_pylist():
-                if size > SORTED and row["gram"] != held[-1]["gram"]:
-                    yield spans(held)
-                    held, size = [], 0
-                held.append(row)
-                size += len(row["context"])
-        yield spans(held)
-
-    return batches_out(contexts, run, "text_key binary, doc_id long, start long, end long")
+            if b.num_rows:
+                held.append(b)
+                size += b.column("context").nbytes
+            if size > SORTED:
+                table = pa.Table.from_batches(held)
+                grams = table.column("gram").to_numpy()
+                whole = np.flatnonzero(grams != grams[-1])
+                if len(whole):
+                    yield spans(table.slice(0, int(whole[-1]) + 1))
+                    held = table.slice(int(whole[-1]) + 1).to_batches()
+                size = sum(x.column("context").nbytes for x in held)
+        if held:
+            yield spans(pa.Table.from_batches(held))
+
+    return batches_out(contexts, run, "text_key long, doc_id long, start long, end long")
 
 
 def _hot_spans(contexts: DataFrame) -> DataFrame:
@@ -311,28 +352,24 @@ def _hot_spans(contexts: DataFrame) -> DataFrame:
                 out["start"] += range(row["first"], row["first"] + n)
             yield out
 
-    strings = cut(batches_out(contexts, run, "digest binary, text_key binary, doc_id long, start long"))
+    strings = cut(batches_out(contexts, run, "digest binary, text_key long, doc_id long, start long"))
     least = strings.groupBy("digest").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"))
     found = strings.join(least.where("least < most"), "digest").where("doc_id > least")
     return found.select("text_key", "doc_id", "start", (F.col("start") + WINDOW).alias("end"))
 
 
-def repeated_spans(docs: DataFrame) -> DataFrame:
-    """text_key, doc_id, spans (start, end) of the repeated strings of one document of each class of equal texts."""
-    texts = docs.withColumn("slot", slot_of("text_key", "doc_id"))
-    classes = docs.where("doc_id IS NOT NULL").groupBy("text_key").agg(F.min("doc_id").alias("doc_id"))
-    firsts = bitmap_of(classes, "text_key", "doc_id")
+def repeated_spans(texts: DataFrame, firsts: np.ndarray) -> DataFrame:
+    """text_key, doc_id, spans (start, end): of the repeated strings of the texts whose slot is in `firsts`."""
     texts = texts.where(F.col("doc_id").isNotNull() & (F.length("data") >= WINDOW))
     shared = cut(_shared(_grams(texts, firsts)))
-    contexts = cut(_contexts(texts, firsts, _gram_bitmap(shared)))
-    counts = contexts.groupBy("gram").agg(F.count("*").alias("n")).join(shared, "gram", "left_semi")
-    counts = cut(counts)
-    usual = contexts.join(counts.where(F.col("n") <= HOT).select("gram"), "gram", "left_semi")
-    usual = _sorted_spans(usual.repartition(F.col("gram")).sortWithinPartitions("gram"))
-    hot = counts.where(F.col("n") > HOT).select("gram")
-    if not hot.isEmpty():
-        usual = usual.unionAll(_hot_spans(contexts.join(hot, "gram", "left_semi")))
-    return usual.groupBy("text_key", "doc_id").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
+    grams = _gram_bitmap(shared)
+    often = shared.where(F.col("n") > HOT)
+    hot = None if often.isEmpty() else _gram_bitmap(often)
+    usual = _contexts(texts, firsts, grams, hot, False).repartition(F.col("gram")).sortWithinPartitions("gram")
+    found = _sorted_spans(usual)
+    if hot is not None:
+        found = found.unionAll(_hot_spans(_contexts(texts, firsts, grams, hot, True)))
+    return found.groupBy("text_key", "doc_id").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
 
 
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -345,36 +382,66 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
+_RESULT = "doc_id long, n_bytes long, kept binary, spans array<struct<start: long, end: long>>"
+
+
+def _cut_out(rows: Iterator[tuple[int | None, bytes, list[tuple[int, int]]]]) -> dict:
+    out: dict[str, list] = {n: [] for n in ("doc_id", "n_bytes", "kept", "spans")}
+    for doc_id, text, spans in rows:
+        at, kept = 0, []
+        for start, end in spans:
+            kept.append(text[at:start])
+            at = end
+        out["doc_id"].append(doc_id)
+        out["n_bytes"].append(len(text))
+        out["kept"].append(b"".join([*kept, text[at:]]))
+        out["spans"].append([{"start": s, "end": e} for s, e in spans])
+    return out
+
+
 def drop_repeated_bytes(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, kept (the remaining bytes), spans: maximal removed runs (start, end) of every row."""
     kind = dict(docs.dtypes)["doc_id"]
     data = F.coalesce(F.col("text").cast("binary"), F.lit(b""))
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), data.alias("data"))
-    docs = docs.withColumn("text_key", F.unhex(F.md5("data")))
-    found = repeated_spans(docs)
-    # a copy has a class mate with a smaller id
-    classes = docs.where("doc_id IS NOT NULL").groupBy("text_key").agg(F.min("doc_id").alias("least"))
-    classes = classes.join(found.withColumnRenamed("doc_id", "least"), ["text_key", "least"], "left")
-    rows = docs.join(classes, "text_key", "left")
+    classes = docs.where("doc_id IS NOT NULL").groupBy(F.unhex(F.md5("data")).alias("digest"))
+    classes = classes.agg(F.min("doc_id").alias("doc_id")).select("doc_id", _text_key(F.hex("digest")).alias("text_key"))
+    # a row that is not among these is a copy, and covered whole; one that is there by chance only is sorted too
+    firsts = bitmap_of(classes, "text_key", "doc_id")
+    texts = docs.withColumn("text_key", _text_key(F.md5("data"))).withColumn("slot", slot_of("text_key", "doc_id"))
+    found = cut(repeated_spans(texts, firsts))
+    spanned = bitmap_of(found, "text_key", "doc_id")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+    def plain(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         for b in batches:
-            out: dict[str, list] = {n: [] for n in ("doc_id", "n_bytes", "kept", "spans")}
-            for row in b.select(["doc_id", "data", "least", "spans"]).to_pylist():
-                text, spans = row["data"], []
-                if row["doc_id"] is not None and row["doc_id"] > row["least"]:
-                    spans = [(0, len(text))] if len(text) >= WINDOW else []
-                elif row["doc_id"] is not None and row["spans"]:
-                    spans = merged([(s["start"], s["end"]) for s in row["spans"]])
-                at, kept = 0, []
-                for start, end in spans:
-                    kept.append(text[at:start])
-                    at = end
-                out["doc_id"].append(row["doc_id"])
-                out["n_bytes"].append(len(text))
-                out["kept"].append(b"".join([*kept, text[at:]]))
-                out["spans"].append([{"start": s, "end": e} for s, e in spans])
-            yield out
+            slots = b.column("slot").to_numpy(zero_copy_only=False)
+            first, moved = in_bitmap(firsts, slots), in_bitmap(spanned, slots)
+            rows = zip(b.column("doc_id").to_pylist(), b.column("data").to_pylist(), first, moved, strict=True)
+            copy = lambda i, text, f: i is not None and not f and len(text) >= WINDOW
+            yield _cut_out(
+                (i, text, [(0, len(text))] if copy(i, text, f) else []) for i, text, f, m in rows if i is None or not m or not f
+            )
+
+    def moving(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+        for b in batches:
+            slots = b.column("slot").to_numpy(zero_copy_only=False)
+            some = in_bitmap(firsts, slots) & in_bitmap(spanned, slots)
+            b = b.filter(pa.array(some & ~b.column("doc_id").is_null().to_numpy(zero_copy_only=False)))
+            yield {name: b.column(name) for name in ("doc_id", "text_key", "data")}
 
-    done = batches_out(rows, run, "doc_id long, n_bytes long, kept binary, spans array<struct<start: long, end: long>>")
+    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+        for b in batches:
+            rows = b.select(["doc_id", "data", "spans"]).to_pylist()
+            yield _cut_out(
+                (r["doc_id"], r["data"], merged([(s["start"], s["end"]) for s in r["spans"] or []])) for r in rows
+            )
+
+    moved = batches_out(texts, moving, "doc_id long, text_key long, data binary")
+    joined = moved.join(found, ["text_key", "doc_id"], "left").select("doc_id", "data", "spans")
+    done = batches_out(texts, plain, _RESULT).unionAll(batches_out(joined, apply, _RESULT))
     return done.withColumn("doc_id", F.col("doc_id").cast(kind))
+
+
+def _text_key(digest: Column) -> Column:
+    """Sixty bits of a digest. Together with the id they tell rows apart."""
+    return F.conv(F.substring(digest, 1, 15), 16, 10).cast("long")
