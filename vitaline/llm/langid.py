@@ -226,8 +226,9 @@ def _word_counts(docs: DataFrame) -> dict[str, Counter]:
 
     counted = map_rows(docs, ["lang", "text"], run, "lang string, word binary, n long")
     counts: dict[str, Counter] = {}
-    for lang, word, n in counted.groupBy("lang", "word").agg(F.sum("n")).collect():
-        counts.setdefault(lang, Counter())[bytes(word)] = n
+    table = counted.groupBy("lang", "word").agg(F.sum("n").alias("n")).toPandas()  # a third of the memory of rows
+    for lang, own in table.groupby("lang"):
+        counts[lang] = Counter(dict(zip(map(bytes, own["word"]), own["n"].tolist(), strict=True)))
     return counts
 
 
