@@ -11,8 +11,8 @@ ln((n1 + a) / (n0 + a)). A last predictor expects the token before once more: it
 decisions agree with that token's, -1 where they first differ, then 0.
 
 Gated weights. A gate is chosen by the place in the token and by how often the two longest contexts were
-seen. Each gate has its own weights, a logistic regression fitted by Newton steps to a bounded sample, the
-FIT_KEYS distinct tokens with the lowest hashes, weighted by their counts over all learning documents; a
+seen. Each gate has its own weights, a logistic regression fitted by Newton steps to a bounded sample, about
+FIT_KEYS distinct tokens chosen by hash, weighted by their counts over all learning documents; a
 token's own occurrence is taken out of the counts before it is predicted.
 
 Online mixing. Within a document, the gate's log odds and all inputs are mixed once more by weights that
@@ -40,6 +40,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
+from pyspark.core.broadcast import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -56,15 +57,18 @@ COMMON = 1 << 18
 PORTION = 1_000_000  # bytes of texts whose distinct tokens are looked up together
 FLUSH_KEYS = 300_000
 CHUNK = 2048  # keys whose decisions are worked out together
-FIT_KEYS = 200_000  # distinct keys, by hash, to which the gates are fitted
+FIT_KEYS = 200_000  # distinct keys, by hash, to which the gates are fitted, about
+FILL_KEYS = 1_500_000  # keys for which a task fills tables of its own
 END = b"\n"
 #: bytes of the context (None: the whole token so far), whether the script belongs to it, bits of the table's size
 PREDICTORS = ((1, True, 18), (3, False, 20), (5, False, 20), (3, True, 20), (None, False, 21), (None, True, 21))
 K = len(PREDICTORS)
 _PIECE = 1 << 16  # slots summed together
+_MOST = np.iinfo(np.uint32).max
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 _P = np.uint64(0x100000001B3)
 _P_INVERSE = np.uint64(pow(0x100000001B3, -1, 1 << 64))
+_WAY_BITS = np.append(1 << np.arange(WAY - 1, -1, -1, dtype=np.int64), 0)
 _PLACES = np.array([0, 1, 2, 3, 3, 4])  # place in the token -> class, 4 from the fifth byte on
 _SEEN = np.array([0, 1, 1, 1, 2, 2, 2, 2, 2, 2, 2, 2, 2, 2, 2, 2, 3], np.uint8)  # times seen -> class, 3 from 16 on
 GATES = 5 * 4 * 4
@@ -125,6 +129,9 @@ class Code:
         for byte, way in enumerate(ways):
             for depth, (node, branch) in enumerate(way):
                 self.nodes[byte, depth], self.branches[byte, depth] = node, bool(branch)
+        self.width = self.nodes.shape[1]
+        self.flat_nodes = (self.nodes.reshape(-1) + np.uint64(1)) * _M1
+        self.flat_branches = self.branches.reshape(-1)
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
@@ -139,23 +146,23 @@ class Decisions:
         script = np.array([k[0] for k in keys], np.uint64)
         tokens = [k[1:] for k in keys]
         joined = b"".join([t if t == END else t + b" " for t in tokens])
-        data = np.frombuffer(joined, np.uint8)
+        data = np.frombuffer(joined, np.uint8).astype(np.int64)
         sizes = np.array([len(t) + (t != END) for t in tokens], np.int64)
         starts = np.cumsum(sizes) - sizes
         place = np.arange(len(data)) - np.repeat(starts, sizes)
         values = data.astype(np.uint64) + np.uint64(1)
         counts = code.length[data]
-        byte = np.repeat(np.arange(len(data)), counts)
-        depth = np.arange(len(byte)) - np.repeat(np.cumsum(counts) - counts, counts)
-        node = code.nodes[data[byte], depth]
-        self.branch = code.branches[data[byte], depth]
-        self.place = place[byte]
+        begin = np.cumsum(counts) - counts
+        # row of the code's table: the byte's first one, and on from there
+        at = np.arange(begin[-1] + counts[-1] if len(data) else 0) + np.repeat(data * code.width - begin, counts)
+        node = code.flat_nodes[at]
+        self.branch = code.flat_branches[at]
+        self.place = np.repeat(place, counts)
         self.counts = np.add.reduceat(counts, starts) if len(tokens) else counts
         first = np.cumsum(self.counts) - self.counts
-        step = np.arange(len(byte)) - np.repeat(first, self.counts)
-        early = np.where((step < WAY) & self.branch, 1 << np.maximum(WAY - 1 - step, 0), 0)
+        step = np.minimum(np.arange(len(at)) - np.repeat(first, self.counts), WAY)
+        early = _WAY_BITS[step] * self.branch
         self.way = np.add.reduceat(early, first) if len(tokens) else early  # the first WAY branches of each key
-        node = (node + np.uint64(1)) * _M1
         self.slots = []
         script = (np.repeat(script, sizes) + np.uint64(1)) * _M2
         hashes: dict[int | None, np.ndarray] = {}
@@ -179,8 +186,11 @@ class Decisions:
                     older[place < reach] = 0
                     context = _mix(context * _M1 + older + np.uint64(reach))
             hashes[order] = context
-            mixed = ((_mix(context ^ script) if with_script else context)[byte] ^ node) * _M2
-            self.slots.append((mixed >> np.uint64(64 - bits)).astype(np.int64))
+            mixed = np.repeat(_mix(context ^ script) if with_script else context, counts)
+            mixed ^= node
+            mixed *= _M2
+            mixed >>= np.uint64(64 - bits)
+            self.slots.append(mixed.view(np.int64))
 
 
 def gates(place: np.ndarray, seen: list[np.ndarray]) -> np.ndarray:
@@ -205,15 +215,16 @@ class Model:
         self.tables = tables
         self.odds: list[np.ndarray] = []
         self.classes: list[np.ndarray] = []
+        self.shared: Broadcast | None = None  # this model with its tables, sent to the executors once
 
     def __getstate__(self) -> dict:
-        return {**self.__dict__, "odds": [], "classes": []}
+        return {**self.__dict__, "odds": [], "classes": [], "shared": None}
 
     def prepare(self) -> None:
         """Log odds of all slots, once per worker."""
         if not self.odds:
             self.odds = [log_odds(t[1].astype(np.float32), t[0].astype(np.float32)) for t in self.tables]
-            self.classes = [seen_class(t.sum(0)) for t in self.tables[-2:]]
+            self.classes = [seen_class(t.sum(0, dtype=np.int64)) for t in self.tables[-2:]]
 
     def learning_inputs(self, keys: list[bytes]) -> tuple[Decisions, np.ndarray, np.ndarray]:
         """Decisions, gates and inputs, signed by the branch, with one own occurrence taken out."""
@@ -249,6 +260,7 @@ class Model:
 
 _BAND_START = 1 / (1 + np.exp(-(np.arange(BANDS) + 0.5) * BAND_WIDTH))  # of the likelier branch
 _BAND_START[0] = 0.5  # the band around 0 tells nothing
+_NATS = 1 / math.log(2)  # bits
 _STEPS = np.array([STEP] * (K + 1) + [REPEAT_STEP], np.float32)
 
 
@@ -288,7 +300,7 @@ def document_bits(keys: np.ndarray, first: np.ndarray, rows: np.ndarray, ways: n
         z *= np.float32(1 / BAND_WIDTH)
         z += np.float32(BANDS)
         band = np.clip(z, 0, 2 * BANDS - 0.5, out=z).astype(np.intp)
-        total -= float(np.log2(p + table[band]).sum(dtype=float)) - len(p)
+        total += len(p) - float(np.log(p + table[band]).sum(dtype=float)) * _NATS
         gradient = (one - p) @ x
         squares += gradient * gradient
         weights += _STEPS * gradient / np.sqrt(squares)
@@ -347,8 +359,22 @@ def _byte_counts(counts: DataFrame) -> np.ndarray:
     return out
 
 
-def _tables(counts: DataFrame, code: Code) -> list[np.ndarray]:
-    """Counts of decisions by branch and slot; tasks fill whole tables, Spark sums them piece by piece."""
+def _packed(values: np.ndarray) -> bytes:
+    """The slots of a piece that are not 0, and their counts."""
+    slots = np.flatnonzero(values)
+    return slots.astype(np.uint16).tobytes() + np.minimum(values[slots], _MOST).astype(np.uint32).tobytes()
+
+
+def _add_packed(total: np.ndarray, packed: bytes) -> None:
+    n = len(packed) // 6
+    total[np.frombuffer(packed, np.uint16, n)] += np.frombuffer(packed, np.uint32, n, 2 * n)
+
+
+def _tables(counts: DataFrame, code: Code, keys: int) -> list[np.ndarray]:
+    """Counts of decisions by branch and slot; tasks fill whole tables, Spark sums them piece by piece.
+
+    A task takes FILL_KEYS keys or more, since what it hands on is up to the tables' size.
+    """
 
     def run(batches: Iterator[dict]) -> Iterator[dict]:
         tables = [np.zeros((2, 1 << bits), np.int64) for *_, bits in PREDICTORS]
@@ -360,26 +386,30 @@ def _tables(counts: DataFrame, code: Code) -> list[np.ndarray]:
                     np.add.at(table.reshape(-1), slots + d.branch * table.shape[1], times)
         for k, table in enumerate(tables):
             flat = table.reshape(-1)
-            for piece in range(0, len(flat), _PIECE):
-                part = flat[piece : piece + _PIECE]
-                if part.any():
-                    yield {"k": [k], "piece": [piece], "data": [part.tobytes()]}
+            pieces = [p for p in range(0, len(flat), _PIECE) if flat[p : p + _PIECE].any()]
+            yield {"k": [k] * len(pieces), "piece": pieces, "data": [_packed(flat[p : p + _PIECE]) for p in pieces]}
 
     def add(parts: pd.DataFrame) -> pd.DataFrame:
-        total = sum(np.frombuffer(d, np.int64) for d in parts["data"])
-        total = np.minimum(total, np.iinfo(np.uint32).max).astype(np.uint32)
-        return pd.DataFrame({"k": parts["k"][:1], "piece": parts["piece"][:1], "data": [total.tobytes()]})
+        total = np.zeros(_PIECE, np.int64)
+        for packed in parts["data"]:
+            _add_packed(total, packed)
+        return pd.DataFrame({"k": parts["k"][:1], "piece": parts["piece"][:1], "data": [_packed(total)]})
 
     schema = "k int, piece int, data binary"
-    filled = map_rows(counts, ["key", "n"], run, schema)
-    tables = [np.zeros((2, 1 << bits), np.uint32) for *_, bits in PREDICTORS]
-    for row in filled.groupBy("k", "piece").applyInPandas(add, schema).toLocalIterator():  # the tables' size
-        part = np.frombuffer(row.data, np.uint32)
-        tables[row.k].reshape(-1)[row.piece : row.piece + len(part)] = part
-    return tables
+    filled = map_rows(counts.coalesce(max(6, keys // FILL_KEYS)), ["key", "n"], run, schema)
+    tables = [np.zeros((2, 1 << bits), np.int64) for *_, bits in PREDICTORS]
+    for row in filled.groupBy("k", "piece").applyInPandas(add, schema).collect():  # the tables' size
+        _add_packed(tables[row.k].reshape(-1)[row.piece : row.piece + _PIECE], row.data)
+    return [scaled(table) for table in tables]
 
 
-def _fit_gates(counts: DataFrame, model: Model, steps: int) -> np.ndarray:
+def scaled(table: np.ndarray) -> np.ndarray:
+    """Counts in 16 bits: both counts of a slot are halved until they fit."""
+    bits = np.frexp(table.max(0).astype(float))[1]
+    return (table >> np.maximum(bits - 16, 0)).astype(np.uint16)
+
+
+def _fit_gates(counts: DataFrame, shared: Broadcast, steps: int) -> np.ndarray:
     """Weights by gate after Newton steps over the keys in `counts`."""
     weights = np.full((GATES, K), 0.3)
     for _ in range(steps):
@@ -389,7 +419,7 @@ def _fit_gates(counts: DataFrame, model: Model, steps: int) -> np.ndarray:
             sums = np.zeros((GATES, K + K * K))
             for b in batches:
                 for start in range(0, len(b["key"]), CHUNK):
-                    d, gate, x = model.learning_inputs(b["key"][start : start + CHUNK])
+                    d, gate, x = shared.value.learning_inputs(b["key"][start : start + CHUNK])
                     times = np.repeat(np.array(b["n"][start : start + CHUNK], float), d.counts)
                     order = np.argsort(gate.astype(np.uint8), kind="stable")
                     x, gate, times = x[order].astype(float), gate[order], times[order]
@@ -416,12 +446,29 @@ def _fit_gates(counts: DataFrame, model: Model, steps: int) -> np.ndarray:
 def fit(counts: DataFrame, steps: int = 3) -> Model:
     """A model from counted keys (key, n)."""
     code = Code(_byte_counts(counts))
-    model = Model(code, _tables(counts, code), np.full((GATES, K), 0.3))
-    sample = counts.orderBy(F.xxhash64("key"), "key").limit(FIT_KEYS)
-    model.weights = _fit_gates(cut(sample.repartition(16)), model, steps)
+    keys = counts.count()
+    model = Model(code, _tables(counts, code, keys), np.full((GATES, K), 0.3))
+    share = min(1.0, FIT_KEYS / max(keys, 1))
+    sample = cut(counts.where(F.pmod(F.xxhash64("key"), F.lit(1 << 20)) < int(share * (1 << 20))))
+    model.shared = counts.sparkSession.sparkContext.broadcast(model)
+    model.weights = _fit_gates(sample, model.shared, steps)
     return model
 
 
+def _most_common(counts: DataFrame, most: int) -> dict[bytes, int]:
+    """At most `most` tokens with their counts: all above a limit, found by eighths of powers of two."""
+    level = F.floor(F.log2("c") * 8).cast("int")
+    levels = {r.level: r.n for r in counts.groupBy(level.alias("level")).agg(F.count("*").alias("n")).collect()}
+    total, least = 0, 1 << 20
+    for at in sorted(levels, reverse=True):  # a few hundred levels
+        total += levels[at]
+        if total > most:
+            break
+        least = at
+    rows = counts.where(level >= least).toPandas()
+    return dict(zip(map(bytes, rows["token"]), rows["c"].tolist(), strict=True))
+
+
 def score(docs: DataFrame, model: Model, counts: DataFrame, common: int = COMMON) -> DataFrame:
     """doc_id, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte of every row."""
     kind = dict(docs.dtypes)["doc_id"]
@@ -429,12 +476,15 @@ def score(docs: DataFrame, model: Model, counts: DataFrame, common: int = COMMON
     counts = cut(counts.groupBy(token.alias("token")).agg(F.sum("n").alias("c")))
     totals = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
     space = math.log10(totals.n + 0.5 * (totals.v + 1))
-    top = counts.orderBy(F.desc("c"), "token").limit(common).toPandas()  # `common` tokens
-    known = dict(zip(map(bytes, top["token"]), top["c"].tolist(), strict=True))
+    known = _most_common(counts, common)
     names = ("row", "doc_id", "n_tokens", "n_known", "base", "bits", "n_bytes", "token", "n")
 
+    shared, weights = model.shared, model.weights
+
     def run(batches: Iterator[dict]) -> Iterator[dict]:
         row = TaskContext.get().partitionId() << 40
+        model = shared.value
+        model.weights = weights
         for ids, keys, texts in _portions(batches):
             first, rows, ways = model.inputs(keys)
             seen = np.array([known.get(k[1:], -1) for k in keys], float)
