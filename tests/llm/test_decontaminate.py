@@ -95,3 +95,27 @@ def test_paraphrases_and_odd_rows(spark):
     assert kept == [3, 4, 6, 7, 8]
     assert d.contaminated(docs.limit(0), items).count() == 0
     assert d.contaminated(docs, items.limit(0)).count() == 0
+
+
+def test_copies_in_many_documents_and_in_small_tables(spark):
+    rng = random.Random(4)
+    filler = lambda n: " ".join(f"q{rng.randint(0, 3000)}" for _ in range(n))
+    hot, plain = [f"a{k}" for k in range(24)], [f"p{k}" for k in range(12)]
+    benchmark = [(0, " ".join(hot)), (1, " ".join(plain)), (2, " ".join(f"n{k}" for k in range(20))), (3, "p1 p2")]
+    items = spark.createDataFrame(benchmark, "item_id long, text string")
+    rephrased = " ".join(w if k % 4 else "q1" for k, w in enumerate(hot))
+    answerless = " ".join(w if k < 15 else "q1" for k, w in enumerate(hot))
+
+    def found(texts):
+        docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+        return sorted((r.doc_id, r.item_id) for r in d.contaminated(docs, items).collect())
+
+    # a third of the documents hold one item, as it is or rephrased; the words of another are everywhere
+    texts = []
+    for i in range(300):
+        middle = (" ".join(hot) if i % 2 else rephrased) if i % 3 == 0 else " ".join(plain[::-1])
+        texts.append(f"{filler(60)} {middle} {filler(40)}")
+    texts += [f"{filler(70)} {' '.join(plain)} {filler(30)}", f"{filler(70)} {answerless} {filler(30)}"]
+    assert found(texts) == [(i, 0) for i in range(0, 300, 3)] + [(300, 1)]
+    small = [f"{filler(90)} {' '.join(hot)} {filler(90)}", " ".join(hot), filler(50), rephrased, answerless]
+    assert found(small) == [(0, 0), (1, 0), (3, 0)]

@@ -4,24 +4,28 @@ Texts are read as words (lower-cased, ASCII punctuation separates); only words o
 all others are one unknown word that matches nothing.
 
 1. Documents become word numbers, cut into passages of PASSAGE words; documents per word of passages give
-   the inverse document frequencies. Words in more than `max_share` of the passages carry no weight.
+   the inverse document frequencies. Words in more than `max_share` of the passages carry no weight here.
 2. A randomised SVD of the TF-IDF matrix of all passages and the benchmark items (weighted to have the same
    total) gives `rank` directions: the matrix is multiplied with random vectors and its transpose in the
    tasks, Spark sums the products by word, and small dense algebra of (words x rank) is left to the driver.
 3. Items and overlapping windows of the documents are projected. An item of n words is searched in windows
    of the next power of two; a window is a candidate for every item whose cosine in the latent space is
    `cosine` or more. Windows are laid only where an item can be a hit at all: a hit needs `rephrased` of the
-   item's words, so the surroundings must have as many of its weighted words as these are more than its
-   unweighted ones (and `min_words` in any case). Words are counted per item and stretch of text for that.
+   item's words, so the surroundings must have as many of its anchors as these are more than its other words.
+   Words are counted per item and stretch of text for that. Anchors are the item's weighted words if these
+   are so many that every hit has `min_words` of them. An item with fewer (short, plain, or copied so often
+   that its own words are frequent) has its least frequent words as anchors, as many as this takes, and all
+   windows whose surroundings have the anchors and words it needs are candidates, whatever their cosine. So
+   how often a passage is copied, and how small the table is, does not decide whether it is looked at.
 4. A candidate and its surroundings are checked by the longest common subsequence of words: a hit has
    `copied` of the item's words, or `rephrased` of them and as large a share of the weighted words of its
-   answer (the last ANSWER words).
+   answer (the last ANSWER words; its anchors there if no word is weighted, all of it if there are none).
 
 The benchmark is a query set, searched in blocks of BLOCK items, so all that is broadcast is bounded by a
 block. A hit is (doc_id, item_id, cosine, common, answer_common, start_word, end_word), the best one per
-document and item. Null and empty texts have no hits, neither have items with fewer than `min_words`
-weighted words. Documents that share an id share their hits; extra columns are ignored; an empty table on
-either side gives no hits.
+document and item. The cosine is 0 for items without weighted words. Null and empty texts have no hits,
+neither have items with fewer than `min_words` words. Documents that share an id share their hits; extra
+columns are ignored; an empty table on either side gives no hits.
 """
 
 from __future__ import annotations
@@ -59,6 +63,7 @@ class Items:
         self.words = [np.array([self.vocabulary[w] for w in s], np.int32) for s in split]
         self.kind = np.dtype("<i2" if len(self.vocabulary) < 1 << 15 else "<i4")  # of packed word numbers
         self.weight = np.zeros(len(self.vocabulary))  # inverse document frequencies, once known
+        self.share = np.zeros(len(self.vocabulary))  # of the passages that have the word, once known
         self.basis = np.zeros((len(self.vocabulary), 0))  # words x rank, times the weights
 
     def projected(self) -> np.ndarray:
@@ -173,37 +178,67 @@ def common_words(item: np.ndarray, text: np.ndarray) -> int:
 
 
 class Places:
-    """Which items a stretch of text can hold: the items of each weighted word, and what each item needs."""
+    """Which items a stretch of text can hold: the items of each anchor, and what each item needs."""
 
     def __init__(self, items: Items, limits: dict):
-        pairs = [np.unique(words) for words in items.words]
-        owner = np.repeat(np.arange(len(pairs)), [len(p) for p in pairs])
-        word = np.concatenate([np.zeros(0, np.int64), *pairs]).astype(np.int64)
+        sizes = np.array([len(w) for w in items.words])
+        least = np.ceil(limits["rephrased"] * sizes - 1e-9).astype(int)  # words of a hit
+        self.direct = np.zeros(len(sizes), bool)  # items that are searched without the cosine
+        self.anchors, self.answers, plain = [], [], []
+        for i, words in enumerate(items.words):
+            anchor = items.weight[words] > 0
+            enough = min(sizes[i] - least[i] + limits["min_words"], sizes[i])
+            if anchor.sum() < enough:
+                self.direct[i] = True
+                share = items.share[words]
+                anchor |= share <= np.sort(share)[enough - 1]
+            own = np.unique(words[anchor])
+            plain.append(sizes[i] - int(anchor.sum()))
+            self.anchors.append(own if sizes[i] >= limits["min_words"] else own[:0])
+            tail = words[-ANSWER:]
+            for some in (items.weight[tail] > 0, np.isin(tail, own)):
+                if some.any():
+                    tail = tail[some]
+                    break
+            self.answers.append(tail)
+        owner = np.repeat(np.arange(len(sizes)), [len(a) for a in self.anchors])
+        word = np.concatenate([np.zeros(0, np.int64), *self.anchors]).astype(np.int64)
         order = np.argsort(word, kind="stable")
         self.owners = owner[order]
         self.starts = np.searchsorted(word[order], np.arange(len(items.vocabulary) + 1))
-        plain = np.array([int((items.weight[w] == 0).sum()) for w in items.words])
-        sizes = np.array([len(w) for w in items.words])
-        self.needs = np.maximum(np.ceil(limits["rephrased"] * sizes - 1e-9) - plain, limits["min_words"]).astype(int)
+        self.anchoring = np.append(np.diff(self.starts) > 0, False)  # by word; the last is for unknown ones
+        self.least = least
+        self.needs = np.maximum(least - np.array(plain, int), limits["min_words"])
         self.widths = np.array([1 << max(n - 1, 1).bit_length() for n in sizes.tolist()])
+        self.marks = np.zeros(len(items.vocabulary) + 1, bool)
+
+    def rich(self, part: np.ndarray, item: int, words: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """The windows whose surroundings (left, right) have the anchors and words that a hit of the item has."""
+        found = np.arange(len(left))
+        for some, least in ((self.anchors[item], self.needs[item]), (words, self.least[item])):
+            self.marks[some] = True
+            sums = np.concatenate(([0], np.cumsum(self.marks[part])))
+            self.marks[some] = False
+            found = found[sums[right[found]] - sums[left[found]] >= least]
+            if not len(found):
+                break
+        return found
 
-    def stretches(self, ids: np.ndarray, weighted: np.ndarray) -> Iterator[tuple[int, int, int, np.ndarray]]:
+    def stretches(self, ids: np.ndarray) -> Iterator[tuple[int, int, int, np.ndarray]]:
         """Width, start, end and items of the stretches that may hold items of this width."""
-        place = np.flatnonzero(weighted)
+        place = np.flatnonzero(self.anchoring[ids])
         first = self.starts[ids[place]]
         n = self.starts[ids[place] + 1] - first
         item = self.owners[np.arange(n.sum()) + np.repeat(first - np.cumsum(n) + n, n)]
         place = np.repeat(place, n)
         for width in np.unique(self.widths[item]).tolist():
             own = self.widths[item] == width
-            # a window and what is looked at around it lie in three blocks of this size
+            # a window and what is looked at around it lie in two adjacent blocks of this size
             block = place[own] // (2 * width)
             n_blocks = len(ids) // (2 * width) + 1
             keys, times = np.unique(item[own] * (n_blocks + 2) + block + 1, return_counts=True)
-            near = times.copy()
-            for shift in (-1, 1):
-                at = np.minimum(np.searchsorted(keys, keys + shift), len(keys) - 1)
-                near += np.where(keys[at] == keys + shift, times[at], 0)
+            next_one = np.append(np.where(keys[1:] == keys[:-1] + 1, times[1:], 0), 0)
+            near = times + np.maximum(next_one, np.append(0, np.where(next_one[:-1] > 0, times[:-1], 0)))
             rich = keys[near >= self.needs[keys // (n_blocks + 2)]]
             where = rich % (n_blocks + 2) - 1
             for at in np.unique(where).tolist():
@@ -211,38 +246,50 @@ class Places:
                 yield width, low, high, rich[where == at] // (n_blocks + 2)
 
 
+def _cosines(
+    part: np.ndarray, weighted: np.ndarray, starts: np.ndarray, ends: np.ndarray, basis: np.ndarray, near: np.ndarray
+) -> np.ndarray:
+    """Windows by items."""
+    own = np.flatnonzero(weighted)
+    sums = np.vstack([np.zeros(near.shape[1]), np.cumsum(basis[part[own]], axis=0)])
+    windows = sums[np.searchsorted(own, ends)] - sums[np.searchsorted(own, starts)]
+    windows /= np.maximum(np.linalg.norm(windows, axis=1), 1e-12)[:, None]
+    return windows @ near.T
+
+
 def _hits(ids: np.ndarray, items: Items, near: np.ndarray, places: Places, limits: dict) -> dict[int, tuple]:
     """Best hit per item place for one document."""
     found: dict[int, tuple] = {}
-    weighted = np.zeros(len(ids), bool)
     known = ids >= 0
+    weighted = np.zeros(len(ids), bool)
     weighted[known] = items.weight[ids[known]] > 0
-    if weighted.sum() < limits["min_words"]:
-        return found
-    for width, low, high, members in places.stretches(ids, weighted):
+    for width, low, high, members in places.stretches(ids):
         part = ids[low:high]
-        own = np.flatnonzero(weighted[low:high])
-        sums = np.vstack([np.zeros(near.shape[1]), np.cumsum(items.basis[part[own]], axis=0)])
         starts = np.arange(0, max(len(part) - width // 2, 1), max(width // 4, 1))
         ends = np.minimum(starts + width, len(part))
-        windows = sums[np.searchsorted(own, ends)] - sums[np.searchsorted(own, starts)]
-        windows /= np.maximum(np.linalg.norm(windows, axis=1), 1e-12)[:, None]
-        cosines = windows @ near[members].T
-        for w, m in zip(*np.nonzero(cosines >= limits["cosine"]), strict=True):
-            item = int(members[m])
-            left = low + max(int(starts[w]) - width // 2, 0)
-            right = low + min(int(ends[w]) + width // 2, len(part))
-            words = items.words[item]
-            common = common_words(words, ids[left:right])
-            if common < limits["rephrased"] * len(words):
-                continue
-            tail = words[-ANSWER:]
-            tail = tail[items.weight[tail] > 0]
-            answer = common_words(tail, ids[left:right])
-            if common < limits["copied"] * len(words) and answer < limits["rephrased"] * max(len(tail), 1):
-                continue
-            hit = (common, round(float(cosines[w, m]), 6), answer, left, right)
-            found[item] = max(found.get(item, hit), hit)
+        cosines = None
+        lefts, rights = np.maximum(starts - width // 2, 0), np.minimum(ends + width // 2, len(part))
+        for m, item in enumerate(members.tolist()):
+            words, tail = items.words[item], places.answers[item]
+            if places.direct[item]:
+                candidates = places.rich(part, item, words, lefts, rights)
+                # nothing in the parts if not in the whole
+                if not len(candidates) or common_words(words, part[lefts[candidates[0]] : rights[candidates[-1]]]) < places.least[item]:
+                    continue
+            if cosines is None:
+                cosines = _cosines(part, weighted[low:high], starts, ends, items.basis, near[members])
+            if not places.direct[item]:
+                candidates = np.flatnonzero(cosines[:, m] >= limits["cosine"])
+            for w in candidates.tolist():
+                left, right = low + int(lefts[w]), low + int(rights[w])
+                common = common_words(words, ids[left:right])
+                if common < places.least[item]:
+                    continue
+                answer = common_words(tail, ids[left:right])
+                if common < limits["copied"] * len(words) and answer < limits["rephrased"] * len(tail):
+                    continue
+                hit = (common, round(float(cosines[w, m]), 6), answer, left, right)
+                found[item] = max(found.get(item, hit), hit)
     return found
 
 
@@ -309,6 +356,7 @@ def _block(docs: DataFrame, own: DataFrame, rank: int, max_share: float, item_ty
     counts = {r.word: r.n for r in counts}
     total = counts.pop(-1, 0)
     share = np.array([counts.get(i, 0) for i in range(len(items.vocabulary))]) / max(total, 1)
+    items.share = share
     items.weight = np.where(share <= max_share, np.log((1 + total) / (1 + share * total)) + 1, 0.0)
     basis = latent_basis(encoded, items, min(rank, len(items.ids)))
     items.basis = basis * items.weight[:, None]
