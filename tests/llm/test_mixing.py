@@ -132,3 +132,11 @@ def test_odd_rows(spark):
     assert m.learn_and_score(docs.limit(0), docs["doc_id"] == 2).count() == 0
     none = m.learn_and_score(docs, docs["n"] == 1).collect()  # nothing to learn from
     assert all(r.train_tokens == 0 and r.n_known == 0 and math.isfinite(r.score) for r in none)
+
+
+def test_gates_are_fitted_to_all_keys(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(m, "_tables", lambda *_: [np.zeros((2, 1), np.uint16) for _ in m.PREDICTORS])
+    monkeypatch.setattr(m, "_fit_gates", lambda counts, *_: seen.append(counts.agg({"n": "sum"}).first()[0]))
+    m.fit(spark.sql("SELECT concat(x'00', cast(cast(id AS string) AS binary)) AS key, id AS n FROM range(300000)"))
+    assert seen == [300_000 * 299_999 // 2]

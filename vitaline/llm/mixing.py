@@ -11,9 +11,9 @@ ln((n1 + a) / (n0 + a)). A last predictor expects the token before once more: it
 decisions agree with that token's, -1 where they first differ, then 0.
 
 Gated weights. A gate is chosen by the place in the token and by how often the two longest contexts were
-seen. Each gate has its own weights, a logistic regression fitted by Newton steps to a bounded sample, about
-FIT_KEYS distinct tokens chosen by hash, weighted by their counts over all learning documents; a
-token's own occurrence is taken out of the counts before it is predicted.
+seen. Each gate has its own weights, a logistic regression fitted by Newton steps to all distinct tokens,
+weighted by their counts over all learning documents; a token's own occurrence is taken out of the counts
+before it is predicted.
 
 Online mixing. Within a document, the gate's log odds and all inputs are mixed once more by weights that
 start at (1, 0, ..., 0) and take a gradient step after every BLOCK tokens. Adaptive refinement then replaces
@@ -57,7 +57,6 @@ COMMON = 1 << 18
 PORTION = 1_000_000  # bytes of texts whose distinct tokens are looked up together
 FLUSH_KEYS = 300_000
 CHUNK = 2048  # keys whose decisions are worked out together
-FIT_KEYS = 200_000  # distinct keys, by hash, to which the gates are fitted, about
 FILL_KEYS = 1_500_000  # keys for which a task fills tables of its own
 END = b"\n"
 #: bytes of the context (None: the whole token so far), whether the script belongs to it, bits of the table's size
@@ -448,10 +447,8 @@ def fit(counts: DataFrame, steps: int = 3) -> Model:
     code = Code(_byte_counts(counts))
     keys = counts.count()
     model = Model(code, _tables(counts, code, keys), np.full((GATES, K), 0.3))
-    share = min(1.0, FIT_KEYS / max(keys, 1))
-    sample = cut(counts.where(F.pmod(F.xxhash64("key"), F.lit(1 << 20)) < int(share * (1 << 20))))
     model.shared = counts.sparkSession.sparkContext.broadcast(model)
-    model.weights = _fit_gates(sample, model.shared, steps)
+    model.weights = _fit_gates(counts, model.shared, steps)
     return model
 
 
