@@ -8,7 +8,19 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vitaline.llm import bpe, decontaminate, html_text, jaccard, langid, line_templates, mixing, quality, suffixes, units
+from vitaline.llm import (
+    bpe,
+    decontaminate,
+    html_text,
+    jaccard,
+    langid,
+    line_templates,
+    merkle,
+    mixing,
+    quality,
+    suffixes,
+    units,
+)
 from vitaline.llm.common import documents, fold
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -92,3 +104,11 @@ def op6_difference_cover(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.size("spans").cast("long").alias("n_spans"),
         F.sha2("kept", 256).alias("kept_sha256"),
     )
+
+
+@query
+def op13_checkpoint_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.audit(documents(spark, sf_dir))
+
+
+ORACLES["op13_checkpoint_merkle"] = merkle.SQL
