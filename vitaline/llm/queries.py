@@ -17,6 +17,7 @@ from vitaline.llm import (
     line_templates,
     merkle,
     mixing,
+    periodic,
     quality,
     suffixes,
     units,
@@ -106,6 +107,11 @@ def op6_difference_cover(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def op12_frequency_splitting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic.digests(periodic.collapse(documents(spark, sf_dir), rewrite=periodic.planted))
+
+
 @query
 def op13_checkpoint_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.audit(documents(spark, sf_dir))
