@@ -16,6 +16,7 @@ from vitaline.llm import (
     langid,
     line_templates,
     merkle,
+    minhash,
     mixing,
     periodic,
     quality,
@@ -82,6 +83,9 @@ def op3_shingle_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.near_duplicates(documents(spark, sf_dir))
 
 
+ORACLES["op3_shingle_jaccard"] = minhash.sql(5)
+
+
 @query
 def op5_latent_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
@@ -107,6 +111,14 @@ def op6_difference_cover(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def op11_superminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(documents(spark, sf_dir))
+
+
+ORACLES["op11_superminhash"] = minhash.SQL
+
+
 @query
 def op12_frequency_splitting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic.digests(periodic.collapse(documents(spark, sf_dir), rewrite=periodic.planted))
