@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 
 from vitaline import schemas
 from vitaline.config import EVENT_TABLES, KEY, PRESCRIPTIONS, STEMS
+from vitaline.sources.quoted_csv import CSV, read_quoted_csv
 
 # Texts a CSV may hold for a missing value.
 MISSING_TEXTS = [
@@ -55,32 +56,25 @@ def table_path(root: str, stage: str, name: str, with_rx: bool = True) -> str:
     return f"{root}/{folder}/{STEMS[name]}{suffix}{mark}"
 
 
-# Quotes inside a field are doubled; blanks around a field and empty texts are kept as they are.
-CSV = {
-    "header": True,
-    "quote": '"',
-    "escape": '"',
-    "ignoreLeadingWhiteSpace": False,
-    "ignoreTrailingWhiteSpace": False,
-    "emptyValue": "",
-}
-
-
 def read_csv(
     spark: SparkSession, path: str, schema: T.StructType, row_index: bool = False, multi_line: bool = True
 ) -> DataFrame:
     """A CSV with a header, each column parsed to its type or failing; `row_index`: drop the first column.
 
     The header must name the columns of `schema` in their order; the row index may have any name. With
-    `multi_line` fields may hold line breaks and a file is read by one task; without it files are split.
+    `multi_line` fields may hold line breaks: records are then looked for in all blocks of a file at once, see
+    `quoted_csv`, and written as a table. Without it files are read as they are, once for each result.
     """
     names = [*(["_index"] if row_index else []), *schema.names]
-    header = spark.read.options(**CSV, multiLine=multi_line, inferSchema=False).csv(path).columns
+    header = spark.read.options(**CSV, inferSchema=False).csv(path).columns
     found = [c.strip() for c in header[1:]] if row_index else [c.strip() for c in header]
     if found != schema.names:
         raise ValueError(f"{path} has the columns {found}, not {schema.names}")
     texts = T.StructType([T.StructField(n, T.StringType()) for n in names])
-    frame = spark.read.schema(texts).options(**CSV, multiLine=multi_line, enforceSchema=True).csv(path)
+    if multi_line:
+        frame = read_quoted_csv(spark, path, texts)
+    else:
+        frame = spark.read.schema(texts).options(**CSV, enforceSchema=True).csv(path)
     return frame.select(*[_typed(F.col(f.name), f.dataType).alias(f.name) for f in schema.fields])
 
 
@@ -94,25 +88,26 @@ def _typed(text, kind: T.DataType):
 
 
 def read_tables(
-    spark: SparkSession, root: str, stage: str, with_rx: bool = True, fmt: str = "parquet"
+    spark: SparkSession, root: str, stage: str, with_rx: bool = True, fmt: str = "parquet", multi_line: bool = True
 ) -> Tables:
-    """The eight tables of a stage; nothing is read until a result is asked for."""
+    """The eight tables of a stage. Parquet, and CSV without `multi_line`, is read when a result is asked for."""
     kinds = _kinds(stage)
     frames = {}
     for name in STEMS:
         path = table_path(root, stage, name, with_rx)
         if fmt == "csv":
-            frames[name] = read_csv(spark, f"{path}.csv", kinds[name], row_index=stage == "raw")
+            frames[name] = read_csv(spark, f"{path}.csv", kinds[name], row_index=stage == "raw", multi_line=multi_line)
         else:
             frames[name] = spark.read.schema(kinds[name]).parquet(f"{path}.parquet")
     return Tables(**frames)
 
 
 def write_tables(tables: Tables, root: str, stage: str, with_rx: bool = True, fmt: str = "parquet") -> None:
-    """All eight tables in the column types of the stage."""
+    """All eight tables in the column types of the stage; raw CSV has a row index in front."""
     kinds = _kinds(stage)
+    index = [F.monotonically_increasing_id().alias("_index")] if stage == "raw" and fmt == "csv" else []
     for name, frame in tables.items():
-        typed = frame.select(*[F.col(f.name).cast(f.dataType) for f in kinds[name].fields])
+        typed = frame.select(*index, *[F.col(f.name).cast(f.dataType) for f in kinds[name].fields])
         write_frame(typed, f"{table_path(root, stage, name, with_rx)}.{fmt}", fmt)
 
 
