@@ -1011,3 +1011,28 @@ ORACLES["auc_micro_macro"] = _with(
     f"""SELECT round({_pairs_auc("pooled")}, 6) AS auc_micro,
     round(({_pairs_auc("p")} + {_pairs_auc("second")}) / 2, 6) AS auc_macro""",
 )
+
+# --- files: what comes back is what was written ---------------------------------------------------
+
+ORACLES["csv_documents"] = "SELECT doc_id, n_chars, lang, source, md5(text) AS text_md5 FROM documents"
+ORACLES["csv_raw_events"] = _with(RAW, " UNION ALL ".join(_all_columns(f"SELECT * FROM {n}", n) for n in EVENTS))
+# Stored registries have their stage's types: numbers are doubles.
+_YEARS = ["annonascita", "annodecesso", "annoprimoaccesso", "annodiagnosidiabete"]
+_PERSONAL = ["scolarita", "statocivile", "professione"]
+
+
+def _doubles(table: str, columns: list[str]) -> str:
+    return f"SELECT * REPLACE ({', '.join(f'CAST({c} AS DOUBLE) AS {c}' for c in columns)}) FROM {table}"
+
+
+ORACLES["csv_raw_registry"] = _with(raw("registry"), _doubles("registry", [*_YEARS, *_PERSONAL, "origine"]))
+ORACLES["committed_clean_csv"] = _with(CLEAN, _doubles("c_registry", _PERSONAL))
+ORACLES["committed_clean"] = _with(CLEAN, " UNION ALL ".join(_all_columns(f"SELECT * FROM c_{n}", n) for n in EVENTS))
+for _name, _same in {
+    "funnel_from_writes": "funnel_rows_per_table",
+    "committed_balanced": "balanced_events",
+    "committed_age_fractions": "age_fraction_events",
+    "committed_features": "flat_features",
+    "committed_texts": "history_text",
+}.items():
+    ORACLES[_name] = ORACLES[_same]

@@ -28,9 +28,22 @@ from vitaline.operators import (
 )
 from vitaline.operators.timeline import union_all
 from vitaline.plans import clean, prepare, stages
-from vitaline.session import tune
+from vitaline.session import new_folder, tune
+from vitaline.sources.commits import write_frame
 from vitaline.sources.derived import amd_codes, atc_codes, source
-from vitaline.sources.tables import Tables, text_records
+from vitaline.sources.quoted_csv import read_quoted_csv
+from vitaline.sources.tables import (
+    Tables,
+    read_age_fraction_tables,
+    read_features,
+    read_tables,
+    read_texts,
+    text_records,
+    write_age_fraction_tables,
+    write_features,
+    write_tables,
+    write_texts,
+)
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -276,6 +289,83 @@ def clean_registry(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stages.clean(spark, sf_dir).registry
 
 
+@query
+def funnel_from_writes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reports.recorded_rows(clean.written_steps(stages.raw(spark, sf_dir), new_folder(spark)))
+
+
+# --- files ---------------------------------------------------------------------------------------
+
+
+@query
+def csv_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts with line breaks and quotes, written as CSV and read by blocks."""
+    docs, path = source(spark, sf_dir, "documents"), f"{new_folder(spark)}/documents.csv"
+    write_frame(docs, path, "csv")
+    back = read_quoted_csv(spark, path, docs.schema)
+    numbers = [F.col(n).cast("long").alias(n) for n in ("doc_id", "n_chars")]
+    return back.select(*numbers, "lang", "source", F.md5("text").alias("text_md5"))
+
+
+@query
+def csv_raw_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    root = new_folder(spark)
+    write_tables(stages.raw(spark, sf_dir), root, "raw", fmt="csv")
+    return _all_columns(read_tables(spark, root, "raw", fmt="csv").events())
+
+
+@query
+def csv_raw_registry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    root = new_folder(spark)
+    write_tables(stages.raw(spark, sf_dir), root, "raw", fmt="csv")
+    return read_tables(spark, root, "raw", fmt="csv").registry
+
+
+@query
+def committed_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    root = new_folder(spark)
+    write_tables(stages.clean(spark, sf_dir), root, "clean")
+    return _all_columns(read_tables(spark, root, "clean", check="digest").events())
+
+
+@query
+def committed_clean_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every value of a stage comes back from CSV, by the digest taken while it was written."""
+    root = new_folder(spark)
+    write_tables(stages.clean(spark, sf_dir), root, "clean", fmt="csv")
+    return read_tables(spark, root, "clean", fmt="csv", check="digest").registry
+
+
+@query
+def committed_balanced(spark: SparkSession, sf_dir: str) -> DataFrame:
+    root = new_folder(spark)
+    write_tables(stages.balanced(spark, sf_dir), root, "balanced")
+    return _all_columns(read_tables(spark, root, "balanced", check="digest").events())
+
+
+@query
+def committed_age_fractions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    root = new_folder(spark)
+    write_age_fraction_tables(features.age_fraction(stages.clean(spark, sf_dir)), root)
+    t = read_age_fraction_tables(spark, root, check="digest")
+    rows = [df.select(F.lit(n).alias("table"), *KEY, "delta_data") for n, df in t.events().items()]
+    return _rounded(timeline.union_all(rows))
+
+
+@query
+def committed_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    root = new_folder(spark)
+    write_features(features.flat_features(stages.clean(spark, sf_dir)), root, "flat")
+    return _rounded(read_features(spark, root, "flat", fill=None, check="digest"))
+
+
+@query
+def committed_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    root = new_folder(spark)
+    write_texts(history_text(spark, sf_dir), root)
+    return read_texts(spark, root, check="digest")
+
+
 # --- reports -------------------------------------------------------------------------------------
 
 

@@ -26,6 +26,7 @@ from vitaline.operators.quality import (
 from vitaline.operators.repair import life_years, plausible_events, repair_from_firsts
 from vitaline.operators.timeline import daily_rollup, union_all
 from vitaline.session import cut
+from vitaline.sources.commits import check_committed, write_committed
 from vitaline.sources.tables import Tables
 
 
@@ -104,6 +105,36 @@ def chained_steps(tables: Tables, as_of: dt.date = AS_OF, seed: int = SEED, with
     }
 
 
+def written_steps(
+    tables: Tables, folder: str, as_of: dt.date = AS_OF, seed: int = SEED, with_rx: bool = True
+) -> dict[str, DataFrame]:
+    """The commit record of each step (see `chained_steps`): its tables are written below `folder`, each made from
+    the written tables of the step before, so every table is read once a step and its rows are told by the write."""
+    spark = tables.registry.sparkSession
+    patients = choose_patients(tables, as_of, with_rx)
+    records: dict[str, DataFrame] = {}
+
+    def kept(step: str, of: Tables) -> Tables:
+        place = f"{folder}/{step.replace(' ', '_')}"
+        frames = {name: (frame, f"{place}/{name}") for name, frame in of.items()}
+        records[step] = write_committed(spark, frames, f"{place}/_commit")
+        back = {name: spark.read.schema(frame.schema).parquet(path) for name, (frame, path) in frames.items()}
+        check_committed(spark, f"{place}/_commit", back)
+        return Tables(**back)
+
+    cohort = keep_tables(tables, patients.cohort.select(*KEY))
+    left = kept("1 cohort", cohort.replace(diagnosi=cohort.diagnosi.filter(F.col("data").isNotNull())))
+    for step, registry in (("2 dates", patients.repaired), ("3 span", patients.spanned), ("5 label", patients.labelled)):
+        if step == "2 dates":
+            events = left.map_events(lambda df: plausible_events(df, patients.repaired, as_of))
+        else:  # a patient's dates do not change any more, so only patients go
+            keys = registry.select(*KEY)
+            events = left.map_events(lambda df, keys=keys: df.join(keys, KEY, "left_semi"))
+        left = kept(step, events.replace(registry=registry))
+    kept("6 clean", clean_values(left, seed))
+    return records
+
+
 def patient_funnel(patients: Patients) -> DataFrame:
     """(step, patients) after each step, and the classes of the last."""
     steps = {

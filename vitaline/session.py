@@ -43,6 +43,11 @@ def tables_dir(spark: SparkSession) -> str:
     return f"{checkpoint_dir(spark)}/tables/{spark.sparkContext.applicationId}"
 
 
+def new_folder(spark: SparkSession) -> str:
+    """A folder of its own beside the tables of this application, removed with them."""
+    return f"{tables_dir(spark)}/{uuid.uuid4().hex}"
+
+
 def forget(spark: SparkSession) -> None:
     """Delete all tables `cut` has written in this application, once its results are written."""
     folder = spark._jvm.org.apache.hadoop.fs.Path(tables_dir(spark))
@@ -55,7 +60,7 @@ def cut(df: DataFrame) -> DataFrame:
     Later reads see the same rows whichever executors are lost, and know the table's size, so a join
     to it is broadcast only where the written files are small enough.
     """
-    path = f"{tables_dir(df.sparkSession)}/{uuid.uuid4().hex}"
+    path = new_folder(df.sparkSession)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

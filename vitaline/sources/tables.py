@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 
 from vitaline import schemas
 from vitaline.config import EVENT_TABLES, KEY, PRESCRIPTIONS, STEMS
+from vitaline.sources.commits import check_committed, committed, write_committed, write_frame  # noqa: F401
 from vitaline.sources.quoted_csv import CSV, read_quoted_csv
 
 # Texts a CSV may hold for a missing value.
@@ -87,10 +88,26 @@ def _typed(text, kind: T.DataType):
     return present.cast(kind)
 
 
+def record_path(root: str, stage: str, with_rx: bool = True) -> str:
+    """Where the commit record of a stage is kept."""
+    folder, suffix = STAGES[stage]
+    return f"{root}/{folder}/_commit{suffix}{'_pres' if with_rx and suffix else ''}"
+
+
 def read_tables(
-    spark: SparkSession, root: str, stage: str, with_rx: bool = True, fmt: str = "parquet", multi_line: bool = True
+    spark: SparkSession,
+    root: str,
+    stage: str,
+    with_rx: bool = True,
+    fmt: str = "parquet",
+    multi_line: bool = True,
+    check: str = "rows",
 ) -> Tables:
-    """The eight tables of a stage. Parquet, and CSV without `multi_line`, is read when a result is asked for."""
+    """The eight tables of a stage. Parquet, and CSV without `multi_line`, is read when a result is asked for.
+
+    A stage must be committed and pass `check` (see `check_committed`); raw tables come from elsewhere and are
+    taken as they are.
+    """
     kinds = _kinds(stage)
     frames = {}
     for name in STEMS:
@@ -99,51 +116,71 @@ def read_tables(
             frames[name] = read_csv(spark, f"{path}.csv", kinds[name], row_index=stage == "raw", multi_line=multi_line)
         else:
             frames[name] = spark.read.schema(kinds[name]).parquet(f"{path}.parquet")
+    if stage != "raw":
+        check_committed(spark, record_path(root, stage, with_rx), frames, check)
     return Tables(**frames)
 
 
-def write_tables(tables: Tables, root: str, stage: str, with_rx: bool = True, fmt: str = "parquet") -> None:
-    """All eight tables in the column types of the stage; raw CSV has a row index in front."""
+def write_tables(tables: Tables, root: str, stage: str, with_rx: bool = True, fmt: str = "parquet") -> DataFrame:
+    """All eight tables in the column types of the stage, and their commit record, which is returned; raw CSV has
+    a row index in front."""
     kinds = _kinds(stage)
     index = [F.monotonically_increasing_id().alias("_index")] if stage == "raw" and fmt == "csv" else []
+    frames = {}
     for name, frame in tables.items():
         typed = frame.select(*index, *[F.col(f.name).cast(f.dataType) for f in kinds[name].fields])
-        write_frame(typed, f"{table_path(root, stage, name, with_rx)}.{fmt}", fmt)
+        frames[name] = typed, f"{table_path(root, stage, name, with_rx)}.{fmt}"
+    return write_committed(tables.registry.sparkSession, frames, record_path(root, stage, with_rx), fmt)
 
 
 def _kinds(stage: str) -> dict[str, T.StructType]:
     return schemas.RAW if stage == "raw" else schemas.CLEAN
 
 
-def write_frame(frame: DataFrame, path: str, fmt: str = "parquet") -> None:
-    writer = frame.write.mode("overwrite")
-    if fmt == "csv":
-        writer.options(**CSV).csv(path)
-    else:
-        writer.parquet(path)
+def _write_one(frame: DataFrame, folder: str, name: str) -> DataFrame:
+    return write_committed(frame.sparkSession, {name: (frame, f"{folder}/{name}.parquet")}, f"{folder}/_commit_{name}")
 
 
-def write_age_fraction_tables(tables: Tables, root: str) -> None:
-    """The tables whose dates became fractions of the longest life."""
-    for name, frame in tables.items():
-        write_frame(frame, f"{root}/delta_eta/{STEMS[name]}_delta.parquet")
+def _read_one(spark: SparkSession, folder: str, name: str, check: str) -> DataFrame:
+    record = f"{folder}/_commit_{name}"
+    committed(spark, record)
+    frame = spark.read.parquet(f"{folder}/{name}.parquet")
+    check_committed(spark, record, {name: frame}, check)
+    return frame
+
 
+def write_age_fraction_tables(tables: Tables, root: str) -> DataFrame:
+    """The tables whose dates became fractions of the longest life; their commit record."""
+    folder = f"{root}/delta_eta"
+    frames = {name: (frame, f"{folder}/{STEMS[name]}_delta.parquet") for name, frame in tables.items()}
+    return write_committed(tables.registry.sparkSession, frames, f"{folder}/_commit")
 
-def write_features(features: DataFrame, root: str, name: str) -> None:
-    write_frame(features, f"{root}/features/{name}.parquet")
+
+def read_age_fraction_tables(spark: SparkSession, root: str, check: str = "rows") -> Tables:
+    committed(spark, f"{root}/delta_eta/_commit")
+    frames = {name: spark.read.parquet(f"{root}/delta_eta/{stem}_delta.parquet") for name, stem in STEMS.items()}
+    check_committed(spark, f"{root}/delta_eta/_commit", frames, check)
+    return Tables(**frames)
 
 
-def read_features(spark: SparkSession, root: str, name: str, fill: float = -100.0) -> DataFrame:
-    """A stored feature table with missing numbers filled."""
-    return spark.read.parquet(f"{root}/features/{name}.parquet").fillna(fill)
+def write_features(features: DataFrame, root: str, name: str) -> DataFrame:
+    return _write_one(features, f"{root}/features", name)
+
+
+def read_features(
+    spark: SparkSession, root: str, name: str, fill: float | None = -100.0, check: str = "rows"
+) -> DataFrame:
+    """A stored feature table with missing numbers filled (`fill=None`: left missing)."""
+    stored = _read_one(spark, f"{root}/features", name, check)
+    return stored if fill is None else stored.fillna(fill)
 
 
-def write_texts(texts: DataFrame, root: str) -> None:
-    write_frame(texts, f"{root}/texts.parquet")
+def write_texts(texts: DataFrame, root: str) -> DataFrame:
+    return _write_one(texts, root, "texts")
 
 
-def read_texts(spark: SparkSession, root: str) -> DataFrame:
-    return spark.read.parquet(f"{root}/texts.parquet")
+def read_texts(spark: SparkSession, root: str, check: str = "rows") -> DataFrame:
+    return _read_one(spark, root, "texts", check)
 
 
 def text_records(texts: DataFrame) -> DataFrame:
