@@ -70,6 +70,15 @@ def test_units_equal_brute_force(spark):
     assert units.drop_repeated_units(docs.limit(0)).count() == 0
 
 
+def test_short_units_count_too(spark):
+    rows = [(1, "x\ny z\n-\n\n7"), (2, "X!\n-\n\n7\nw"), (3, "y z"), (4, "\n\n--"), (5, "a " * 100_000 + "\nA " + " a" * 99_999)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    out = {r.doc_id: r for r in units.drop_repeated_units(docs).collect()}
+    assert {i: r.starts for i, r in out.items() if r.starts} == brute(rows, 1)
+    assert {i: r.text for i, r in out.items() if i < 5} == {1: rows[0][1], 2: "-\n\nw", 3: "", 4: "\n\n--"}
+    assert out[5].text == rows[4][1].split("\n")[0]
+
+
 def test_paragraphs_and_repeated_rows(spark):
     rows = [(1, "a b\nc d\n\nx"), (1, "a b\nc d\n\nx"), (2, "y\n \na b c\nd\n\nz"), (None, "q")]
     docs = spark.createDataFrame(rows, "doc_id long, text string")

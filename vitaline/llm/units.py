@@ -6,8 +6,8 @@ with the same digest are one group, whether in one document or in many. Of a gro
 lowest (doc_id, start) stays, all others are removed. Offsets are in characters of the original text; a
 removed unit takes its separator along: the one after it, or for the last units of a text the one before them.
 
-Units of fewer than `min_words` words stay, so that common short lines do not count as copies. Null texts
-stay null and have no units. Rows that share an id rank equally and share their places: equal rows are kept
+Every unit with a letter or digit counts, however short; with `min_words` above 1 units of fewer words stay. Null
+texts stay null and have no units. Rows that share an id rank equally and share their places: equal rows are kept
 or lose the same units. Extra columns are ignored; an empty table gives an empty result.
 """
 
@@ -41,7 +41,7 @@ def cut_units(text: str, separator: re.Pattern) -> Iterator[tuple[int, int]]:
     yield start, len(text)
 
 
-def units(docs: DataFrame, unit: str = "line", min_words: int = 10) -> DataFrame:
+def units(docs: DataFrame, unit: str = "line", min_words: int = 1) -> DataFrame:
     """doc_id, start, digest of every unit of `min_words` words or more."""
     kind = dict(docs.dtypes)["doc_id"]
 
@@ -89,7 +89,7 @@ def removed_spans(text: str, starts: list[int], separator: re.Pattern) -> list[t
     return spans
 
 
-def drop_repeated_units(docs: DataFrame, unit: str = "line", min_words: int = 10) -> DataFrame:
+def drop_repeated_units(docs: DataFrame, unit: str = "line", min_words: int = 1) -> DataFrame:
     """doc_id, text without repeated units, spans (start, end in the original text), starts of the removed
     units, n_units_removed."""
     kind = dict(docs.dtypes)["doc_id"]
@@ -129,7 +129,7 @@ lines AS (
          count(*) OVER (PARTITION BY doc_id) AS n_lines,
          trim(regexp_replace(lower(raw), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+', ' ', 'g')) AS norm
   FROM raws),
-units AS (SELECT * FROM lines WHERE norm <> '' AND len(string_split(norm, ' ')) >= 10),
+units AS (SELECT * FROM lines WHERE norm <> ''),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY norm ORDER BY doc_id, start) AS rank FROM units),
 marked AS (
   SELECT lines.*, ranked.rank IS NOT NULL AS gone
