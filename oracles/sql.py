@@ -1036,3 +1036,12 @@ for _name, _same in {
     "committed_texts": "history_text",
 }.items():
     ORACLES[_name] = ORACLES[_same]
+
+ORACLES["split_sizes_exact"] = _with(
+    raw("registry"),
+    f"""SELECT idana, idcentro, CASE WHEN place <= round(0.6 * n) THEN 'train'
+      WHEN place <= round(0.6 * n) + round(0.3 * n) THEN 'test' ELSE 'val' END AS split
+    FROM (SELECT *, row_number() OVER (ORDER BY {_U_SPLIT}, idana, idcentro) AS place, count(*) OVER () AS n FROM registry)""",
+)
+ORACLES["checked_labels"] = _with(CLEAN, "SELECT idana, idcentro, label FROM c_registry")
+ORACLES["checked_numbers"] = ORACLES["flat_features"]

@@ -90,13 +90,6 @@ def test_a_given_offset_must_exceed_ids(spark):
             made(t.registry, offset=100000)
 
 
-def test_label_check(spark):
-    balance.check_label(tables(spark, [person(1), person(2, label=True)]).registry)
-    three = frame(spark, [("a",), ("b",), ("c",)], "label string")
-    with pytest.raises(ValueError, match="3 values"):
-        balance.check_label(three)
-
-
 def test_splits_are_disjoint_and_of_the_right_size(spark):
     registry = spark.range(20000).select(F.col("id").alias("idana"), F.lit(1).alias("idcentro"))
     split = balance.split_patients(registry)

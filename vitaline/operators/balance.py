@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import dataclasses
 from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame
@@ -11,7 +12,8 @@ from pyspark.sql import functions as F
 from vitaline.config import COPY_ID_OFFSET, JITTER_SIGMA_DAYS, KEEP_FRACTION, KEY, SEED, SPLIT_60_30_10
 from vitaline.functions.hashing import gaussian_days, hash_uniform
 from vitaline.operators.cohort import keep_patients
-from vitaline.operators.skew import collapse_copies, expand_copies, join_on_key, running_total
+from vitaline.operators.skew import collapse_copies, expand_copies, running_total
+from vitaline.session import cut
 from vitaline.sources.tables import Tables
 
 SAMPLE_BUCKETS = 1 << 14
@@ -27,11 +29,13 @@ def class_sizes(registry: DataFrame) -> DataFrame:
     )
 
 
-def check_label(registry: DataFrame) -> None:
-    """Raise when the label has more than two values."""
-    values = registry.agg(F.count_distinct(F.coalesce(F.col("label").cast("string"), F.lit("null")))).head()[0]
-    if values > 2:
-        raise ValueError(f"label has {values} values, at most 2 are allowed")
+def require_two_labels(registry: DataFrame) -> DataFrame:
+    """The registry, with a label that fails in the task that meets a third value (a missing one counts)."""
+    text = F.coalesce(F.col("label").cast("string"), F.lit("null"))
+    ends = registry.agg(F.struct(F.min(text).alias("low"), F.max(text).alias("high")).alias("ends")).scalar()
+    third = (text != ends["low"]) & (text != ends["high"])
+    told = F.concat(F.lit("label has a third value: "), text)
+    return registry.withColumn("label", F.when(third, F.raise_error(told).cast("boolean")).otherwise(F.col("label")))
 
 
 def exact_sample(df: DataFrame, size: Column, seed: int, purpose: str, by: list[str]) -> DataFrame:
@@ -67,6 +71,25 @@ def undersample(tables: Tables, seed: int = SEED) -> Tables:
     return tables.map_events(lambda df: keep_patients(df, registry)).replace(registry=registry)
 
 
+@dataclasses.dataclass(frozen=True)
+class Copies:
+    """What all tables need to know to copy the positive patients."""
+
+    count: int  # of a positive patient
+    offset: int  # between the ids of two copies
+    positives: DataFrame  # their keys
+
+
+def copies_of(registry: DataFrame, offset: int | None = None) -> Copies:
+    """One pass over the registry for the class sizes and the largest id, and the keys of the positives, written."""
+    found = class_sizes(registry).join(registry.agg(F.max(F.abs("idana").cast("long")).alias("largest"))).head()
+    digits = len(str(found.largest or 0))
+    if offset is not None and found.largest is not None and found.largest >= offset:
+        raise ValueError(f"idana {found.largest} needs a copy offset above {offset}")
+    apart = max(COPY_ID_OFFSET, 10**digits) if offset is None else offset
+    return Copies(max((found.ratio or 0) - 1, 0), apart, cut(registry.filter("label").select(*KEY)))
+
+
 def copy_plan(registry: DataFrame) -> DataFrame:
     """(patient, copy_id) of the synthetic copies: class ratio - 1 of them per positive patient."""
     ratio = class_sizes(registry).select("ratio").scalar()
@@ -112,15 +135,19 @@ def synthetic_events(
     seed: int = SEED,
     offset: int | None = None,
     exact: bool = False,
+    copies: Copies | None = None,
 ) -> DataFrame:
     """Events of the synthetic copies: a share `keep` of the original's, their dates moved by some days.
 
     Rows have no id: a row is told apart by its values and, among equal rows, by its number. `keep` is
-    the chance of each event, or with `exact` the exact share of all copied events.
+    the chance of each event, or with `exact` the exact share of all copied events. `copies` hands in what
+    several tables share.
     """
-    positives = keep_patients(events, registry.filter("label"))
+    copies = copies or copies_of(registry, offset)
+    positives = keep_patients(events, copies.positives)
     numbered = expand_copies(collapse_copies(positives), index="_nth")
-    copied = _with_copy_ids(numbered, registry)
+    ids = F.sequence(F.lit(1).cast("long"), F.lit(copies.count).cast("long"))
+    copied = numbered.withColumn("copy_id", F.explode(ids if copies.count else F.array().cast("array<long>")))
     identity = [F.col(c) for c in [*events.columns, "copy_id", "_nth"]]
     if exact:
         size = F.bround(copied.agg(F.count(F.lit(1))).scalar() * F.lit(keep)).cast("long")
@@ -135,20 +162,12 @@ def synthetic_events(
     )
     return (
         kept.withColumn("_data", F.date_add("data", jitter))
-        .withColumn("idana", synthetic_id(F.col("copy_id"), copy_offset(registry, offset)))
+        .withColumn("idana", synthetic_id(F.col("copy_id"), F.lit(copies.offset).cast("long")))
         .withColumn("data", F.col("_data"))
         .select(*events.columns)
     )
 
 
-def _with_copy_ids(events: DataFrame, registry: DataFrame) -> DataFrame:
-    """Each event once per copy of its patient; all positive patients have the same number of copies."""
-    ratio = class_sizes(registry).select("ratio").scalar()
-    copies = F.coalesce(ratio, F.lit(0)) - F.lit(1)
-    ids = F.when(copies >= 1, F.sequence(F.lit(1).cast("long"), copies))
-    return events.withColumn("copy_id", F.explode(ids))
-
-
 def oversample(
     tables: Tables,
     keep: float = KEEP_FRACTION,
@@ -159,9 +178,10 @@ def oversample(
     with_rx: bool = True,
 ) -> Tables:
     """Synthetic copies of the positive patients, in the registry and in every event table."""
+    copies = copies_of(tables.registry, offset)
     grown = {
         name: df.unionByName(
-            synthetic_events(df, tables.registry, name, keep, sigma, seed, offset, exact)
+            synthetic_events(df, tables.registry, name, keep, sigma, seed, offset, exact, copies)
         )
         for name, df in tables.events(with_rx).items()
     }
@@ -182,6 +202,37 @@ def split_patients(
     return registry.withColumn("split", split)
 
 
+def split_exactly(
+    registry: DataFrame, fractions: Mapping[str, float] = SPLIT_60_30_10, seed: int = SEED
+) -> DataFrame:
+    """The registry with `split`: disjoint parts of exactly round(f n) patients, the last one having the rest.
+
+    Patients are dealt in order of the same uniform as in `split_patients`. They are counted by bucket of the uniform
+    once; only in the few buckets in which a part ends are they ranked.
+    """
+    dealt = registry.withColumn("_u", hash_uniform(seed, "split", *[F.col(c) for c in KEY]))
+    dealt = dealt.withColumn("_bucket", F.floor(F.col("_u") * SAMPLE_BUCKETS))
+    upto = W.orderBy("_bucket").rowsBetween(W.unboundedPreceding, W.currentRow)
+    counts = dealt.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_n"))
+    counts = counts.withColumn("_before", F.sum("_n").over(upto) - F.col("_n")).withColumn("_all", F.sum("_n").over(W.partitionBy()))
+    names = list(fractions)
+    ends, last = [], F.lit(0).cast("long")
+    for name in names[:-1]:
+        last = last + F.round(F.col("_all") * F.lit(fractions[name])).cast("long")
+        ends.append(last)
+    inside = F.lit(False)
+    for end in ends:
+        inside = inside | ((end > F.col("_before")) & (end < F.col("_before") + F.col("_n")))
+    rows = dealt.join(F.broadcast(counts.withColumn("_edge", inside)), "_bucket")  # SAMPLE_BUCKETS rows at most
+    place = F.row_number().over(W.partitionBy("_bucket").orderBy("_u", *KEY))
+    ranked = rows.filter("_edge").withColumn("_place", F.col("_before") + place)
+    placed = ranked.unionByName(rows.filter("NOT _edge").withColumn("_place", F.col("_before") + 1))
+    split = F.lit(names[-1])
+    for name, end in reversed(list(zip(names[:-1], ends, strict=True))):
+        split = F.when(F.col("_place") <= end, name).otherwise(split)
+    return placed.withColumn("split", split).select(*registry.columns, "split")
+
+
 def complement(df: DataFrame, sample: DataFrame, key: list[str] = KEY) -> DataFrame:
     """Rows of `df` whose key is not in `sample`; both hold a key once."""
     return df.join(sample.select(*key), key, "left_anti")

@@ -140,6 +140,30 @@ def _mixed(number: Column, text: Column) -> list[Column]:
     ]
 
 
+def encode_all_sorted(
+    df: DataFrame, columns: Mapping[str, tuple[str | None, str]], by: Sequence[str] = ()
+) -> DataFrame:
+    """Adds out -> code for every out: (number column or None, text column), each with codes as in `encode_sorted`.
+
+    The values of all columns go through one pass of `df`, as (column, value), and one ranking.
+    """
+    values = [
+        F.struct(F.lit(out).alias("_out"), *_mixed(F.col(number) if number else F.lit(None).cast("double"), F.col(text)))
+        for out, (number, text) in columns.items()
+    ]
+    tall = df.select(*by, F.explode(F.array(*values)).alias("_value")).select(*by, "_value.*")
+    found = tall.filter(F.col("num").isNotNull() | F.col("txt").isNotNull())
+    book = cut(sorted_codes(found, ["_out", *by]))
+    for out, (number, text) in columns.items():
+        num = F.col(number) if number else F.lit(None).cast("double")
+        own = book.filter(F.col("_out") == out).select(
+            *by, F.col("num").alias("_num"), F.col("txt").alias("_txt"), F.col("code").alias(out)
+        )
+        keyed = df.withColumns({"_num": num, "_txt": F.when(num.isNull(), F.col(text))})
+        df = lookup(keyed, own, [*by, "_num", "_txt"]).drop("_num", "_txt")
+    return df
+
+
 def encode_sorted(
     df: DataFrame, column: str, out: str, number: str | None = None, by: Sequence[str] = ()
 ) -> DataFrame:
@@ -286,9 +310,8 @@ def macro_micro_features(
         .drop("annonascita", "scolarita", "statocivile", "professione", "descrizionefarmaco", "src", "is_macro")
     )
     by = ["split"] if per_split else []
-    coded = encode_sorted(rows, "codiceamd", "_amd", by=by)
-    coded = encode_sorted(coded, "codicestitch", "_stitch", by=by)
-    coded = encode_sorted(coded, "valore_txt", "valore", number="valore_num", by=by)
+    of = {"_amd": (None, "codiceamd"), "_stitch": (None, "codicestitch"), "valore": ("valore_num", "valore_txt")}
+    coded = encode_all_sorted(rows, of, by)
     features = (
         coded.withColumns(
             {

@@ -172,3 +172,14 @@ def fill_weighted(
 
 def _div(a: Column, b: Column) -> Column:
     return F.floor(a / b).cast("long")
+
+
+def require_numeric(df: DataFrame, columns: Sequence[str] = ("valore",)) -> DataFrame:
+    """The columns as doubles; a text that is no number fails in the task that meets it, missing values stay."""
+
+    def number(name: str) -> Column:
+        value = F.col(name).try_cast("double")
+        told = F.concat(F.lit(f"{name} is not numeric: "), F.col(name).cast("string"))
+        return F.when(F.col(name).isNotNull() & value.isNull(), F.raise_error(told).cast("double")).otherwise(value)
+
+    return df.withColumns({name: number(name) for name in columns})

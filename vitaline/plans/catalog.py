@@ -490,13 +490,16 @@ def _all_columns(tables: dict[str, DataFrame]) -> DataFrame:
 @query
 def oversample_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = stages.clean(spark, sf_dir)
-    return _all_columns({n: balance.synthetic_events(df, t.registry, n) for n, df in t.events().items()})
+    copies = balance.copies_of(t.registry)
+    return _all_columns({n: balance.synthetic_events(df, t.registry, n, copies=copies) for n, df in t.events().items()})
 
 
 @query
 def oversample_events_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = stages.clean(spark, sf_dir)
-    return _all_columns({n: balance.synthetic_events(df, t.registry, n, exact=True) for n, df in t.events().items()})
+    copies = balance.copies_of(t.registry)
+    events = t.events().items()
+    return _all_columns({n: balance.synthetic_events(df, t.registry, n, exact=True, copies=copies) for n, df in events})
 
 
 @query
@@ -527,6 +530,23 @@ def split_patients(spark: SparkSession, sf_dir: str) -> DataFrame:
     return balance.split_patients(registry).select(*KEY, "split")
 
 
+@query
+def split_sizes_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    registry = stages.raw(spark, sf_dir).registry
+    return balance.split_exactly(registry).select(*KEY, "split")
+
+
+@query
+def checked_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return balance.require_two_labels(stages.clean(spark, sf_dir).registry).select(*KEY, "label")
+
+
+@query
+def checked_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Features whose values must be numbers once they are encoded."""
+    return quality.require_numeric(flat_features(spark, sf_dir))
+
+
 @query
 def split_rest(spark: SparkSession, sf_dir: str) -> DataFrame:
     registry = stages.raw(spark, sf_dir).registry

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vitaline.config import PAD_FLAT, SEED
-from vitaline.operators.balance import check_label, oversample, undersample
+from vitaline.operators.balance import oversample, require_two_labels, undersample
 from vitaline.operators.features import age_fraction, elapsed_events, elapsed_rows, flat_features
 from vitaline.operators.history import history_text
 from vitaline.operators.leakage import remove_leakage
@@ -19,7 +19,7 @@ def balanced_tables(
     tables: Tables, balancing: str = "standard", seed: int = SEED, with_rx: bool = True
 ) -> Tables:
     """Leakage removed, then positives copied (`standard`) or the larger class cut (`lossy`)."""
-    check_label(tables.registry)
+    tables = tables.replace(registry=require_two_labels(tables.registry))
     safe = remove_leakage(tables, event_timeline(tables, with_rx), with_rx)
     if balancing == "standard":
         return oversample(safe, seed=seed, with_rx=with_rx)
