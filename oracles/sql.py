@@ -1045,3 +1045,5 @@ ORACLES["split_sizes_exact"] = _with(
 )
 ORACLES["checked_labels"] = _with(CLEAN, "SELECT idana, idcentro, label FROM c_registry")
 ORACLES["checked_numbers"] = ORACLES["flat_features"]
+ORACLES["bucketed_plausible_events"] = ORACLES["plausible_events"]
+ORACLES["bucketed_timeline_stats"] = ORACLES["event_timeline_stats"]

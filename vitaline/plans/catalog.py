@@ -29,6 +29,7 @@ from vitaline.operators import (
 from vitaline.operators.timeline import union_all
 from vitaline.plans import clean, prepare, stages
 from vitaline.session import new_folder, tune
+from vitaline.sources.bucketed import write_bucketed
 from vitaline.sources.commits import write_frame
 from vitaline.sources.derived import amd_codes, atc_codes, source
 from vitaline.sources.quoted_csv import read_quoted_csv
@@ -208,6 +209,24 @@ def plausible_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _dates_by_table(t.map_events(lambda df: repair.plausible_events(df, registry)))
 
 
+@query
+def bucketed_plausible_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = stages.raw(spark, sf_dir)
+    kept = write_bucketed(t.replace(registry=repair.type_registry_years(t.registry)))
+
+    def plausible(part: Tables) -> DataFrame:
+        return _dates_by_table(part.map_events(lambda df: repair.plausible_events(df, part.registry)))
+
+    return kept.per_patient(plausible)
+
+
+@query
+def bucketed_timeline_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = write_bucketed(stages.raw(spark, sf_dir))
+    stats = kept.per_patient(lambda part: timeline.first_last(timeline.event_timeline(part)))
+    return stats.withColumns(_long("span_days"))
+
+
 # --- values --------------------------------------------------------------------------------------
 
 
