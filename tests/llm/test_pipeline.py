@@ -90,3 +90,18 @@ def test_odd_rows_pass_all_stages(spark, tmp_path):
         spark.createDataFrame([], "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
         out = corpus_pipeline.run(spark, str(folder)).collect()
         assert sorted(str(r.doc_id) for r in out) == ([] if not data else ["3", "3", "None"])
+
+
+def test_columns_named_like_results_go_along(spark):
+    """Every name that an operator adds or overwrites, with values of other types."""
+    names = ["score", "rejected", "lang_pred", "bits_per_char", "n_lines", "n_dropped", "component_id", "line", "digest"]
+    columns = [f"concat('{n}', id) AS {n}" for n in names]
+    text = "concat('the answer to question ', id, ' of the long list is given on page ', id * 7)"
+    docs = spark.range(12).selectExpr("id AS doc_id", f"{text} AS text", "'en' AS lang", "'s' AS source", "1L AS n_chars", *columns)
+    kept = docs
+    for _, stage in corpus_pipeline.STAGES[:4]:
+        kept = stage(spark, kept, SF)
+        assert kept.columns == docs.columns
+    rows = kept.collect()
+    assert rows
+    assert all(r[n] == f"{n}{r.doc_id}" for r in rows for n in names)
