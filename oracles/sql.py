@@ -1047,3 +1047,12 @@ ORACLES["checked_labels"] = _with(CLEAN, "SELECT idana, idcentro, label FROM c_r
 ORACLES["checked_numbers"] = ORACLES["flat_features"]
 ORACLES["bucketed_plausible_events"] = ORACLES["plausible_events"]
 ORACLES["bucketed_timeline_stats"] = ORACLES["event_timeline_stats"]
+ORACLES["patients_per_code_kept"] = ORACLES["patients_per_code"]
+_CODED = " UNION ALL ".join(
+    f"SELECT '{n}' AS \"table\", {c} AS code, idana, idcentro FROM {n} WHERE {c} IS NOT NULL" for n, c in _CODE_OF.items()
+)
+ORACLES["patients_per_table_and_class"] = _with(
+    {**RAW, "coded": _CODED},
+    """SELECT 'code' AS kind, substr(code, 1, 4) AS "value", count(DISTINCT (idana, idcentro)) AS n_patients FROM coded GROUP BY 2
+    UNION ALL SELECT 'table', "table", count(DISTINCT (idana, idcentro)) FROM coded GROUP BY 2""",
+)

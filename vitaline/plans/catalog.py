@@ -13,6 +13,7 @@ from vitaline.functions.hashing import hash_uniform
 from vitaline.operators import (
     balance,
     cohort,
+    distinct,
     features,
     history,
     label,
@@ -28,7 +29,7 @@ from vitaline.operators import (
 )
 from vitaline.operators.timeline import union_all
 from vitaline.plans import clean, prepare, stages
-from vitaline.session import new_folder, tune
+from vitaline.session import cut, new_folder, tune
 from vitaline.sources.bucketed import write_bucketed
 from vitaline.sources.commits import write_frame
 from vitaline.sources.derived import amd_codes, atc_codes, source
@@ -614,6 +615,25 @@ def patients_by_sex(spark: SparkSession, sf_dir: str) -> DataFrame:
     return profile.value_counts(stages.raw(spark, sf_dir).registry, "sesso")
 
 
+def _kept_bitmaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = stages.raw(spark, sf_dir)
+    return cut(distinct.patient_bitmaps(t.events(), distinct.patient_numbers(t)))
+
+
+@query
+def patients_per_code_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return distinct.distinct_patients(_kept_bitmaps(spark, sf_dir), ["table", "code"])
+
+
+@query
+def patients_per_table_and_class(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Patients with any code of a class (its first four characters) in any table, from the kept bitmaps alone."""
+    kept = _kept_bitmaps(spark, sf_dir).withColumn("code_class", F.substring("code", 1, 4))
+    per_class = distinct.distinct_patients(kept, ["code_class"]).select(F.lit("code").alias("kind"), F.col("code_class").alias("value"), "n_patients")
+    per_table = distinct.distinct_patients(kept, ["table"]).select(F.lit("table").alias("kind"), F.col("table").alias("value"), "n_patients")
+    return per_class.unionByName(per_table)
+
+
 @query
 def patients_per_code(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = stages.raw(spark, sf_dir)
