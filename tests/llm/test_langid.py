@@ -51,8 +51,9 @@ def brute(counts, order, uniform):
     return bits
 
 
-def test_model_equals_brute_force():
-    model = langid.Model(WORDS, 3)
+def test_model_equals_brute_force(spark):
+    rows = [(lang, word, n) for lang, counts in WORDS.items() for word, n in counts.items()]
+    model = langid.train(spark.createDataFrame(rows, "lang string, word binary, n long"), 3)
     asked = [b"abab", b"c", b"zzz", b"cabab", b"a", b"abcabcabc"]
     got, chars = model.score(asked)
     assert chars.tolist() == [len(w) + 1 for w in asked]
@@ -89,6 +90,19 @@ def test_odd_rows(spark):
     assert {(r.lang_pred, r.score) for r in langid.identify(asked, none).collect()} == {("und", 0.0)}
 
 
+def test_sample_is_bounded(spark):
+    rows = [(i, f"L{i % 5}", "ab " * (1 + i % 3)) for i in range(1000)] + [(7, "L2", "ab " * 9)] * 50 + [(1, "L0", "x" * 400)]
+    docs = spark.createDataFrame(rows, "doc_id long, lang string, text string")
+    got = langid._sample(docs, 40, 10_000, 2).collect()
+    assert Counter(r.lang for r in got) == {"L2": 40, "L0": 40}  # the most frequent languages, ties by name
+    few = langid._sample(docs, 40, 300, 10).collect()
+    sizes = Counter()
+    for r in few:
+        sizes[r.lang] += len(r.text)
+    assert len(sizes) == 5 and max(sizes.values()) <= 300
+    assert max(len(r.text) for r in few) <= 3
+
+
 def test_folds_are_of_the_id_as_text(spark):
     got = {r.id: r.f for r in spark.range(200).withColumn("f", fold(F.col("id"))).collect()}
     assert got == {i: zlib.crc32(str(i).encode()) % 5 for i in range(200)}

@@ -13,10 +13,16 @@ probability when all languages are equally likely and at most EVIDENCE character
 Part of the learning sample is held back to calibrate rejection: a text is rejected if its cross-entropy
 exceeds the language's mean by MARGIN bits and `reject` standard deviations at its length.
 
-Models are fitted on a bounded sample: the `sample` documents of each language with the lowest hashes of
-their ids, among the rows the caller offers. Null texts and texts without a letter get `und`, score 0, and
-are rejected; with nothing to learn from, all get `und`. Rows are predicted one by one from their text
-alone; repeated rows and extra columns make no difference. An empty table gives an empty result.
+Models are fitted on a bounded sample: of the `languages` most frequent languages each the `sample` documents
+with the lowest hashes of their ids, as far as these have at most `chars` characters together, among the rows
+the caller offers; a document with more than a hundredth of `chars` is predicted but not learned from. Words
+are counted in Spark, as are n-grams, continuations, discounts and the shares that follow; the driver puts the
+finished shares into sorted arrays, whose size the sample bounds.
+
+Null texts and texts without a letter get `und`, score 0, and are rejected; with nothing to learn from, all get
+`und`. Rows without an id are predicted; callers that deal rows by id do not learn from them. Rows are predicted
+one by one from their text alone; repeated rows and extra columns make no difference. An empty table gives an
+empty result.
 """
 
 from __future__ import annotations
@@ -31,9 +37,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from vitaline.llm.common import fold, map_rows
+from vitaline.session import cut
 
 ORDER = 5
 SAMPLE = 1500
+CHARS = 16_000_000
+LANGUAGES = 200
+SAMPLE_BUCKETS = 1 << 16
+PORTION = 1 << 20  # characters of words counted together in a task
 EVIDENCE = 64
 MARGIN = 2.0
 UNKNOWN = "und"
@@ -74,51 +85,15 @@ def grams(words: list[bytes], order: int = ORDER) -> tuple[np.ndarray, np.ndarra
 
 
 class Model:
-    """Probabilities of all languages; see the module's text."""
-
-    def __init__(self, counts: dict[str, Counter], order: int = ORDER):
-        """counts: language -> words and how often they occur."""
-        self.langs = sorted(counts)
-        self.order = order
-        self.uniform = 1.0
-        ngrams = [[] for _ in range(order + 1)]  # (language, hash, context, mass)
-        vocabulary: set[int] = set()
-        for lang in self.langs:
-            words = list(counts[lang])
-            times = np.array([counts[lang][w] for w in words], float)
-            word, place, hashes, chars = grams(words, order)
-            before = grams_before(word, place, hashes, chars, order)
-            vocabulary.update(np.unique(chars).tolist())
-            for k in range(1, order + 1):
-                ok = place + 1 >= k
-                gram, context, weight = hashes[k][ok], before[k - 1][ok], times[word[ok]]
-                keys, first, back = np.unique(gram, return_index=True, return_inverse=True)
-                raw = np.bincount(back, weight)
-                if k < order:
-                    inner = (place >= k)[ok]  # something stands to the left
-                    longer = np.unique(np.column_stack([back[inner], hashes[k + 1][ok][inner].view(np.int64)]), axis=0)
-                    kinds = np.bincount(longer[:, 0], minlength=len(keys)).astype(float)
-                    starts = np.bincount(back[~inner], weight[~inner], minlength=len(keys))
-                    raw = np.where(kinds > 0, kinds, starts)
-                ngrams[k].append((keys, context[first], raw))
-        self.uniform = 1.0 / (len(vocabulary) + 1)
-        self.tables = [self._table(ngrams[k]) for k in range(1, order + 1)]
-
-    def _table(self, by_lang: list) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        all_keys = np.unique(np.concatenate([k for k, _, _ in by_lang]))
-        all_contexts = np.unique(np.concatenate([c for _, c, _ in by_lang]))
-        share = np.zeros((len(all_keys) + 1, len(by_lang)), np.float32)  # the last row: not found
-        rest = np.ones((len(all_contexts) + 1, len(by_lang)), np.float32)
-        for column, (keys, contexts, mass) in enumerate(by_lang):
-            once, twice = np.sum(mass == 1), np.sum(mass == 2)
-            discount = min(max(once / (once + 2 * twice) if once else 0.5, 0.1), 0.9)
-            at = np.searchsorted(all_contexts, contexts)
-            total = np.bincount(at, mass, minlength=len(all_contexts))
-            kinds = np.bincount(at, minlength=len(all_contexts))
-            seen = total > 0
-            rest[:-1, column][seen] = discount * kinds[seen] / total[seen]
-            share[np.searchsorted(all_keys, keys), column] = (mass - discount) / total[at]
-        return all_keys, share, all_contexts, rest
+    """Probabilities of all languages; see the module's text.
+
+    tables: for each length of n-grams their sorted hashes, their shares by language, the sorted hashes of their
+    contexts and what each context leaves to shorter ones. A last row of shares and rests is for what is not found.
+    """
+
+    def __init__(self, langs: list[str], tables: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]):
+        self.langs, self.tables, self.order = langs, tables, len(tables)
+        self.uniform = 1.0 / (len(tables[0][0]) + 1)
 
     def score(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Bits of each word in each language, and characters of each word."""
@@ -215,39 +190,151 @@ class Identifier:
         }
 
 
-def _word_counts(docs: DataFrame) -> dict[str, Counter]:
+def _word_counts(docs: DataFrame) -> DataFrame:
+    """lang, word, n of rows (lang, text), dealt over tasks by word."""
+
     def run(batches: Iterator[dict]) -> Iterator[dict]:
+        counts: Counter = Counter()
+        held = 0
+
+        def counted() -> dict:
+            out = {"lang": [k[0] for k in counts], "word": [k[1] for k in counts], "n": list(counts.values())}
+            counts.clear()
+            return out
+
         for b in batches:
-            counts: dict[str, Counter] = {}
             for lang, text in zip(b["lang"], b["text"], strict=True):
-                counts.setdefault(lang, Counter()).update(words_of(text or ""))
-            pairs = [(lang, w, n) for lang, c in counts.items() for w, n in c.items()]
-            yield {name: [p[i] for p in pairs] for i, name in enumerate(("lang", "word", "n"))}
+                words = words_of(text or "")
+                counts.update((lang, w) for w in words)
+                held += len(text or "")
+            if held > 8 * PORTION:
+                yield counted()
+                held = 0
+        yield counted()
 
     counted = map_rows(docs, ["lang", "text"], run, "lang string, word binary, n long")
-    counts: dict[str, Counter] = {}
-    table = counted.groupBy("lang", "word").agg(F.sum("n").alias("n")).toPandas()  # a third of the memory of rows
-    for lang, own in table.groupby("lang"):
-        counts[lang] = Counter(dict(zip(map(bytes, own["word"]), own["n"].tolist(), strict=True)))
-    return counts
+    tasks = 2 * docs.sparkSession.sparkContext.defaultParallelism  # too little data for them to be planned by bytes
+    return counted.repartition(tasks, "lang", "word").groupBy("lang", "word").agg(F.sum("n").alias("n"))
+
+
+def _gram_counts(words: DataFrame, order: int) -> DataFrame:
+    """lang, k, gram, context, suffix (the gram without its first character), n, start (of n: at a word's start)."""
+    names = ("lang", "k", "gram", "context", "suffix", "n", "start")
+
+    def counted(lang: str, own: list[bytes], times: list[int]) -> Iterator[dict]:
+        word, place, hashes, chars = grams(own, order)
+        before = grams_before(word, place, hashes, chars, order)
+        weight = np.array(times, float)[word]
+        for k in range(1, order + 1):
+            ok = place + 1 >= k
+            keys, first, back = np.unique(hashes[k][ok], return_index=True, return_inverse=True)
+            n = np.bincount(back, weight[ok]).astype(np.int64)
+            start = np.bincount(back, weight[ok] * (place[ok] == k - 1)).astype(np.int64)
+            context, suffix = (h[ok][first].view(np.int64) for h in (before[k - 1], hashes[k - 1]))
+            values = ([lang] * len(keys), np.full(len(keys), k, np.int32), keys.view(np.int64), context, suffix, n, start)
+            for i in range(0, len(keys), 100_000):
+                yield {name: v[i : i + 100_000] for name, v in zip(names, values, strict=True)}
+
+    def run(batches: Iterator[dict]) -> Iterator[dict]:
+        held: dict[str, tuple[list, list]] = {}
+        size = 0
+        for b in batches:
+            for lang, w, n in zip(b["lang"], b["word"], b["n"], strict=True):
+                own, times = held.setdefault(lang, ([], []))
+                own.append(bytes(w))
+                times.append(n)
+                size += len(w)
+            if size > PORTION:
+                for lang, (own, times) in held.items():
+                    yield from counted(lang, own, times)
+                held, size = {}, 0
+        for lang, (own, times) in held.items():
+            yield from counted(lang, own, times)
+
+    schema = "lang string, k int, gram long, context long, suffix long, n long, start long"
+    parts = map_rows(words, ["lang", "word", "n"], run, schema)
+    both = [F.min("context").alias("context"), F.min("suffix").alias("suffix")]
+    return parts.groupBy("lang", "k", "gram").agg(*both, F.sum("n").alias("n"), F.sum("start").alias("start"))
+
+
+def _arrays(rows: DataFrame, langs: list[str], order: int, missing: float) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Sorted keys and a column of values for each language, by k, of rows (k, key, lang, value)."""
+    number = F.array_position(F.array(*[F.lit(x) for x in langs]), F.col("lang")).cast("short") - 1
+    found = rows.select("k", "key", number.cast("short").alias("lang"), "value").toArrow()
+    k, key, lang, value = (found.column(name).to_numpy() for name in ("k", "key", "lang", "value"))
+    out = []
+    for size in range(1, order + 1):
+        own = np.flatnonzero(k == size)
+        keys, row = np.unique(key[own].view(np.uint64), return_inverse=True)
+        values = np.full((len(keys) + 1, len(langs)), missing, np.float32)  # the last row: not found
+        values[row, lang[own]] = value[own]
+        out.append((keys, values))
+    return out
 
 
-def fit(labelled: DataFrame, sample: int = SAMPLE, order: int = ORDER, reject: float = 6.0) -> Identifier | None:
+def train(words: DataFrame, order: int = ORDER) -> Model | None:
+    """The model of rows (lang, word, n); None without rows. Its size is that of the distinct n-grams."""
+    counts = cut(_gram_counts(words, order))
+    langs = sorted(r.lang for r in counts.select("lang").distinct().collect())  # as many as the caller samples
+    if not langs:
+        return None
+    longer = counts.where("k > 1").select("lang", F.expr("k - 1 AS k"), F.col("suffix").alias("gram"), F.lit(1).alias("kinds"))
+    longer = longer.groupBy("lang", "k", "gram").agg(F.sum("kinds").alias("kinds"))
+    continued = F.when(F.col("k") < order, F.coalesce("kinds", "start")).otherwise(F.col("n"))
+    grams_ = counts.join(longer, ["lang", "k", "gram"], "left").select("lang", "k", "gram", "context", continued.alias("mass"))
+    grams_ = cut(grams_)
+    once, twice = F.count_if(F.col("mass") == 1), F.count_if(F.col("mass") == 2)
+    discount = F.least(F.greatest(F.when(once > 0, once / (once + 2 * twice)).otherwise(0.5), F.lit(0.1)), F.lit(0.9))
+    discounts = grams_.groupBy("lang", "k").agg(discount.alias("discount"))
+    contexts = grams_.groupBy("lang", "k", "context").agg(F.sum("mass").alias("total"), F.count("*").alias("kinds"))
+    contexts = cut(contexts.join(discounts, ["lang", "k"]))
+    share = ((F.col("mass") - F.col("discount")) / F.col("total")).cast("float")
+    shares = grams_.join(contexts, ["lang", "k", "context"]).select("lang", "k", F.col("gram").alias("key"), share.alias("value"))
+    rest = (F.col("discount") * F.col("kinds") / F.col("total")).cast("float")
+    rests = contexts.select("lang", "k", F.col("context").alias("key"), rest.alias("value"))
+    shares, rests = _arrays(shares, langs, order, 0.0), _arrays(rests, langs, order, 1.0)
+    return Model(langs, [a + b for a, b in zip(shares, rests, strict=True)])
+
+
+def _sample(labelled: DataFrame, sample: int, chars: int, languages: int) -> DataFrame:
+    """doc_id, lang, text of the documents to learn from.
+
+    Documents are counted by language and bucket of their ids' hash; only those of the buckets up to the one in
+    which the sample ends are ranked.
+    """
+    size = F.length("text")
+    rows = labelled.where(F.col("lang").isNotNull() & (size > 0) & (size <= chars // 100)).select("doc_id", "lang", "text")
+    rank = F.xxhash64(F.col("doc_id").cast("string"), F.lit("sample"))
+    rows = rows.withColumns({"rank": rank, "bucket": F.floor((rank.cast("double") / 2.0**64 + 0.5) * SAMPLE_BUCKETS)})
+    counts = cut(rows.groupBy("lang", "bucket").agg(F.count("*").alias("n")))
+    known = counts.groupBy("lang").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "lang").limit(languages).select("lang")
+    upto = Window.partitionBy("lang").orderBy("bucket")  # SAMPLE_BUCKETS rows a language
+    ends = counts.join(known, "lang").withColumn("before", F.sum("n").over(upto) - F.col("n")).where(F.col("before") < sample)
+    ends = ends.groupBy("lang").agg(F.max("bucket").alias("last"))
+    near = rows.join(F.broadcast(ends), "lang").where("bucket <= last")  # `languages` rows
+    order_by = Window.partitionBy("lang").orderBy("rank", "doc_id", F.xxhash64("text"))
+    taken = near.withColumn("place", F.row_number().over(order_by)).where(F.col("place") <= sample)
+    total = F.sum(F.length("text").cast("long")).over(Window.partitionBy("lang").orderBy("place"))
+    return cut(taken.withColumn("total", total).where(F.col("total") <= chars).select("doc_id", "lang", "text"))
+
+
+def fit(
+    labelled: DataFrame,
+    sample: int = SAMPLE,
+    order: int = ORDER,
+    reject: float = 6.0,
+    chars: int = CHARS,
+    languages: int = LANGUAGES,
+) -> Identifier | None:
     """An identifier from rows (doc_id, text, lang); None if no row has a language and a word.
 
     Reads `sample` documents a language. One in ten calibrates rejection, the others train the models.
     """
-    rows = labelled.where(F.col("lang").isNotNull() & (F.length("text") > 0))
-    rank = F.xxhash64(F.col("doc_id").cast("string"), F.lit("sample"))
-    order_by = Window.partitionBy("lang").orderBy(rank, "doc_id")
-    chosen = rows.select("doc_id", "lang", F.row_number().over(order_by).alias("place")).where(F.col("place") <= sample)
-    ids = chosen.select("doc_id").distinct()
-    taken = rows.join(F.broadcast(ids), "doc_id", "left_semi").select("doc_id", "text", "lang")  # sample x languages ids
-    held = fold(F.col("doc_id"), 10) == 9
-    counts = {k: v for k, v in _word_counts(taken.where(~held)).items() if v}
-    if not counts:
+    taken = _sample(labelled, sample, chars, languages)
+    held = F.coalesce(fold(F.col("doc_id"), 10) == 9, F.lit(False))
+    model = train(_word_counts(taken.where(~held)), order)
+    if model is None:
         return None
-    model = Model(counts, order)
     flat = Identifier(model, np.zeros(len(model.langs)), np.zeros(len(model.langs)), reject)
 
     def run(batches: Iterator[dict]) -> Iterator[dict]:
@@ -257,6 +344,7 @@ def fit(labelled: DataFrame, sample: int = SAMPLE, order: int = ORDER, reject: f
             rows = [(x, float(h[o]), int(n)) for x, h, n, o in zip(b["lang"], bits, length, own, strict=True) if n and o >= 0]
             yield {name: [r[i] for r in rows] for i, name in enumerate(("lang", "bits", "n"))}
 
+    # a tenth of the sample, two numbers a document
     seen = map_rows(taken.where(held), ["lang", "text"], run, "lang string, bits double, n long").collect()
     mean, spread = np.full(len(model.langs), math.inf), np.zeros(len(model.langs))  # inf: nothing is rejected
     for i, lang in enumerate(model.langs):
