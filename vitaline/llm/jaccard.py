@@ -6,18 +6,21 @@ sequence), as 64-bit hashes. Equal sets are one class; only one representative o
 Grouping. Shingles have one order: ordinary ones by hash, frequent ones last. Two sets that are similar
 enough share at least l(n) shingles of their prefixes, n - ceil(s n) + l(n) shingles long in that order, with
 l(n) = n // 20 + 1 for the smaller n. Sets with a shingle of their prefixes in common are partitioned by
-their leaders: each set is compared with the smallest set that shares most of its prefix, and joins it if
-they are linked. The parts found so far are cut into groups of at most GROUP sets.
+their leaders: each set is compared with the smallest set that shares most of its prefix. Those linked to it
+make parts; those that are not stay beside it, as sets that resemble each other. Both kinds are cut into groups
+of at most GROUP sets and GROUP_SHINGLES shingles on average.
 
 Token-group matrix. For shingles that several parts still share, the matrix has a row (shingle, group) for
-each group whose sets have it. A set (of the smaller part) meets the groups of other parts through its own
-prefix shingles; the shingles it shares with a group's union bound what it can share with any member. Groups
-that reach l are compared with the whole set, by 16 bits of each shingle, which can only raise the bound: if
-100 |Q & union| >= 100 s |Q| the group is opened and its members are compared one by one. All comparisons that make links are exact, and no link
-between different parts is lost, so the parts joined by these links are the components.
+each group whose sets have it. A set meets its own group of unlinked sets, and the groups of larger parts,
+through its own prefix shingles; the shingles it shares with a group's union bound what it can share with any
+member. For groups that reach l, the union of the whole sets is stored, by 16 bits of each shingle, which can
+only raise the bound: if 100 |Q & union| >= 100 s |Q| the group is opened and its members are compared one by
+one. Unions and members are sent once to each stream of sets that meet the group. All comparisons that make
+links are exact, and no link between different parts is lost, so the parts joined by these links are the
+components.
 
 Frequent shingles are found by counting blocks of documents (see `frequent`); which ones are found changes
-the order, never the result. No step has all pairs of a group: classes, parts and groups stand for copies.
+the order, never the result; the OFTEN most frequent are kept. No step has all pairs of a group: classes, parts and groups stand for copies.
 
 Null and empty texts have no shingles and are linked with nothing. Rows that share an id are one document in
 links, with the shingles of each; rows without an id have no component. Extra columns are ignored, an empty
@@ -39,8 +42,10 @@ from vitaline.llm.common import batches_out, bitmap_of, chosen, slot_of
 from vitaline.llm.graph import components
 from vitaline.session import cut
 
-GROUP = 16  # sets of a group, on average
-FOLLOWERS = 2000  # sets compared with one copy of their leader, on average
+GROUP = 64  # sets of a group, on average
+GROUP_SHINGLES = 1 << 20  # shingles of the sets of a group, on average
+FOLLOWERS = 256  # sets compared with one copy of their leader or group, on average
+OFTEN = 500_000  # frequent shingles the order knows of
 BLOCK = 4_000_000  # shingles counted together to find frequent ones
 LOCAL = 8  # documents of a block that must have a shingle for it to be counted on
 FREQUENT = 50  # documents from which on a shingle counts as frequent
@@ -179,25 +184,32 @@ def _set(packed: bytes) -> np.ndarray:
     return np.frombuffer(packed, np.uint64)
 
 
-def _verified(pairs: DataFrame, contents: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose sets are linked; every a has one b.
+def _streams(pairs: DataFrame, key: list[str], contents: DataFrame, heads: DataFrame) -> DataFrame:
+    """doc_id, the key, place, content: in each stream of a key its heads (place 0), then its sets.
 
-    A leader b meets its followers in streams of about FOLLOWERS, each headed by the leader's own set, so a
-    leader of very many is dealt over many tasks.
+    pairs: doc_id and key. heads: key, doc_id, content. A key that very many sets meet is dealt over streams of
+    about FOLLOWERS, each with the key's heads.
     """
+    counts = pairs.groupBy(*key).agg(F.ceil(F.count("*") / FOLLOWERS).alias("streams"))
+    deal = F.pmod(F.xxhash64("doc_id"), F.col("streams"))
+    sets = pairs.join(counts, key).select("doc_id", *key, deal.alias("stream"), F.lit(1).alias("place")).join(contents, "doc_id")
+    copies = F.explode(F.sequence(F.lit(0).cast("long"), F.col("streams") - 1))
+    first = heads.join(counts, key).select("doc_id", *key, copies.alias("stream"), F.lit(0).alias("place"), "content")
+    rows = sets.select(first.columns).unionAll(first).repartition(*key, "stream")
+    return rows.sortWithinPartitions(*key, "stream", "place").select("doc_id", *key, "stream", "place", "content")
+
+
+def _verified(pairs: DataFrame, contents: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose sets are linked; every a has one b."""
     kind = dict(pairs.dtypes)["a"]
-    leaders = pairs.groupBy("b").agg(F.ceil(F.count("*") / FOLLOWERS).alias("streams"))
-    deal = F.pmod(F.xxhash64("a"), F.col("streams"))
-    roles = pairs.join(leaders, "b").select(F.col("a").alias("doc_id"), "b", deal.alias("stream"), F.lit(1).alias("place"))
-    heads = F.explode(F.sequence(F.lit(0).cast("long"), F.col("streams") - 1))
-    roles = roles.unionAll(leaders.select(F.col("b").alias("doc_id"), "b", heads.alias("stream"), F.lit(0).alias("place")))
-    rows = contents.join(roles, "doc_id").repartition("b", "stream").sortWithinPartitions("b", "stream", "place")
+    leaders = pairs.select("b").distinct().select("b", F.col("b").alias("doc_id")).join(contents, "doc_id")
+    rows = _streams(pairs.select(F.col("a").alias("doc_id"), "b"), ["b"], contents, leaders)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         head = np.zeros(0, np.uint64)
         for batch in batches:
             out: dict[str, list] = {"a": [], "b": []}
-            for row in batch.select(["doc_id", "b", "place", "content"]).to_pylist():
+            for row in batch.to_pylist():
                 if not row["place"]:
                     head = _set(row["content"])
                 elif _linked(_set(row["content"]), head, percent):
@@ -205,53 +217,73 @@ def _verified(pairs: DataFrame, contents: DataFrame, percent: int) -> DataFrame:
                     out["b"].append(row["b"])
             yield out
 
-    return batches_out(rows.select("doc_id", "b", "place", "content"), run, f"a {kind}, b {kind}")
+    return batches_out(rows, run, f"a {kind}, b {kind}")
 
 
-def _with_groups(pairs: DataFrame, contents: DataFrame, members: DataFrame) -> DataFrame:
-    """Pairs (doc_id, part, number) with the document's content and the contents of the group's members."""
-    groups = (
-        members.join(contents, "doc_id")
-        .groupBy("part", "number")
-        .agg(F.collect_list(F.struct("doc_id", "content")).alias("members"))  # about GROUP sets
-    )
-    return pairs.join(contents, "doc_id").join(groups, ["part", "number"])
+CELL = ["part", "linked", "number"]  # a group: of the sets linked to a part, or of those beside a leader
+
 
+def _unions(members: DataFrame, short: DataFrame) -> DataFrame:
+    """Of each group the union of its members' short contents."""
+    kind = dict(members.dtypes)["part"]
+    held = members.join(short, "doc_id").groupBy(*CELL).agg(F.collect_list("content").alias("contents"))  # about GROUP
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+        for b in batches:
+            unions = [
+                np.unique(np.concatenate([np.frombuffer(c, np.uint16) for c in own])).tobytes()
+                for own in b.column("contents").to_pylist()
+            ]
+            yield {name: b.column(name) for name in CELL} | {"content": unions}
+
+    return cut(batches_out(held, run, f"part {kind}, linked boolean, number long, content binary"))
 
-def _qualified(pairs: DataFrame, short: DataFrame, members: DataFrame, percent: int) -> DataFrame:
-    """The pairs whose group has enough of the document's shingles in its union, by short contents."""
-    kinds = dict(pairs.dtypes)
+
+def _qualified(pairs: DataFrame, short: DataFrame, unions: DataFrame, percent: int) -> DataFrame:
+    """The pairs (doc_id, group) whose group has enough of the document's shingles in its union."""
+    kind = dict(pairs.dtypes)["doc_id"]
+    rows = _streams(pairs, CELL, short, unions.withColumn("doc_id", F.lit(None).cast(kind)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         union = np.zeros(1 << 16, bool)
         for b in batches:
             keep = []
-            for row in b.select(["content", "members"]).to_pylist():
-                union[:] = False
-                for m in row["members"]:
-                    union[np.frombuffer(m["content"], np.uint16)] = True
-                query = np.frombuffer(row["content"], np.uint16)
-                keep.append(100 * int(union[query].sum()) >= percent * len(query))
+            for row in b.select(["place", "content"]).to_pylist():
+                content = np.frombuffer(row["content"], np.uint16)
+                if row["place"]:
+                    keep.append(100 * int(union[content].sum()) >= percent * len(content))
+                else:
+                    union[:] = False
+                    union[content] = True
+                    keep.append(False)
             b = b.filter(pa.array(keep, pa.bool_()))
-            yield {name: b.column(name) for name in ("doc_id", "part", "number")}
+            yield {name: b.column(name) for name in ("doc_id", *CELL)}
 
-    rows = _with_groups(pairs, short, members).select("doc_id", "part", "number", "content", "members")
-    return cut(batches_out(rows, run, f"doc_id {kinds['doc_id']}, part {kinds['part']}, number long"))
+    return cut(batches_out(rows, run, f"doc_id {kind}, part {kind}, linked boolean, number long"))
 
 
 def _opened(pairs: DataFrame, contents: DataFrame, members: DataFrame, percent: int) -> DataFrame:
     """Links (a, b) between documents and members of the groups they qualify for."""
     kind = dict(pairs.dtypes)["doc_id"]
-    rows = _with_groups(pairs, contents, members).select("doc_id", "content", "members")
+    rows = _streams(pairs, CELL, contents, members.join(contents, "doc_id"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+        own: list[tuple] = []  # the members of the group at hand
+        stream = None
         for b in batches:
             out: dict[str, list] = {"a": [], "b": []}
             for row in b.to_pylist():
-                query = _set(row["content"])
-                near = [m["doc_id"] for m in row["members"] if _linked(query, _set(m["content"]), percent)]
-                out["a"] += [row["doc_id"]] * len(near)
-                out["b"] += near
+                at = (row["part"], row["linked"], row["number"], row["stream"])
+                content = _set(row["content"])
+                if not row["place"]:
+                    if at != stream:
+                        own, stream = [], at
+                    own.append((row["doc_id"], content))
+                    continue
+                for other, held in own:
+                    if other != row["doc_id"] and _linked(content, held, percent):
+                        out["a"].append(row["doc_id"])
+                        out["b"].append(other)
             yield out
 
     return batches_out(rows, run, f"a {kind}, b {kind}")
@@ -266,14 +298,16 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     often = (
         seen.where("shingle IS NOT NULL").groupBy("shingle").agg(F.sum("docs").alias("docs")).where(F.col("docs") >= FREQUENT)
     )
-    # a shingle is here if LOCAL documents of a block of BLOCK shingles have it: at most BLOCK / LOCAL a block
-    often = often.orderBy("docs", "shingle").select("shingle").toPandas()["shingle"].to_numpy(np.int64).view(np.uint64)
+    often = often.orderBy(F.desc("docs"), "shingle").limit(OFTEN).orderBy("docs", "shingle").select("shingle")
+    often = often.toPandas()["shingle"].to_numpy(np.int64).view(np.uint64)
     slotted = docs.withColumn("slot", slot_of("doc_id"))
     prefixes = cut(_prefixes(slotted, size, percent, often, bitmap_of(classes, "doc_id")))
     shared = prefixes.groupBy("shingle").agg(F.min("doc_id").alias("leader"), F.max("doc_id").alias("last"))
     shared = shared.where("leader <> last").select("shingle", "leader")
     reps = classes.select("doc_id").distinct()
-    met = cut(prefixes.join(shared, "shingle").join(reps, "doc_id", "left_semi").distinct())
+    # both sides grow with the documents: merged at every size, never broadcast
+    met = prefixes.hint("merge").join(shared, "shingle").join(reps.hint("merge"), "doc_id", "left_semi")
+    met = cut(met.distinct())
 
     # parts: each set with its nearest leader, if they are linked
     nearest = (
@@ -289,42 +323,59 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     first = cut(_verified(pairs, _contents(slotted, size, ids), percent))
     parts = cut(components(first))
 
-    # the matrix: shingles that several parts have, and groups within the parts
-    sizes = parts.groupBy("component").agg(F.count("*").alias("members"))
-    parts = parts.join(sizes, "component").select(F.col("node").alias("doc_id"), F.col("component").alias("part"), "members")
-    placed = met.select("doc_id", "n", "shingle").join(parts, "doc_id", "left")
-    placed = placed.withColumns(
-        {"part": F.coalesce("part", "doc_id"), "members": F.coalesce("members", F.lit(1).cast("long"))}
+    # groups: of the sets of a part, or of the unlinked sets beside a leader
+    parts = parts.select(F.col("node").alias("doc_id"), "component")
+    beside = pairs.select(F.col("a").alias("doc_id"), "b")
+    sets = met.groupBy("doc_id").agg(F.max("n").alias("n")).join(parts, "doc_id", "left").join(beside, "doc_id", "left")
+    part = F.coalesce("component", "b", "doc_id")
+    sets = sets.select("doc_id", "n", part.alias("part"), F.col("component").isNotNull().alias("linked"))
+    sets = cut(sets)
+    cells = sets.groupBy("part", "linked").agg(F.count("*").alias("members"), F.sum("n").alias("size"))
+    several = F.greatest(F.ceil(F.col("members") / GROUP), F.ceil(F.col("size") / GROUP_SHINGLES))
+    number = F.pmod(F.xxhash64("doc_id"), several).cast("long")
+    sets = cut(sets.join(cells, ["part", "linked"]).select("doc_id", "part", "linked", "members", number.alias("number")))
+
+    # the matrix: shingles that several parts, or several unlinked sets, have
+    placed = cut(met.select("doc_id", "n", "shingle").join(sets, "doc_id"))
+    unit = F.when(F.col("linked"), F.col("part")).otherwise(F.col("doc_id"))
+    several = placed.groupBy("shingle").agg(F.min(F.struct("linked", unit)).alias("low"), F.max(F.struct("linked", unit)).alias("high"))
+    matrix = cut(placed.join(several.where("low <> high").select("shingle"), "shingle", "left_semi"))
+    alone = F.when(F.min("doc_id") == F.max("doc_id"), F.min("doc_id"))  # the only set of the group that has it
+    groups = matrix.groupBy("shingle", *CELL, "members").agg(alone.alias("only"))
+    mine = matrix.select(
+        "shingle",
+        "doc_id",
+        "n",
+        F.struct("members", "part", "linked").alias("own"),
+        F.struct("members", "part", "linked", "number").alias("own_group"),
     )
-    number = F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("members") / GROUP)).cast("long")
-    placed = cut(placed.withColumn("number", number))
-    several = placed.groupBy("shingle").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low <> high")
-    matrix = cut(placed.join(several.select("shingle"), "shingle", "left_semi"))
-    groups = matrix.select("shingle", "part", "number", "members").distinct()
-    mine = matrix.select("shingle", "doc_id", "n", F.struct("members", "part").alias("own"))
+    larger = F.col("own") < F.struct("members", "part", "linked")
+    beside = ~F.col("linked") & (F.col("own") == F.struct("members", "part", "linked"))
     bound = _least_shared_column(F.ceil(F.col("n") * percent / 100))
     candidates = (
         mine.join(groups, "shingle")
-        .where(F.col("own") < F.struct("members", "part"))
-        .groupBy("doc_id", "n", "part", "number")
+        .where(larger | (beside & (F.col("own_group") <= F.struct("members", *CELL))))
+        .where("only IS NULL OR only <> doc_id")
+        .groupBy("doc_id", "n", "members", *CELL)
         .agg(F.count("*").alias("common"))
         .where(F.col("common") >= bound)
-        .select("doc_id", "part", "number")
+        .select("doc_id", *CELL)
     )
     candidates = cut(candidates)
-    wanted = candidates.select("part", "number").distinct()
-    members = cut(placed.select("doc_id", "part", "number").distinct().join(wanted, ["part", "number"], "left_semi"))
+    wanted = candidates.select(*CELL).distinct()
+    members = cut(sets.select("doc_id", *CELL).join(wanted, CELL, "left_semi"))
     ids = candidates.select("doc_id").unionAll(members.select("doc_id")).distinct()
-    qualified = _qualified(candidates, _contents(slotted, size, ids, short=True), members, percent)
-    members = cut(members.join(qualified.select("part", "number").distinct(), ["part", "number"], "left_semi"))
+    short = _contents(slotted, size, ids, short=True)
+    qualified = _qualified(candidates, short, _unions(members, short), percent)
+    members = cut(members.join(qualified.select(*CELL).distinct(), CELL, "left_semi"))
     ids = qualified.select("doc_id").unionAll(members.select("doc_id")).distinct()
     second = _opened(qualified, _contents(slotted, size, ids), members, percent)
 
     found = components(first.unionAll(second)).select(F.col("node").alias("doc_id"), "component")
     classes = classes.join(found, "doc_id", "left").select("digest", F.coalesce("component", "doc_id").alias("component_id"))
     out = rows.join(classes, "digest", "left")
-    alone = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), alone.alias("component_id"))
+    least = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), least.alias("component_id"))
 
 
 def _least_shared_column(n: Column) -> Column:
