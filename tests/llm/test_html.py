@@ -30,9 +30,40 @@ CASES = {
     "<dl><dt>t<dd>d</dl><blockquote>q</blockquote>": "t\n  d\n\n  q",
     "</p></div>a</td></table>b": "ab",
     "<h1>a</h2>b": "a\n\nb",
+    # rules for other media, widths and blocks
+    "<style>@media print{.x{display:none}} @page{margin:0}</style><p class=x>yes": "yes",
+    "<style>@media screen and (min-width:600px){.x{display:none}}.y{display:none</style><p class=x>no<p class=y>no<p>yes": "yes",
+    "<style>@media (max-width: 40em){.x{display:none}} @media not print{.y{display:none}}</style><p class=x>yes<p class=y>no": "yes",
+    "<style>@supports (x:y){@layer a{.x{display:none}}} @keyframes k{to{display:none}}</style><p class=x>no</p><to>yes</to>": "yes",
+    "<style>/* .a{display:none} */ .q{content:'}.a{display:none}'} .b{display:none}</style><p class=a>yes<p class=b>no": "yes",
+    # visibility is inherited, display is not undone inside
+    "<div style='visibility:hidden'>no<p style='visibility:visible'>yes</p>no</div>yes": "yes\n\nyes",
+    "<ul><li style='visibility:hidden'>no<li>yes</ul>": "- yes",
+    "<div style='display:none'>no<p style='display:block;visibility:visible'>no</div>yes": "yes",
+    # the weightiest rule counts
+    "<style>.x{display:none} p.x{display:block} #y{display:none} .z{display:none!important}</style>"
+    "<p class=x>yes<p class=x id=y>no<p class=z style='display:block'>no</p><b hidden style='display:inline'>yes</b>": "yes\n\nyes",
+    "<style>.x{display:none} .x{display:block}</style><p class=x>yes": "yes",
+    # selectors by descendance, as children, of several names, and ones that are left aside
+    "<style>div .z, ul>li.a{display:none}</style><p class=z>yes</p><div><b><i class=z>no</i></b>yes</div><ul><li class=a>no<li>yes</ul>": "yes\n\nyes\n\n- yes",
+    "<style>div>.z{display:none}</style><div><b><i class=z>yes</i></b><i class=z>no</i></div>": "yes",
+    "<style>body i>b u{display:none} a:hover,p[x='1']{display:none}</style><a>yes<p x=1>yes<i><u>yes</u><b><s><u>no": "yes\n\nyesyes",
+    # drawings and formulas
+    "<math><mi>x</mi><mo>=</mo><mn>2</mn><annotation>no</annotation></math> <svg><title>no</title><path/><desc>no</desc>no"
+    "<text>one <tspan>two</tspan></text><text/><g>no</g><foreignObject><p>three</foreignObject></svg>four": "x=2\none two\n\nthree\n\nfour",
 }
 
 
+def test_wide_cells():
+    page = f"<table><tr><td>{'w' * 70}<td>a<tr><td>x<td>b</table>"
+    assert visible_text(page) == f"{'w' * 70}  a\nx  b"
+    assert visible_text(page, None) == f"{'w' * 70}  a\nx{' ' * 71}b"
+
+
+def test_many_rules_on_deep_pages():
+    assert visible_text("<style>b b i{display:none} @media{" + "@media{" * 5000 + "</style>" + "<b>" * 20_000 + "<i>no</i>x") == "x"
+
+
 def test_cases():
     for page, text in CASES.items():
         assert visible_text(page) == text, page

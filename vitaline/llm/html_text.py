@@ -5,12 +5,18 @@ are implied, paragraphs, list items, cells, rows and options end where the next
 what is open inside it and is ignored where nothing matches, and text between table rows moves in front of
 the table. An unfinished tag at the end of a page is dropped.
 
-The renderer leaves out what is not shown: scripts, styles, templates, heads, `hidden`, `display:none` and
-`visibility:hidden` by style attribute or by a page's plain `tag`, `.class` and `#id` rules, closed dialogs
-and details. Blanks collapse except in preformatted text; blocks start on lines of their own, paragraphs,
-headings, lists, tables and quotes are set off by an empty line; list items have their marker and indent;
-a table's cells are aligned in columns two blanks apart, with spans. A cell wider than ALIGN characters does
-not widen its column.
+The renderer leaves out what is not shown: scripts, styles, templates, heads, closed dialogs and details, what
+has `display:none`, and text whose nearest element with a `visibility` is not visible. Both come from style
+attributes and from a page's rules, weighed as usual by `!important`, specificity and order. Selectors may
+join tags, classes and ids, by descendance or as children; rules with any other selector are left aside.
+Rules within `@media` count if they are for screens WIDTH pixels wide, those within `@supports` and `@layer`
+always, those within other blocks never. Of drawings (`svg`) the `text` elements are shown, of formulas all
+but annotations.
+
+Blanks collapse except in preformatted text; blocks start on lines of their own, paragraphs, headings, lists,
+tables and quotes are set off by an empty line; list items have their marker and indent; a table's cells are
+aligned in columns two blanks apart, with spans. A cell wider than `align` characters does not widen its column
+(ALIGN as a rule; None aligns all cells).
 
 Null pages give null, empty pages an empty text. Depth and size of a page are not limited: neither part is
 recursive. Pages are handled one by one: repeated rows and extra columns make no difference, an empty table
@@ -28,18 +34,24 @@ from pyspark.sql import DataFrame
 from vitaline.llm.common import map_rows
 
 ALIGN = 60
+WIDTH = 1280  # of the screen that media rules are taken for, in pixels
 _TAG = re.compile(
     r"<!--(?:>|->|.*?(?:--!?>|\Z))|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+'|[\"'])*+)(>?)|<[!?/][^>]*+>?", re.S
 )
 _ATTRIBUTE = re.compile(r"([^\s=/>\"']++)\s*+(?:=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s>]++)))?")
-_RULE = re.compile(r"([^{}]*+)\{([^{}]*+)\}")
-_HIDES = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))\b", re.I)
+_NO_STYLE = re.compile(r"/\*.*?(?:\*/|\Z)|<!--|-->|\"[^\"\n]*+\"|'[^'\n]*+'", re.S)  # comments and strings
+_AT = re.compile(r"@([\w-]++)\s*+(.*)", re.S)
+_MEDIUM = re.compile(r"(?:only\s+)?(?:all|screen)?((?:(?:\s*\band\s*)?\(\s*(?:min|max)-width\s*:\s*[\d.]+(?:px|r?em)\s*\))*)")
+_WIDTH = re.compile(r"(min|max)-width\s*:\s*(\d+(?:\.\d+)?)(px|r?em)")
+_COMPOUND = re.compile(r"(?:[a-z][\w-]*|\*)?(?:[.#][\w-]+)*")
+_SIMPLE = re.compile(r"[.#]?[\w-]+")
 _BLANKS = " \t\n\r\f"
 
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 RAW = set("script style xmp iframe noembed noframes plaintext".split())
 RAW_WITH_ENTITIES = set("textarea title".split())
-UNSEEN = set("script style template head title iframe noembed noframes datalist audio video canvas object svg math".split())
+UNSEEN = set("script style template head title iframe noembed noframes datalist audio video canvas object annotation annotation-xml".split())
+UNSEEN_IN_DRAWINGS = set("defs desc metadata symbol".split())
 HEADINGS = set("h1 h2 h3 h4 h5 h6".split())
 APART = HEADINGS | set("p ul ol dl menu table blockquote pre figure hr".split())  # set off by an empty line
 BLOCKS = APART | set(
@@ -200,6 +212,9 @@ def parse(page: str) -> Builder:
             tree.end(tag)
             continue
         tree.start(tag, _attributes(attrs) if attrs and not attrs.isspace() else {})
+        if attrs.endswith("/") and (tree.counts.get("svg") or tree.counts.get("math")) and tree.open[-1].tag == tag:
+            tree.pop_to(len(tree.open) - 1)  # in drawings and formulas a slash does end an element
+            continue
         if tag in RAW or tag in RAW_WITH_ENTITIES:
             lower = page.lower() if lower is None else lower
             if len(lower) != size:  # a few capitals have longer lower-case forms
@@ -218,28 +233,146 @@ def _unescape(text: str) -> str:
     return html.unescape(text) if "&" in text else text
 
 
-def hidden_selectors(styles: list[str]) -> set[str]:
-    """The plain selectors (tag, .class, #id) of rules that hide."""
-    found: set[str] = set()
-    for style in styles:
-        for selectors, rule in _RULE.findall(style):
-            if _HIDES.search(rule):
-                found.update(s.strip().lower() for s in selectors.split(","))
-    return {s for s in found if re.fullmatch(r"[.#]?[\w-]+", s)}
+def _on_screen(query: str) -> bool:
+    query = query.strip().lower()
+    if query.startswith("not "):
+        return query[4:].strip() in ("print", "speech")
+    found = _MEDIUM.fullmatch(query)
+    if not found:
+        return False
+    for side, size, unit in _WIDTH.findall(found[1]):
+        pixels = float(size) * (1 if unit == "px" else 16)
+        if WIDTH < pixels if side == "min" else WIDTH > pixels:
+            return False
+    return True
+
+
+def _applies(prelude: str) -> bool:
+    """Whether the rules within an at-rule count."""
+    found = _AT.match(prelude)
+    name = found[1].lower() if found else ""
+    return name in ("supports", "layer") or name == "media" and any(map(_on_screen, found[2].split(",")))
+
+
+def _declared(declarations: list[str]) -> dict[str, tuple[bool, str]]:
+    """Property -> (important, value), of the two that hide."""
+    found: dict[str, tuple[bool, str]] = {}
+    for declaration in declarations:
+        name, _, value = declaration.partition(":")
+        name, (value, _, important) = name.strip().lower(), value.strip().lower().partition("!")
+        if name in ("display", "visibility") and value and not (found.get(name, (False,))[0] and not important):
+            found[name] = (important.strip() == "important", value.strip())
+    return found
 
 
-def is_hidden(node: Node, selectors: set[str]) -> bool:
+def _style_rules(style: str) -> Iterator[tuple[str, list[str]]]:
+    """(selectors, declarations) of the rules that count. What is open at the end is closed there."""
+    style = _NO_STYLE.sub("", style)
+    blocks: list[tuple[bool, str, list[str]]] = []  # of the open ones: does it count, selectors, declarations
+    at = 0
+    while at <= len(style):
+        found = re.compile(r"[{};]").search(style, at)
+        piece = style[at : found.start() if found else None].strip()
+        at = found.end() if found else len(style) + 1
+        mark = found[0] if found else "}" * len(blocks)
+        if mark == "{":
+            counts = not blocks or blocks[-1][0] and not blocks[-1][1]
+            plain = not piece.startswith("@")
+            blocks.append((counts and (plain or _applies(piece)), piece if plain else "", []))
+            continue
+        if blocks and piece:
+            blocks[-1][2].append(piece)
+        if mark != ";":
+            for _ in mark[: len(blocks)]:
+                counts, selectors, declarations = blocks.pop()
+                if counts and selectors:
+                    yield selectors, declarations
+
+
+def _chains(selector: str) -> list[list[frozenset[str]]] | None:
+    """Left to right, groups of elements that are children of one another; None if it is of another kind."""
+    chains: list[list[frozenset[str]]] = [[]]
+    child = True
+    for part in selector.lower().replace(">", " > ").split():
+        if part == ">":
+            if child:
+                return None
+            child = True
+            continue
+        if not _COMPOUND.fullmatch(part):
+            return None
+        names = frozenset(_SIMPLE.findall(part))
+        if child:
+            chains[-1].append(names)
+        else:
+            chains.append([names])
+        child = False
+    return None if child else chains
+
+
+class Rules:
+    """What a page's styles say about display and visibility, found by a name that the element must have."""
+
+    def __init__(self, styles: list[str]) -> None:
+        self.by_name: dict[str, list[tuple]] = {}
+        order = 0
+        for style in styles:
+            for selectors, declarations in _style_rules(style):
+                said = _declared(declarations)
+                for chains in map(_chains, selectors.split(",") if said else ()):
+                    if chains is None:
+                        continue
+                    names = [n for chain in chains for part in chain for n in part]
+                    kinds = [sum(n[0] == k for n in names) for k in "#."]
+                    weight = (0, *kinds, len(names) - sum(kinds), order)
+                    key = min(chains[-1][-1], default="*")  # '#' and '.' come before letters
+                    self.by_name.setdefault(key, []).append((chains, weight, said))
+                    order += 1
+
+    def of(self, path: list[frozenset[str]]) -> Iterator[tuple[tuple, dict[str, tuple[bool, str]]]]:
+        """(weight, declarations) of the rules that the innermost element of `path` meets."""
+        for name in (*path[-1], "*"):
+            for chains, weight, said in self.by_name.get(name, ()):
+                if _meets(chains, path):
+                    yield weight, said
+
+
+def _meets(chains: list[list[frozenset[str]]], path: list[frozenset[str]]) -> bool:
+    """The nearest place for each group is the best one, as it leaves most elements to the groups before."""
+    end = len(path)
+    for chain in reversed(chains):
+        last = chain is chains[-1]
+        while end >= len(chain) and not all(c <= p for c, p in zip(chain, path[end - len(chain) : end], strict=True)):
+            if last:
+                return False
+            end -= 1
+        if end < len(chain):
+            return False
+        end -= len(chain)
+    return True
+
+
+def _names(node: Node) -> frozenset[str]:
+    names = [f".{c}" for c in node.attrs.get("class", "").lower().split()]
+    names += [f"#{node.attrs['id'].lower()}"] if node.attrs.get("id") else []
+    return frozenset([node.tag, *names, *(["body"] if node.tag == "html" else [])])  # one node stands for both
+
+
+def looks(node: Node, rules: Rules, path: list[frozenset[str]]) -> tuple[bool, bool | None]:
+    """Is the element not displayed at all, and is its text visible (None: as around it)?"""
+    if node.tag in UNSEEN:
+        return True, None
     attrs = node.attrs
-    if node.tag in UNSEEN or node.tag == "dialog" and "open" not in attrs or node.tag in selectors:
-        return True
-    if not attrs:
-        return False
-    if "hidden" in attrs or "style" in attrs and _HIDES.search(attrs["style"]):
-        return True
-    if selectors:
-        names = [f".{c.lower()}" for c in attrs.get("class", "").split()] + [f"#{attrs.get('id', '').lower()}"]
-        return any(n in selectors for n in names)
-    return False
+    default = "none" if "hidden" in attrs or node.tag == "dialog" and "open" not in attrs else ""
+    said = list(rules.of(path)) if rules.by_name else []
+    if "style" in attrs:
+        said.append(((1,), _declared(_NO_STYLE.sub("", attrs["style"]).split(";"))))
+    best = {"display": ((), default), "visibility": ((), "")}
+    for weight, declared in said:
+        for name, (important, value) in declared.items():
+            best[name] = max(best[name], ((important, *weight), value))
+    visibility = best["visibility"][1]
+    return best["display"][1] == "none", visibility == "visible" if visibility in ("visible", "hidden", "collapse") else None
 
 
 class Writer:
@@ -303,7 +436,7 @@ def _span(node: Node, name: str, most: int) -> int:
     return min(max(int(value), 1), most) if value.isascii() and value.isdigit() and len(value) < 9 else 1
 
 
-def layout(rows: list[list[tuple[str, int, int]]]) -> list[str]:
+def layout(rows: list[list[tuple[str, int, int]]], align: int | None = ALIGN) -> list[str]:
     """Aligned lines of a table; a cell is (text, columns, rows)."""
     grid: list[dict[int, list[str]]] = []
     down: dict[int, int] = {}  # column -> rows it is still taken for
@@ -318,7 +451,7 @@ def layout(rows: list[list[tuple[str, int, int]]]) -> list[str]:
                 column += 1
             cell = line[column] = text.split("\n")
             width = max(map(len, cell))
-            if across == 1 and width <= ALIGN:
+            if across == 1 and (align is None or width <= align):
                 widths[column] = max(widths.get(column, 0), width)
             if along > 1:
                 down |= dict.fromkeys(range(column, column + across), along - 1)
@@ -341,8 +474,11 @@ def layout(rows: list[list[tuple[str, int, int]]]) -> list[str]:
     return out
 
 
-def render(tree: Builder) -> str:
-    hidden = hidden_selectors(tree.styles)
+def render(tree: Builder, align: int | None = ALIGN) -> str:
+    rules = Rules(tree.styles)
+    path: list[frozenset[str]] = []  # names of the open elements, where there are rules to meet
+    shown = [True]  # of the open elements: is their text visible,
+    drawing = [""]  # and are they in a drawing, or in a text of it
     writers = [Writer()]
     tables: list[dict] = []  # of the open tables: rows, and the row that is open
     lists: list[list] = []  # of the open lists: next number, or None for a bullet
@@ -352,6 +488,8 @@ def render(tree: Builder) -> str:
         node, entering = todo.pop()
         out = writers[-1]
         if isinstance(node, str):
+            if not shown[-1] or drawing[-1] == "svg":
+                continue
             if pre:
                 out.lines(node)
             else:
@@ -360,11 +498,20 @@ def render(tree: Builder) -> str:
         tag = node.tag
         gap = 2 if tag in APART else 1
         if entering:
-            if is_hidden(node, hidden):
-                continue
-            if tag == "br":
-                out.line_end()
+            if rules.by_name:
+                path.append(_names(node))
+            gone, visible = looks(node, rules, path)
+            if gone or tag == "br" or drawing[-1] and tag in UNSEEN_IN_DRAWINGS:
+                if rules.by_name:
+                    path.pop()
+                if tag == "br" and not gone and shown[-1]:
+                    out.line_end()
                 continue
+            shown.append(shown[-1] if visible is None else visible)
+            inner = {"svg": "svg", "foreignobject": "", "text": drawing[-1] and "text"}
+            drawing.append(inner.get(tag, drawing[-1]))
+            if tag == "text" and drawing[-1]:
+                out.block(1)
             if tag == "details" and "open" not in node.attrs:
                 node.children = [c for c in node.children if isinstance(c, Node) and c.tag == "summary"]
             if tag in LISTS:
@@ -384,7 +531,7 @@ def render(tree: Builder) -> str:
                 number = lists[-1][0] if lists else None
                 if number is not None:
                     lists[-1][0] = number + 1
-                mark = "- " if number is None else f"{number}. "
+                mark = ("- " if number is None else f"{number}. ") if shown[-1] else ""
                 out.marker = (out.marker if out.marker else "") + mark if out.marker else mark
                 out.indent += " " * len(mark)
                 node.attrs = {"mark": mark}
@@ -397,6 +544,11 @@ def render(tree: Builder) -> str:
                 children = [children[0][1:], *children[1:]]
             todo += [(child, True) for child in reversed(children)]
             continue
+        shown.pop()
+        if rules.by_name:
+            path.pop()
+        if drawing.pop() and tag == "text":
+            out.block(1)
         pre -= tag in ("pre", "listing", "textarea")
         if tag == "li":
             out.indent = out.indent[: len(out.indent) - len(node.attrs["mark"])]
@@ -420,7 +572,7 @@ def render(tree: Builder) -> str:
             if table.get("caption"):
                 out.lines(table["caption"])
                 out.line_end()
-            rows = layout(table["rows"])
+            rows = layout(table["rows"], align)
             if rows:
                 out.lines("\n".join(rows))
             out.block(2)
@@ -429,16 +581,16 @@ def render(tree: Builder) -> str:
     return writers[0].result()
 
 
-def visible_text(page: str | None) -> str | None:
-    return None if page is None else render(parse(page.replace("\0", "�")))
+def visible_text(page: str | None, align: int | None = ALIGN) -> str | None:
+    return None if page is None else render(parse(page.replace("\0", "�")), align)
 
 
-def extract(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
+def extract(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", align: int | None = ALIGN) -> DataFrame:
     """page_id, text: the visible text of every page."""
     kind = dict(pages.dtypes)[id_col]
 
     def run(batches: Iterator[dict]) -> Iterator[dict]:
         for b in batches:
-            yield {id_col: b[id_col], "text": [visible_text(page) for page in b[html_col]]}
+            yield {id_col: b[id_col], "text": [visible_text(page, align) for page in b[html_col]]}
 
     return map_rows(pages, [id_col, html_col], run, f"{id_col} {kind}, text string")
