@@ -52,6 +52,24 @@ def test_lookup_small_and_large_agree(spark):
     assert {r.name for r in small.filter("code IS NULL").collect()} == {"nothing"}
 
 
+def test_lookup_goes_by_bytes(spark):
+    wide = frame(spark, [(f"c{i}", "é" * 5000) for i in range(5)], "code string, name string")
+    wide = wide.withColumn("more", F.array(F.lit(1), F.lit(None)))
+    assert skew.fits_broadcast(wide)
+    assert not skew.fits_broadcast(wide, max_bytes=50_000)  # 25,000 characters
+    assert skew.fits_broadcast(wide.select("code"), max_bytes=100)
+    assert skew.fits_broadcast(wide.limit(0), max_rows=0, max_bytes=0)
+    facts = frame(spark, [(i, f"c{i % 7}") for i in range(40)], "id long, code string")
+
+    def plan(df):
+        return df._jdf.queryExecution().optimizedPlan().toString()
+
+    small, large = skew.lookup(facts, wide, ["code"]), skew.lookup(facts, wide, ["code"], max_bytes=50_000)
+    assert "broadcast" in plan(small)
+    assert "broadcast" not in plan(large)
+    assert sorted(map(str, small.collect())) == sorted(map(str, large.collect()))
+
+
 @pytest.mark.parametrize("chunk", [3, 4096])
 def test_copies_come_back(spark, chunk):
     df = frame(spark, hot_rows(), ROWS)
@@ -127,6 +145,31 @@ def test_numbering_does_not_depend_on_partitioning(spark):
     assert one.exceptAll(many).count() == 0
 
 
+def test_large_groups_are_numbered_in_blocks(spark, monkeypatch):
+    """A third of all rows are distinct ones of one group; copies count, and groups at the limit stay whole."""
+    rows = [(1, 1, day(0), "A", i * 7 % 4001, 1 + i % 3) for i in range(4001)]
+    rows += [(2 + i % 97, 1, day(i % 11), "AB"[i % 2], i, 1) for i in range(8000)] + [(1, 1, day(d), "A", 0, 2) for d in (-1, 1)]
+    df = cut(frame(spark, rows, f"{ROWS}, v long, n_copies long").repartition(7))
+    args = {"groups": [F.unix_date("data"), F.col("code")], "ties": ["v"], "weight": "n_copies", "gap": "gap"}
+    plain = skew.number_rows(df, config.KEY, **args).collect()
+    blocks = []
+
+    def watched(table):
+        blocks.append(cut(table))
+        return blocks[-1]
+
+    monkeypatch.setattr(skew, "cut", watched)
+    monkeypatch.setattr(skew, "fits_broadcast", lambda df, *limits: False)
+    assert sorted(map(str, skew.number_rows(df, config.KEY, max_group_rows=4000, **args).collect())) == sorted(map(str, plain))
+    sizes = [r["count"] for t in blocks if "_block" in t.columns for r in t.groupBy("_block").count().collect()]
+    assert sum(sizes) == 4001
+    assert len(sizes) > 1
+    assert max(sizes) <= 2 * 4001 / len(sizes)
+    del blocks[:]
+    skew.number_rows(df, config.KEY, max_group_rows=4001, **args).collect()
+    assert not any("_block" in t.columns for t in blocks)
+
+
 def test_rollup_has_one_row_per_patient_day(spark):
     t = tables(spark, diagnosi=[event(1, 0, "AMD047")] * 500 + [event(1, 1)] * 3, rx_other=[event(1, 0)] * 2)
     assert values(timeline.daily_rollup(t), "data", "n_events", "n_target") == [(day(0), 502, 500), (day(1), 3, 0)]

@@ -13,6 +13,9 @@ from vitaline.session import cut
 
 SALTS = 8
 BROADCAST_ROWS = 100_000
+BROADCAST_BYTES = 32 << 20
+GROUP_ROWS = 1 << 20  # rows of a group that one task puts in order
+GROUP_BUCKETS = 1 << 20  # by which larger groups are looked for
 COPY_CHUNK = 4096
 
 
@@ -27,9 +30,28 @@ def join_on_key(facts: DataFrame, dim: DataFrame, on: Sequence[str] = KEY, how:
     return facts.join(dim, list(on), how)
 
 
-def fits_broadcast(dim: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:
-    """True when `dim` has at most `max_rows` rows; reads no more than one row beyond that."""
-    return dim.limit(max_rows + 1).count() <= max_rows
+def _row_bytes(df: DataFrame) -> Column:
+    """Bytes of a row: 16 a column, and what strings, binaries, arrays, maps and structs hold besides."""
+    size = F.lit(16 * len(df.columns)).cast("long")
+    for field in df.schema.fields:
+        column = F.col(f"`{field.name}`")
+        kind = field.dataType.typeName()
+        if kind in ("array", "map", "struct"):
+            column = F.to_json(F.struct(column))
+        elif kind not in ("string", "varchar", "char", "binary"):
+            continue
+        size = size + F.coalesce(F.octet_length(column), F.lit(0))
+    return size
+
+
+def fits_broadcast(dim: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int = BROADCAST_BYTES) -> bool:
+    """True when `dim` has at most `max_rows` rows, and at most `max_bytes` bytes in them.
+
+    Reads no more than one row beyond the limit.
+    """
+    some = dim.limit(max_rows + 1).select(_row_bytes(dim).alias("_bytes"))
+    rows, size = some.agg(F.count("*"), F.sum("_bytes")).first()
+    return rows <= max_rows and (size or 0) <= max_bytes
 
 
 def lookup(
@@ -38,13 +60,15 @@ def lookup(
     on: Sequence[str],
     max_rows: int = BROADCAST_ROWS,
     small: bool | None = None,
+    max_bytes: int = BROADCAST_BYTES,
 ) -> DataFrame:
-    """Left join to a code table; null matches null. Broadcast when counted small, salted beyond that.
+    """Left join to a code table; null matches null.
 
-    `small` passes on a count made before.
+    Broadcast when small by counted rows and bytes (`fits_broadcast`), salted beyond that. `small` passes on
+    what was found before.
     """
     if small is None:
-        small = fits_broadcast(dim, max_rows)
+        small = fits_broadcast(dim, max_rows, max_bytes)
     names = [c for c in dim.columns if c not in on]
     keyed = dim.select(*[F.col(c).alias(f"_k_{c}") for c in on], *names)
     if small:
@@ -98,6 +122,37 @@ def expand_copies(
     return some.unionByName(many).drop(count)
 
 
+def _large_groups(rows: DataFrame, group: Sequence[str], max_rows: int) -> DataFrame | None:
+    """The groups of more than `max_rows` rows, None without one.
+
+    Rows are first counted by a hash of the group, in at most GROUP_BUCKETS sums a task, and groups
+    only in the buckets that hold too many.
+    """
+    bucket = F.pmod(F.xxhash64(*group), F.lit(GROUP_BUCKETS))
+    full = rows.groupBy(bucket.alias("_bucket")).agg(F.count("*").alias("_rows")).where(F.col("_rows") > max_rows)
+    full = cut(full.select("_bucket"))
+    if full.isEmpty():
+        return None
+    among = rows.select(*group, bucket.alias("_bucket")).join(F.broadcast(full), "_bucket")  # GROUP_BUCKETS numbers at most
+    large = cut(among.groupBy(*group).agg(F.count("*").alias("_rows")).where(F.col("_rows") > max_rows).select(*group))
+    return None if large.isEmpty() else large
+
+
+def _weight_before(rows: DataFrame, group: Sequence[str], ties: Sequence[str], weight: str, max_rows: int) -> DataFrame:
+    """Adds `_before`, the weight before each row of its group: one window a group, blocks for a large one."""
+    inside = W.partitionBy(*group).orderBy(*ties).rowsBetween(W.unboundedPreceding, W.currentRow)
+
+    def windowed(some: DataFrame) -> DataFrame:
+        return some.withColumn("_before", F.sum(weight).over(inside) - F.col(weight))
+
+    large = _large_groups(rows, group, max_rows)
+    if large is None:
+        return windowed(rows)
+    blocked = running_total(rows.join(large, list(group), "left_semi"), ties, F.col(weight), group, out="_running")
+    blocked = blocked.withColumn("_before", F.col("_running") - F.col(weight)).drop("_running")
+    return windowed(rows.join(large, list(group), "left_anti")).unionByName(blocked)
+
+
 def number_rows(
     rows: DataFrame,
     keys: Sequence[str],
@@ -105,12 +160,16 @@ def number_rows(
     ties: Sequence[str],
     weight: str,
     gap: str | None = None,
+    max_group_rows: int = GROUP_ROWS,
 ) -> DataFrame:
     """Adds `start`, the running weight before each row of a key, and `total`, the weight of the key.
 
-    `rows` holds distinct rows and is read twice, by its group columns alone and in full: a written table. The order inside a key is `groups`, then `ties`. `groups` are never null
+    `rows` holds distinct rows and is read by its group columns alone (twice) and in full: a written table.
+    The order inside a key is `groups`, then `ties`. `groups` are never null
     and have few values per key, such as the days of a life and the code list: only the sums of these
-    groups meet in one window per key, the rows themselves in one window per group.
+    groups meet in one window per key, the rows themselves in one window per group. A group of more than
+    `max_group_rows` rows is put in order by range blocks, each with its own window, plus the totals of
+    the blocks before; both ways give the same numbers.
     With `gap`, the first row of a group gets the distance of its first group column to the group before
     (0 when that is the same value, or none), all other rows 0.
     """
@@ -119,8 +178,7 @@ def number_rows(
     group = [*keys, *names]
     upto = (W.unboundedPreceding, W.currentRow)
 
-    inside = W.partitionBy(*group).orderBy(*ties).rowsBetween(*upto)
-    within = tagged.withColumn("_before", F.sum(weight).over(inside) - F.col(weight))
+    within = _weight_before(tagged, group, ties, weight, max_group_rows)
 
     in_key = W.partitionBy(*keys).orderBy(*names)
     starts = (
