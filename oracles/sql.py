@@ -432,6 +432,14 @@ ORACLES["null_atc_descriptions"] = _with(
     raw("rx_drug"),
     "SELECT descrizionefarmaco, count(*) AS n_rows FROM rx_drug WHERE codiceatc IS NULL GROUP BY 1",
 )
+ORACLES["named_by_code_file"] = _with(
+    raw("diagnosi", "labs"),
+    " UNION ALL ".join(
+        f"""SELECT codiceamd, CASE WHEN codiceamd <> 'AMD009' THEN 'exam, "' || codiceamd || '"' END AS meaning,
+        count(*) AS n_events, '{n}' AS "table" FROM {n} GROUP BY 1, 2"""
+        for n in ["diagnosi", "labs"]
+    ),
+)
 _CODE_OF = {n: "codiceatc" if n == "rx_drug" else "codiceamd" for n in EVENTS}
 ORACLES["code_counts"] = _with(
     RAW,

@@ -37,6 +37,7 @@ from vitaline.sources.quoted_csv import read_quoted_csv
 from vitaline.sources.tables import (
     Tables,
     read_age_fraction_tables,
+    read_amd_codes,
     read_features,
     read_tables,
     read_texts,
@@ -386,6 +387,25 @@ def committed_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_texts(spark, root, check="digest")
 
 
+@query
+def named_by_code_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events by the meaning of their code, from a dictionary file: broadcast for one table, as if too wide for the other."""
+    t = stages.raw(spark, sf_dir)
+    codes = t.diagnosi.select("codiceamd").union(t.labs.select("codiceamd")).where("codiceamd <> 'AMD009'").distinct()
+    meaning = F.concat(F.lit('exam, "'), "codiceamd", F.lit('"'))
+    path = f"{new_folder(spark)}/amd_codes.csv"
+    write_frame(codes.select(F.col("codiceamd").alias("codice"), meaning.alias("meaning")), path, "csv")
+    book = read_amd_codes(spark, path)
+    named = {
+        "diagnosi": skew.lookup(t.diagnosi.select("codiceamd"), book, ["codiceamd"]),
+        "labs": skew.lookup(t.labs.select("codiceamd"), book, ["codiceamd"], max_bytes=0),
+    }
+    counted = [
+        df.groupBy("codiceamd", "meaning").agg(F.count("*").alias("n_events")).withColumn("table", F.lit(n)) for n, df in named.items()
+    ]
+    return union_all(counted)
+
+
 # --- reports -------------------------------------------------------------------------------------
 
 
