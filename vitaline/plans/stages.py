@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from vitaline.operators.cohort import cohort_by_codes
 from vitaline.plans.clean import clean_and_label
 from vitaline.plans.prepare import balanced_tables
-from vitaline.session import cut_all, tune
-from vitaline.sources.derived import clinical_tables
+from vitaline.session import cut_all, deal_by_input, tune
+from vitaline.sources.derived import SOURCES, clinical_tables
 from vitaline.sources.tables import Tables
 
 _kept: dict[tuple, Tables] = {}
@@ -24,7 +24,12 @@ def _version(spark: SparkSession, sf_dir: str) -> tuple[str, ...]:
     return tuple(sorted(f"{f.getPath().getName()} {f.getLen()} {f.getModificationTime()}" for f in files))
 
 
+def _ready(spark: SparkSession, sf_dir: str) -> SparkSession:
+    return deal_by_input(tune(spark), [f"{sf_dir}/{name}.parquet" for name in SOURCES])
+
+
 def _once(spark: SparkSession, sf_dir: str, stage: str, build: Callable[[], Tables]) -> Tables:
+    _ready(spark, sf_dir)
     place = (spark.sparkContext.applicationId, sf_dir, stage, _version(spark, sf_dir))
     if place not in _kept:
         _kept[place] = Tables(**cut_all(dict(build().items())))
@@ -32,7 +37,7 @@ def _once(spark: SparkSession, sf_dir: str, stage: str, build: Callable[[], Tabl
 
 
 def raw(spark: SparkSession, sf_dir: str) -> Tables:
-    return clinical_tables(tune(spark), sf_dir)
+    return clinical_tables(_ready(spark, sf_dir), sf_dir)
 
 
 def cohort(spark: SparkSession, sf_dir: str) -> Tables:

@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from vitaline.sources.tables import Tables
 
+SOURCES = ("customer", "orders", "lineitem")
+
 # Two groups of patients get short histories, so that the history filters have something to drop.
 _EVENT_DATE = (
     "CASE WHEN c_custkey % 17 = 0 THEN DATE '1998-01-01' + CAST(o_orderkey % 25 AS INT) "
@@ -138,7 +140,7 @@ def source(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def clinical_tables(spark: SparkSession, sf_dir: str) -> Tables:
-    base = {n: source(spark, sf_dir, n) for n in ("customer", "orders", "lineitem")}
+    base = {n: source(spark, sf_dir, n) for n in SOURCES}
     return Tables(
         **{
             name: spark.sql(sql, **{n: f for n, f in base.items() if f"{{{n}}}" in sql})
