@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from vitaline.operators.cohort import cohort_by_codes
 from vitaline.plans.clean import clean_and_label
 from vitaline.plans.prepare import balanced_tables
-from vitaline.session import cut_all, deal_by_input, tune
+from vitaline.session import cut_all, deal_by_input, join_unions, tune
 from vitaline.sources.derived import SOURCES, clinical_tables
 from vitaline.sources.tables import Tables
 
@@ -25,6 +25,7 @@ def _version(spark: SparkSession, sf_dir: str) -> tuple[str, ...]:
 
 
 def _ready(spark: SparkSession, sf_dir: str) -> SparkSession:
+    join_unions(spark, False)
     return deal_by_input(tune(spark), [f"{sf_dir}/{name}.parquet" for name in SOURCES])
 
 

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from vitaline.config import KEY
 from vitaline.operators.timeline import union_all
-from vitaline.session import cut, new_folder
+from vitaline.session import cut, join_unions, new_folder
 from vitaline.sources.tables import Tables
 
 BUCKETS = 64
@@ -61,7 +61,9 @@ def write_bucketed(tables: Tables, buckets: int = BUCKETS) -> Bucketed:
         writer.option("path", f"{folder}/{name}").saveAsTable(table)
         return spark.table(table)
 
-    return Bucketed(
+    parts = Bucketed(
         Tables(**{name: spread(name, frame) for name, frame in tables.items()}),
         Tables(**{name: cut(frame.join(F.broadcast(hot), KEY, "left_semi")) for name, frame in tables.items()}),
     )
+    join_unions(spark, True)
+    return parts
