@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
+from operator import add
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -811,24 +813,31 @@ def drop_first_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return steps.select(*KEY, "data", "src", "code", "value", "step").withColumns(_long("src"))
 
 
-def _described(arrays: DataFrame) -> DataFrame:
-    """Arrays of step vectors told by their length and by sums, one of them weighted by place and column."""
-    flat = F.flatten("steps")
-    tenths = lambda x: F.round(x.cast("double") * 10).cast("long")
-    zero = F.lit(0).cast("long")
+# Entries of a step vector: the flat features without patient, label and date; those of elapsed time have no `extra`.
+FLAT_WIDTH, ELAPSED_WIDTH = 13, 12
+
 
-    def row(step: Column, place: Column) -> Column:
-        columns = F.transform(step, lambda x, j: tenths(x) * (j + 1))
-        return F.aggregate(columns, zero, lambda a, x: a + x) * (place + 1)
+def _described(arrays: DataFrame, width: int = FLAT_WIDTH) -> DataFrame:
+    """Arrays of step vectors of `width` entries (one row a patient and part) told by their length and by sums, one of
+    them weighted by place and column. Steps are summed as rows, in compiled code."""
+    key = [c for c in arrays.columns if c in (*KEY, "part")]
+    others = [c for c in arrays.columns if c not in (*key, "steps")]
+    steps = arrays.select(*key, *others, F.posexplode_outer("steps").alias("_place", "_step"))
+    entries = [F.col("_step")[j].cast("double") for j in range(width)]
+    zero = F.lit(0).cast("long")
 
-    return arrays.withColumns(
-        {
-            "n_steps": F.size("steps").cast("long"),
-            "n_entries": F.size(flat).cast("long"),
-            "total": F.round(F.aggregate(flat, F.lit(0.0), lambda a, x: a + x), 2),
-            "in_order": F.aggregate(F.transform("steps", row), zero, lambda a, x: a + x),
-        }
-    ).drop("steps")
+    def tenths(x: Column) -> Column:  # half away from zero
+        return (F.signum(x) * F.floor(F.abs(x * 10) + 0.5)).cast("long")
+
+    total = reduce(add, entries)
+    in_order = reduce(add, [tenths(x) * (j + 1) for j, x in enumerate(entries)]) * (F.col("_place") + 1)
+    return steps.groupBy(*key).agg(
+        *[F.any_value(c).alias(c) for c in others],
+        F.count("_place").alias("n_steps"),
+        F.coalesce(F.sum(F.array_size("_step").cast("long")), zero).alias("n_entries"),
+        F.round(F.coalesce(F.sum(total), F.lit(0.0)), 2).alias("total"),
+        F.coalesce(F.sum(in_order), zero).alias("in_order"),
+    )
 
 
 @query
@@ -870,7 +879,8 @@ def _elapsed(tables: Tables, length: int) -> DataFrame:
                 "n_elapsed": F.size("elapsed").cast("long"),
                 "n_labels": F.size("labels").cast("long"),
             }
-        ).drop("elapsed", "labels")
+        ).drop("elapsed", "labels"),
+        ELAPSED_WIDTH,
     )
 
 
