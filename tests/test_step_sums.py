@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 from rows import frame, values
 
+from vitaline.operators import sequences
 from vitaline.plans import catalog
 
 
@@ -34,3 +35,17 @@ def test_steps_are_summed_as_rows(arrays):
         (2, 0, 0, 1, 2, -199.96, -2000),
     ]
     assert "lambda" not in plan(told)
+
+
+def test_padding_numbers_the_events_once(spark):
+    rows = frame(
+        spark, [(1, 1, d, 0, 0, 1, 1.0) for d in range(3)] + [(2, 1, 0, 0, 0, 0, 2.0)],
+        "idana long, idcentro int, data int, extra int, codiceamd int, label int, valore double",
+    )
+    padded = sequences.flat_sequences(rows, pad_to=5, part_steps=2)
+    assert "Union" not in plan(padded)
+    sizes = padded.select("idana", "part", F.size("steps").alias("n"), F.col("steps")[0][2].alias("first"))
+    assert values(sizes, "idana", "part", "n", "first") == [
+        (1, 0, 2, -200.0), (1, 1, 2, 1.0), (1, 2, 1, 1.0),
+        (2, 0, 2, -200.0), (2, 1, 2, -200.0), (2, 2, 1, 2.0),
+    ]

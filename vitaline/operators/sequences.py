@@ -180,15 +180,16 @@ def flat_sequences(
     arrays = as_arrays(rows, vectors, carry=("label", "pad"), part_steps=part_steps)
     row = F.array_repeat(F.lit(pad_value).cast("float"), len(columns))
     here = F.greatest(F.col("pad") - F.col("part") * part_steps, F.lit(0)).cast("int")
-    filled = arrays.withColumn("steps", F.concat(F.array_repeat(row, F.least(here, F.lit(part_steps))), "steps"))
-    full = F.floor(F.col("pad") / part_steps).cast("int")
-    # whole parts of padding, made from each patient's first part that has events
-    fronts = (
-        arrays.filter(F.col("part") == full)
-        .withColumn("part", F.explode(F.when(full > 0, F.sequence(F.lit(0), full - 1))))
-        .withColumn("steps", F.array_repeat(row, part_steps))
+    filled = F.concat(F.array_repeat(row, F.least(here, F.lit(part_steps))), "steps")
+    # whole parts of padding come from each patient's first part that has events, in the same pass
+    first = F.col("part") == F.floor(F.col("pad") / part_steps)
+    own = F.col("_part") == F.col("part")
+    return (
+        arrays.withColumn("_part", F.explode(F.sequence(F.when(first, 0).otherwise(F.col("part")), F.col("part"))))
+        .withColumn("steps", F.when(own, filled).otherwise(F.array_repeat(row, part_steps)))
+        .withColumn("part", F.col("_part"))
+        .drop("_part", "pad")
     )
-    return filled.unionByName(fronts).drop("pad")
 
 
 def elapsed_sequences(rows: DataFrame, length: int = ELAPSED_STEPS) -> DataFrame:
