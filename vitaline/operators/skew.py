@@ -15,7 +15,7 @@ SALTS = 8
 BROADCAST_ROWS = 100_000
 BROADCAST_BYTES = 32 << 20
 GROUP_ROWS = 1 << 20  # rows of a group that one task puts in order
-GROUP_BUCKETS = 1 << 20  # by which larger groups are looked for
+GROUP_BUCKETS = 1 << 16  # by which larger groups are looked for; every task sends at most so many sums
 COPY_CHUNK = 4096
 
 
