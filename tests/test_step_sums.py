@@ -4,10 +4,10 @@ from __future__ import annotations
 
 import pytest
 from pyspark.sql import functions as F
-from rows import frame, values
+from rows import event, frame, raw_person, tables, values
 
 from vitaline.operators import sequences
-from vitaline.plans import catalog
+from vitaline.plans import catalog, clean
 
 
 def plan(df):
@@ -49,3 +49,13 @@ def test_padding_numbers_the_events_once(spark):
         (1, 0, 2, -200.0), (1, 1, 2, 1.0), (1, 2, 1, 1.0),
         (2, 0, 2, -200.0), (2, 1, 2, -200.0), (2, 2, 1, 2.0),
     ]
+
+
+def test_first_events_of_the_cohort_are_written_once(spark):
+    raw = tables(
+        spark, [raw_person(1), raw_person(2)], raw=True,
+        diagnosi=[event(1, 0, "AMD047"), event(1, 400), event(2, 3)],
+    )
+    cohort = clean.choose_patients(raw).cohort
+    assert "Aggregate" not in plan(cohort)
+    assert values(cohort, "idana") == [(1,)]

@@ -47,7 +47,8 @@ def choose_patients(tables: Tables, as_of: dt.date = AS_OF, with_rx: bool = True
     per_patient = rollup.groupBy(*KEY).agg(
         F.min("data").alias("first_event"), F.sum("n_target").alias("n_target")
     )
-    chosen = per_patient.filter(F.col("n_target") > 0).select(*KEY, "first_event")
+    # Written, as it is joined twice: otherwise the rollup would be shuffled by patient for each join.
+    chosen = cut(per_patient.filter(F.col("n_target") > 0).select(*KEY, "first_event"))
     cohort = tables.registry.join(chosen, KEY, "left_semi")
     repaired = cut(repair_from_firsts(cohort, chosen, as_of))
 
