@@ -3,6 +3,7 @@ from __future__ import annotations
 import random
 
 import numpy as np
+import pytest
 
 from vitaline.llm import decontaminate as d
 from vitaline.llm.queries import QUERIES
@@ -119,3 +120,20 @@ def test_copies_in_many_documents_and_in_small_tables(spark):
     assert found(texts) == [(i, 0) for i in range(0, 300, 3)] + [(300, 1)]
     small = [f"{filler(90)} {' '.join(hot)} {filler(90)}", " ".join(hot), filler(50), rephrased, answerless]
     assert found(small) == [(0, 0), (1, 0), (3, 0)]
+
+
+def test_whole_stretch_is_looked_at_before_its_windows(monkeypatch):
+    """Words of a plain item in reverse order: no common subsequence is long enough, so no windows are laid."""
+    text = "one two three four five six seven eight nine ten"
+    items = d.Items([("a", text)])
+    items.share += 0.5  # no weighted words: searched without the cosine
+    items.basis = np.zeros((len(items.vocabulary), 1))
+    limits = {"min_words": 3, "cosine": 0.5, "copied": 0.8, "rephrased": 0.6}
+    places, near = d.Places(items, limits), np.zeros((1, 1))
+    same = items.words[0]
+    assert d._hits(same, items, near, places, limits)[0][0] == 10
+    for tail in ([], [-1, -1, 3]):
+        mixed = np.array([*same[::-2].tolist(), *tail], np.int32)
+        assert places.common(places.words[0], mixed) == d.common_words(same, mixed)
+    monkeypatch.setattr(d.Places, "rich", lambda *_: pytest.fail("windows were laid"))
+    assert d._hits(same[::-1].copy(), items, near, places, limits) == {}

@@ -31,6 +31,7 @@ columns are ignored; an empty table on either side gives no hits.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -86,7 +87,7 @@ def encode(docs: DataFrame, items: Items) -> DataFrame:
             packed = []
             for text in b["text"]:
                 words = words_of(text)
-                ids = np.fromiter((number(w, -1) for w in words), np.int32, len(words))
+                ids = np.fromiter(map(number, words, repeat(-1)), np.int32, len(words))
                 packed.append(ids.astype(items.kind).tobytes())
                 known = np.flatnonzero(ids >= 0)
                 where = np.unique((known // PASSAGE) * len(vocabulary) + ids[known]) % max(len(vocabulary), 1)
@@ -164,17 +165,27 @@ def latent_basis(encoded: DataFrame, items: Items, rank: int, extra: int = 8, se
     return (basis @ turns)[:, np.argsort(-values)[:rank]]
 
 
-def common_words(item: np.ndarray, text: np.ndarray) -> int:
-    """Length of the longest common subsequence, one bit for each place of `item`."""
+def places_of(item: np.ndarray) -> dict[int, int]:
+    """The places of each word of an item, as bits."""
     places: dict[int, int] = {}
     for i, word in enumerate(item.tolist()):
         places[word] = places.get(word, 0) | 1 << i
-    row = full = (1 << len(item)) - 1
-    for word in text.tolist():
-        if hit := places.get(word, 0):
-            both = row & hit
-            row = ((row + both) | (row - both)) & full
-    return len(item) - row.bit_count()
+    return places
+
+
+def common_bits(places: dict[int, int], size: int, text: list[int]) -> int:
+    """Length of the longest common subsequence of an item of `size` words and a text of words of the item."""
+    row = full = (1 << size) - 1
+    for word in text:
+        both = row & places[word]
+        row = ((row + both) | (row - both)) & full
+    return size - row.bit_count()
+
+
+def common_words(item: np.ndarray, text: np.ndarray) -> int:
+    """Length of the longest common subsequence, one bit for each place of `item`."""
+    places = places_of(item)
+    return common_bits(places, len(item), [word for word in text.tolist() if word in places])
 
 
 class Places:
@@ -211,20 +222,31 @@ class Places:
         self.needs = np.maximum(least - np.array(plain, int), limits["min_words"])
         self.widths = np.array([1 << max(n - 1, 1).bit_length() for n in sizes.tolist()])
         self.marks = np.zeros(len(items.vocabulary) + 1, bool)
+        self.words = [(words, places_of(words)) for words in items.words]
+        self.tails = [(tail, places_of(tail)) for tail in self.answers]
+
+    def common(self, whole: tuple[np.ndarray, dict[int, int]], text: np.ndarray) -> int:
+        """`common_words` of one of `words` or `tails`: only the text's words that it has are looked at."""
+        item, places = whole
+        self.marks[item] = True
+        found = text[self.marks[text]]
+        self.marks[item] = False
+        return common_bits(places, len(item), found.tolist())
 
     def rich(self, part: np.ndarray, item: int, words: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """The windows whose surroundings (left, right) have the anchors and words that a hit of the item has."""
         found = np.arange(len(left))
         for some, least in ((self.anchors[item], self.needs[item]), (words, self.least[item])):
             self.marks[some] = True
-            sums = np.concatenate(([0], np.cumsum(self.marks[part])))
+            sums = np.zeros(len(part) + 1, np.int64)
+            np.cumsum(self.marks[part], out=sums[1:])
             self.marks[some] = False
             found = found[sums[right[found]] - sums[left[found]] >= least]
             if not len(found):
                 break
         return found
 
-    def stretches(self, ids: np.ndarray) -> Iterator[tuple[int, int, int, np.ndarray]]:
+    def stretches(self, ids: np.ndarray) -> Iterator[tuple[int, int, int, list[int]]]:
         """Width, start, end and items of the stretches that may hold items of this width."""
         place = np.flatnonzero(self.anchoring[ids])
         first = self.starts[ids[place]]
@@ -240,10 +262,12 @@ class Places:
             next_one = np.append(np.where(keys[1:] == keys[:-1] + 1, times[1:], 0), 0)
             near = times + np.maximum(next_one, np.append(0, np.where(next_one[:-1] > 0, times[:-1], 0)))
             rich = keys[near >= self.needs[keys // (n_blocks + 2)]]
-            where = rich % (n_blocks + 2) - 1
-            for at in np.unique(where).tolist():
+            members: dict[int, list[int]] = {}
+            for key in rich.tolist():
+                members.setdefault(key % (n_blocks + 2) - 1, []).append(key // (n_blocks + 2))
+            for at, found in members.items():
                 low, high = max((at - 1) * 2 * width, 0), min((at + 2) * 2 * width, len(ids))
-                yield width, low, high, rich[where == at] // (n_blocks + 2)
+                yield width, low, high, found
 
 
 def _cosines(
@@ -257,6 +281,13 @@ def _cosines(
     return windows @ near.T
 
 
+def windows(size: int, width: int) -> tuple[np.ndarray, ...]:
+    """Starts and ends of the windows of a part, and starts and ends of what is looked at around them."""
+    starts = np.arange(0, max(size - width // 2, 1), max(width // 4, 1))
+    ends = np.minimum(starts + width, size)
+    return starts, ends, np.maximum(starts - width // 2, 0), np.minimum(ends + width // 2, size)
+
+
 def _hits(ids: np.ndarray, items: Items, near: np.ndarray, places: Places, limits: dict) -> dict[int, tuple]:
     """Best hit per item place for one document."""
     found: dict[int, tuple] = {}
@@ -265,27 +296,32 @@ def _hits(ids: np.ndarray, items: Items, near: np.ndarray, places: Places, limit
     weighted[known] = items.weight[ids[known]] > 0
     for width, low, high, members in places.stretches(ids):
         part = ids[low:high]
-        starts = np.arange(0, max(len(part) - width // 2, 1), max(width // 4, 1))
-        ends = np.minimum(starts + width, len(part))
-        cosines = None
-        lefts, rights = np.maximum(starts - width // 2, 0), np.minimum(ends + width // 2, len(part))
-        for m, item in enumerate(members.tolist()):
+        starts = cosines = None
+        for m, item in enumerate(members):
             words, tail = items.words[item], places.answers[item]
             if places.direct[item]:
+                # nothing in the parts if not in the whole, which is soonest told
+                if places.common(places.words[item], part) < places.least[item]:
+                    continue
+                if starts is None:
+                    starts, ends, lefts, rights = windows(len(part), width)
                 candidates = places.rich(part, item, words, lefts, rights)
-                # nothing in the parts if not in the whole
-                if not len(candidates) or common_words(words, part[lefts[candidates[0]] : rights[candidates[-1]]]) < places.least[item]:
+                if not len(candidates):
+                    continue
+                if places.common(places.words[item], part[lefts[candidates[0]] : rights[candidates[-1]]]) < places.least[item]:
                     continue
+            elif starts is None:
+                starts, ends, lefts, rights = windows(len(part), width)
             if cosines is None:
                 cosines = _cosines(part, weighted[low:high], starts, ends, items.basis, near[members])
             if not places.direct[item]:
                 candidates = np.flatnonzero(cosines[:, m] >= limits["cosine"])
             for w in candidates.tolist():
                 left, right = low + int(lefts[w]), low + int(rights[w])
-                common = common_words(words, ids[left:right])
+                common = places.common(places.words[item], ids[left:right])
                 if common < places.least[item]:
                     continue
-                answer = common_words(tail, ids[left:right])
+                answer = places.common(places.tails[item], ids[left:right])
                 if common < limits["copied"] * len(words) and answer < limits["rephrased"] * len(tail):
                     continue
                 hit = (common, round(float(cosines[w, m]), 6), answer, left, right)
