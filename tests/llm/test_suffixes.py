@@ -56,6 +56,22 @@ def test_order_is_that_of_the_strings(letters):
     assert s.same_as_before(data, order).tolist() == [False, *[a == b for a, b in zip(strings, strings[1:], strict=False)]]
 
 
+def test_order_of_bytes_of_all_values_and_of_numbers_too_wide_for_places():
+    rng = np.random.default_rng(3)
+    data = rng.integers(0, 256, 5000).astype(np.uint8)
+    data[3000:3400] = data[100:500]
+    starts = np.flatnonzero(rng.random(len(data) - W - 1) < 0.7)
+    order = s.suffix_order(np.concatenate([data, np.zeros(W + 2, np.uint8)]), starts)
+    strings = [data[i : i + W].tobytes() for i in order]
+    assert sorted(order.tolist()) == starts.tolist() and strings == sorted(strings)
+    values = rng.integers(0, 50, 1000).astype(np.uint64) << np.uint64(55)
+    values[7] = np.uint64((1 << 64) - 1)
+    for wide, bits in ((values, 64), (values >> np.uint64(55), 9)):  # with places apart and behind the numbers
+        order, new = s._ranks(wide, bits)
+        assert (order == np.argsort(wide, kind="stable")).all()
+        assert new.sum() == len(np.unique(wide))
+
+
 def test_anchors_cover_every_string_once(monkeypatch):
     monkeypatch.setattr(s, "STRIDE", 97)
     rng = random.Random(1)

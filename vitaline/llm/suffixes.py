@@ -9,7 +9,7 @@ neighbours in the text. Grams that anchor strings of one document only are left
 Spark brings the surroundings of all their occurrences together, sorted by gram.
 
 Sorting. A task sorts the suffixes of such surroundings to a depth of WINDOW bytes by the difference cover
-{1, 2} modulo 3: it sorts the sampled positions by triples (of 8, 8 and 2 bytes) and names them by rank;
+{1, 2} modulo 3: it sorts the sampled positions by triples (of 6 bytes each) and names them by rank;
 recurses on the names, which as triples at distances 0, 18 and 36 already reach WINDOW bytes; merges the
 remaining suffixes, compared by their first byte or two and the rank of the sampled suffix behind; and
 compares the prefixes of adjacent suffixes. Runs of equal prefixes are the repeated strings.
@@ -81,49 +81,91 @@ def anchors(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.concatenate(grams), np.concatenate(firsts), np.concatenate(lasts)
 
 
-def _ranks(*columns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Order of rows by columns, and whether each row in that order differs from the one before, by column."""
-    order = np.lexsort(columns[::-1])
-    new = np.ones((len(columns), len(order)), bool)
-    for i, column in enumerate(columns):
-        new[i, 1:] = column[order][1:] != column[order][:-1]
-    return order, new
+def _ranks(values: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Order of numbers of `bits` bits, and whether each number in that order differs from the one before."""
+    places = np.uint64(max(len(values) - 1, 1).bit_length())
+    if bits + int(places) <= 64:  # sorted as they are, with their places behind them, which is much faster
+        packed = np.sort(values << places | np.arange(len(values), dtype=np.uint64))
+        order = (packed & ((np.uint64(1) << places) - np.uint64(1))).view(np.int64)
+        ordered = packed >> places
+    else:
+        order = np.argsort(values, kind="stable")
+        ordered = values[order]
+    return order, _changes(ordered)
+
+
+def _changes(ordered: np.ndarray) -> np.ndarray:
+    new = np.ones(len(ordered), bool)
+    new[1:] = ordered[1:] != ordered[:-1]
+    return new
+
+
+def _and_behind(marks: np.ndarray, distance: int) -> np.ndarray:
+    """The marked places and those `distance` behind them."""
+    out = marks.copy()
+    out[distance:] |= marks[:-distance]
+    return out
+
+
+def _six(data: np.ndarray) -> tuple[np.ndarray, int]:
+    """The 6 bytes from every place on, as numbers in their order, and the bits of these."""
+    there = np.bincount(data, minlength=256) > 0
+    base = int(there.sum())
+    digits = (np.cumsum(there) - 1).astype(np.uint64)[data]
+    three = np.zeros(len(data) + 3, np.uint64)
+    three[: len(data) - 2] = (digits[:-2] * np.uint64(base) + digits[1:-1]) * np.uint64(base) + digits[2:]
+    return three[:-3] * np.uint64(base**3) + three[3:], (base**6 - 1).bit_length()
 
 
 def suffix_order(data: np.ndarray, starts: np.ndarray) -> np.ndarray:
     """`starts` in the order of the WINDOW bytes from each on; `data` goes on for WINDOW + 2 bytes after each."""
-    words = words_at(data)
-    sampled = np.flatnonzero(np.arange(len(data)) % 3 != 0)
-    # triples of 8, 8 and 2 bytes, named by rank; also the names of their first 14, 13 and 12 bytes
-    behind = np.concatenate([words, np.zeros(18, np.uint64)])
-    first, second, third = behind[sampled], behind[sampled + 8], behind[sampled + 16] >> np.uint64(48)
-    order, new = _ranks(first, second, third)
-    shorter = [np.ones(len(order), bool) for _ in range(3)]
-    for cut_, size in zip(shorter, (14, 13, 12), strict=True):
-        part = second[order] >> np.uint64(8 * (16 - size))
-        cut_[1:] = new[0, 1:] | (part[1:] != part[:-1])
-    names = np.zeros((4, len(data) + 64), np.int64)  # of 18, 14, 13 and 12 bytes
-    names[0, sampled[order]] = np.cumsum(new.any(0))
-    for row, changed in zip(names[1:], shorter, strict=True):
-        row[sampled[order]] = np.cumsum(changed)
+    data = np.concatenate([data, np.zeros(64, np.uint8)])
+    byte = data.astype(np.uint64)
+    zeros, ones, twos = (starts[starts % 3 == r] for r in range(3))
+    ours = np.zeros(len(data), bool)
+    ours[ones] = ours[twos] = True
+    sampled = ours.copy()  # the sampled suffixes that are ranked: our own, and those that the merge looks at
+    sampled[zeros + 1] = sampled[zeros + 2] = sampled[ones + 1] = sampled[twos + 2] = True
+    # and the places whose names these take
+    to_18 = _and_behind(sampled, 18)
+    to_12 = to_18.copy()
+    to_12[36:] |= sampled[:-36]
+    to_6 = _and_behind(to_12, 6)
+    to_6[12:] |= to_18[:-12]
+
+    def names(at: np.ndarray, values: np.ndarray, bits: int) -> np.ndarray:
+        order, new = _ranks(values, bits)
+        out = np.zeros(len(data), np.uint64)
+        out[at[order]] = np.cumsum(new, dtype=np.uint64)
+        return out
+
+    # triples of 6 bytes each, named by rank
+    at = np.flatnonzero(to_6)
+    values, bits = _six(data)
+    name_6 = names(at, values[at], bits)
+    width = len(at).bit_length()
+    shift = np.uint64(width)
+    at = np.flatnonzero(to_12)
+    name_12 = names(at, name_6[at] << shift | name_6[at + 6], 2 * width)
+    at = np.flatnonzero(to_18)
+    name_18 = names(at, name_12[at] << shift | name_6[at + 12], 2 * width)
     # names of names: 18 + 18 + 14 bytes; with 13 or 12 at the end they reach one or two bytes less far
-    a, b = names[0, sampled], names[0, sampled + 18]
-    order, new = _ranks(a, b, names[1, sampled + 36])
-    base = new[0] | new[1]
-    rank = np.zeros((3, len(data) + 64), np.int64)  # to a depth of 50, 49 and 48 bytes
-    for row, ends in zip(rank, names[1:], strict=True):
-        end = ends[sampled[order] + 36]
-        changed = base.copy()
-        changed[1:] |= end[1:] != end[:-1]
-        row[sampled[order]] = np.cumsum(changed)
+    at = np.flatnonzero(sampled)
+    name_36 = names(at, name_18[at] << shift | name_18[at + 18], 2 * width)
+    tail = name_12[at + 36] << np.uint64(16) | byte[at + 48] << np.uint64(8) | byte[at + 49]
+    name_14 = names(at, tail, width + 16)
+    order, new = _ranks(name_36[at] << shift | name_14[at], 2 * width)
+    at = at[order]
+    base, end = _changes(name_36[at]), name_12[at + 36]
+    rank = np.zeros((3, len(data)), np.uint64)  # to a depth of 50, 49 and 48 bytes
+    rank[0, at] = np.cumsum(new, dtype=np.uint64)
+    rank[1, at] = np.cumsum(base | _changes(end << np.uint64(8) | byte[at + 48]), dtype=np.uint64)
+    rank[2, at] = np.cumsum(base | _changes(end), dtype=np.uint64)
     # the merge: places of the remaining suffixes among the sampled ones, of either remainder
-    ours = [starts[starts % 3 == r] for r in range(3)]
-    byte = np.concatenate([data, np.zeros(8, np.uint8)]).astype(np.int64)
-    one = lambda at: byte[at] << 40 | rank[1, at + 1]
-    two = lambda at: byte[at] << 48 | byte[at + 1] << 40 | rank[2, at + 2]
-    zero = ours[0][np.argsort(one(ours[0]), kind="stable")]
-    both = np.concatenate(ours[1:])
-    both = both[np.argsort(rank[0, both], kind="stable")]
+    one = lambda at: byte[at] << shift | rank[1, at + 1]
+    two = lambda at: (byte[at] << np.uint64(8) | byte[at + 1]) << shift | rank[2, at + 2]
+    zero = zeros[_ranks(one(zeros), width + 8)[0]]
+    both = at[ours[at]]
     remainder = both % 3
     less = np.zeros(len(zero), np.int64)  # sampled suffixes before each remaining one
     for r, key in ((1, one), (2, two)):
