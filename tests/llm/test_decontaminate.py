@@ -137,3 +137,34 @@ def test_whole_stretch_is_looked_at_before_its_windows(monkeypatch):
         assert places.common(places.words[0], mixed) == d.common_words(same, mixed)
     monkeypatch.setattr(d.Places, "rich", lambda *_: pytest.fail("windows were laid"))
     assert d._hits(same[::-1].copy(), items, near, places, limits) == {}
+
+
+def test_stretches_equal_brute_force_and_bounds_lose_nothing(monkeypatch):
+    rng = random.Random(8)
+    words = [f"w{i}" for i in range(40)]
+    items = d.Items([(i, " ".join(rng.choice(words) for _ in range(rng.choice([4, 9, 20])))) for i in range(12)])
+    items.weight = np.array([rng.choice([0, 1.0]) for _ in items.vocabulary])
+    items.share = np.array([rng.random() for _ in items.vocabulary])
+    places = d.Places(items, {"min_words": 3, "cosine": 0.5, "copied": 0.8, "rephrased": 0.6})
+    looked, common_bits = [], d.common_bits
+    monkeypatch.setattr(d, "common_bits", lambda *a: looked.append(a) or common_bits(*a))
+    calls = 0
+    for _ in range(30):
+        ids = np.array([rng.choice([-1, -1, -1, rng.randrange(len(items.vocabulary))]) for _ in range(rng.choice([0, 30, 400]))], np.int32)
+        expected = set()
+        for i, own in enumerate(places.anchors):
+            width = int(places.widths[i])
+            times = [int(np.isin(ids[at : at + 2 * width], own).sum()) for at in range(0, len(ids), 2 * width)]
+            for at, n in enumerate(times):
+                around = max(times[at - 1 : at] or [0]), max(times[at + 1 : at + 2] or [0])
+                if n and n + max(around) >= places.needs[i]:
+                    expected.add((width, max((at - 1) * 2 * width, 0), min((at + 2) * 2 * width, len(ids)), i))
+        found = [(width, low, high, i) for width, low, high, some in places.stretches(ids) for i in some]
+        assert sorted(found) == sorted(expected)
+        for i, whole in enumerate(places.words):
+            calls += 1
+            common, least = brute_common(items.words[i].tolist(), ids.tolist()), int(places.least[i])
+            assert places.common(whole, ids) == common
+            calls += 1
+            assert places.common(whole, ids, least) in ({common} if common >= least else {common, 0})
+    assert len(looked) < 0.9 * calls  # texts with too few different words of an item are told without the subsequence

@@ -225,13 +225,16 @@ class Places:
         self.words = [(words, places_of(words)) for words in items.words]
         self.tails = [(tail, places_of(tail)) for tail in self.answers]
 
-    def common(self, whole: tuple[np.ndarray, dict[int, int]], text: np.ndarray) -> int:
-        """`common_words` of one of `words` or `tails`: only the text's words that it has are looked at."""
+    def common(self, whole: tuple[np.ndarray, dict[int, int]], text: np.ndarray, least: int = 0) -> int:
+        """`common_words` of one of `words` or `tails`: only the text's words that it has are looked at. 0 if the
+        text's different words of it and the item's repeated ones are fewer than `least`."""
         item, places = whole
         self.marks[item] = True
-        found = text[self.marks[text]]
+        found = text[self.marks[text]].tolist()
         self.marks[item] = False
-        return common_bits(places, len(item), found.tolist())
+        if len(found) < least or len(set(found)) + len(item) - len(places) < least:
+            return 0
+        return common_bits(places, len(item), found)
 
     def rich(self, part: np.ndarray, item: int, words: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """The windows whose surroundings (left, right) have the anchors and words that a hit of the item has."""
@@ -252,22 +255,26 @@ class Places:
         first = self.starts[ids[place]]
         n = self.starts[ids[place] + 1] - first
         item = self.owners[np.arange(n.sum()) + np.repeat(first - np.cumsum(n) + n, n)]
-        place = np.repeat(place, n)
-        for width in np.unique(self.widths[item]).tolist():
-            own = self.widths[item] == width
-            # a window and what is looked at around it lie in two adjacent blocks of this size
-            block = place[own] // (2 * width)
-            n_blocks = len(ids) // (2 * width) + 1
-            keys, times = np.unique(item[own] * (n_blocks + 2) + block + 1, return_counts=True)
-            next_one = np.append(np.where(keys[1:] == keys[:-1] + 1, times[1:], 0), 0)
-            near = times + np.maximum(next_one, np.append(0, np.where(next_one[:-1] > 0, times[:-1], 0)))
-            rich = keys[near >= self.needs[keys // (n_blocks + 2)]]
-            members: dict[int, list[int]] = {}
-            for key in rich.tolist():
-                members.setdefault(key % (n_blocks + 2) - 1, []).append(key // (n_blocks + 2))
-            for at, found in members.items():
-                low, high = max((at - 1) * 2 * width, 0), min((at + 2) * 2 * width, len(ids))
-                yield width, low, high, found
+        # no stretch has more of an item's anchors than the whole text
+        able = np.bincount(item, minlength=len(self.needs)) >= self.needs
+        if not able.any():
+            return
+        own = able[item]
+        item, place = item[own], np.repeat(place, n)[own]
+        # a window and what is looked at around it lie in two adjacent blocks of this size
+        sizes = 2 * self.widths
+        n_blocks = len(ids) // int(sizes[able].min()) + 1
+        keys, times = np.unique(item * (n_blocks + 2) + place // sizes[item] + 1, return_counts=True)
+        next_one = np.append(np.where(keys[1:] == keys[:-1] + 1, times[1:], 0), 0)
+        near = times + np.maximum(next_one, np.append(0, np.where(next_one[:-1] > 0, times[:-1], 0)))
+        rich = keys[near >= self.needs[keys // (n_blocks + 2)]]
+        members: dict[tuple[int, int], list[int]] = {}
+        for key in rich.tolist():
+            which, block = divmod(key, n_blocks + 2)
+            members.setdefault((int(self.widths[which]), block - 1), []).append(which)
+        for (width, at), found in members.items():
+            low, high = max((at - 1) * 2 * width, 0), min((at + 2) * 2 * width, len(ids))
+            yield width, low, high, found
 
 
 def _cosines(
@@ -301,7 +308,7 @@ def _hits(ids: np.ndarray, items: Items, near: np.ndarray, places: Places, limit
             words, tail = items.words[item], places.answers[item]
             if places.direct[item]:
                 # nothing in the parts if not in the whole, which is soonest told
-                if places.common(places.words[item], part) < places.least[item]:
+                if places.common(places.words[item], part, places.least[item]) < places.least[item]:
                     continue
                 if starts is None:
                     starts, ends, lefts, rights = windows(len(part), width)
@@ -318,7 +325,7 @@ def _hits(ids: np.ndarray, items: Items, near: np.ndarray, places: Places, limit
                 candidates = np.flatnonzero(cosines[:, m] >= limits["cosine"])
             for w in candidates.tolist():
                 left, right = low + int(lefts[w]), low + int(rights[w])
-                common = places.common(places.words[item], ids[left:right])
+                common = places.common(places.words[item], ids[left:right], places.least[item])
                 if common < places.least[item]:
                     continue
                 answer = places.common(places.tails[item], ids[left:right])
