@@ -140,3 +140,21 @@ def test_gates_are_fitted_to_all_keys(spark, monkeypatch):
     monkeypatch.setattr(m, "_fit_gates", lambda counts, *_: seen.append(counts.agg({"n": "sum"}).first()[0]))
     m.fit(spark.sql("SELECT concat(x'00', cast(cast(id AS string) AS binary)) AS key, id AS n FROM range(300000)"))
     assert seen == [300_000 * 299_999 // 2]
+
+
+def test_tables_of_several_tasks_come_one_by_one(spark, monkeypatch):
+    keys = [bytes((i % 3,)) + b"w%d" % (i % 400) for i in range(600)] + [b"\0\n"]
+    times = [1 + 40_000 * (i % 7 == 0) for i in range(len(keys))]
+    code = m.Code(np.bincount(np.frombuffer(b"".join(keys), np.uint8), minlength=256))
+    expected = [np.zeros((2, 1 << bits), np.int64) for *_, bits in m.PREDICTORS]
+    d = m.Decisions(keys, code)
+    for table, slots in zip(expected, d.slots, strict=True):
+        np.add.at(table, (d.branch.astype(int), slots), np.repeat(times, d.counts))
+    counts = spark.createDataFrame(list(zip(keys, times, strict=True)), "key binary, n long").repartition(4)
+    taken, collect = [], type(counts).collect
+    monkeypatch.setattr(type(counts), "collect", lambda df: taken.append(collect(df)) or taken[-1])
+    tables = m._tables(counts, code, len(keys))
+    assert [t.dtype for t in tables] == [np.uint16] * m.K
+    assert all((t == m.scaled(e)).all() for t, e in zip(tables, expected, strict=True))
+    assert [{r.k for r in rows} for rows in taken] == [{k} for k in range(m.K)]  # the driver holds one table's pieces
+    assert all(len(r.data) % 4 == 0 and len(r.data) <= 8 * m._PIECE for rows in taken for r in rows)

@@ -62,8 +62,7 @@ END = b"\n"
 #: bytes of the context (None: the whole token so far), whether the script belongs to it, bits of the table's size
 PREDICTORS = ((1, True, 18), (3, False, 20), (5, False, 20), (3, True, 20), (None, False, 21), (None, True, 21))
 K = len(PREDICTORS)
-_PIECE = 1 << 16  # slots summed together
-_MOST = np.iinfo(np.uint32).max
+_PIECE = 1 << 15  # slots summed together, for both branches
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 _P = np.uint64(0x100000001B3)
 _P_INVERSE = np.uint64(pow(0x100000001B3, -1, 1 << 64))
@@ -358,21 +357,22 @@ def _byte_counts(counts: DataFrame) -> np.ndarray:
     return out
 
 
-def _packed(values: np.ndarray) -> bytes:
+def _packed(values: np.ndarray, kind: type = np.uint32) -> bytes:
     """The slots of a piece that are not 0, and their counts."""
     slots = np.flatnonzero(values)
-    return slots.astype(np.uint16).tobytes() + np.minimum(values[slots], _MOST).astype(np.uint32).tobytes()
+    return slots.astype(np.uint16).tobytes() + np.minimum(values[slots], np.iinfo(kind).max).astype(kind).tobytes()
 
 
-def _add_packed(total: np.ndarray, packed: bytes) -> None:
-    n = len(packed) // 6
-    total[np.frombuffer(packed, np.uint16, n)] += np.frombuffer(packed, np.uint32, n, 2 * n)
+def _add_packed(total: np.ndarray, packed: bytes, kind: type = np.uint32) -> None:
+    n = len(packed) // (2 + np.dtype(kind).itemsize)
+    total[np.frombuffer(packed, np.uint16, n)] += np.frombuffer(packed, kind, n, 2 * n)
 
 
 def _tables(counts: DataFrame, code: Code, keys: int) -> list[np.ndarray]:
-    """Counts of decisions by branch and slot; tasks fill whole tables, Spark sums them piece by piece.
+    """Counts of decisions by branch and slot; tasks fill whole tables, Spark sums and scales them piece by piece.
 
-    A task takes FILL_KEYS keys or more, since what it hands on is up to the tables' size.
+    A task takes FILL_KEYS keys or more, since what it hands on is up to the tables' size. The driver takes the
+    scaled pieces of one table at a time.
     """
 
     def run(batches: Iterator[dict]) -> Iterator[dict]:
@@ -384,22 +384,27 @@ def _tables(counts: DataFrame, code: Code, keys: int) -> list[np.ndarray]:
                 for table, slots in zip(tables, d.slots, strict=True):
                     np.add.at(table.reshape(-1), slots + d.branch * table.shape[1], times)
         for k, table in enumerate(tables):
-            flat = table.reshape(-1)
-            pieces = [p for p in range(0, len(flat), _PIECE) if flat[p : p + _PIECE].any()]
-            yield {"k": [k] * len(pieces), "piece": pieces, "data": [_packed(flat[p : p + _PIECE]) for p in pieces]}
+            pieces = [p for p in range(0, table.shape[1], _PIECE) if table[:, p : p + _PIECE].any()]
+            data = [_packed(table[:, p : p + _PIECE].reshape(-1)) for p in pieces]
+            yield {"k": [k] * len(pieces), "piece": pieces, "data": data}
 
     def add(parts: pd.DataFrame) -> pd.DataFrame:
-        total = np.zeros(_PIECE, np.int64)
+        total = np.zeros(2 * _PIECE, np.int64)
         for packed in parts["data"]:
             _add_packed(total, packed)
-        return pd.DataFrame({"k": parts["k"][:1], "piece": parts["piece"][:1], "data": [_packed(total)]})
+        data = _packed(scaled(total.reshape(2, -1)).reshape(-1), np.uint16)
+        return pd.DataFrame({"k": parts["k"][:1], "piece": parts["piece"][:1], "data": [data]})
 
     schema = "k int, piece int, data binary"
     filled = map_rows(counts.coalesce(max(6, keys // FILL_KEYS)), ["key", "n"], run, schema)
-    tables = [np.zeros((2, 1 << bits), np.int64) for *_, bits in PREDICTORS]
-    for row in filled.groupBy("k", "piece").applyInPandas(add, schema).collect():  # the tables' size
-        _add_packed(tables[row.k].reshape(-1)[row.piece : row.piece + _PIECE], row.data)
-    return [scaled(table) for table in tables]
+    summed = cut(filled.groupBy("k", "piece").applyInPandas(add, schema))
+    tables = [np.zeros((2, 1 << bits), np.uint16) for *_, bits in PREDICTORS]
+    for k, table in enumerate(tables):
+        for row in summed.where(F.col("k") == k).collect():  # the table's size
+            piece = np.zeros(2 * _PIECE, np.uint16)
+            _add_packed(piece, row.data, np.uint16)
+            table[:, row.piece : row.piece + _PIECE] = piece.reshape(2, -1)
+    return tables
 
 
 def scaled(table: np.ndarray) -> np.ndarray:
@@ -452,7 +457,7 @@ def fit(counts: DataFrame, steps: int = 3) -> Model:
     return model
 
 
-def _most_common(counts: DataFrame, most: int) -> dict[bytes, int]:
+def _most_common(counts: DataFrame, most: int) -> pa.Table:
     """At most `most` tokens with their counts: all above a limit, found by eighths of powers of two."""
     level = F.floor(F.log2("c") * 8).cast("int")
     levels = {r.level: r.n for r in counts.groupBy(level.alias("level")).agg(F.count("*").alias("n")).collect()}
@@ -462,8 +467,7 @@ def _most_common(counts: DataFrame, most: int) -> dict[bytes, int]:
         if total > most:
             break
         least = at
-    rows = counts.where(level >= least).toPandas()
-    return dict(zip(map(bytes, rows["token"]), rows["c"].tolist(), strict=True))
+    return counts.where(level >= least).select("token", "c").toArrow()
 
 
 def score(docs: DataFrame, model: Model, counts: DataFrame, common: int = COMMON) -> DataFrame:
@@ -473,7 +477,7 @@ def score(docs: DataFrame, model: Model, counts: DataFrame, common: int = COMMON
     counts = cut(counts.groupBy(token.alias("token")).agg(F.sum("n").alias("c")))
     totals = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
     space = math.log10(totals.n + 0.5 * (totals.v + 1))
-    known = _most_common(counts, common)
+    most_common = _most_common(counts, common)
     names = ("row", "doc_id", "n_tokens", "n_known", "base", "bits", "n_bytes", "token", "n")
 
     shared, weights = model.shared, model.weights
@@ -482,6 +486,7 @@ def score(docs: DataFrame, model: Model, counts: DataFrame, common: int = COMMON
         row = TaskContext.get().partitionId() << 40
         model = shared.value
         model.weights = weights
+        known = dict(zip(*(c.to_pylist() for c in most_common.columns), strict=True))
         for ids, keys, texts in _portions(batches):
             first, rows, ways = model.inputs(keys)
             seen = np.array([known.get(k[1:], -1) for k in keys], float)
@@ -526,4 +531,7 @@ def score(docs: DataFrame, model: Model, counts: DataFrame, common: int = COMMON
 def learn_and_score(docs: DataFrame, held_out: Column, steps: int = 3) -> DataFrame:
     """Scores of all rows by a model of the rows that are not held out."""
     counts = count_keys(docs.where(~held_out))
-    return score(docs, fit(counts, steps), counts)
+    model = fit(counts, steps)
+    scored = score(docs, model, counts)
+    model.shared.destroy()  # the texts have been scored and written; only their rest is joined later
+    return scored
