@@ -92,3 +92,26 @@ def test_components_of_paths_and_stars(spark):
     expected = {i: 0 for i in range(51)} | {100: 100, 300: 100} | {200 + i: 100 for i in range(50)} | {400: 400, 500: 400}
     assert {r.node: r.component for r in out} == expected
     assert len(out) == len(expected)
+
+
+def test_sets_of_texts_together_are_those_of_each_alone(monkeypatch):
+    """Texts are hashed together; no shingle may reach over a text's end, and no word be mistaken for a longer one."""
+    rng = random.Random(3)
+    words = ["a", "A", "a\0", "\0", "é", "abcdefgh", "abcdefghi", "abcdefgh\0", "x" * 63, "x" * 64, "x" * 65, "x" * 64 + "y", "y" * 5000]
+    blanks = [" ", "\n", "\t \r", "\x0b", "\x0c", "  "]
+    texts = [None, "", " ", "\n a", "a b", "a b c d e", "a b c d e f a b c d e f"]
+    for n in [*range(9), 50, 400]:
+        texts += [rng.choice(["", " "]) + "".join(rng.choice(words) + rng.choice(blanks) for _ in range(n)) for _ in range(4)]
+    texts = [None if t is None else t.encode() for t in texts]
+    for size in (1, 4, 5):
+        shingles = [brute([(0, None if t is None else t.decode())], size)[0][0] for t in texts]
+        together = jaccard.shingle_sets(texts, size)
+        assert [len(s) for s in together] == shingles
+        monkeypatch.setattr(jaccard, "PORTION", 300)
+        for own, text in zip(jaccard.shingle_sets(texts, size), texts, strict=True):
+            assert own.tolist() == jaccard.shingle_sets([text], size)[0].tolist() == sorted(set(own.tolist()))
+        monkeypatch.undo()
+        for one, other in zip(together, jaccard.shingle_sets(texts[::-1], size)[::-1], strict=True):
+            assert one.tolist() == other.tolist()
+    starts, hashes = jaccard.word_hashes(" ".join(dict.fromkeys(w.lower() for w in words)).encode())
+    assert len(set(hashes.tolist())) == len(starts) == len(set(w.lower() for w in words))

@@ -49,35 +49,80 @@ OFTEN = 500_000  # frequent shingles the order knows of
 BLOCK = 4_000_000  # shingles counted together to find frequent ones
 LOCAL = 8  # documents of a block that must have a shingle for it to be counted on
 FREQUENT = 50  # documents from which on a shingle counts as frequent
-CACHE_WORDS = 500_000
+PORTION = 1 << 17  # bytes of texts whose shingles are worked out together
+LONG_WORD = 64  # bytes from which on the rest of a word is hashed by itself
 _STEPS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], np.uint64)
 
 
-class _Hashes(dict):
-    """Hashes of words; emptied by the caller when large."""
+_SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
+_FIRST = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)  # masks of the first bytes
 
-    def __missing__(self, word: bytes) -> int:
-        value = self[word] = xxhash.xxh3_64_intdigest(word)
-        return value
 
+def _mixed(h: np.ndarray) -> np.ndarray:
+    """One-to-one, so that words of one length and at most 8 bytes never share a hash."""
+    h = h * _STEPS[0]
+    h ^= h >> np.uint64(32)
+    h *= _STEPS[1]
+    return h ^ (h >> np.uint64(29))
 
-_HASHES = _Hashes()
 
+def word_hashes(text: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Starts of the words of a text, and 64-bit hashes of their length and bytes, taken eight by eight."""
+    data = np.frombuffer(text + b" " * 8, np.uint8)
+    inside = ~_SPACE[data]
+    edges = np.flatnonzero(np.diff(inside.view(np.int8), prepend=np.int8(0)))
+    starts, sizes = edges[::2], edges[1::2] - edges[::2]
+    eight = np.ndarray(len(data) - 7, "<u8", data, strides=(1,))
+    hashes = _mixed(_mixed(sizes.astype(np.uint64)) ^ (eight[starts] & _FIRST[np.minimum(sizes, 8)]))
+    at, rest = 8, np.flatnonzero(sizes > 8)
+    while len(rest) and at < LONG_WORD:
+        hashes[rest] = _mixed(hashes[rest] ^ (eight[starts[rest] + at] & _FIRST[np.minimum(sizes[rest] - at, 8)]))
+        at += 8
+        rest = rest[sizes[rest] > at]
+    for i in rest.tolist():
+        hashes[i] ^= np.uint64(xxhash.xxh3_64_intdigest(text[starts[i] : starts[i] + sizes[i]]))
+    return starts, hashes
 
-def shingles(text: bytes | None, size: int = 5) -> np.ndarray:
-    """Sorted distinct hashes of the shingles of a text."""
-    words = (text or b"").lower().split()
-    if not words:
-        return np.zeros(0, np.uint64)
-    if len(_HASHES) > CACHE_WORDS:
-        _HASHES.clear()
-    hashes = np.fromiter(map(_HASHES.__getitem__, words), np.uint64, len(words))
-    size = min(size, len(words))
-    out = np.full(len(words) - size + 1, size, np.uint64)
+
+def _rolled(hashes: np.ndarray, size: int) -> np.ndarray:
+    out = np.full(max(len(hashes) - size + 1, 0), size, np.uint64)
     for i in range(size):
-        out = (out ^ hashes[i : len(words) - size + 1 + i]) * _STEPS[i % 4]
+        out = (out ^ hashes[i : len(out) + i]) * _STEPS[i % 4]
         out ^= out >> np.uint64(31)
-    return np.unique(out)
+    return out
+
+
+def shingle_sets(texts: list[bytes | None], size: int = 5) -> list[np.ndarray]:
+    """Of each text the sorted distinct hashes of its shingles; texts are worked out together, PORTION bytes at a time."""
+    out: list[np.ndarray] = []
+    first, total = 0, 0
+    for last, text in enumerate(texts, 1):
+        total += len(text or b"")
+        if total > PORTION or last == len(texts):
+            out += _sets_of([t or b"" for t in texts[first:last]], size)
+            first, total = last, 0
+    return out
+
+
+def _sets_of(texts: list[bytes], size: int) -> list[np.ndarray]:
+    starts, hashes = word_hashes(b"\n".join(texts).lower())
+    ends = np.searchsorted(starts, np.cumsum([len(t) + 1 for t in texts])).tolist()
+    found = _rolled(hashes, size)
+    cuts, low = [], 0
+    for high in ends:
+        cuts.append((low, max(high - size + 1, low)))
+        found[low : cuts[-1][1]].sort()
+        low = high
+    new = np.append(True, found[1:] != found[:-1])
+    out, low = [], 0
+    for (start, end), high in zip(cuts, ends, strict=True):
+        if start < end:
+            new[start] = True
+            out.append(found[start:end][new[start:end]])
+        else:  # the whole sequence, or nothing
+            out.append(_rolled(hashes[low:high], high - low) if high > low else np.zeros(0, np.uint64))
+        low = high
+    return out
 
 
 def _overview(docs: DataFrame, size: int) -> DataFrame:
@@ -97,7 +142,7 @@ def _overview(docs: DataFrame, size: int) -> DataFrame:
             return {"doc_id": none, "n": none, "digest": none, "shingle": values[often].view(np.int64), "docs": times[often]}
 
         for b in batches:
-            sets = [shingles(t, size) for t in b.column("text").to_pylist()]
+            sets = shingle_sets(b.column("text").to_pylist(), size)
             digests = [hashlib.md5(s.tobytes()).digest() for s in sets]
             none = [None] * len(sets)
             yield {"doc_id": b.column("doc_id"), "n": list(map(len, sets)), "digest": digests, "shingle": none, "docs": none}
@@ -127,7 +172,7 @@ def _prefixes(docs: DataFrame, size: int, percent: int, often: np.ndarray, bitma
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         for b in batches:
             b = chosen(b, bitmap)
-            sets = [shingles(t, size) for t in b.column("text").to_pylist()]
+            sets = shingle_sets(b.column("text").to_pylist(), size)
             cuts = []
             for s in sets:
                 n = len(s)
@@ -165,11 +210,12 @@ def _contents(docs: DataFrame, size: int, ids: DataFrame, short: bool = False) -
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         for b in batches:
             b = chosen(b, bitmap)
-            sets = [shingles(t, size) for t in b.column("text").to_pylist()]
+            sets = shingle_sets(b.column("text").to_pylist(), size)
             packed = [(s.astype(np.uint16) if short else s).tobytes() for s in sets]
             yield {"doc_id": b.column("doc_id"), "content": packed}
 
-    return cut(batches_out(docs, run, f"doc_id {kind}, content binary"))
+    # joined to tables that grow with the documents: merged at every size, never broadcast
+    return cut(batches_out(docs, run, f"doc_id {kind}, content binary")).hint("merge")
 
 
 def _linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
@@ -305,9 +351,10 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     shared = prefixes.groupBy("shingle").agg(F.min("doc_id").alias("leader"), F.max("doc_id").alias("last"))
     shared = shared.where("leader <> last").select("shingle", "leader")
     reps = classes.select("doc_id").distinct()
-    # both sides grow with the documents: merged at every size, never broadcast
-    met = prefixes.hint("merge").join(shared, "shingle").join(reps.hint("merge"), "doc_id", "left_semi")
-    met = cut(met.distinct())
+    # all sides grow with the documents: merged at every size, never broadcast. Written in between, or else the
+    # documents are matched before the shingles, with all rows of the prefixes
+    met = cut(prefixes.hint("merge").join(shared, "shingle").distinct())
+    met = cut(met.hint("merge").join(reps, "doc_id", "left_semi"))
 
     # parts: each set with its nearest leader, if they are linked
     nearest = (
@@ -336,7 +383,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     sets = cut(sets.join(cells, ["part", "linked"]).select("doc_id", "part", "linked", "members", number.alias("number")))
 
     # the matrix: shingles that several parts, or several unlinked sets, have
-    placed = cut(met.select("doc_id", "n", "shingle").join(sets, "doc_id"))
+    placed = cut(met.select("doc_id", "n", "shingle").join(sets.hint("merge"), "doc_id"))
     unit = F.when(F.col("linked"), F.col("part")).otherwise(F.col("doc_id"))
     several = placed.groupBy("shingle").agg(F.min(F.struct("linked", unit)).alias("low"), F.max(F.struct("linked", unit)).alias("high"))
     matrix = cut(placed.join(several.where("low <> high").select("shingle"), "shingle", "left_semi"))

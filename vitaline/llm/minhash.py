@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from vitaline.llm.common import batches_out, bitmap_of, chosen, slot_of
 from vitaline.llm.graph import components
-from vitaline.llm.jaccard import shingles
+from vitaline.llm.jaccard import shingle_sets
 from vitaline.session import cut
 
 VALUES = 150
@@ -120,7 +120,7 @@ def _overview(docs: DataFrame, size: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         for b in batches:
-            sets = [shingles(t, size) for t in b.column("text").to_pylist()]
+            sets = shingle_sets(b.column("text").to_pylist(), size)
             filled = np.array([len(s) > 0 for s in sets], bool)
             values: list = [None] * len(sets)
             hashes = bands(signatures([s for s in sets if len(s)])).view(np.int64)
@@ -140,7 +140,7 @@ def _contents(docs: DataFrame, size: int, wanted: DataFrame, signed: bool = Fals
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         for b in batches:
-            sets = [s for t in chosen(b, bitmap).column("text").to_pylist() if len(s := shingles(t, size))]
+            sets = [s for s in shingle_sets(chosen(b, bitmap).column("text").to_pylist(), size) if len(s)]
             rows = {"digest": list(map(_digest, sets)), "content": [s.tobytes() for s in sets]}
             if signed:
                 values = signatures(sets)
