@@ -168,3 +168,38 @@ def test_stretches_equal_brute_force_and_bounds_lose_nothing(monkeypatch):
             calls += 1
             assert places.common(whole, ids, least) in ({common} if common >= least else {common, 0})
     assert len(looked) < 0.9 * calls  # texts with too few different words of an item are told without the subsequence
+
+
+def test_words_of_texts_together_are_those_of_each_alone():
+    rng = random.Random(8)
+    vocabulary = sorted({b"a", b"b", b"ab", b"abcdefgh", b"abcdefghi", b"z" * 70, "é".encode()})
+    numbers = d.Numbers(vocabulary)
+    words = ["a", "B", "ab", "abcdefgh", "abcdefghi", "Z" * 70, "É", "x", "abcdefg", "z" * 71]
+    texts = [None, "", "...", "a", *(" .\n,"[rng.randint(0, 3)].join(rng.choices(words, k=rng.randint(1, 300))) for _ in range(40)), ""]
+    ids, counts = numbers.of([d._plain(t) for t in texts])
+    expected = [[vocabulary.index(w) if w in vocabulary else -1 for w in d.words_of(t)] for t in texts]
+    assert [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])] == expected
+    passages = [0] * len(vocabulary)
+    for own in expected:
+        for start in range(0, len(own), d.PASSAGE):
+            for word in set(own[start : start + d.PASSAGE]) - {-1}:
+                passages[word] += 1
+    assert d.passages_of(ids, counts, len(vocabulary)).tolist() == passages
+    assert (d.Numbers([]).of([b"a b", b""])[0] == -1).all()
+
+
+def test_items_whose_words_a_text_lacks_are_left_aside(monkeypatch):
+    """Such an item's anchors alone, however often, lead to no stretch, and to no subsequence."""
+    items = d.Items([("one", " ".join(f"w{i}" for i in range(30))), ("two", " ".join(f"w{i}" for i in range(10, 25)))])
+    limits = {"min_words": 3, "copied": 0.8, "rephrased": 0.6, "cosine": 0.5}
+    items.share = np.full(len(items.vocabulary), 0.1)  # no weighted words: both are searched without the cosine
+    items.basis = np.zeros((len(items.vocabulary), 1))
+    places, near = d.Places(items, limits), np.zeros((2, 1))
+    number = items.vocabulary
+    calls = []
+    common = d.Places.common
+    monkeypatch.setattr(d.Places, "common", lambda self, *a: calls.append(1) or common(self, *a))
+    few = np.array([number[f"w{i}".encode()] for i in [*range(12)] * 5], np.int32)  # 12 of 18 words, 2 of 9
+    assert list(places.stretches(few)) and not list(places.stretches(few, held=True)) and not d._hits(few, items, near, places, limits) and not calls
+    whole = np.array([number[f"w{i}".encode()] for i in range(10, 25)], np.int32)
+    assert set(d._hits(whole, items, near, places, limits)) == {1} and calls

@@ -30,8 +30,8 @@ columns are ignored; an empty table on either side gives no hits.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from itertools import repeat
+from collections.abc import Iterable, Iterator
+from itertools import compress, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -41,17 +41,23 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vitaline.llm.common import map_rows
+from vitaline.llm.jaccard import word_hashes
 from vitaline.session import cut
 
 PASSAGE = 64
 ANSWER = 8
 BLOCK = 2000
+PORTION = 1 << 17  # bytes of texts whose words are looked up together
 _SIGNS = bytes(b for b in range(128) if not chr(b).isalnum())
 _SEPARATE = bytes.maketrans(_SIGNS, b" " * len(_SIGNS))
 
 
+def _plain(text: str | None) -> bytes:
+    return (text or "").lower().encode("utf-8", "surrogatepass").translate(_SEPARATE)
+
+
 def words_of(text: str | None) -> list[bytes]:
-    return (text or "").lower().encode("utf-8", "surrogatepass").translate(_SEPARATE).split()
+    return _plain(text).split()
 
 
 class Items:
@@ -74,25 +80,53 @@ class Items:
         return out
 
 
+class Numbers:
+    """The numbers of known words by their hashes."""
+
+    def __init__(self, words: list[bytes]):
+        _, hashes = word_hashes(b" ".join(words))
+        self.words = np.argsort(hashes).astype(np.int32)
+        self.hashes = hashes[self.words]
+
+    def of(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The words of all texts, -1 for unknown ones, and how many each text has."""
+        starts, hashes = word_hashes(b" ".join(texts))
+        ends = np.searchsorted(starts, np.cumsum([len(t) + 1 for t in texts]))
+        at = np.minimum(np.searchsorted(self.hashes, hashes), max(len(self.hashes) - 1, 0))
+        ids = np.where(self.hashes[at] == hashes, self.words[at], np.int32(-1)) if len(self.hashes) else np.full(len(hashes), -1, np.int32)
+        return ids, np.diff(ends, prepend=0)
+
+
+def passages_of(ids: np.ndarray, counts: np.ndarray, size: int) -> np.ndarray:
+    """Of each word the passages that have it; `counts`: words of each text."""
+    parts = -(-counts // PASSAGE)
+    place = np.arange(len(ids)) - np.repeat(np.cumsum(counts) - counts, counts)
+    passage = place // PASSAGE + np.repeat(np.cumsum(parts) - parts, counts)
+    known = np.flatnonzero(ids >= 0)
+    where = np.sort(passage[known] * size + ids[known])
+    return np.bincount(where[np.diff(where, prepend=-1) > 0] % max(size, 1), minlength=size)
+
+
 def encode(docs: DataFrame, items: Items) -> DataFrame:
     """Rows (doc_id, words): packed word numbers, -1 for unknown; and rows (word, passages)."""
     kind = dict(docs.dtypes)["doc_id"]
-    vocabulary = items.vocabulary
+    size, numbers = len(items.vocabulary), Numbers(list(items.vocabulary))
 
     def run(batches: Iterator[dict]) -> Iterator[dict]:
-        passages = np.zeros(len(vocabulary), np.int64)
+        passages = np.zeros(size, np.int64)
         total = 0
-        number = vocabulary.get
         for b in batches:
             packed = []
-            for text in b["text"]:
-                words = words_of(text)
-                ids = np.fromiter(map(number, words, repeat(-1)), np.int32, len(words))
-                packed.append(ids.astype(items.kind).tobytes())
-                known = np.flatnonzero(ids >= 0)
-                where = np.unique((known // PASSAGE) * len(vocabulary) + ids[known]) % max(len(vocabulary), 1)
-                passages += np.bincount(where, minlength=len(vocabulary))
-                total += -(-len(words) // PASSAGE)
+            texts = [_plain(t) for t in b["text"]]
+            n_bytes = np.cumsum([len(t) for t in texts])
+            cuts = np.flatnonzero(np.diff(n_bytes // PORTION, prepend=0)).tolist()
+            for low, high in pairwise([0, *cuts, len(texts)]):  # texts of about PORTION bytes together
+                if low == high:
+                    continue
+                ids, counts = numbers.of(texts[low:high])
+                passages += passages_of(ids, counts, size)
+                total += int((-(-counts // PASSAGE)).sum())
+                packed += [own.astype(items.kind).tobytes() for own in np.split(ids, np.cumsum(counts)[:-1])]
             none = [None] * len(packed)
             yield {"doc_id": b["doc_id"], "words": packed, "word": none, "passages": none}
         found = np.flatnonzero(passages)
@@ -236,6 +270,13 @@ class Places:
             return 0
         return common_bits(places, len(item), found)
 
+    def held(self, text: np.ndarray, items: Iterable[int]) -> list[bool]:
+        """Whether the text has as many of the items' words as a hit; no common subsequence is longer than these."""
+        self.marks[text] = True
+        out = [bool(np.count_nonzero(self.marks[self.words[i][0]]) >= self.least[i]) for i in items]
+        self.marks[text] = False
+        return out
+
     def rich(self, part: np.ndarray, item: int, words: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """The windows whose surroundings (left, right) have the anchors and words that a hit of the item has."""
         found = np.arange(len(left))
@@ -249,8 +290,9 @@ class Places:
                 break
         return found
 
-    def stretches(self, ids: np.ndarray) -> Iterator[tuple[int, int, int, list[int]]]:
-        """Width, start, end and items of the stretches that may hold items of this width."""
+    def stretches(self, ids: np.ndarray, held: bool = False) -> Iterator[tuple[int, int, int, list[int]]]:
+        """Width, start, end and items of the stretches that may hold items of this width, by their anchors.
+        `held`: without items of whose words the whole text has too few for a hit."""
         place = np.flatnonzero(self.anchoring[ids])
         first = self.starts[ids[place]]
         n = self.starts[ids[place] + 1] - first
@@ -259,6 +301,10 @@ class Places:
         able = np.bincount(item, minlength=len(self.needs)) >= self.needs
         if not able.any():
             return
+        if held:
+            able[able] = self.held(ids, np.flatnonzero(able))
+            if not able.any():
+                return
         own = able[item]
         item, place = item[own], np.repeat(place, n)[own]
         # a window and what is looked at around it lie in two adjacent blocks of this size
@@ -301,8 +347,9 @@ def _hits(ids: np.ndarray, items: Items, near: np.ndarray, places: Places, limit
     known = ids >= 0
     weighted = np.zeros(len(ids), bool)
     weighted[known] = items.weight[ids[known]] > 0
-    for width, low, high, members in places.stretches(ids):
+    for width, low, high, members in places.stretches(ids, held=True):
         part = ids[low:high]
+        members = list(compress(members, places.held(part, members)))
         starts = cosines = None
         for m, item in enumerate(members):
             words, tail = items.words[item], places.answers[item]
